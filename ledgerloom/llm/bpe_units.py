@@ -66,24 +66,59 @@ class PieceCache(dict):
         return b"".join(map(self.__getitem__, pieces))
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable bytes stand for themselves, the others follow from U+0100."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + k) for k, b in enumerate(others)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
+def as_letters(piece: str) -> str:
+    """A piece in the vocabulary's letters."""
+    return piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+
+
 class Encoder:
-    """Texts to ids, as little-endian unsigned 32-bit integers, by the tokenizers library without added special tokens."""
+    """Texts to ids, as little-endian unsigned 32-bit integers, by the tokenizers library without added special tokens.
+
+    Texts are cut into pieces here and the library's model encodes each distinct piece. For a tokenizer that
+    drops white space (and lower-cases), words are looked up first and what a new word consists of after that.
+    """
+
+    #: Pieces that the pre-tokenizer leaves whole.
+    whole = re.compile(f" ?(?:[{LETTER}]+|[{NUMBER}]+|[^{SPACE}{LETTER}{NUMBER}]+)")
+    parts = re.compile(f"[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+").findall
 
     def __init__(self, name: str):
         self.tokenizer = load_tokenizer(name)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_word = self.tokenizer.normalizer is not None
-        self.cut = str.split if self.by_word else UNIT.findall
         self.odd = UNLISTED_WORD if self.by_word else UNLISTED
-        self.cache = PieceCache(self.ids)
+        self.cache = PieceCache(self.word if self.by_word else self.unit)
 
     def ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(as_letters(piece))]).tobytes()
+
+    def unit(self, unit: str) -> bytes:
+        return self.piece(unit) if self.whole.fullmatch(unit) else self.ids(unit)
+
+    def word(self, word: str) -> bytes:
+        parts = self.parts(word)
+        if len(parts) == 1:
+            return self.piece(word)
+        return self.ids(word) if "'" in word else self.cache.join(parts)
+
     def encode(self, text: str) -> bytes:
         if self.odd.search(text) or any(s in text for s in self.special):
             return self.ids(text)
-        return self.cache.join(self.cut(text))
+        return self.cache.join(text.lower().split() if self.by_word else UNIT.findall(text))
 
 
 _encoders: dict[str, Encoder] = {}

@@ -35,13 +35,6 @@ PREFIX_SCHEMA = "doc_id long, n_bytes long, n_tokens long, prefix_deltas binary"
 ANY_UNIT = rf"[{U.SPACE}]*\p{{L}}+|{U.ENDING}|[{U.SPACE}]*[{U.SPACE_NOT_BLANK}]{U.ENDING}|[{U.SPACE}]*[^{U.SPACE}\p{{L}}\p{{N}}]+|[{U.SPACE}]*\p{{N}}+|[{U.SPACE}]+"
 
 
-def byte_letters() -> dict[int, str]:
-    """The character that stands for each byte in a byte-level vocabulary: printable bytes stand for themselves, the others follow from U+0100."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(printable)]
-    return {b: chr(b) for b in printable} | {b: chr(0x100 + k) for k, b in enumerate(others)}
-
-
 class PrefixCounter:
     """Deltas of the exact token counts at all prefixes of texts, by one tokenizer."""
 
@@ -53,7 +46,6 @@ class PrefixCounter:
         self.tokenizer = U.load_tokenizer(name)
         self.vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.longest = max(map(len, self.vocabulary))
-        self.letters = {ord(bytes([b]).decode("latin-1")): c for b, c in byte_letters().items()}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.any_unit = regex.compile(ANY_UNIT)
@@ -81,7 +73,7 @@ class PrefixCounter:
     def piece_counts(self, piece: str) -> list[int]:
         """Token counts of the prefixes of one piece that the pre-tokenizer doesn't cut, one for each code point."""
         data = piece.encode()
-        letters = data.decode("latin-1").translate(self.letters)
+        letters = U.as_letters(piece)
         number, pairs = self.vocabulary.get, self.pairs.get
         last, count = [0], [0]
         for shared in self.shared:  # many pieces begin alike

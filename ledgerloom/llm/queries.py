@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from ledgerloom.llm.decontaminate import op10_decontaminate
 from ledgerloom.llm.language_id import op2_language_id
 from ledgerloom.llm.minhash import op5_minhash
 from ledgerloom.llm.packing import op7_packing
 from ledgerloom.llm.quality import op6_quality
 from ledgerloom.llm.secret_scan import op1_secret_scan
+from ledgerloom.llm.suffix_dedup import op3_suffix_dedup
 from ledgerloom.llm.token_counts import op8_token_counts
 from ledgerloom.llm.token_store import op4_token_store
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_store": op4_token_store,
     "op5_minhash": op5_minhash,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -6,6 +6,7 @@ from ledgerloom.llm.decontaminate import op10_decontaminate
 from ledgerloom.llm.language_id import op2_language_id
 from ledgerloom.llm.minhash import op5_minhash
 from ledgerloom.llm.packing import op7_packing
+from ledgerloom.llm.pii import op9_pii
 from ledgerloom.llm.quality import op6_quality
 from ledgerloom.llm.secret_scan import op1_secret_scan
 from ledgerloom.llm.suffix_dedup import op3_suffix_dedup
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_pii": op9_pii,
     "op10_decontaminate": op10_decontaminate,
 }
 

@@ -3,10 +3,11 @@
 1. Each document's set of word shingles is hashed under ``permutations`` functions; minimum and maximum of each
    make twice as many signature values, which are banded by fours. Documents with equal sets are one class from
    here on, so exact copies cost nothing more.
-2. In each bucket of a band the members are held against one hub, on their full sets; the links found are joined
-   to components. Where a bucket still holds several components, they are tried against other hubs, and at last
-   every member outside the bucket's largest component against all members of other components. So no link
-   inside a bucket is lost, while a bucket of near copies costs a few comparisons a member and not all pairs.
+2. In each bucket of a band the members are held against one hub, on their full sets: the member with the most company
+   over all bands. The links found are joined to components.
+3. Documents in buckets that still hold several components are tried once more, exactly: a pair of similar sets
+   must share one of its rarest shingles (see ``prefix_pairs``). So no link inside a bucket is lost, while a
+   bucket of near copies costs about one comparison a member and not all pairs.
 
 With the defaults (80 permutations, 40 bands of two minima and two maxima) a pair at the threshold of 0.8 shares no bucket with a
 probability under 1e-8, even for sets of five.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import saved, table, whole_text
@@ -134,6 +135,37 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").where(similar(F.col("n_a"), F.col("n_b"), common, percent)).select("a", "b")
 
 
+def prefix_pairs(placed: DataFrame, sets: DataFrame, percent: int, ratio: float = 1.06) -> DataFrame:
+    """All pairs of documents in different components that can be similar, by their rarest shingles; ``placed`` has x, n, comp.
+
+    With sizes n and m, a similar pair shares at least percent * (n + m) / (100 + percent) shingles, so that, in
+    any common order, it shares one among the first n - that + 1 of the one and m - that + 1 of the other. In
+    the order from rare to common these are shingles that few documents have: copies changed too much to be
+    alike meet in none. Sizes are dealt into classes, and a shingle is only offered to the classes for which it
+    is early enough.
+    """
+    docs = placed.select(F.col("x").alias("id"), "n", "comp").distinct()
+    own = saved(sets.select("id", F.explode("hashes").alias("h")).join(docs, "id", "left_semi"), "open-shingles")
+    often = own.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("often", "h"))
+    size_class = lambda m: F.floor(F.log(m.cast("double")) / F.log(F.lit(ratio))).cast("int")
+    early = own.join(often, "h").withColumn("r", rank).where("often > 1").join(docs, "id")
+    most = F.least(F.floor(F.col("n") * 100 / percent), F.floor((F.col("n") - F.col("r") + 1) * F.lit((100 + percent) / percent) + 1e-9) - F.col("n"))
+    least = F.ceil(F.col("n") * percent / 100)
+    early = early.withColumn("most", most).where(most >= least)
+    offered = saved(early.select("id", "n", "comp", "h", "most", size_class(F.col("n")).alias("own"), F.explode(F.sequence(size_class(least), size_class(F.col("most")))).alias("other")), "early-shingles")
+    left, right = offered, offered.select("h", F.col("own").alias("other"), F.col("other").alias("own"), F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), F.col("most").alias("most_b"))
+    meets = (F.col("id") > F.col("id_b")) & (F.col("comp") != F.col("comp_b")) & (F.col("n_b") <= F.col("most")) & (F.col("n") <= F.col("most_b"))
+    return left.join(right, ["h", "own", "other"]).where(meets).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``rep, comp`` after the components that ``links`` (a, b) join have become one."""
+    comp_a, comp_b = comps.select(F.col("rep").alias("a"), F.col("comp").alias("comp_a")), comps.select(F.col("rep").alias("b"), F.col("comp").alias("comp_b"))
+    joined = components(saved(links, "links").join(comp_a, "a").join(comp_b, "b"), "comp_a", "comp_b").select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    return saved(comps.join(joined, "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")), "components")
+
+
 def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80, permutations: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
 
@@ -143,33 +175,23 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80, per
     signed = saved(signatures(docs, words_each, permutations), "signatures")
     classes = saved(signed.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     buckets = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket")
-    members = saved(buckets.join(shared, "bucket", "left_semi"), "bucket-members")
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    crowded = saved(buckets.join(shared, "bucket"), "bucket-members")
+    # The original of a group of near copies is in the largest bucket of most bands; copies differ more from each other than from it.
+    weights = crowded.groupBy("rep").agg(F.sum("size").alias("weight"))
+    members = saved(crowded.drop("size").join(weights, "rep"), "weighted-members")
     sets = saved(shingle_sets(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), words_each), "shingle-sets")
 
-    comps = members.select("rep").distinct().withColumn("comp", F.col("rep"))
-    tested = None
-    for attempt in ("least", "hashed", "rest"):
-        placed = members.join(comps, "rep").select("bucket", F.col("rep").alias("x"), "n", "comp")
-        if attempt != "least":
-            several = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-            placed = saved(placed.join(several, "bucket", "left_semi"), "open-buckets")
-        if attempt == "rest":
-            sizes = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
-            largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "comp")).alias("top")).select("bucket", F.col("top.comp").alias("top"))
-            hubs = placed.join(largest, "bucket").where("comp <> top")
-        else:
-            order = F.struct(*([] if attempt == "least" else [F.xxhash64("x", F.lit(1))]), "x", "n", "comp")
-            hubs = placed.groupBy("bucket").agg(F.min(order).alias("hub")).select("bucket", "hub.x", "hub.n", "hub.comp")
-        hubs = hubs.select("bucket", F.col("x").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
-        near = (F.col("comp") != F.col("hub_comp")) & (F.lit(100) * F.least("n", "hub_n") >= F.lit(percent) * F.greatest("n", "hub_n"))
-        pairs = placed.join(hubs, "bucket").where(near).select(F.greatest("x", "hub").alias("a"), F.least("x", "hub").alias("b")).distinct()
-        pairs = saved(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = saved(linked(pairs, sets, percent), "links")
-        comp_a, comp_b = comps.select(F.col("rep").alias("a"), F.col("comp").alias("comp_a")), comps.select(F.col("rep").alias("b"), F.col("comp").alias("comp_b"))
-        joined = components(links.join(comp_a, "a").join(comp_b, "b"), "comp_a", "comp_b").select(F.col("id").alias("comp"), F.col("comp").alias("to"))
-        comps = saved(comps.join(joined, "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")), "components")
+    order = F.struct(-F.col("weight"), "rep", "n")
+    hubs = members.groupBy("bucket").agg(F.min(order).alias("hub")).select("bucket", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"))
+    near = (F.col("rep") != F.col("hub")) & similar(F.col("n"), F.col("hub_n"), F.least("n", "hub_n"), percent)
+    starred = members.join(hubs, "bucket").where(near).select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
+    comps = merged(members.select("rep").distinct().withColumn("comp", F.col("rep")), linked(saved(starred, "pairs"), sets, percent))
+
+    placed = members.join(comps, "rep").select("bucket", F.col("rep").alias("x"), "n", "comp")
+    several = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+    rest = prefix_pairs(saved(placed.join(several, "bucket", "left_semi"), "open-buckets"), sets, percent)
+    comps = merged(comps, linked(saved(rest, "pairs"), sets, percent))
     rows = signed.select("doc_id", "n_shingles", "set_id").join(classes.select("set_id", "rep"), "set_id", "left").join(comps, "rep", "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -72,7 +72,7 @@ def statement_documents(rows: DataFrame, companies: DataFrame) -> DataFrame:
 
     lines = inject_sections(pivot_cells(rows), ["company_slug", "statement"])
     line = F.struct("display_order", "canonical_name", "depth", "is_header", "is_total", "parent_name", F.coalesce("values", F.expr("cast(map() as map<string,struct<value:string,source_fiscal_year:int,is_restated:boolean>>)")).alias("values"))
-    body = lines.groupBy("company_slug", "statement").agg(F.array_sort(F.collect_list(line)).alias("rows"))
+    body = lines.groupBy("company_slug", "statement").agg(F.array_sort(F.collect_list(line), lambda x, y: x["display_order"] - y["display_order"]).alias("rows"))
     names = companies.select(F.col("slug").alias("company_slug"), F.col("name").alias("company"), "ticker", "exchange")
     return body.join(document_header(rows), ["company_slug", "statement"]).join(names, "company_slug", "left").drop("n_rows")
 

@@ -128,3 +128,34 @@ def found_gate(claimed: Column, has_search: Column, valid_pdfs: Column, ir_reach
 def preferred_input(confirmed: DataFrame, extracted: DataFrame, keys: list[str]) -> DataFrame:
     """Confirmed rows where a key has them, else the extracted ones."""
     return confirmed.unionByName(extracted.join(confirmed.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)
+
+
+def classify_cascade(docs: DataFrame, sniffed: DataFrame, model: DataFrame | None = None) -> DataFrame:
+    """Rules first, then the front matter's text, then a model: each later step only where the one before was unsure.
+
+    ``docs``: sha256, kind, fiscal_year, confidence (by name rules), local_path; ``sniffed`` has the same classification of
+    each document's front matter, ``model`` a model's answers (a failed call has no row). ``classified_by`` names the
+    step that counted.
+    """
+    from ledgerloom.functions.reports import needs_model, needs_sniff
+
+    kept = [c for c in docs.columns if c not in ("kind", "fiscal_year", "confidence")]
+    s = sniffed.select("sha256", F.col("kind").alias("s_kind"), F.nullif("fiscal_year", F.lit(0)).alias("s_year"), F.col("confidence").alias("s_conf"))
+    own = docs.join(s, "sha256", "left")
+    surer = F.coalesce(F.col("s_conf") > F.col("confidence"), F.lit(False))
+    taken = needs_sniff(F.col("confidence"), F.col("fiscal_year"), F.col("local_path")) & (surer | (F.col("fiscal_year").isNull() & F.col("s_year").isNotNull()))
+    step = own.select(
+        *kept, F.when(taken & surer, F.col("s_kind")).otherwise(F.col("kind")).alias("kind"), F.when(taken, F.coalesce("s_year", "fiscal_year")).otherwise(F.col("fiscal_year")).alias("fiscal_year"),
+        F.when(taken, F.greatest("confidence", "s_conf")).otherwise(F.col("confidence")).alias("confidence"), F.when(taken, "rules+sniff").otherwise("rules").alias("classified_by"),
+    )
+    if model is None:
+        return step
+    m = model.select("sha256", F.struct("kind", "fiscal_year", "confidence").alias("__m"))
+    asked = needs_model(F.col("confidence")) & F.col("__m").isNotNull()
+    pick = lambda c: F.when(asked, F.col(f"__m.{c}")).otherwise(F.col(c)).alias(c)
+    return step.join(m, "sha256", "left").select(*kept, pick("kind"), pick("fiscal_year"), pick("confidence"), F.when(asked, "model").otherwise(F.col("classified_by")).alias("classified_by"))
+
+
+def table_gate(rows: Column, columns: Column, year_columns: Column, *, least_rows: int = 3, least_columns: int = 2) -> Column:
+    """Large enough to be a statement, with a period column."""
+    return (rows >= least_rows) & (columns >= least_columns) & (year_columns >= 1)

@@ -181,3 +181,61 @@ def table_scores(spark, sf_dir):
 def preferred_input(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
     return S.preferred_input(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), ["o_custkey"])
+
+
+@query("""WITH d AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'annual' ELSE 'other' END AS kind, CASE WHEN doc_id % 3 = 0 THEN 2000 + doc_id % 20 END AS fy, CASE WHEN quality = 1 THEN 0.75 WHEN doc_id % 3 = 0 THEN 0.3 ELSE 0.0 END AS c,
+    CASE WHEN doc_id % 4 = 0 THEN 'interim' ELSE 'other' END AS sk, CASE WHEN doc_id % 5 < 3 THEN 2010 END AS sy, CASE WHEN doc_id % 4 = 0 THEN 0.95 ELSE 0.3 END AS sc, doc_id % 7 = 0 AS has_m FROM labels),
+  e AS (SELECT *, (c < 0.5 OR fy IS NULL) AND (sc > c OR (fy IS NULL AND sy IS NOT NULL)) AS t FROM d),
+  f AS (SELECT *, CASE WHEN t AND sc > c THEN sk ELSE kind END AS k2, CASE WHEN t THEN coalesce(sy, fy) ELSE fy END AS y2, CASE WHEN t THEN greatest(c, sc) ELSE c END AS c2 FROM e)
+  SELECT doc_id, CASE WHEN c2 < 0.5 AND has_m THEN 'quarterly' ELSE k2 END AS kind, CAST(CASE WHEN c2 < 0.5 AND has_m THEN NULL ELSE y2 END AS INTEGER) AS fiscal_year, CASE WHEN c2 < 0.5 AND has_m THEN 'model' WHEN t THEN 'rules+sniff' ELSE 'rules' END AS classified_by FROM f""")
+def classify_cascade(spark, sf_dir):
+    d, own = F.col("doc_id"), table(spark, sf_dir, "labels")
+    good = F.col("quality") == 1
+    docs = own.select(d.alias("sha256"), F.when(good, "annual").otherwise("other").alias("kind"), F.when(d % 3 == 0, 2000 + d % 20).cast("int").alias("fiscal_year"), F.when(good, 0.75).when(d % 3 == 0, 0.3).otherwise(0.0).alias("confidence"), F.lit("p").alias("local_path"))
+    sniffed = own.select(d.alias("sha256"), F.when(d % 4 == 0, "interim").otherwise("other").alias("kind"), F.when(d % 5 < 3, 2010).alias("fiscal_year"), F.when(d % 4 == 0, 0.95).otherwise(0.3).alias("confidence"))
+    model = own.where(d % 7 == 0).select(d.alias("sha256"), F.lit("quarterly").alias("kind"), F.lit(None).cast("int").alias("fiscal_year"), F.lit(0.9).alias("confidence"))
+    return S.classify_cascade(docs, sniffed, model).select(F.col("sha256").alias("doc_id"), "kind", "fiscal_year", "classified_by")
+
+
+@query("""SELECT k, claimed, search, pdfs, reachable, CASE WHEN NOT claimed AND NOT search THEN false WHEN pdfs > 0 THEN true WHEN NOT reachable THEN false ELSE claimed END AS found
+  FROM (SELECT n_nationkey AS k, n_nationkey % 2 = 0 AS claimed, n_nationkey % 3 = 0 AS search, n_nationkey % 4 AS pdfs, n_nationkey % 5 < 3 AS reachable FROM nation)""")
+def found_gate(spark, sf_dir):
+    k = F.col("n_nationkey")
+    rows = table(spark, sf_dir, "nation").select(k.alias("k"), (k % 2 == 0).alias("claimed"), (k % 3 == 0).alias("search"), (k % 4).alias("pdfs"), (k % 5 < 3).alias("reachable"))
+    return rows.withColumn("found", S.found_gate(F.col("claimed"), F.col("search"), F.col("pdfs"), F.col("reachable")))
+
+
+@query("SELECT o_custkey AS sha256, o_orderstatus AS kind, CAST(min(o_orderkey) AS BIGINT) AS page_idx FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2")
+def first_pages(spark, sf_dir):
+    pages = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("sha256"), F.col("o_orderkey").alias("page_idx"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("kind"))
+    return S.first_pages(pages)
+
+
+@query("""SELECT o_custkey AS sha256, coalesce(min(CASE WHEN n <= 6 AND o_orderkey % 5 = 0 THEN n END) - 1, 0) AS header_row
+  FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) GROUP BY 1""")
+def header_rows(spark, sf_dir):
+    numbered = S.numbered(table(spark, sf_dir, "orders"), ["o_custkey"], [F.col("o_orderkey")], "n")
+    cells = F.array(F.lit("x"), F.when(F.col("o_orderkey") % 5 == 0, "FY 2024").otherwise("12345"))
+    rows = numbered.select(F.col("o_custkey").alias("sha256"), F.lit(0).alias("page_idx"), F.lit(0).alias("table_idx"), (F.col("n") - 1).cast("long").alias("row_idx"), cells.alias("cells"))
+    return S.header_rows(rows, 6, True).select("sha256", F.col("header_row").cast("long").alias("header_row"))
+
+
+@query("""SELECT o_orderkey, CAST(year(o_orderdate) AS VARCHAR) || '-12-31' AS period, CAST(CASE WHEN o_orderkey % 2 = 0 THEN -o_orderkey ELSE o_custkey END AS BIGINT) AS amount FROM orders
+  UNION ALL SELECT o_orderkey, CAST(year(o_orderdate) - 1 AS VARCHAR) || '-12-31', NULL FROM orders""")
+def values_by_period(spark, sf_dir):
+    from ledgerloom.functions.periods import values_by_period as by_period
+
+    # Two columns of one year: the last one counts, if it is the later.
+    y, k = F.year("o_orderdate"), F.col("o_orderkey")
+    last = F.when(k % 2 == 0, F.concat(F.lit("("), k.cast("string"), F.lit(")"))).otherwise(F.col("o_custkey").cast("string"))
+    values = by_period(F.array(F.lit("label"), F.lit("7"), F.lit("—"), last), F.array(F.lit(None).cast("int"), y, y - 1, y))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(values).alias("period", "v")).select("o_orderkey", "period", F.col("v").cast("long").alias("amount"))
+
+
+@query("""WITH f AS (SELECT o_custkey, o_orderkey, unnest([2020, 2021]) AS y FROM orders WHERE o_orderkey % 10 <> 0)
+  SELECT o_orderkey AS row_idx, CAST(y AS VARCHAR) || '-12-31' AS period_end, CASE WHEN y = 2020 THEN CAST(o_orderkey AS BIGINT) END AS value, y < 2021 AS is_restated FROM f""")
+def facts_of_rows(spark, sf_dir):
+    k = F.col("o_orderkey")
+    values = F.create_map(F.lit("2020-12-31"), k.cast("decimal(30,4)"), F.lit("2021-12-31"), F.lit(None).cast("decimal(30,4)"), F.lit("2021"), k.cast("decimal(30,4)"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("company_slug"), F.lit("income").alias("statement"), F.when(k % 10 != 0, k.cast("string")).alias("canonical_name"), values.alias("values_by_period_end"), F.lit(12).alias("period_months"), F.lit("EUR").alias("currency"), F.lit("units").alias("unit"), F.lit("s").alias("source_sha256"), F.lit(2021).alias("source_fiscal_year"), k.alias("row_idx"))
+    return X.to_facts(rows).select(F.col("canonical_name").cast("long").alias("row_idx"), F.col("period_end").cast("string").alias("period_end"), F.col("value").cast("long").alias("value"), "is_restated")

@@ -147,3 +147,39 @@ def script_shells(spark, sf_dir):
 def url_candidates(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select(F.lit("s").alias("source_name"), "url", F.col("page_id").alias("ord"))
     return C.url_candidates(p.where("ord % 1000000 < 50"), p.where("ord % 1000000 >= 50")).select("url", "ord")
+
+
+@query("""WITH q AS (SELECT unnest(['customer#000000012', ' 0001 ', 'nobody', 'MACHINERY']) AS needle),
+  h AS (SELECT needle, c_custkey, row_number() OVER (PARTITION BY needle ORDER BY c_custkey) AS k FROM q JOIN customer ON lower(c_mktsegment) = lower(trim(needle)) OR contains(lower(c_name), lower(trim(needle))))
+  SELECT needle, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS cik FROM h WHERE k = 1""")
+def cik_lookup(spark, sf_dir):
+    needles = spark.createDataFrame([("customer#000000012",), (" 0001 ",), ("nobody",), ("MACHINERY",)], "needle string")
+    register = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cik"), F.col("c_mktsegment").alias("ticker"), F.col("c_name").alias("title"), F.col("c_custkey").alias("ord"))
+    return C.cik_lookup(needles, register).select("needle", "cik")
+
+
+@query("SELECT c_custkey, CASE WHEN e AND f = 0 THEN 'failed' WHEN d THEN CASE WHEN e THEN 'partial' ELSE 'ok' END WHEN x = 0 AND NOT e THEN 'ok' WHEN g = 0 THEN 'failed' ELSE 'partial' END AS status FROM (SELECT c_custkey, c_custkey % 2 = 0 AS d, c_custkey % 3 AS f, c_custkey % 4 AS g, c_custkey % 5 AS x, c_custkey % 7 = 0 AS e FROM customer)")
+def scrape_status(spark, sf_dir):
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select("c_custkey", L.scrape_status(k % 2 == 0, k % 3, k % 4, k % 5, k % 7 == 0).alias("status"))
+
+
+@query("SELECT url, arg_min(strategy, ord) AS strategy FROM (SELECT o_custkey AS url, o_orderpriority AS strategy, o_orderkey AS ord, 200 + (o_orderkey % 3) * 150 AS status FROM orders) WHERE status < 400 GROUP BY 1")
+def fetch_cascade(spark, sf_dir):
+    tries = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("url"), F.col("o_orderpriority").alias("strategy"), F.col("o_orderkey").alias("strategy_ord"), (200 + F.col("o_orderkey") % 3 * 150).alias("status"))
+    return C.fetch_cascade(tries).select("url", "strategy")
+
+
+@query("SELECT conv_id, string_agg(role, ',' ORDER BY first) AS urls FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY 1, 2) GROUP BY 1")
+def appended_urls(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("r"))
+    return turns.select("conv_id", F.array_join(C.appended_urls(F.slice("r", 1, 1), F.slice("r", 1, 1000)), ",").alias("urls"))
+
+
+@query("""WITH c AS (SELECT s_suppkey, s_name, s_acctbal FROM supplier) SELECT s_suppkey AS slug, round(s_acctbal * CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_suppkey % 4 END * 1e6, 2) AS market_cap, CAST(s_suppkey % 4 AS DOUBLE) AS shares FROM c WHERE s_suppkey % 10 <> 3""")
+def market_records(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    companies = s.select(k.alias("slug"), F.when(k % 10 != 3, F.col("s_name")).alias("ticker"), F.lit(None).cast("string").alias("market_ticker"), F.when(k % 4 != 0, (k % 4).cast("double")).alias("shares_outstanding_m"))
+    quotes = s.select(F.col("s_name").alias("ticker"), F.col("s_acctbal").alias("price"), F.lit("EUR").alias("currency"), F.lit(None).cast("double").alias("previous_close"), F.array(F.lit(1.0)).alias("sparkline"))
+    return M.market_records(quotes, companies, F.lit(0)).select("slug", F.round("market_cap", 2).alias("market_cap"), F.col("shares_outstanding_m").alias("shares"))

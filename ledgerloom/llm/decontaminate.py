@@ -1,14 +1,15 @@
 """Benchmark decontamination: every training passage queries an index of the test items; what scores high is verified.
 
-The test items (few; their size is checked, and larger sets are taken in blocks) are put into a BM25 inverted index whose
-items are grouped into blocks; a term knows its greatest impact in each block. Every passage of every document, overlapping windows of
-words, is a query. As in block-max WAND, a block is opened only if the greatest impacts of the passage's terms
-in it could reach the smallest threshold among its items, and an item of an open block is scored only if its own terms could reach its threshold; both bounds
-are exact, so all items at or above their threshold are retrieved. The terms' postings are scanned in order of
-impact: first those without which no item of the block can reach its threshold.
+The test items (few; their size is checked, and larger sets are taken in blocks) are put into a BM25 inverted index
+whose items are grouped into blocks; a term knows its greatest impact in each block. An item's threshold is the
+smallest score that a passage can have which verification would accept. Every passage of every document is a query.
+As in block-max WAND, a block is opened only if the greatest impacts of the passage's terms in it could reach a
+threshold, and its items are scored only then; the bound is exact, so all items above their threshold are
+retrieved. Passages are tried from the whole document down, in overlapping halves: what a document's terms
+can't reach, none of its passages can.
 
 What is retrieved is verified: enough of the five-word shingles of the item's question, and of its answer, must occur
-in the document's passage.
+in the passage.
 
 Edge cases: null or empty texts match nothing; an item of fewer than five words counts as one shingle of all its
 words; an item without words is left out; rows and items that repeat are matched each; empty tables give no
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,9 +48,9 @@ def shingles(words: list[str], size: int) -> set[tuple[str, ...]]:
 
 
 class Index:
-    """BM25 postings of test items, in blocks, with each item's threshold: a share of the score that the item gets as its own query."""
+    """BM25 postings of test items, in blocks of items that are neighbours by id."""
 
-    def __init__(self, items: list[tuple[int, str, str | None]], share: float, shingle: int, block: int = 8):
+    def __init__(self, items: list[tuple[int, str, str | None]], overlap: float, shingle: int, block: int = 2):
         self.size, self.block = shingle, block
         kept = []
         for item_id, text, answer in items:
@@ -63,85 +64,54 @@ class Index:
         self.parts = [(shingles(q, shingle), shingles(a, shingle)) for _, q, a in kept]
         counts = [Counter(q + a) for _, q, a in kept]
         lengths = np.array([sum(c.values()) for c in counts], float)
-        self.longest = int(lengths.max(initial=0))
+        self.longest = max(16, int(lengths.max(initial=0)))
         df = Counter(t for c in counts for t in c)
         self.term = {t: k for k, t in enumerate(sorted(df))}
         n, mean = len(kept), lengths.mean() if len(kept) else 1.0
-        postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        self.threshold = np.zeros(n)
         self.own: list[dict[int, float]] = []
+        self.threshold = np.zeros(n)
+        best: list[dict[int, float]] = [{} for _ in self.term]
         for i, c in enumerate(counts):
             own = {self.term[t]: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * lengths[i] / mean)) for t, f in c.items()}
             self.own.append(own)
-            self.threshold[i] = share * sum(own.values())
+            # Each word that a passage lacks takes a shingle at least with it: so many may lack, of the weightiest.
+            lacking = sum(int((1 - overlap) * len(part) + 1e-9) for part in self.parts[i])
+            self.threshold[i] = max(1e-6, sum(sorted(own.values())[: max(0, len(own) - lacking)]))
             for t, impact in own.items():
-                postings[t].append((i, impact))
-        # The terms of an item without which it can't reach its threshold, and what all its others could add.
-        self.rest = np.zeros(n)
-        needed: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for i, own in enumerate(self.own):
-            for t, impact in sorted(own.items(), key=lambda x: (x[1], x[0])):
-                if self.rest[i] + impact < self.threshold[i]:
-                    self.rest[i] += impact
-                else:
-                    needed[t].append((i, impact))
-        # Block maxima of the needed terms, relative to what an item of the block still lacks: CSR by term.
-        at, block_of, gain = [0], [], []
-        for t in range(len(self.term)):
-            best: dict[int, float] = {}
-            for i, impact in needed[t]:
-                best[i // block] = max(best.get(i // block, 0.0), impact / (self.threshold[i] - self.rest[i]))
-            block_of += list(best)
-            gain += list(best.values())
-            at.append(len(block_of))
-        self.at, self.block_of, self.gain = np.array(at, np.int64), np.array(block_of, np.int64), np.array(gain, float)
-
-    def open_blocks(self, terms: np.ndarray, starts: np.ndarray, width: int) -> list[tuple[int, int]]:
-        """(passage, block) whose upper bound reaches a threshold; ``terms`` are a document's term numbers, -1 for unknown words."""
-        places = np.flatnonzero(terms >= 0)
-        found = terms[places]
-        n = self.at[found + 1] - self.at[found]
-        if not n.sum():
-            return []
-        flat = np.repeat(self.at[found] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        place, term, block, gain = np.repeat(places, n), np.repeat(found, n), self.block_of[flat], self.gain[flat]
-        # Each word lies in the passages that begin at most ``width`` words before it; a term counts once in each.
-        stride = int(starts[1] - starts[0]) if len(starts) > 1 else width
-        blocks = int(self.block_of.max()) + 1
-        pairs = []
-        for back in range(-(-width // stride)):
-            passage = place // stride - back
-            ok = (passage >= 0) & (place < passage * stride + width) & (passage < len(starts))
-            pairs.append(np.stack([passage[ok] * blocks + block[ok], term[ok], np.flatnonzero(ok)]))
-        key, term, source = np.concatenate(pairs, 1)
-        order = np.lexsort((term, key))
-        key, term, source = key[order], term[order], source[order]
-        first = np.ones(len(key), bool)
-        first[1:] = (key[1:] != key[:-1]) | (term[1:] != term[:-1])
-        key, source = key[first], source[first]
-        opens, inverse = np.unique(key, return_inverse=True)
-        bound = np.bincount(inverse, gain[source])
-        return [divmod(int(k), blocks) for k in opens[bound >= 1 - 1e-9]]
+                best[t][i // block] = max(best[t].get(i // block, 0.0), impact / self.threshold[i])
+        # Greatest impact of each term in each block, as a share of the threshold: CSR by term.
+        self.at = np.cumsum([0, *map(len, best)])
+        self.block_of = np.array([b for row in best for b in row], np.int64)
+        self.gain = np.array([g for row in best for g in row.values()], float)
+
+    def open_blocks(self, words: list[str]) -> tuple[set[int], list[int]]:
+        """The known terms among ``words`` and the blocks that they could reach."""
+        terms = {self.term[w] for w in set(words) if w in self.term}
+        found = np.fromiter(terms, np.int64, len(terms))
+        begin, n = self.at[found], self.at[found + 1] - self.at[found]
+        flat = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        bound = np.bincount(self.block_of[flat], self.gain[flat]) if len(flat) else np.empty(0)
+        return terms, np.flatnonzero(bound >= 1 - 1e-9).tolist()
 
     def query(self, words: list[str]) -> Iterator[tuple[int, float, float, float]]:
-        """(item, score, question overlap, answer overlap) of every passage of a document that reaches an item's threshold."""
-        if not words or not self.ids:
-            return
-        terms = np.fromiter((self.term.get(w, -1) for w in words), np.int64, len(words))
-        stride = max(self.longest, 16)
-        width = 2 * stride
-        starts = np.arange(0, max(1, len(words) - width + stride), stride)
-        for passage, block in self.open_blocks(terms, starts, width):
-            begin = int(starts[passage])
-            present = set(terms[begin : begin + width].tolist())
+        """(item, score, question overlap, answer overlap) of every passage of a document that reaches an item's threshold.
+
+        A passage has at most four times the longest item's words; any words no longer than that item lie in one whole passage.
+        """
+        ranges = [(0, len(words))] if words and self.ids else []
+        while ranges:
+            begin, end = ranges.pop()
+            terms, blocks = self.open_blocks(words[begin:end])
+            if blocks and end - begin > 4 * self.longest:
+                middle = (begin + end) // 2
+                ranges += [(begin, middle + self.longest), (middle, end)]
+                continue
             own_shingles = None
-            for i in range(block * self.block, min(len(self.ids), (block + 1) * self.block)):
-                score = sum(impact for t, impact in self.own[i].items() if t in present)
+            for i in (i for block in blocks for i in range(block * self.block, min(len(self.ids), (block + 1) * self.block))):
+                score = sum(impact for t, impact in self.own[i].items() if t in terms)
                 if score >= self.threshold[i] - 1e-9:
-                    if own_shingles is None:
-                        passage_words = words[begin : begin + width]
-                        own_shingles = shingles(passage_words, self.size)
-                    yield i, score, *(self.overlap(part, own_shingles, passage_words) for part in self.parts[i])
+                    own_shingles = shingles(words[begin:end], self.size) if own_shingles is None else own_shingles
+                    yield i, score, *(self.overlap(part, own_shingles, words[begin:end]) for part in self.parts[i])
 
     def overlap(self, part: set[tuple[str, ...]], passage: set[tuple[str, ...]], words: list[str]) -> float:
         """The share of a part's shingles in the passage; of a part shorter than a shingle, whether it occurs; 1 without the part."""
@@ -175,11 +145,11 @@ def matches(words: list[str], index: Index, overlap: float) -> dict[int, tuple[f
     return best
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, share: float = 0.6, overlap: float = 0.8, shingle: int = 5) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, *, overlap: float = 0.8, shingle: int = 5) -> DataFrame:
     """``MATCH_SCHEMA``: one row for each document and test item that it holds."""
     found = None
     for block in item_blocks(items):
-        index = docs.sparkSession.sparkContext.broadcast(Index(block, share, shingle))  # at most INDEX_CHARS of text
+        index = docs.sparkSession.sparkContext.broadcast(Index(block, overlap, shingle))  # at most INDEX_CHARS of text
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = index.value
@@ -193,10 +163,10 @@ def leaks(docs: DataFrame, items: DataFrame, *, share: float = 0.6, overlap: flo
     return found
 
 
-def remove_leaks(docs: DataFrame, items: DataFrame, *, share: float = 0.6, overlap: float = 0.8, shingle: int = 5) -> DataFrame:
+def remove_leaks(docs: DataFrame, items: DataFrame, *, overlap: float = 0.8, shingle: int = 5) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no test item."""
     for block in item_blocks(items):
-        index = docs.sparkSession.sparkContext.broadcast(Index(block, share, shingle))
+        index = docs.sparkSession.sparkContext.broadcast(Index(block, overlap, shingle))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

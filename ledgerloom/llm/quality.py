@@ -78,11 +78,12 @@ def votes() -> dict[str, Column]:
     return {name: F.when(F.expr(good), F.lit(1)).when(F.expr(bad), F.lit(-1)).otherwise(F.lit(0)).cast("byte") for name, (good, bad) in RULES.items()}
 
 
-def fit_accuracies(patterns: DataFrame, rules: list[str], *, rounds: int = 12, prior: float = 0.8, smoothing: float = 1.0) -> dict:
+def fit_accuracies(patterns: DataFrame, rules: list[str], *, rounds: int = 12, prior: float = 0.8, smoothing: float = 1.0, most_errors: float = 0.01) -> dict:
     """Expectation-maximisation over ``patterns`` (a column for each rule, and ``n``).
 
     Each round is one aggregation of the small pattern table; only its sums come to the driver. Smoothing keeps rules that never
-    vote one way from certainties.
+    vote one way from certainties. A rule is taken to condemn at most ``most_errors`` of the good documents: without that bound,
+    a kind of bad documents that few rules know would count as a variety of the good ones.
     """
     start = {1: {1: 0.4, -1: 0.01, 0: 0.59}, -1: {1: 0.3, -1: 0.3, 0: 0.4}}
     state = {"prior": prior, "votes": {r: {c: dict(v) for c, v in start.items()} for r in rules}}
@@ -94,6 +95,10 @@ def fit_accuracies(patterns: DataFrame, rules: list[str], *, rounds: int = 12, p
             return state
         share = (got["good"] + smoothing) / (got["good"] + got["bad"] + 2 * smoothing)
         tables = {r: {c: {v: (got[f"{r}|{v}|{side}"] + smoothing) / (got[side] + 3 * smoothing) for v in (1, 0, -1)} for c, side in ((1, "good"), (-1, "bad"))} for r in rules}
+        for by_class in tables.values():
+            excess = max(0.0, by_class[1][-1] - most_errors)
+            by_class[1][-1] -= excess
+            by_class[1][0] += excess
         state = {"prior": share, "votes": tables}
     return state
 

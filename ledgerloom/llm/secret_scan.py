@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import saved, table, whole_text
+from ledgerloom.llm.common import map_batches, saved, table, whole_text
 
 # The patterns of the contract and the order of kinds.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
@@ -130,9 +130,10 @@ def battery(token: str, alpha: float = 0.001) -> float | None:
     mean = n * (n - 1) / 2 * AGREE_2
     variance = mean * (1 - AGREE_2) + n * (n - 1) * (n - 2) * (AGREE_3 - AGREE_2**2)
     few_repeats = above((mean - equal - 0.5) / math.sqrt(variance))
-    classes = [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in token]
+    # Separators stand between words: they don't count as a class.
+    classes = [0 if c.isdigit() else 1 if c.islower() else 2 for c in token if c.isalnum()]
     changes = sum(x != y for x, y in zip(classes, classes[1:], strict=False))
-    return fisher([few_repeats, binomial_at_least(changes, n - 1, CLASS_CHANGE)])
+    return fisher([few_repeats, binomial_at_least(changes, max(1, len(classes) - 1), CLASS_CHANGE)])
 
 
 def find(text: str) -> tuple[Base, Candidates]:
@@ -163,7 +164,7 @@ def scan(docs: DataFrame) -> DataFrame:
             found = [find(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b for b, _ in found], base_type), pa.array([c for _, c in found], candidate_type)], names=["doc_id", "base", "candidates"])
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, SCAN_SCHEMA)
+    return map_batches(docs.select("doc_id", whole_text().alias("text")), run, SCAN_SCHEMA)
 
 
 def discoveries(scanned: DataFrame, rate: float = 0.01) -> dict[int, int]:
@@ -224,7 +225,7 @@ def redact(docs: DataFrame, rate: float = 0.01, mark: str = "[SECRET]") -> DataF
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(at).type) if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return docs.mapInArrow(clean, docs.schema)
+    return map_batches(docs, clean, docs.schema)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

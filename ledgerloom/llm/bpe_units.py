@@ -13,7 +13,7 @@ import re
 from array import array
 from collections.abc import Callable
 
-from ledgerloom.llm.common import tokenizer_path
+from ledgerloom.llm.common import tokenizer_path, worker_object
 
 # Unicode White_Space; letters and numbers below U+02B0; endings that the GPT-2 pattern cuts off.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -44,7 +44,7 @@ def load_tokenizer(name: str):
 class PieceCache(dict):
     """piece -> value, with bounded memory: the first pieces stay, the others live in a part that is emptied when full."""
 
-    def __init__(self, make: Callable[[str], bytes], stay: int = 450_000, recent: int = 250_000, longest: int = 64):
+    def __init__(self, make: Callable[[str], bytes], stay: int = 300_000, recent: int = 150_000, longest: int = 64):
         super().__init__()
         self.make, self.stay, self.most_recent, self.longest, self.recent = make, stay, recent, longest, {}
 
@@ -121,11 +121,6 @@ class Encoder:
         return self.cache.join(text.lower().split() if self.by_word else UNIT.findall(text))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(name: str) -> Encoder:
     """One for each Python worker."""
-    if name not in _encoders:
-        _encoders[name] = Encoder(name)
-    return _encoders[name]
+    return worker_object(("encoder", name), lambda: Encoder(name))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +43,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes and rows of a batch that goes to a Python worker: a few megabytes keep both sides small, and long texts come in few.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
+def map_batches(df: DataFrame, run: Callable, schema: object) -> DataFrame:
+    """``df.mapInArrow`` with small batches, by settings of the session."""
+    for key, value in BATCH.items():
+        df.sparkSession.conf.set(key, value)
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,3 +70,15 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+T = TypeVar("T")
+_kept: dict[Hashable, object] = {}
+
+
+def worker_object(key: Hashable, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task: only the last such object, so that stages don't pile up their caches."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import table, whole_text
+from ledgerloom.llm.common import map_batches, table, whole_text
 
 K1, B = 1.2, 0.75
 MATCH_SCHEMA = "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double"
@@ -158,7 +158,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, overlap: float = 0.8, shingle: i
                 columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), *[pa.float64()] * 3), strict=True)], names=["doc_id", "item_id", "bm25", "question_overlap", "answer_overlap"])
 
-        part = docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, MATCH_SCHEMA)
+        part = map_batches(docs.select("doc_id", whole_text().alias("text")), run, MATCH_SCHEMA)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -173,7 +173,7 @@ def remove_leaks(docs: DataFrame, items: DataFrame, *, overlap: float = 0.8, shi
                 keep = [not matches(words_of(t.as_py() or ""), index.value, overlap) for t in batch.column(batch.schema.get_field_index("text"))]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_batches(docs, run, docs.schema)
     return docs
 
 

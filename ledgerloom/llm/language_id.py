@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import map_batches, table, worker_object
 
 UNDETERMINED = "und"
 PREDICTION_SCHEMA = "doc_id long, lang_pred string, score double, margin double, rejected boolean"
@@ -91,7 +91,7 @@ class Classifier:
     def predict(self, text: str | None, narrow: float) -> tuple[str, float, float, bool]:
         """Language, score, relative margin, rejected."""
         cut = letters(text) if text else ""
-        if not self.langs or not cut.strip():
+        if not self.langs or not any(map(str.isalpha, cut)):
             return UNDETERMINED, 0.0, 0.0, True
         sizes = self.sizes(cut)
         best = min(range(len(sizes)), key=sizes.__getitem__)
@@ -108,15 +108,8 @@ def margin(sizes: list[float]) -> float:
     return (second - first) / second
 
 
-_classifiers: dict[int, Classifier] = {}
-
-
 def classifier(model: Model) -> Classifier:
-    key = hash(tuple(model.items()))
-    if key not in _classifiers:
-        _classifiers.clear()
-        _classifiers[key] = Classifier(model)
-    return _classifiers[key]
+    return worker_object(("classifier", hash(tuple(model.items()))), lambda: Classifier(model))
 
 
 def identify(docs: DataFrame, model: Model, narrow: float = 0.004) -> DataFrame:
@@ -130,7 +123,7 @@ def identify(docs: DataFrame, model: Model, narrow: float = 0.004) -> DataFrame:
             columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True))], names=["doc_id", "lang_pred", "score", "margin", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PREDICTION_SCHEMA)
+    return map_batches(docs.select("doc_id", "text"), run, PREDICTION_SCHEMA)
 
 
 def keep_identified(docs: DataFrame, model: Model, narrow: float = 0.004) -> DataFrame:
@@ -143,7 +136,7 @@ def keep_identified(docs: DataFrame, model: Model, narrow: float = 0.004) -> Dat
             keep = [not own.predict(t.as_py(), narrow)[3] for t in batch.column(batch.schema.get_field_index("text"))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:

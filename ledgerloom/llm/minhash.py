@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import saved, table, whole_text
+from ledgerloom.llm.common import map_batches, saved, table, whole_text
 from ledgerloom.llm.graph import components
 
 SIGNATURE_SCHEMA = "doc_id long, n_shingles long, set_id binary, bands array<long>"
@@ -106,7 +106,7 @@ def signatures(docs: DataFrame, words_each: int, permutations: int = 80, seed: i
                 keys = iter(band_keys(extremes(full, factors)).tolist()) if full else iter(())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_id", "bands"])
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(sign, SIGNATURE_SCHEMA)
+    return map_batches(docs.select("doc_id", whole_text().alias("text")), sign, SIGNATURE_SCHEMA)
 
 
 def shingle_sets(docs: DataFrame, words_each: int) -> DataFrame:
@@ -120,7 +120,7 @@ def shingle_sets(docs: DataFrame, words_each: int) -> DataFrame:
                 offsets = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))], names=["id", "n", "hashes"])
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(make, SET_SCHEMA)
+    return map_batches(docs.select("doc_id", whole_text().alias("text")), make, SET_SCHEMA)
 
 
 def similar(n_a: Column, n_b: Column, common: Column, percent: int) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.bpe_units import encoder
-from ledgerloom.llm.common import saved, table, whole_text
+from ledgerloom.llm.common import map_batches, saved, table, whole_text
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
@@ -43,7 +43,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(cut, PIECE_SCHEMA + ", ids binary" * with_ids)
+    return map_batches(docs.select("doc_id", whole_text().alias("text")), cut, PIECE_SCHEMA + ", ids binary" * with_ids)
 
 
 def enumerate_patterns(present: np.ndarray, capacity: int, grid: int = 32, slack: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +197,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
             each = plan["each"][at]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(plan["sequence"][at] + k // each), pa.array(plan["offset"][at] + k % each * length)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.join(first, ["length", "part"]).select(*names, (F.col("first_rank") + F.col("rank")).alias("rank")).mapInArrow(place, PLACED_SCHEMA)
+    return map_batches(ranked.join(first, ["length", "part"]).select(*names, (F.col("first_rank") + F.col("rank")).alias("rank")), place, PLACED_SCHEMA)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, capacity: int = 4096) -> DataFrame:

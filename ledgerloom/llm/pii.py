@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import saved, table
+from ledgerloom.llm.common import map_batches, saved, table
 
 TYPES = ("email", "phone", "card", "ip", "ssn", "iban", "name")
 ENTITY_SCHEMA = "kind string, canonical string"
@@ -65,9 +65,13 @@ def iban_holds(iban: str) -> bool:
 def detect(text: str) -> list[Span]:
     """(start, end, type, canonical form) of entities that don't overlap: by type in the order of ``TYPES``, then by place."""
     found: list[Span] = []
+    taken = bytearray()
 
     def add(kind: str, start: int, end: int, canonical: str) -> None:
-        if all(end <= s or start >= e for s, e, _, _ in found):
+        if not taken:
+            taken.extend(bytes(len(text)))
+        if taken.find(1, start, end) < 0:
+            taken[start:end] = b"\1" * (end - start)
             found.append((start, end, kind, canonical))
 
     if "@" in text:
@@ -172,9 +176,11 @@ def written(kind: str, canonical: str, mention: str) -> str:
 
 
 def replaced(text: str, spans: list[Span], key: bytes, attempts: dict[tuple[str, str], int]) -> str:
-    for start, end, kind, canonical in reversed(spans):
-        text = text[:start] + written(kind, surrogate(key, kind, canonical, attempts.get((kind, canonical), 0)), text[start:end]) + text[end:]
-    return text
+    out, at = [], 0
+    for start, end, kind, canonical in spans:
+        out += [text[at:start], written(kind, surrogate(key, kind, canonical, attempts.get((kind, canonical), 0)), text[start:end])]
+        at = end
+    return "".join(out) + text[at:]
 
 
 def entities(docs: DataFrame) -> DataFrame:
@@ -185,7 +191,7 @@ def entities(docs: DataFrame) -> DataFrame:
             rows = sorted({(k, c, d) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for _, _, k, c in detect(t)}, key=str)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["kind", "canonical", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, ENTITY_SCHEMA + ", doc_id long")
+    return map_batches(docs.select("doc_id", "text"), run, ENTITY_SCHEMA + ", doc_id long")
 
 
 def drawn(found: DataFrame, key: bytes) -> DataFrame:
@@ -196,7 +202,7 @@ def drawn(found: DataFrame, key: bytes) -> DataFrame:
             made = [surrogate(key, k, c, a) for k, c, a in zip(*(x.to_pylist() for x in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=["kind", "canonical", "attempt", "surrogate"])
 
-    return found.select("kind", "canonical", "attempt").mapInArrow(run, ENTITY_SCHEMA + ", attempt int, surrogate string")
+    return map_batches(found.select("kind", "canonical", "attempt"), run, ENTITY_SCHEMA + ", attempt int, surrogate string")
 
 
 def assignment(found: DataFrame, key: bytes) -> DataFrame:
@@ -236,7 +242,7 @@ def surrogate_texts(docs: DataFrame, key: bytes) -> DataFrame:
                 counts.append([sum(s[2] == t for s in spans) for t in TYPES])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(len(TYPES)))], names=["doc_id", "text", *(f"n_{t}" for t in TYPES)])
 
-    return rows.mapInArrow(run, TEXT_SCHEMA)
+    return map_batches(rows, run, TEXT_SCHEMA)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str, key: bytes = b"change this key") -> DataFrame:

@@ -147,8 +147,11 @@ def find(text: str) -> tuple[Base, Candidates]:
     candidates: Candidates = []
     if max(map(len, text.split()), default=0) >= SHORTEST:
         base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+        taken = bytearray(len(text) if base else 0)
+        for s, _, e in base:
+            taken[s:e] = b"\1" * (e - s)
         for m in CANDIDATE.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, _, e in base) and (p := battery(m[0])) is not None:
+            if taken.find(1, *m.span()) < 0 and (p := battery(m[0])) is not None:
                 candidates.append((m.start(), m.end(), min(12, int(2 * math.log2(len(m[0]) / SHORTEST))), min(BINS - 1, int(-math.log10(max(p, 1e-300)) / BIN))))
     return sorted(base), candidates
 
@@ -208,9 +211,9 @@ def redact(docs: DataFrame, rate: float = 0.01, mark: str = "[SECRET]") -> DataF
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
+            column = batch.schema.get_field_index("text")
             texts = []
-            for text in (t.as_py() for t in batch.column(at)):
+            for text in (t.as_py() for t in batch.column(column)):
                 if text:
                     base, candidates = find(text)
                     spans = sorted([(s, e) for s, _, e in base] + [(s, e) for s, e, k, b in candidates if b >= cuts.get(k, BINS)])
@@ -220,10 +223,13 @@ def redact(docs: DataFrame, rate: float = 0.01, mark: str = "[SECRET]") -> DataF
                             merged[-1][1] = max(e, merged[-1][1])
                         else:
                             merged.append([s, e])
-                    for s, e in reversed(merged):
-                        text = text[:s] + mark + text[e:]
+                    at, parts = 0, []
+                    for s, e in merged:
+                        parts += [text[at:s], mark]
+                        at = e
+                    text = "".join(parts) + text[at:]
                 texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(at).type) if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(column).type) if k == column else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
 
     return map_batches(docs, clean, docs.schema)
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import saved, shared_path, table, whole_text
+from ledgerloom.llm.common import map_batches, saved, shared_path, table, whole_text
 from ledgerloom.llm.minhash import mixed
 
 TEXT_SCHEMA = "chunk int, key binary, text binary, copies long"
@@ -227,7 +227,7 @@ def distinct_texts(docs: DataFrame, chunks: int) -> DataFrame:
             texts = pa.array([t.as_buffer().to_pybytes() if fresh else None for t, fresh in zip(batch.column(1), new, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(0), texts, pa.array(np.ones(len(keys), np.int64))], names=["chunk", "key", "text", "copies"])
 
-    return docs.select(text_key().alias("key"), whole_text().alias("text")).mapInArrow(once, TEXT_SCHEMA)
+    return map_batches(docs.select(text_key().alias("key"), whole_text().alias("text")), once, TEXT_SCHEMA)
 
 
 def text_key():

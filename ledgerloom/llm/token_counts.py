@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from ledgerloom.llm import bpe_units as U
-from ledgerloom.llm.common import table, whole_text
+from ledgerloom.llm.common import map_batches, table, whole_text, worker_object
 
 PREFIX_SCHEMA = "doc_id long, n_bytes long, n_tokens long, prefix_deltas binary"
 
@@ -55,7 +55,7 @@ class PrefixCounter:
         self.pairs: dict[int, bool] = {}
         self.heads: dict[str, tuple[list[int], list[int]]] = {}
         self.shared = (8, 5)
-        self.cache = U.PieceCache(self.unit, 350_000, 200_000)
+        self.cache = U.PieceCache(self.unit, 300_000, 150_000)
 
     def library_count(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -64,7 +64,7 @@ class PrefixCounter:
         """Whether the model encodes the two tokens' bytes as these two tokens."""
         known = self.pairs.get(key := first << 20 | second)
         if known is None:
-            if len(self.pairs) >= 500_000:
+            if len(self.pairs) >= 300_000:
                 self.pairs.clear()
             both = self.tokenizer.id_to_token(first) + self.tokenizer.id_to_token(second)
             known = self.pairs[key] = [t.id for t in self.tokenizer.model.tokenize(both)] == [first, second]
@@ -144,13 +144,8 @@ class PrefixCounter:
         return int(np.frombuffer(deltas, np.int8).sum(dtype=np.int64))
 
 
-_counters: dict[str, PrefixCounter] = {}
-
-
 def prefix_counter(name: str) -> PrefixCounter:
-    if name not in _counters:
-        _counters[name] = PrefixCounter(name)
-    return _counters[name]
+    return worker_object(("prefix counter", name), lambda: PrefixCounter(name))
 
 
 def prefix_token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
@@ -163,7 +158,7 @@ def prefix_token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -
             deltas = [counter.deltas(t.as_py()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.as_buffer().size for t in texts], pa.int64()), pa.array([counter.total(d) for d in deltas], pa.int64()), pa.array(deltas, pa.binary())], names=["doc_id", "n_bytes", "n_tokens", "prefix_deltas"])
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(count, PREFIX_SCHEMA)
+    return map_batches(docs.select("doc_id", whole_text().alias("text")), count, PREFIX_SCHEMA)
 
 
 @F.pandas_udf(LongType())

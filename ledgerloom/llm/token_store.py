@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.bpe_units import encoder
-from ledgerloom.llm.common import saved, shared_path, whole_text
+from ledgerloom.llm.common import map_batches, saved, shared_path, whole_text
 
 STORE_SCHEMA = "doc_id long, tokens array<int>"
 
@@ -38,7 +38,7 @@ def encode_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_
             ids = pa.array(np.frombuffer(b"".join(blobs), dtype="<i4"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), ids)], names=["doc_id", "tokens"])
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(encode, STORE_SCHEMA)
+    return map_batches(docs.select("doc_id", whole_text().alias("text")), encode, STORE_SCHEMA)
 
 
 def write_token_store(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, *, stripe_mb: int = 64, rows_per_index: int = 1000, false_positives: float = 0.01) -> None:
@@ -75,7 +75,7 @@ def token_offsets(store: DataFrame) -> DataFrame:
             crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64()), batch.column(2)], names=["doc_id", "n_tokens", "ids_crc32", "file"])
 
-    docs = saved(store.select("doc_id", "tokens", "file").mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long, file string"), "token-digests")
+    docs = saved(map_batches(store.select("doc_id", "tokens", "file"), digest, "doc_id long, n_tokens long, ids_crc32 long, file string"), "token-digests")
     # Spark numbers files in the order of their ranges, so that their names sort as their contents do.
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     files = docs.groupBy("file").agg(F.sum("n_tokens").alias("ids")).select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))

@@ -23,7 +23,10 @@ def apply_batch(batch: DataFrame, store: str, cells: str) -> None:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         old = None
-    merged = upsert(old, batch).checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else upsert(old, batch).persist()
+    # Written before the store's partitions are replaced: what is read from must not be what is written to.
+    staging = f"{store.rstrip('/')}_staging"
+    upsert(old, batch).write.mode("overwrite").parquet(staging)
+    merged = spark.read.schema(schemas.FACTS).parquet(staging)
     write_facts(merged, store)
     write_facts(consolidated(merged), cells)
 

@@ -98,7 +98,7 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_word = self.tokenizer.normalizer is not None
         self.odd = UNLISTED_WORD if self.by_word else UNLISTED
-        self.cache = PieceCache(self.word if self.by_word else self.unit)
+        self.cache = PieceCache(self.word) if self.by_word else PieceCache(self.unit, 500_000, 300_000)
 
     def ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()

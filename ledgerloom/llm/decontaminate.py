@@ -121,19 +121,19 @@ class Index:
         return len(part & (passage if size == self.size else shingles(words, size))) / len(part)
 
 
-def item_blocks(items: DataFrame) -> list[list[tuple[int, str, str | None]]]:
-    """The test items, in blocks of at most ``INDEX_CHARS`` characters. ``answer`` is used if the table has it."""
+def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str, str | None]]]:
+    """The test items in blocks of about ``INDEX_CHARS`` characters, one (maybe empty) at least. ``answer`` is used if the table has it."""
     answer = F.col("answer") if "answer" in items.columns else F.lit(None).cast("string")
     own = items.where("item_id is not null").select("item_id", whole_text().alias("text"), answer.alias("answer"))
-    blocks: list[list[tuple[int, str, str | None]]] = [[]]
+    block: list[tuple[int, str, str | None]] = []
     chars = 0
     for row in own.toLocalIterator():
         if chars > INDEX_CHARS:
-            blocks.append([])
-            chars = 0
-        blocks[-1].append((row.item_id, row.text, row.answer))
-        chars += len(row.text)
-    return blocks
+            yield block
+            block, chars = [], 0
+        block.append((row.item_id, row.text, row.answer))
+        chars += len(row.text) + len(row.answer or "")
+    yield block
 
 
 def matches(words: list[str], index: Index, overlap: float) -> dict[int, tuple[float, float, float]]:

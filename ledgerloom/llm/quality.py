@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import saved, table, whole_text
 
 SPACE = r"[ \t-\r]"
+SPACE_CHARS = " \t\n\x0b\f\r"
 WINDOW = 8
 #: Votes: name -> (good if, bad if) over the features; neither is an abstention. Most rules only know bad signs.
 RULES: dict[str, tuple[str, str]] = {
@@ -38,7 +39,8 @@ def features(docs: DataFrame) -> DataFrame:
     """``doc_id`` and the counts that the rules look at; one narrow pass of built-in functions."""
     # inline() makes each step's arrays once: as plain columns the optimizer would put their expressions
     # into the next step's lambdas, which then split the text again for every word.
-    trimmed = F.expr(r"btrim(text, ' \t\n\u000b\f\r')")
+    # Passed as a value: SQL text has no \f, it reads the letter f.
+    trimmed = F.btrim("text", F.lit(SPACE_CHARS))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE + "+"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
     step = docs.select("doc_id", whole_text().alias("text"))

@@ -93,6 +93,15 @@ def test_quality_features(spark, sample, odd):
     assert got == collections.Counter((r.doc_id, *plain_quality(r.text)) for r in df.collect())
 
 
+def test_quality_keeps_edge_letters_and_trims_form_feeds(spark):
+    line = "for one of the many people who live off"
+    texts = ["\n".join([line] * 3), "\f" + " ".join([line] * 2) + "\f", "fff", "f x", "x f", "\f", "\x0b\f a \f\x0b", "f\ff"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.features(df).collect()}
+    assert got == {k: plain_quality(t) for k, t in enumerate(texts)}
+    assert [got[k][0] for k in range(8)] == [27, 18, 1, 2, 2, 0, 1, 2] and got[0][4] == 27
+
+
 def test_quality_verdicts(spark, nothing):
     r = random.Random(9)
     prose = lambda: " ".join(f"{r.choice(['the', 'of', 'model', 'data', 'river', 'stone', 'cloud', 'green', 'walk', 'seven'])}{'.' if k % 9 == 8 else ''}" for k in range(120))

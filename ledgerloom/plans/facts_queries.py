@@ -77,6 +77,17 @@ def ordered_rows_top(spark, sf_dir):
     return printed(numbered(rows, ["company_slug", "statement"], [F.col("display_order").asc_nulls_last(), F.col("period_end").desc_nulls_last()], "place").where("place <= 5")).select("company_slug", "statement", "canonical_name", "period_end", "place")
 
 
+@query("WITH " + CELLS_SQL + ITEMS_SQL + """ SELECT i.company_slug, i.statement, i.canonical_name, CAST(c.period_end AS VARCHAR) AS period_end,
+  row_number() OVER (PARTITION BY i.company_slug, i.statement ORDER BY i.display_order NULLS LAST, c.period_end DESC NULLS LAST) AS place
+  FROM items i LEFT JOIN cells c ON i.company_slug = c.company_slug AND i.statement = c.statement AND i.canonical_name = c.canonical_name""")
+def ordered_rows(spark, sf_dir):
+    """The place of every row, from the first to the last of its statement."""
+    rows = O.consolidated_rows(items(spark, sf_dir), cells(spark, sf_dir))
+    from ledgerloom.operators.selection import numbered
+
+    return printed(numbered(rows, ["company_slug", "statement"], [F.col("display_order").asc_nulls_last(), F.col("period_end").desc_nulls_last()], "place")).select("company_slug", "statement", "canonical_name", "period_end", "place")
+
+
 @query("WITH " + FACTS_SQL + " SELECT company_slug, statement, count(*) AS n FROM facts GROUP BY 1, 2")
 def statement_summary(spark, sf_dir):
     return O.statement_summary(filed(spark, sf_dir))
@@ -91,6 +102,15 @@ def upsert_last_wins(spark, sf_dir):
     return printed(both)
 
 
+# Every event is in one of the two inputs; an incoming row wins over an existing one, whatever its number.
+@query("WITH " + FACTS_SQL + """ SELECT company_slug, canonical_name, CAST(period_end AS VARCHAR) AS period_end,
+  coalesce(max(seq) FILTER (seq % 4 = 1), max(seq)) AS seq, coalesce(arg_max(currency, seq) FILTER (seq % 4 = 1), arg_max(currency, seq)) AS currency
+  FROM facts GROUP BY company_slug, canonical_name, period_end""")
+def upsert_merged(spark, sf_dir):
+    f = filed(spark, sf_dir).select("company_slug", "canonical_name", "period_end", "seq", "currency")
+    return printed(O.upsert(f.where("seq % 4 <> 1"), f.where("seq % 4 = 1"), ["company_slug", "canonical_name", "period_end"]))
+
+
 @query("WITH " + FACTS_SQL + """, touched AS (SELECT DISTINCT company_slug FROM facts WHERE seq % 97 = 0)
   SELECT company_slug, canonical_name, seq FROM facts WHERE seq % 2 = 0 AND company_slug NOT IN (SELECT company_slug FROM touched)
   UNION ALL SELECT company_slug, canonical_name, seq FROM facts WHERE seq % 97 = 0""")
@@ -99,6 +119,13 @@ def reset_company(spark, sf_dir):
     return O.reset_company(f.where("seq % 2 = 0"), f.where("seq % 97 = 0"))
 
 
+@query("WITH " + FACTS_SQL + """, touched AS (SELECT DISTINCT company_slug FROM facts WHERE seq % 97 = 0)
+  SELECT company_slug, canonical_name, seq FROM facts WHERE seq % 97 = 0 OR company_slug NOT IN (SELECT company_slug FROM touched)""")
+def reset_merged(spark, sf_dir):
+    f = filed(spark, sf_dir).select("company_slug", "canonical_name", "seq")
+    return O.reset_company(f.where("seq % 97 <> 0"), f.where("seq % 97 = 0"))
+
+
 @query("WITH " + CELLS_SQL + ITEMS_SQL + """, joined AS (SELECT i.company_slug, i.statement, i.canonical_name, i.display_order, c.* EXCLUDE (company_slug, statement, canonical_name)
    FROM items i LEFT JOIN cells c ON i.company_slug = c.company_slug AND i.statement = c.statement AND i.canonical_name = c.canonical_name)
   SELECT company_slug, statement, string_agg(DISTINCT CAST(period_end AS VARCHAR), ',' ORDER BY CAST(period_end AS VARCHAR) DESC) AS periods, count(DISTINCT canonical_name) AS n_rows,

@@ -47,3 +47,18 @@ def test_documents_hold_all_lines_in_order(spark):
         assert [x["display_order"] for x in lines] == list(range(len(lines)))
         names = [x["canonical_name"] for x in lines]
         assert names.index("Signup") == 0 and lines[0]["is_header"] and {"Total signup", "Total traffic", "error"} <= set(names)
+
+
+def test_store_queries_see_every_event(spark, monkeypatch):
+    from ledgerloom.plans import facts_queries as Q
+
+    seen = {}
+    for name in ("upsert", "reset_company"):
+        monkeypatch.setattr(Q.O, name, lambda old, new, *a, f=getattr(Q.O, name), name=name: seen.update({name: (old, new)}) or f(old, new, *a))
+    QUERIES["upsert_merged"](spark, DATA), QUERIES["reset_merged"](spark, DATA)
+    events = sorted(r.event_id for r in spark.read.parquet(f"{DATA}/events.parquet").select("event_id").collect())
+    for old, new in seen.values():
+        had, came = ([r.seq for r in x.select("seq").collect()] for x in (old, new))
+        assert had and came and sorted(had + came) == events
+    places = QUERIES["ordered_rows"](spark, DATA)
+    assert places.count() == QUERIES["consolidated_rows"](spark, DATA).count() and places.where("place > 5").limit(1).count()

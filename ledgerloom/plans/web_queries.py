@@ -74,6 +74,17 @@ def bounded_crawl(spark, sf_dir):
     return C.crawl(seeds, edges, F.col("o_orderkey") % 2 == 0, 3)
 
 
+# All customers are seeds, and any customer can be a target.
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_orderkey % (SELECT count(*) FROM customer) AS b FROM orders WHERE o_orderkey % 2 = 0),
+  w AS (SELECT c_custkey AS seed, c_custkey AS url, 0 AS depth FROM customer UNION SELECT w.seed, e.b, w.depth + 1 FROM w JOIN e ON e.a = w.url WHERE w.depth < 3)
+  SELECT CAST(seed AS VARCHAR) AS seed, CAST(url AS VARCHAR) AS url, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1, 2""")
+def full_crawl(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer")
+    n = F.broadcast(customers.agg(F.count(F.lit(1)).alias("n")))
+    edges = table(spark, sf_dir, "orders").crossJoin(n).select(F.col("o_custkey").cast("string").alias("page"), (F.col("o_orderkey") % F.col("n")).cast("string").alias("url"), "o_orderkey")
+    return C.crawl(customers.select(F.col("c_custkey").cast("string").alias("seed")), edges, F.col("o_orderkey") % 2 == 0, 3)
+
+
 @query("""SELECT l_shipmode AS source_name, n AS found, d AS downloaded, f AS failed FROM (SELECT l_linestatus AS l_shipmode, count(*) n, count(*) FILTER (l_returnflag = 'A') d, count(*) FILTER (l_returnflag = 'R') f FROM lineitem GROUP BY 1)""")
 def manifest_counters(spark, sf_dir):
     outcome = F.when(F.col("l_returnflag") == "A", "downloaded").when(F.col("l_returnflag") == "R", "failed")

@@ -180,3 +180,18 @@ def test_restatement_stream(spark, tmp_path):
         q.awaitTermination(120)
         got = spark.read.parquet(out).first()
         assert (got.value, got.is_restated) == ((100, False), (105, True))[k]
+
+
+def test_crawl_equals_brute_force(spark):
+    ways = [(0, k) for k in range(1, 60)] + [(k, 0) for k in range(1, 60, 2)] + [(k, (7 * k) % 60) for k in range(60)] + [(3, 61), (61, 62), (62, 63), (3, 3)]
+    edges = spark.createDataFrame([(str(a), str(b)) for a, b in ways], "page string, url string")
+    plain = set()
+    for seed in range(65):
+        seen = level = {seed}
+        plain |= {(str(seed), str(seed), 0)}
+        for depth in (1, 2, 3):
+            level = {b for a, b in ways if a in level} - seen
+            seen = seen | level
+            plain |= {(str(seed), str(x), depth) for x in level}
+    got = [tuple(r) for r in crawl.crawl(spark.createDataFrame([(str(k),) for k in range(65)], "seed string"), edges, F.lit(True), 3).collect()]
+    assert len(got) == len(plain) and set(got) == plain

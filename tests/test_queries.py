@@ -62,3 +62,8 @@ def test_store_queries_see_every_event(spark, monkeypatch):
         assert had and came and sorted(had + came) == events
     places = QUERIES["ordered_rows"](spark, DATA)
     assert places.count() == QUERIES["consolidated_rows"](spark, DATA).count() and places.where("place > 5").limit(1).count()
+
+
+def test_crawl_starts_from_all_customers(spark):
+    got = QUERIES["full_crawl"](spark, DATA)
+    assert got.where("depth = 0 and seed = url").count() == spark.read.parquet(f"{DATA}/customer.parquet").count()

@@ -117,9 +117,14 @@ def filings(submissions: DataFrame, forms: tuple[str, ...] = ("20-F", "10-K", "4
 def cik_lookup(needles: DataFrame, tickers: DataFrame) -> DataFrame:
     """The first company whose ticker is the needle or whose title contains it; the number padded to ten digits.
 
-    ``needles`` are a user's few questions: they are broadcast, the register is scanned once.
+    All needles are answered: the register is indexed by its tickers and by the parts of its titles that are as long as some needle,
+    of each the first company, and needles are joined to it by equality.
     """
-    asked = F.lower(F.trim("needle"))
-    hit = (F.lower("ticker") == asked) | F.contains(F.lower("title"), asked)
-    found = tickers.join(F.broadcast(needles.limit(10_000)), hit)
+    asked = needles.withColumn("__asked", F.lower(F.trim("needle")))
+    lengths = asked.agg(F.collect_set(F.length("__asked")).alias("__lengths"))
+    title = F.coalesce(F.lower("title"), F.lit(""))
+    fitting = F.filter("__lengths", lambda n: F.col("title").isNotNull() & (n <= F.length(title)))
+    parts = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length(title) - n + 1), lambda i: F.substring(title, i, n))))
+    keyed = tickers.crossJoin(F.broadcast(lengths)).withColumn("__asked", F.explode(F.array_union(parts, F.array(F.lower("ticker"))))).drop("__lengths")
+    found = first_of(keyed.where("__asked is not null"), ["__asked"], [F.col("ord")]).join(asked, "__asked").drop("__asked")
     return first_of(found, ["needle"], [F.col("ord")]).withColumn("cik", F.lpad(F.col("cik").cast("string"), 10, "0"))

@@ -182,6 +182,20 @@ def test_restatement_stream(spark, tmp_path):
         assert (got.value, got.is_restated) == ((100, False), (105, True))[k]
 
 
+def test_every_needle_is_looked_up(spark):
+    register = spark.createDataFrame([(0, 7, "AB", "Abacus Öl Corp"), (1, 8, "corp", "Zeta"), (2, 9, None, "Title only"), (3, 10, "T4", None), (4, 11, "AB", "twice")], "ord int, cik int, ticker string, title string")
+    asked = [" ab ", "CORP", "öl", "zeta", "t4", "only", "nothing", None, "", "AB", "AB", "a longer needle than any title of the register"]
+    needles = spark.createDataFrame([(x,) for x in asked], "needle string").unionByName(spark.range(12_000).select(F.concat(F.lit("none "), "id").alias("needle"))).unionByName(spark.range(12_000).select(F.concat(F.lpad(F.lit(""), F.col("id").cast("int"), " "), F.lit("zeta")).alias("needle")))
+    got = {r.needle: int(r.cik) for r in crawl.cik_lookup(needles, register).collect()}
+    assert len({x for x in got if x.strip() == "zeta"}) == 12_000 and not any(x.startswith("none") for x in got)
+    plain = {}
+    for x in asked:
+        for o in register.orderBy("ord").collect():
+            if x is not None and (x.strip().lower() == (o.ticker or "\0").lower() or (o.title is not None and x.strip().lower() in o.title.lower())):
+                plain.setdefault(x, o.cik)
+    assert plain == {k: v for k, v in got.items() if k in asked}
+
+
 def test_crawl_equals_brute_force(spark):
     ways = [(0, k) for k in range(1, 60)] + [(k, 0) for k in range(1, 60, 2)] + [(k, (7 * k) % 60) for k in range(60)] + [(3, 61), (61, 62), (62, 63), (3, 3)]
     edges = spark.createDataFrame([(str(a), str(b)) for a, b in ways], "page string, url string")

@@ -4,7 +4,10 @@ A surrogate is drawn by HMAC from the entity's canonical form, so every mention
 same one (coreference), and only the holder of the key could link it to the original. That no two
 entities share a surrogate, and that none is itself an entity of the corpus, is checked over all distinct entities of the corpus: they are
 aggregated before they are shuffled, surrogates are grouped, and what collides is drawn again until nothing does.
-The documents are then rewritten in place; only the (rare) entities with a second draw are looked up.
+Names are compared as they are written, without the gender. A name with a title that tells no gender (Dr, Prof) is the entity of
+that name whose gender other documents tell; if they tell none or both, it is one of its own. Within a document, the first title
+that tells a gender holds for the name.
+The documents are then rewritten in place; only entities with a second draw or a gender from elsewhere are looked up.
 
 Numbers count as card numbers or IBANs only if their check digits hold, and their surrogates' check digits hold too.
 
@@ -21,7 +24,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import map_batches, saved, table
@@ -29,7 +32,7 @@ from ledgerloom.llm.common import map_batches, saved, table
 TYPES = ("email", "phone", "card", "ip", "ssn", "iban", "name")
 ENTITY_SCHEMA = "kind string, canonical string"
 TEXT_SCHEMA = "doc_id long, text string, " + ", ".join(f"n_{t} long" for t in TYPES)
-#: Entities with a second draw that are sent to all tasks at once; with more, they are joined to their documents.
+#: Entities with a second draw or a gender from elsewhere that are sent to all tasks at once; with more, they are joined to their documents.
 BROADCAST_REDRAWN = 100_000
 
 EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
@@ -97,7 +100,8 @@ def detect(text: str) -> list[Span]:
     if any(t + " " in text or t + ". " in text for t in (*MALE, *FEMALE, *EITHER)):
         genders: dict[str, str] = {}
         for m in NAME.finditer(text):
-            genders.setdefault(m[2], "m" if m[1] in MALE else "f" if m[1] in FEMALE else "x")
+            if genders.get(m[2], "x") == "x":
+                genders[m[2]] = "m" if m[1] in MALE else "f" if m[1] in FEMALE else "x"
         for name, gender in sorted(genders.items(), key=lambda x: -len(x[0])):
             for m in re.finditer(rf"(?<!\w){re.escape(name)}(?!\w)", text):
                 add("name", *m.span(), f"{gender}:{name}")
@@ -175,10 +179,12 @@ def written(kind: str, canonical: str, mention: str) -> str:
     return canonical.partition(":")[2] if kind == "name" else canonical
 
 
-def replaced(text: str, spans: list[Span], key: bytes, attempts: dict[tuple[str, str], int]) -> str:
+def replaced(text: str, spans: list[Span], key: bytes, special: dict[tuple[str, str], tuple[str, int]]) -> str:
+    """``text`` with surrogates; ``special`` has the entity and attempt of canonical forms that aren't their own entity at the first."""
     out, at = [], 0
     for start, end, kind, canonical in spans:
-        out += [text[at:start], written(kind, surrogate(key, kind, canonical, attempts.get((kind, canonical), 0)), text[start:end])]
+        entity, attempt = special.get((kind, canonical), (canonical, 0))
+        out += [text[at:start], written(kind, surrogate(key, kind, entity, attempt), text[start:end])]
         at = end
     return "".join(out) + text[at:]
 
@@ -205,17 +211,33 @@ def drawn(found: DataFrame, key: bytes) -> DataFrame:
     return map_batches(found.select("kind", "canonical", "attempt"), run, ENTITY_SCHEMA + ", attempt int, surrogate string")
 
 
+def shown(column: str) -> Column:
+    """A canonical form as ``written`` shows it: a name without its gender."""
+    return F.when(F.col("kind") == "name", F.regexp_replace(column, "^[mfx]:", "")).otherwise(F.col(column))
+
+
+def resolved(found: DataFrame) -> DataFrame:
+    """``kind, canonical, entity`` of the distinct canonical forms: a name of unknown gender is the one of known gender, if there is one such."""
+    seen = [F.max((F.col("kind") == "name") & F.col("canonical").startswith(f"{g}:")).alias(g) for g in "mfx"]
+    own = found.groupBy("kind", shown("canonical").alias("shown")).agg(*seen)
+    genders = F.filter(F.array(*[F.when(F.col(g), f"{g}:") for g in "mfx"]), lambda g: g.isNotNull())
+    own = own.withColumn("gender", F.explode(F.when(F.col("kind") == "name", genders).otherwise(F.array(F.lit("")))))
+    known = F.when((F.col("gender") == "x:") & F.col("m") & ~F.col("f"), "m:").when((F.col("gender") == "x:") & F.col("f") & ~F.col("m"), "f:").otherwise(F.col("gender"))
+    return own.select("kind", F.concat("gender", "shown").alias("canonical"), F.concat(known, "shown").alias("entity"))
+
+
 def assignment(found: DataFrame, key: bytes) -> DataFrame:
-    """``kind, canonical, attempt, surrogate`` of all distinct entities, without collisions."""
-    own = found.select("kind", "canonical").distinct()
-    current = saved(drawn(own.withColumn("attempt", F.lit(0)), key), "surrogates")
+    """``kind, canonical, entity, attempt, surrogate`` of all distinct canonical forms; no two entities are written alike."""
+    own = saved(resolved(found), "entities")
+    current = saved(drawn(own.where("canonical = entity").withColumn("attempt", F.lit(0)), key), "surrogates")
     while True:
-        first = current.groupBy("kind", "surrogate").agg(F.min("canonical").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        twice = current.join(first, ["kind", "surrogate"]).where("canonical <> first").select("kind", "canonical")
-        real = current.join(current.select("kind", F.col("canonical").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "canonical")
+        made = current.withColumn("shown", shown("surrogate"))
+        first = made.groupBy("kind", "shown").agg(F.min("canonical").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        twice = made.join(first, ["kind", "shown"]).where("canonical <> first").select("kind", "canonical")
+        real = made.join(own.select("kind", shown("canonical").alias("shown")), ["kind", "shown"], "left_semi").select("kind", "canonical")
         clash = saved(twice.union(real).distinct().withColumn("again", F.lit(1)), "collisions")
         if not clash.limit(1).count():
-            return current
+            return own.join(current.withColumnRenamed("canonical", "entity"), ["kind", "entity"])
         moved = current.join(clash, ["kind", "canonical"], "left")
         redrawn = drawn(moved.where("again = 1").withColumn("attempt", F.col("attempt") + 1), key)
         current = saved(moved.where("again is null").select("kind", "canonical", "attempt", "surrogate").unionByName(redrawn), "surrogates")
@@ -224,13 +246,13 @@ def assignment(found: DataFrame, key: bytes) -> DataFrame:
 def surrogate_texts(docs: DataFrame, key: bytes) -> DataFrame:
     """``TEXT_SCHEMA``: each row's text with surrogates, and how many mentions of each type it had."""
     mentions = saved(entities(docs), "entity-mentions")
-    redrawn = assignment(mentions, key).where("attempt > 0").select("kind", "canonical", "attempt")
+    redrawn = saved(assignment(mentions, key).where("attempt > 0 or entity <> canonical").select("kind", "canonical", "entity", "attempt"), "redrawn")
     rows, few = docs.select("doc_id", "text"), redrawn.limit(BROADCAST_REDRAWN + 1).collect()
-    attempts = {(r.kind, r.canonical): r.attempt for r in few}
+    attempts = {(r.kind, r.canonical): (r.entity, r.attempt) for r in few}
     if joined := len(few) > BROADCAST_REDRAWN:
         attempts = {}
-        own = mentions.join(redrawn, ["kind", "canonical"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "canonical", "attempt")).alias("redrawn"))
-        rows = rows.join(own, "doc_id", "left")
+        own = mentions.join(redrawn, ["kind", "canonical"]).groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("kind", "canonical", "entity", "attempt")).alias("redrawn"))
+        rows = rows.join(own, F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,7 +260,7 @@ def surrogate_texts(docs: DataFrame, key: bytes) -> DataFrame:
             special = batch.column(2).to_pylist() if joined else [None] * batch.num_rows
             for text, again in zip(batch.column(1).to_pylist(), special, strict=True):
                 spans = detect(text) if text else []
-                texts.append(replaced(text, spans, key, {(x["kind"], x["canonical"]): x["attempt"] for x in again} if again else attempts) if spans else text)
+                texts.append(replaced(text, spans, key, {(x["kind"], x["canonical"]): (x["entity"], x["attempt"]) for x in again} if again else attempts) if spans else text)
                 counts.append([sum(s[2] == t for s in spans) for t in TYPES])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(len(TYPES)))], names=["doc_id", "text", *(f"n_{t}" for t in TYPES)])
 

@@ -204,6 +204,25 @@ def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
     assert len(rows) == 25 and len({r.surrogate for r in rows}) == 25 and any(r.attempt for r in rows)
 
 
+def test_names_are_compared_as_they_are_written(spark, monkeypatch):
+    bare = F.substring("canonical", 3, 99)
+    monkeypatch.setattr(pii, "drawn", lambda found, key: found.select("kind", "canonical", "attempt").withColumn("surrogate", F.concat(F.substring("canonical", 1, 2), F.when((bare == "A") & (F.col("attempt") == 0), "B").when(F.col("attempt") < 2, "Same").otherwise(F.concat(F.lit("New"), bare)))))
+    found = spark.createDataFrame([("name", x) for x in ("m:A", "x:B", "f:C", "x:D")], "kind string, canonical string")
+    rows = pii.assignment(found, b"k").collect()
+    names = [r.surrogate[2:] for r in rows]
+    assert len(rows) == 4 and len(set(names)) == 4 and not set(names) & set("ABCD")
+
+
+def test_titles_of_other_documents_tell_the_gender(spark, monkeypatch):
+    texts = ["Mr Smith", "Dr Smith", "Mrs Jones", "Prof Jones", "Dr Alone", "Mr Lee", "Mrs Lee", "Dr Lee", "Dr Kay and Mrs Kay", "Dr Kay"]
+    df = spark.createDataFrame([(None if k == 1 else k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: re.sub(r"\b(Mrs?|Dr|Prof) ", "", r.text) for r in pii.surrogate_texts(df, b"k").collect()}
+    assert got[0] == got[None] and got[2] == got[3] and got[8] == f"{got[9]} and {got[9]}"
+    assert got[2].endswith("a") and got[9].endswith("a") and len({got[k] for k in (0, 2, 4, 5, 6, 7, 9)}) == 7
+    monkeypatch.setattr(pii, "BROADCAST_REDRAWN", 0)
+    assert got == {r.doc_id: re.sub(r"\b(Mrs?|Dr|Prof) ", "", r.text) for r in pii.surrogate_texts(df, b"k").collect()}
+
+
 def test_surrogates_don_t_depend_on_the_document():
     assert pii.surrogate(b"k", "ip", "1.2.3.4") == pii.surrogate(b"k", "ip", "1.2.3.4") != pii.surrogate(b"j", "ip", "1.2.3.4")
     assert hashlib.sha256(pii.surrogate(b"k", "email", "a.b1@x.com").encode()).hexdigest() and re.fullmatch(r"[a-z]\.[a-z]\d@[a-z]\.com", pii.surrogate(b"k", "email", "a.b1@x.com"))

@@ -1,9 +1,9 @@
 """Quality by weak supervision: rules vote or abstain, and their accuracies are estimated instead of trusted.
 
 Each rule votes good (+1), bad (-1) or abstains (0). The rules' votes are counted by pattern over all documents,
-a table of at most 3^rules rows; expectation-maximisation on it estimates for each rule how often it votes which way on good
-and on bad documents, and the share of good ones. A document is kept if the posterior probability of being good is
-high enough, whatever a single rule says. Everything is DataFrame and SQL functions.
+a table of at most 3^rules rows that the driver reads once; expectation-maximisation on it estimates for each rule how often it
+votes which way on good and on bad documents, and the share of good ones. A document is kept if the posterior probability of being good is
+high enough, whatever a single rule says. Everything that touches documents is DataFrame and SQL functions.
 
 Edge cases: a null or empty text has no words and fails the base test; features are counted over whole texts; rows that repeat
 are judged each; an empty table gives an empty result; columns other than ``doc_id`` and ``text`` are ignored.
@@ -80,29 +80,56 @@ def votes() -> dict[str, Column]:
     return {name: F.when(F.expr(good), F.lit(1)).when(F.expr(bad), F.lit(-1)).otherwise(F.lit(0)).cast("byte") for name, (good, bad) in RULES.items()}
 
 
-def fit_accuracies(patterns: DataFrame, rules: list[str], *, rounds: int = 12, prior: float = 0.8, smoothing: float = 1.0, most_errors: float = 0.01) -> dict:
-    """Expectation-maximisation over ``patterns`` (a column for each rule, and ``n``).
+def bounded(counts: dict[int, float], most: float) -> dict[int, float]:
+    """The likeliest distribution over votes for these counts among those with at most ``most`` bad ones: the excess goes to the others in proportion."""
+    total = sum(counts.values())
+    shares = {v: n / total for v, n in counts.items()}
+    if shares[-1] <= most:
+        return shares
+    rest = 1 - shares[-1]
+    return {v: most if v == -1 else x * (1 - most) / rest for v, x in shares.items()}
 
-    Each round is one aggregation of the small pattern table; only its sums come to the driver. Smoothing keeps rules that never
-    vote one way from certainties. A rule is taken to condemn at most ``most_errors`` of the good documents: without that bound,
-    a kind of bad documents that few rules know would count as a variety of the good ones.
+
+def log_odds(votes: tuple[int, ...], prior: float, tables: list[dict[int, dict[int, float]]]) -> tuple[float, float]:
+    """Log probabilities of a pattern of votes together with being good, and with being bad."""
+    good, bad = math.log(prior), math.log(1 - prior)
+    for v, by_class in zip(votes, tables, strict=True):
+        good += math.log(by_class[1][v])
+        bad += math.log(by_class[-1][v])
+    return good, bad
+
+
+def fit_accuracies(patterns: DataFrame, rules: list[str], *, prior: float = 0.8, smoothing: float = 1.0, most_errors: float = 0.01, rounds: int = 500, settled: float = 1e-9) -> dict:
+    """Expectation-maximisation over ``patterns`` (a column for each rule, and ``n``): at most 3^rules rows, which come to the driver once.
+
+    Smoothing keeps rules that never vote one way from certainties. A rule is taken to condemn at most ``most_errors`` of the good
+    documents: without that bound, a kind of bad documents that few rules know would count as a variety of the good ones. The
+    maximisation is the exact one under the bound, so the penalised likelihood never falls; the rounds end when it gains less than ``settled`` a document.
     """
-    start = {1: {1: 0.4, -1: 0.01, 0: 0.59}, -1: {1: 0.3, -1: 0.3, 0: 0.4}}
-    state = {"prior": prior, "votes": {r: {c: dict(v) for c, v in start.items()} for r in rules}}
-    for _ in range(rounds):
-        weighted = patterns.withColumn("good", posterior(state) * F.col("n")).withColumn("bad", F.col("n") - F.col("good"))
-        sums = [F.sum(side).alias(side) for side in ("good", "bad")] + [F.sum(F.when(F.col(r) == v, F.col(side)).otherwise(0.0)).alias(f"{r}|{v}|{side}") for r in rules for v in (1, 0, -1) for side in ("good", "bad")]
-        got = weighted.agg(*sums).first()
-        if not got or got["good"] is None:
-            return state
-        share = (got["good"] + smoothing) / (got["good"] + got["bad"] + 2 * smoothing)
-        tables = {r: {c: {v: (got[f"{r}|{v}|{side}"] + smoothing) / (got[side] + 3 * smoothing) for v in (1, 0, -1)} for c, side in ((1, "good"), (-1, "bad"))} for r in rules}
-        for by_class in tables.values():
-            excess = max(0.0, by_class[1][-1] - most_errors)
-            by_class[1][-1] -= excess
-            by_class[1][0] += excess
-        state = {"prior": share, "votes": tables}
-    return state
+    counted = [(tuple(r[x] for x in rules), r["n"]) for r in patterns.select(*rules, "n").collect()]
+    start = {1: {1: 0.4, -1: min(0.01, most_errors), 0: 0.59}, -1: {1: 0.3, -1: 0.3, 0: 0.4}}
+    tables: list[dict[int, dict[int, float]]] = [{c: dict(v) for c, v in start.items()} for _ in rules]
+    total, before, trace = sum(n for _, n in counted), -math.inf, []
+    for _ in range(rounds if counted else 0):
+        sums = {1: smoothing, -1: smoothing}
+        seen = [{c: {v: smoothing for v in (1, 0, -1)} for c in (1, -1)} for _ in rules]
+        likelihood = smoothing * (math.log(prior) + math.log(1 - prior) + sum(math.log(p) for t in tables for c in t.values() for p in c.values()))
+        for votes, n in sorted(counted):
+            good, bad = log_odds(votes, prior, tables)
+            top = max(good, bad)
+            both = top + math.log(math.exp(good - top) + math.exp(bad - top))
+            likelihood += n * both
+            for c, log_p in ((1, good), (-1, bad)):
+                share = n * math.exp(log_p - both)
+                sums[c] += share
+                for own, v in zip(seen, votes, strict=True):
+                    own[c][v] += share
+        trace.append(likelihood)
+        if likelihood - before < settled * total:
+            break
+        before, prior = likelihood, sums[1] / (sums[1] + sums[-1])
+        tables = [{1: bounded(own[1], most_errors), -1: bounded(own[-1], 1.0)} for own in seen]
+    return {"prior": prior, "votes": dict(zip(rules, tables, strict=True)), "likelihoods": trace}
 
 
 def posterior(state: dict) -> Column:
@@ -119,8 +146,7 @@ def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
     rules = list(RULES)
     judged = saved(features(docs).select("*", *(v.alias(f"vote_{r}") for r, v in votes().items())), "quality-votes")
     names = [f"vote_{r}" for r in rules]
-    patterns = saved(judged.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("n")), "vote-patterns")
-    state = fit_accuracies(patterns, names)
+    state = fit_accuracies(judged.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("n")), names)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return judged.withColumn("base_failed", failed).withColumn("p_good", posterior(state)).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= least))
 

@@ -4,7 +4,8 @@ Each language's dictionary is text of that language, taken from a bounded sample
 down to lower-case letters and single blanks and compressed by zstandard once for each dictionary; long matches
 with a dictionary are what makes one language's size smaller. Where the two smallest sizes are close, which happens with very short
 texts and with texts that mostly repeat themselves, the text's distinct words are encoded again at the strongest setting
-with the shortest matches. A margin that stays narrow is a rejection.
+with the shortest matches, behind a run of one symbol: zstandard stores a block as it is if coding gains too little, and the run makes it
+code the words, however few. A margin that stays narrow is a rejection.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0, and rejected; whole texts are encoded,
 however long; rows that repeat get the same answer; without any learned language every answer is ``und``; an
@@ -13,7 +14,6 @@ empty table gives an empty result; ``fit`` ignores rows with a null language or
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -26,10 +26,10 @@ from ledgerloom.llm.common import map_batches, table, worker_object
 UNDETERMINED = "und"
 PREDICTION_SCHEMA = "doc_id long, lang_pred string, score double, margin double, rejected boolean"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
-#: Below this relative margin the distinct words decide.
+#: Below this relative margin the distinct words are encoded by themselves.
 CLOSE = 0.03
-#: Up to so many distinct words are looked up in the dictionaries if their sizes are close.
-FEW = 12
+#: What stands before them.
+RUN = b"\0" * 512
 #: Bytes by which a size must differ for the odds to double.
 BYTES_FOR_DOUBLE = 2.0
 
@@ -66,7 +66,7 @@ class Classifier:
     def __init__(self, model: Model):
         import zstandard as z
 
-        self.langs, self.contents = list(model), list(model.values())
+        self.langs = list(model)
         self.fast, self.strong = [], []
         for content in model.values():
             for level, matches, to in ((3, {}, self.fast), (19, {"min_match": 3}, self.strong)):
@@ -75,17 +75,12 @@ class Classifier:
                 dictionary.precompute_compress(compression_params=params)
                 to.append(z.ZstdCompressor(dict_data=dictionary, compression_params=params))
 
-    def sizes(self, text: str) -> list[float]:
+    def sizes(self, text: str) -> list[int]:
         data = text.encode()
-        sizes: list[float] = [len(c.compress(data)) for c in self.fast]
+        sizes = [len(c.compress(data)) for c in self.fast]
         if len(sizes) > 1 and margin(sizes) < CLOSE:
-            words = list(dict.fromkeys(text.split()))
-            data = (" " + " ".join(words) + " ").encode()
-            sizes = [len(c.compress(data)) for c in self.strong]
-            if len(words) <= FEW and margin(sizes) < CLOSE:
-                # zstandard stores so few bytes as they are; a word costs less where the dictionary has it more often.
-                found = [[content.count(f" {w} ".encode()) for w in words] for content in self.contents]
-                sizes = [s + sum(math.log2(1 + len(content) / (1 + 4 * n)) / 8 for n in own) for s, content, own in zip(sizes, self.contents, found, strict=True)]
+            words = " ".join(dict.fromkeys(text.split()))
+            sizes = [len(c.compress(RUN + f" {words} ".encode())) for c in self.strong]
         return sizes
 
     def predict(self, text: str | None, narrow: float) -> tuple[str, float, float, bool]:
@@ -100,7 +95,7 @@ class Classifier:
         return self.langs[best], score, wide, wide < narrow
 
 
-def margin(sizes: list[float]) -> float:
+def margin(sizes: list[int]) -> float:
     """By how much of the second smallest size the smallest is smaller; 1 with one language."""
     if len(sizes) < 2:
         return 1.0

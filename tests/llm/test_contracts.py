@@ -125,3 +125,12 @@ def test_op6_likelihood_never_falls(spark):
     trace = state["likelihoods"]
     assert len(trace) < 500 and all(y >= x - 1e-6 for x, y in zip(trace, trace[1:], strict=False))
     assert all(t[1][-1] <= 0.05 + 1e-12 and abs(sum(t[c].values()) - 1) < 1e-9 for t in state["votes"].values() for c in (1, -1))
+
+
+def test_op2(spark, tables, rows):
+    got = result(spark, tables, "op2_language_id", {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"})
+    held = {d: d is None or zlib.crc32(str(d).encode()) % 4 == 2 for d, *_ in rows}
+    assert collections.Counter((d, h) for d, h, *_ in got) == collections.Counter((d, held[d]) for d, *_ in rows)
+    und = {d for d, t, *_ in rows if not any(map(str.isalpha, t or ""))}
+    assert all((p == "und") == (d in und or d is None) or d is None and p in ("de", "en") for d, _, p, _ in got)
+    assert {p for *_, p, _ in got} == {"und", "de", "en"} and all(0 <= s <= 1 and (s == 0) == (p == "und") for *_, p, s in got)

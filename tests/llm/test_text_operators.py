@@ -78,6 +78,15 @@ def test_languages_of_odd_texts(spark, odd, nothing):
     assert language_id.identify(spark.createDataFrame([(1, "the dog"), (2, "die katze")], "doc_id long, text string"), model).orderBy("doc_id").collect()[1].lang_pred == "de"
 
 
+def test_narrow_margins_are_rejected():
+    words = "the cat and the dog are here with the house " * 20
+    alike = language_id.Classifier({"a": words.encode(), "b": words.encode(), "c": b"der hund und die katze sind hier mit dem haus " * 20})
+    for text in ("the dog", "the cat and the dog are here", words):
+        assert alike.predict(text, 0.004)[3]
+    apart = language_id.Classifier({"a": words.encode(), "c": b"der hund und die katze sind hier mit dem haus " * 20})
+    assert [apart.predict(t, 0.004)[::3] for t in ("the dog", "die katze", "the cat and the dog are here", "der hund und")] == [("a", False), ("c", False), ("a", False), ("c", False)]
+
+
 def plain_quality(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)

@@ -3,8 +3,8 @@
 Long tokens outside the patterns' spans are candidates. For each, an encoding (alphabet) is inferred, and two
 questions are asked. Is it consistent with uniform draws from the alphabet? A chi-squared test of the symbol
 counts, a runs test about the median symbol and a lag-1 serial correlation answer that. And how probable would it
-be as written words or identifiers? There symbols repeat more and character classes change less; the tails of both
-counts are combined by Fisher's method. The second p-values are counted over the whole corpus by length class and
+be as written words, identifiers or numbers? There symbols repeat more, letters that are rare in writing are rare, and character classes
+change less; the tails are combined by Fisher's method. The second p-values are counted over the whole corpus by length class and
 size, and Benjamini-Hochberg runs within each length class: short tokens, of which most are words, don't lend
 their false discoveries to long ones. Only that histogram, of bounded size, comes to the driver.
 
@@ -34,17 +34,28 @@ ASSIGN_HINTS = ("passw", "secret", "token", "api")
 
 SHORTEST = 20
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST)
-#: From the smallest alphabet; words of letters alone have none.
+#: From the smallest alphabet. Letters in one case, but for a first capital, and digits alone have alphabets of their own.
 ENCODINGS = (
+    ("digits", re.compile(r"[0-9]+"), 10, "0123456789"),
     ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 16, "0123456789abcdef"),
+    ("letters", re.compile(r"[A-Za-z][a-z]*|[A-Z]+"), 26, "abcdefghijklmnopqrstuvwxyz"),
     ("base32", re.compile(r"[A-Z2-7]+"), 32, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", re.compile(r"[a-z0-9]+|[A-Z0-9]+"), 36, "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("alnum", re.compile(r"[A-Za-z0-9]+"), 62, "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", re.compile(r"[A-Za-z0-9+/]+"), 64, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", re.compile(r"[A-Za-z0-9_-]+"), 64, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
-#: Written words: chance that two symbols agree, that three agree, and that neighbours differ in class.
+FOLDED = ("hex", "letters", "base36")
+#: Written words: chance that two symbols agree, that three agree, and that neighbours differ in class. Written numbers: the first two.
 AGREE_2, AGREE_3, CLASS_CHANGE = 0.065, 0.0055, 0.15
+NUMBERS_AGREE_2, NUMBERS_AGREE_3 = 0.22, 0.052
+#: About how often, in per mille, European languages in Latin script write each letter.
+WRITTEN = dict(zip("abcdefghijklmnopqrstuvwxyz", (83, 14, 33, 42, 145, 14, 17, 27, 75, 4, 9, 45, 27, 78, 65, 24, 4, 68, 72, 72, 36, 12, 9, 3, 9, 6), strict=True))
+BITS = {c: -math.log2(n / sum(WRITTEN.values())) for c, n in WRITTEN.items()}
+MEAN_BITS = sum(n * BITS[c] for c, n in WRITTEN.items()) / sum(WRITTEN.values())
+#: Letters of one token are not independent, and languages differ: the variance counts so many times.
+OVERDISPERSED = 2
+BITS_VARIANCE = OVERDISPERSED * sum(n * (BITS[c] - MEAN_BITS) ** 2 for c, n in WRITTEN.items()) / sum(WRITTEN.values())
 #: Bins of -log10 p, and their width.
 BINS, BIN = 400, 0.05
 
@@ -108,32 +119,46 @@ def binomial_at_least(k: int, n: int, p: float) -> float:
 
 
 def infer_encoding(token: str) -> tuple[str, int, str] | None:
-    """Name, alphabet size and alphabet; None for words: letters alone, in one case but for a first capital."""
-    if token.isalpha() and (token[1:].islower() or token.isupper()) or token.isdigit():
-        return None
+    """Name, alphabet size and alphabet, or None."""
     return next(((name, size, letters) for name, pattern, size, letters in ENCODINGS if pattern.fullmatch(token)), None)
 
 
+def few_repeats_p(token: str, agree_2: float, agree_3: float) -> float:
+    """How probable so few equal pairs of symbols are in writing."""
+    n = len(token)
+    equal = sum(c * (c - 1) // 2 for c in Counter(token).values())
+    mean = n * (n - 1) / 2 * agree_2
+    variance = mean * (1 - agree_2) + n * (n - 1) * (n - 2) * (agree_3 - agree_2**2)
+    return above((mean - equal - 0.5) / math.sqrt(variance))
+
+
+def rare_letters_p(token: str) -> float:
+    """How probable letters as rare as the token's are in writing; 1 with few letters."""
+    bits = [BITS[c] for c in token if c in BITS]
+    return above((sum(bits) - len(bits) * MEAN_BITS) / math.sqrt(len(bits) * BITS_VARIANCE)) if len(bits) >= SHORTEST // 2 else 1.0
+
+
 def battery(token: str, alpha: float = 0.001) -> float | None:
-    """The p-value of ``token`` as written words, or None if it has no encoding or isn't consistent with random symbols."""
+    """The p-value of ``token`` as writing, or None if it has no encoding or isn't consistent with random symbols."""
     token = token.rstrip("=")
     encoding = infer_encoding(token)
     if not encoding:
         return None
-    _, size, letters = encoding
-    known = token if letters[10:11] != "a" else token.lower()
-    values = [letters.index(c) for c in known]
+    name, size, letters = encoding
+    folded = token.lower()
+    values = [letters.index(c) for c in (folded if name in FOLDED else token)]
     if fisher([chi_squared_p(values, size), runs_p(values), serial_p(values)]) < alpha:
         return None
-    n = len(token)
-    equal = sum(c * (c - 1) // 2 for c in Counter(token.lower()).values())
-    mean = n * (n - 1) / 2 * AGREE_2
-    variance = mean * (1 - AGREE_2) + n * (n - 1) * (n - 2) * (AGREE_3 - AGREE_2**2)
-    few_repeats = above((mean - equal - 0.5) / math.sqrt(variance))
+    if name == "digits":
+        return few_repeats_p(token, NUMBERS_AGREE_2, NUMBERS_AGREE_3)
+    # Both look at how often which symbol occurs: they count as one test.
+    symbols = min(1.0, 2 * min(few_repeats_p(folded, AGREE_2, AGREE_3), rare_letters_p(folded)))
+    if name == "letters":
+        return symbols
     # Separators stand between words: they don't count as a class.
     classes = [0 if c.isdigit() else 1 if c.islower() else 2 for c in token if c.isalnum()]
     changes = sum(x != y for x, y in zip(classes, classes[1:], strict=False))
-    return fisher([few_repeats, binomial_at_least(changes, max(1, len(classes) - 1), CLASS_CHANGE)])
+    return fisher([symbols, binomial_at_least(changes, max(1, len(classes) - 1), CLASS_CHANGE)])
 
 
 def find(text: str) -> tuple[Base, Candidates]:

@@ -134,3 +134,37 @@ def test_op2(spark, tables, rows):
     und = {d for d, t, *_ in rows if not any(map(str.isalpha, t or ""))}
     assert all((p == "und") == (d in und or d is None) or d is None and p in ("de", "en") for d, _, p, _ in got)
     assert {p for *_, p, _ in got} == {"und", "de", "en"} and all(0 <= s <= 1 and (s == 0) == (p == "und") for *_, p, s in got)
+
+
+def plain_spans(t):
+    t = t or ""
+    found = [(m.start(), "assign", m.end()) for m in re.finditer(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t, re.ASCII) if len(m[2]) >= 8]
+    found += [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    found += [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    order = ("assign", "access", "hex")
+    return sorted(found, key=lambda x: (x[0], order.index(x[1])))
+
+
+def test_op1(spark, tables, rows):
+    types = {"doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"}
+    got = collections.Counter(result(spark, tables, "op1_secret_scan", types))
+    expected = []
+    for doc_id, t, *_ in rows:
+        spans = plain_spans(t)
+        text = ",".join(f"{k}:{a}:{b}" for a, k, b in spans)
+        expected.append((doc_id, *(sum(k == x for _, x, _ in spans) for k in ("assign", "access", "hex")), hashlib.sha256(text.encode()).hexdigest(), text))
+    assert got == collections.Counter(expected)
+
+
+@pytest.mark.parametrize("name", ["secret_base", "quality_base", "op5_minhash"])
+def test_sql(spark, tables, name):
+    import duckdb
+
+    duck = duckdb.connect()
+    for path in ("/root/testdata/sf0.001/documents.parquet", f"{tables}/documents.parquet/*.parquet"):
+        duck.sql(f"create or replace view documents as select * from '{path}' where doc_id is not null")  # SQL tells rows apart by their ids
+        expected = duck.sql(queries.ORACLE_SQL[name])
+        df = queries.QUERIES[name](spark, path.partition("/documents.parquet")[0]).where("doc_id is not null")
+        assert sorted(df.columns) == sorted(expected.columns)
+        key = lambda r: tuple(map(str, r))
+        assert sorted(map(tuple, df.select(*expected.columns).collect()), key=key) == sorted(expected.fetchall(), key=key)

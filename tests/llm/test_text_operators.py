@@ -43,6 +43,23 @@ def test_random_tokens_are_told_from_words(spark):
     assert all(clean[k] == "see [SECRET] here" for k in hit) and clean[41] == texts[41]
 
 
+ALPHABETS = {"lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digits": "0123456789", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "abcdefghijklmnopqrstuvwxyz0123456789"}
+WRITTEN = "the quick model of international organization accounts receivable manager configuration default template customer service request handler abstract interface payment gateway session identifier history report annual statement consolidated balance sheet network security protocol buffer stream".split()
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+def test_keys_of_one_case_and_of_digits_are_found(spark, name):
+    r = random.Random(12)
+    # Digits of 32 and more are spans of the pattern for hexadecimal symbols anyway.
+    keys = ["".join(r.choices(ALPHABETS[name], k=30 if name == "digits" else 40)) for _ in range(60)]
+    join = [lambda w: "".join(w), lambda w: "".join(w).upper(), lambda w: w[0] + "".join(x.title() for x in w[1:]), lambda w: "_".join(w), lambda w: "/".join(w), lambda w: "".join(f"{x}{r.randint(0, 99)}" for x in w)]
+    words = [r.choice(join)(r.sample(WRITTEN, 5)) for _ in range(150)]
+    numbers = ["20240131" * 5, "1000000" * 6, "7" * 40, "100200300400500600700800900"]
+    df = spark.createDataFrame(list(enumerate(f"see {w} here" for w in keys + words + numbers)), "doc_id long, text string")
+    hit = {x.doc_id for x in secret_scan.find_secrets(df).where("size(spans) > size(base)").collect()}
+    assert len(hit & set(range(60))) >= 54 and len(hit - set(range(60))) <= 1
+
+
 def test_battery_accepts_uniform_strings():
     r = random.Random(1)
     ps = [secret_scan.fisher([secret_scan.chi_squared_p(v, 16), secret_scan.runs_p(v), secret_scan.serial_p(v)]) for v in ([r.randrange(16) for _ in range(40)] for _ in range(400))]

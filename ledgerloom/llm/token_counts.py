@@ -118,7 +118,10 @@ class PrefixCounter:
 
     def unit(self, unit: str) -> bytes:
         counts = self.unit_counts(unit)
-        return bytes([(b - a) & 0xFF for a, b in zip([0, *counts], counts, strict=False)])
+        steps = [b - a for a, b in zip([0, *counts], counts, strict=False)]
+        if steps and not (-128 <= min(steps) and max(steps) <= 127):
+            raise ValueError("a prefix's count differs from the one before by more than a signed byte holds")
+        return bytes([x & 0xFF for x in steps])
 
     def ordinary(self, text: str) -> bytes:
         return self.cache.join(self.any_unit.findall(text) if U.UNLISTED.search(text) else U.UNIT.findall(text))
@@ -134,7 +137,7 @@ class PrefixCounter:
             base, before = total, total + self.total(self.ordinary(ordinary))
             for k in range(1, len(special) + 1):
                 count = base + self.total(self.ordinary(ordinary + special[:k])) if k < len(special) else total + self.total(self.ordinary(ordinary)) + 1
-                out += np.int8(count - before).tobytes()
+                out += (count - before).to_bytes(1, "little", signed=True)
                 before = count
             total = before
         return out

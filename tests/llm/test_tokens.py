@@ -60,19 +60,20 @@ def test_token_counts_of_odd_texts(odd, nothing):
     assert token_counts.prefix_token_counts(nothing).count() == 0
 
 
+def check_offsets(offsets, df):
+    """Rows in the order of their starts: gapless, ids ascend (nulls first), and each row's ids are the library's."""
+    got = sorted((r.start, r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in offsets.collect())
+    ends = np.cumsum([0, *(n for *_, n, _ in got)]).tolist()
+    assert [g[0] for g in got] == ends[:-1]
+    assert [g[1:3] for g in got] == sorted(g[1:3] for g in got)
+    blobs = [(r.doc_id, np.array([*library("byte_bpe_50k.json", r.text), 0], "<u4").tobytes()) for r in df.collect()]
+    assert sorted(g[1:] for g in got) == sorted((d is not None, d or 0, len(b) // 4, zlib.crc32(b)) for d, b in blobs)
+
+
 def check_store(spark, df):
     path = shared_path(spark, "store-test")
     token_store.write_token_store(df, path)
-    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.start, r.n_tokens, r.ids_crc32) for r in token_store.token_offsets(token_store.read_token_store(spark, path)).collect()))
-    ids = {}
-    for r in df.collect():
-        ids.setdefault((r.doc_id is not None, r.doc_id or 0), []).append(np.array([*library("byte_bpe_50k.json", r.text), 0], "<u4").tobytes())
-    start, expected = 0, []
-    for key in sorted(ids):
-        for blob in sorted(ids[key], key=zlib.crc32):
-            expected.append((*key, start, len(blob) // 4, zlib.crc32(blob)))
-            start += len(blob) // 4
-    assert got == expected
+    check_offsets(token_store.token_offsets(token_store.read_token_store(spark, path)), df)
     return path
 
 
@@ -85,13 +86,50 @@ def test_store_round_trip(spark, sample, odd, nothing):
     assert "PushedFilters: [In(doc_id" in some._jdf.queryExecution().toString()
 
 
-def test_store_has_indexes_and_bloom_filters(spark, sample):
-    import pyarrow.orc as orc
+def test_a_common_id_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "file_count", lambda n: 6)
+    rows = [(7, f"text {k} of many") for k in range(300)] + [(None, f"none {k}") for k in range(100)] + [(k, "few") for k in range(20)] + [(7, "text 1 of many")] * 3
+    path = check_store(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len({r.file for r in token_store.read_token_store(spark, path).where("doc_id = 7").collect()}) > 1
 
-    path = check_store(spark, sample[0])
-    files = [r.file for r in spark.read.orc(path).select(F.col("_metadata.file_path").alias("file")).distinct().collect()]
-    f = orc.ORCFile(files[0].removeprefix("file:"))
-    assert f.row_index_stride == 1000 and f.nstripes >= 1 and f.compression == "ZSTD"
+
+def test_files_are_ordered_by_their_documents(spark):
+    from pyspark.sql import Row
+
+    names = {99998: [1, 2], 99999: [3, 4], 100000: [5, 6], 100001: [7]}
+    store = spark.createDataFrame([Row(doc_id=d, tokens=[d] * (d + 1), file=f"part-{k}.orc") for k, ids in names.items() for d in ids], "doc_id long, tokens array<int>, file string")
+    got = [(r.doc_id, r.start) for r in token_store.token_offsets(store).orderBy("doc_id").collect()]
+    assert got == [(d, sum(e + 1 for e in range(1, d))) for d in range(1, 8)]
+    assert [token_store.file_count(n) for n in (0, 1, 1 << 30, 30 << 30)] == [1, 1, 64, 702] and 300_000 < token_store.file_count(100 << 40) <= 409_600
+
+
+def test_store_has_indexes_and_bloom_filters(spark):
+    rows = spark.range(0, 60_000, 2, 1).select((F.col("id") * 7919 % 1_000_003).alias("doc_id"), F.concat_ws(" ", F.sha2(F.col("id").cast("string"), 512), F.sha2((-F.col("id")).cast("string"), 512)).alias("text"))
+    path = shared_path(spark, "store-test")
+    token_store.write_token_store(rows, path, stripe_mb=1)
+    java = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    file = next(r.file for r in spark.read.orc(path).select(F.col("_metadata.file_path").alias("file")).distinct().collect())
+    reader = java.org.apache.orc.OrcFile.createReader(java.org.apache.hadoop.fs.Path(file), java.org.apache.orc.OrcFile.readerOptions(conf))
+    assert reader.getRowIndexStride() == 1000 and reader.getStripes().size() > 1 and str(reader.getCompressionKind()) == "ZSTD"
+    scan = reader.rows()
+    for stripe in reader.getStripes():
+        kinds = {(str(x.getKind()), x.getColumn()) for x in scan.readStripeFooter(stripe).getStreamsList()}
+        assert ("BLOOM_FILTER_UTF8", 1) in kinds and {("ROW_INDEX", 1), ("ROW_INDEX", 2)} <= kinds
+    assert str(scan.readStripeFooter(reader.getStripes()[0]).getColumns(3).getKind()) == "DIRECT_V2"  # run-length encoded ids
+    scan.close()
+
+    def rows_read(ids):
+        found = token_store.read_token_store(spark, path, ids)
+        n = len(found.collect())
+        plan = found._jdf.queryExecution().executedPlan()
+        return n, plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+
+    there = sorted(r.doc_id for r in rows.collect())
+    known = there[len(there) // 2]
+    missing = next(x for x in range(known + 1, known + 50) if x not in set(there[len(there) // 2 - 60 : len(there) // 2 + 60]))
+    assert rows_read([known]) [0] == 1 and rows_read([known])[1] <= 2000 < len(there)
+    assert rows_read([missing]) == (0, 0)  # within the bounds of its rows: only the Bloom filter can tell
 
 
 def placed(df):

@@ -12,7 +12,7 @@ What is retrieved is verified: enough of the five-word shingles of the item's qu
 in the passage.
 
 Edge cases: null or empty texts match nothing; an item of fewer than five words counts as one shingle of all its
-words; an item without words is left out; rows and items that repeat are matched each; empty tables give no
+words; an item without words is left out; an item without an id counts as any other; rows and items that repeat are matched each; empty tables give no
 matches; other columns are ignored by ``leaks`` and kept by ``remove_leaks``.
 """
 
@@ -50,7 +50,7 @@ def shingles(words: list[str], size: int) -> set[tuple[str, ...]]:
 class Index:
     """BM25 postings of test items, in blocks of items that are neighbours by id."""
 
-    def __init__(self, items: list[tuple[int, str, str | None]], overlap: float, shingle: int, block: int = 2):
+    def __init__(self, items: list[tuple[int | None, str, str | None]], overlap: float, shingle: int, block: int = 2):
         self.size, self.block = shingle, block
         kept = []
         for item_id, text, answer in items:
@@ -59,7 +59,7 @@ class Index:
             question, answered = words_of(text), words_of(answer or "")
             if question or answered:
                 kept.append((item_id, question, answered))
-        kept.sort(key=lambda x: x[0])
+        kept.sort(key=lambda x: (x[0] is not None, x[0] or 0))
         self.ids = [x[0] for x in kept]
         self.parts = [(shingles(q, shingle), shingles(a, shingle)) for _, q, a in kept]
         counts = [Counter(q + a) for _, q, a in kept]
@@ -121,11 +121,11 @@ class Index:
         return len(part & (passage if size == self.size else shingles(words, size))) / len(part)
 
 
-def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str, str | None]]]:
+def item_blocks(items: DataFrame) -> Iterator[list[tuple[int | None, str, str | None]]]:
     """The test items in blocks of about ``INDEX_CHARS`` characters, one (maybe empty) at least. ``answer`` is used if the table has it."""
     answer = F.col("answer") if "answer" in items.columns else F.lit(None).cast("string")
-    own = items.where("item_id is not null").select("item_id", whole_text().alias("text"), answer.alias("answer"))
-    block: list[tuple[int, str, str | None]] = []
+    own = items.select("item_id", whole_text().alias("text"), answer.alias("answer"))
+    block: list[tuple[int | None, str, str | None]] = []
     chars = 0
     for row in own.toLocalIterator():
         if chars > INDEX_CHARS:
@@ -137,11 +137,11 @@ def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str, str | None]]]
 
 
 def matches(words: list[str], index: Index, overlap: float) -> dict[int, tuple[float, float, float]]:
-    """item id -> best (score, question overlap, answer overlap) among verified passages."""
+    """number of the item in the index -> best (score, question overlap, answer overlap) among verified passages."""
     best: dict[int, tuple[float, float, float]] = {}
     for i, *found in index.query(words):
-        if min(found[1:]) >= overlap and tuple(found) > best.get(index.ids[i], (-1.0, 0.0, 0.0)):
-            best[index.ids[i]] = tuple(found)
+        if min(found[1:]) >= overlap and tuple(found) > best.get(i, (-1.0, 0.0, 0.0)):
+            best[i] = tuple(found)
     return best
 
 
@@ -154,7 +154,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, overlap: float = 0.8, shingle: i
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = index.value
             for batch in batches:
-                rows = [(d, i, *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for i, x in sorted(matches(words_of(t.as_py()), own, overlap).items())]
+                rows = [(d, own.ids[i], *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for i, x in sorted(matches(words_of(t.as_py()), own, overlap).items())]
                 columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), *[pa.float64()] * 3), strict=True)], names=["doc_id", "item_id", "bm25", "question_overlap", "answer_overlap"])
 

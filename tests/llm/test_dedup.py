@@ -61,6 +61,35 @@ def test_near_copies_linked_through_one_original(spark):
     assert got_components(df, 2) == expected_components(df.collect(), 2)
 
 
+def test_only_pairs_of_different_components_are_formed(spark):
+    r = random.Random(4)
+    rows = [(k, r.randint(5, 9), r.choice([0, 0, 0, 0, 1, 2, 3, 4]), r.randint(0, 5), r.randint(4, 9), r.randint(0, 2), r.randint(0, 2)) for k in range(160)]
+    df = spark.createDataFrame(rows, "id long, n long, comp long, h long, most long, own int, other int")
+    plain = set()
+    for a in rows:
+        for b in rows:
+            if a[0] > b[0] and a[2] != b[2] and a[3] == b[3] and a[5] == b[6] and a[6] == b[5] and b[1] <= a[4] and a[1] <= b[4]:
+                plain.add((a[0], b[0]))
+    got = [tuple(x) for x in minhash.apart(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain
+
+
+def test_recall_of_buckets():
+    """Pairs at the threshold share a bucket; the chance to miss one is below 2e-8."""
+    import numpy as np
+
+    factors = np.random.default_rng(7).integers(0, 1 << 63, 80, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    r = np.random.default_rng(3)
+    found = 0
+    for k in range(300):
+        size = (9, 45, 180)[k % 3]
+        x = minhash.mixed(r.integers(0, 1 << 62, size * 10 // 9, dtype=np.uint64))
+        sets = [np.unique(x[:size]), np.unique(x[len(x) - size :])]
+        keys = minhash.band_keys(minhash.extremes(sets, factors))
+        found += bool((keys[0] == keys[1]).any())
+    assert found == 300
+
+
 def test_odd_documents(odd, nothing):
     assert got_components(odd, 2) == expected_components(odd.collect(), 2)
     none = [r for r in minhash.near_duplicates(odd, 2, 80).collect() if r.doc_id is None]

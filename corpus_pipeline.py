@@ -1,7 +1,11 @@
 """The training-corpus pipeline: each stage works on all that the stage before kept.
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written and
-read again as the next one's ``docs``. All but the last return the columns of ``documents``.
+read again as the next one's ``docs``. All but the last return the columns of ``documents``, and any others that ``docs`` has.
+
+Edge cases of all stages: a null text counts as empty; language ID drops it, and so do texts without a letter; the other filters keep it,
+and packing gives it a sequence of its end id. Texts of any length are read whole. Rows that repeat, with or without an id,
+are near copies of each other, and one stays; texts that tie go by the order of the rows. An empty table gives an empty result with the same columns.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import saved, table
+from ledgerloom.llm.common import INNER, saved, table
 from ledgerloom.llm.decontaminate import remove_leaks
 from ledgerloom.llm.language_id import keep_identified, learned
 from ledgerloom.llm.minhash import near_duplicates
@@ -17,15 +21,23 @@ from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.secret_scan import redact
 
 
+ROW = INNER + "row"
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go: those without a letter, and those with a narrow margin."""
     return keep_identified(docs, learned(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; rows that repeat an id are one document."""
-    gone = near_duplicates(docs, words_each=5, percent=80).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """Of each group of near copies one row stays, the first.
+
+    Rows are told apart by a number, not by ``doc_id``: rows that share an id are judged by their texts, and of equal rows one stays.
+    The numbers are written with the rows, so that all later steps see the same ones.
+    """
+    numbered = saved(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered-rows")
+    gone = near_duplicates(numbered.select(F.col(ROW).alias("doc_id"), "text"), words_each=5, percent=80).where("not kept").select(F.col("doc_id").alias(ROW))
+    return numbered.join(gone, ROW, "left_anti").select(docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

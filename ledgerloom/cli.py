@@ -1,78 +1,159 @@
-"""Stages from the command line: ``python -m ledgerloom.cli STAGE --in ... --out ...``.
+"""Stages from the command line: ``python -m ledgerloom.cli STAGE --in ... --out ...``. Each reads what the one before wrote:
 
-Fetching and models are providers of the caller (``operators.providers``); these stages start from tables on storage.
+scrape (addresses of the configuration) -> classify -> parse -> confirm -> normalize -> build -> export; ``companies``, ``add``, ``research`` and
+``market`` stand beside the chain. Search, models and other fetchers are the caller's (``operators.providers``, ``operators.models``).
 """
 
 from __future__ import annotations
 
 import argparse
 import datetime
+import os
+import pathlib
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas
+from ledgerloom.functions import headings as H
+from ledgerloom.functions import links as L
 from ledgerloom.functions import reports as R
-from ledgerloom.operators import extract, facts, selection, taxonomy
+from ledgerloom.functions.text import label_slug
+from ledgerloom.operators import crawl, extract, facts, market, providers, selection, taxonomy
 from ledgerloom.session import session
 from ledgerloom.sources import files, html_tables
 
 
+def configured(spark: SparkSession, path: str) -> DataFrame:
+    return files.companies_from_yaml(spark, pathlib.Path(path).read_text())
+
+
+def companies_(spark, a):
+    configured(spark, a.companies).write.mode("overwrite").json(a.output)
+
+
+def add(spark, a):
+    """Adds a company, or addresses to its first source; the configuration is a small file and is replaced in one step."""
+    path = pathlib.Path(a.companies)
+    text = path.read_text() if path.exists() else ""
+    if a.name:
+        text = files.upsert_company_yaml(text, a.slug, {"name": a.name, "sources": [{"name": "direct", "direct_urls": a.url}]})
+    else:
+        text = files.append_direct_urls(text, a.slug, a.url)
+    files.companies_from_yaml(spark, text)  # raises before anything is written
+    staged = path.with_suffix(".new")
+    staged.write_text(text)
+    os.replace(staged, path)
+
+
+def scrape(spark, a):
+    """Fetches the configured direct addresses; writes the manifest and the contents, each content once."""
+    sources = configured(spark, a.companies).select("slug", F.posexplode("sources").alias("n", "s"))
+    urls = sources.select("slug", "n", F.col("s.name").alias("source_name"), F.posexplode(F.coalesce("s.direct_urls", F.array().cast("array<string>"))).alias("k", "url"))
+    got = urls.repartition("url").select("url").distinct().mapInPandas(providers.fetch_first([providers.UrlStrategy()], wait=0.5), providers.FETCH_SCHEMA)
+    got.write.mode("overwrite").parquet(f"{a.output}/fetched")
+    fetched = spark.read.parquet(f"{a.output}/fetched").where("status < 400")
+    found = urls.join(fetched, "url").withColumn("ord", (F.col("n") * 10_000 + F.col("k")).cast("int"))
+    stored = selection.first_of(found.withColumn("sha256", F.sha2("body", 256)), ["slug", "sha256"], [F.col("ord")])
+    name = F.concat("sha256", L.file_suffix(F.col("url"), F.col("content_type")))
+    manifest = stored.select(
+        "sha256", F.col("url").alias("source_url"), F.col("url").alias("page_url"), F.lit(None).cast("string").alias("link_text"), name.alias("local_path"), F.octet_length("body").cast("long").alias("size_bytes"), "content_type",
+        F.current_timestamp().cast("string").alias("discovered_at"), "source_name", F.concat_ws(":", "slug", "source_name").alias("label"), "ord",
+    )
+    files.write_stage(manifest, f"{a.output}/manifest")
+    crawl.content_store(stored.select(F.col("body").alias("content"), "ord")).select("sha256", "content").write.mode("overwrite").parquet(f"{a.output}/contents")
+
+
+def html_of(spark: SparkSession, path: str) -> DataFrame:
+    contents = spark.read.parquet(f"{path}/contents")
+    return contents.select("sha256", F.decode("content", "utf-8").alias("html")).where(F.lower(F.substring("html", 1, 2000)).contains("<html") | F.lower("html").contains("<table"))
+
+
 def classify(spark, a):
-    docs = files.read_stage(spark, a.input, schemas.SCRAPED)
-    text = R.haystack(F.col("source_url"), F.col("local_path"), F.col("link_text"))
-    ruled = docs.withColumn("__text", text).withColumn("__rule", R.matched_rule(F.col("__text"))).withColumn("__c", R.classify(F.col("__text"), F.col("__rule")))
-    files.write_stage(ruled.select(*docs.columns, "__c.*", F.lit("rules").alias("classified_by")), a.output)
+    """By names, and by the front matter where names leave a doubt. ``--in``: the folder that scrape wrote."""
+    docs = files.read_stage(spark, f"{a.input}/manifest", schemas.SCRAPED).withColumn("company_slug", label_slug(F.col("label")))
+    ruled = docs.withColumn("__text", R.haystack(F.col("source_url"), F.col("local_path"), F.col("link_text"))).withColumn("__c", R.classify(F.col("__text"), R.matched_rule(F.col("__text"))))
+    named = ruled.select("sha256", "source_url", "local_path", "company_slug", "link_text", "size_bytes", "ord", "__c.*")
+    front = html_of(spark, a.input).select("sha256", F.lower(H.front_matter(H.html_text(F.col("html")))).alias("front"))
+    sniffed = front.withColumn("c", R.classify(F.col("front"), R.matched_rule(F.col("front")))).select("sha256", "c.*")
+    files.write_stage(selection.classify_cascade(named, sniffed), a.output)
 
 
 def parse(spark, a):
-    html = files.read_blobs(spark, a.input, "*.htm*").select("sha256", F.decode("content", "utf-8").alias("html"))
-    cells = html_tables.table_cells(html)
-    extract.statements_of(html_tables.statement_headings(html), extract.rows_of_tables(cells)).write.mode("overwrite").parquet(a.output)
+    """The first annual document of each company and year that holds a statement. ``--in``: scrape's folder, ``--classified``: classify's output."""
+    docs = files.read_stage(spark, a.classified, schemas.CLASSIFIED)
+    html = html_of(spark, a.input).join(docs.select("sha256").distinct(), "sha256", "left_semi")
+    scanned = html_tables.scanned(html, f"{a.output}/scan")
+    rows = extract.statements_of(html_tables.statement_headings(scanned), extract.rows_of_tables(html_tables.table_cells(scanned)))
+    counted = rows.groupBy("sha256").agg(F.count_distinct("statement").alias("n_statements"))
+    chosen = selection.first_success(selection.rank_candidates(docs), counted).select("sha256", "company_slug", "fiscal_year")
+    currency = configured(spark, a.companies).select(F.col("slug").alias("company_slug"), F.col("reporting_currency").alias("currency"))
+    whole = rows.join(chosen, "sha256").join(currency, "company_slug", "left")
+    whole.select(
+        "company_slug", F.col("sha256").alias("source_sha256"), F.col("fiscal_year").alias("source_fiscal_year"), "statement", "currency", "unit", F.lit(12).alias("period_months"), "row_idx", "raw_label", "values_by_period_end",
+        F.lit(None).cast("int").alias("source_page"), F.col("table_idx").alias("source_table_index"),
+    ).write.mode("overwrite").parquet(f"{a.output}/rows")
 
 
 def confirm(spark, a):
-    extract.confirm_rows(spark.read.parquet(a.input)).write.mode("overwrite").parquet(a.output)
+    extract.confirm_rows(spark.read.parquet(f"{a.input}/rows")).write.mode("overwrite").parquet(f"{a.output}/rows")
 
 
 def normalize(spark, a):
-    rows = spark.read.parquet(a.input)
+    """Facts, and the line items of each taxonomy."""
+    rows = spark.read.parquet(f"{a.input}/rows")
     reports = rows.groupBy(*taxonomy.GROUP, "source_sha256", "source_fiscal_year").agg(F.count(F.lit(1)).alias("n_rows"), F.min("source_sha256").alias("ord"))
     chosen = taxonomy.taxonomy_source(reports).select(*taxonomy.GROUP, "source_sha256")
     items = taxonomy.taxonomy(rows.join(chosen, [*taxonomy.GROUP, "source_sha256"], "left_semi"))
-    taxonomy.to_facts(taxonomy.resolve_labels(rows, items)).write.mode("overwrite").parquet(a.output)
+    taxonomy.line_items(items).write.mode("overwrite").parquet(f"{a.output}/items")
+    taxonomy.to_facts(taxonomy.resolve_labels(rows, items)).write.mode("overwrite").parquet(f"{a.output}/facts")
 
 
 def build(spark, a):
-    facts.write_facts(facts.upsert(None, spark.read.parquet(a.input)), a.output)
+    """The store's companies that came again lose their old rows. ``--in``: normalize's folder."""
+    facts.write_facts(facts.upsert(None, spark.read.parquet(f"{a.input}/facts")), f"{a.output}/facts")
+    facts.write_facts(spark.read.parquet(f"{a.input}/items"), f"{a.output}/items")
 
 
 def export(spark, a):
-    stored = files.read_facts(spark, a.input)
-    cells = facts.consolidated(stored)
-    items = spark.read.schema(schemas.LINE_ITEMS).parquet(a.items)
-    companies = files.companies_from_yaml(spark, "\n".join(r.value for r in spark.read.text(a.companies).collect()))
-    facts.write_documents(facts.statement_documents(facts.consolidated_rows(items, cells), companies), a.output)
+    """Documents and their index. ``--in``: the store."""
+    stored = files.read_facts(spark, f"{a.input}/facts")
+    items = spark.read.schema(schemas.LINE_ITEMS).parquet(f"{a.input}/items")
+    companies = configured(spark, a.companies)
+    documents = facts.statement_documents(facts.consolidated_rows(items, facts.consolidated(stored)), companies)
+    facts.write_documents(documents, f"{a.output}/documents")
+    files.write_index(*facts.document_index(companies, documents), f"{a.output}/index")
 
 
 def research(spark, a):
-    have = files.read_stage(spark, a.input, schemas.CLASSIFIED)
-    gaps = selection.coverage_gaps(have, have.select(F.col("company_slug").alias("slug")), a.year)
-    gaps.write.mode("overwrite").json(a.output)
+    """Years without an annual document, for all configured companies. ``--in``: classify's output."""
+    have = files.read_or_none(lambda: files.read_stage(spark, a.input, schemas.CLASSIFIED))
+    have = spark.createDataFrame([], schemas.CLASSIFIED) if have is None else have
+    selection.coverage_gaps(have, configured(spark, a.companies).select("slug"), a.year).write.mode("overwrite").json(a.output)
+
+
+def market_(spark, a):
+    """Market records from quotes (JSON lines: ticker, price, currency, previous_close, sparkline)."""
+    quotes = spark.read.schema("ticker string, price double, currency string, previous_close double, sparkline array<double>").json(a.input)
+    files.write_market(market.market_records(quotes, configured(spark, a.companies), F.unix_timestamp()), a.output)
 
 
-STAGES = {f.__name__: f for f in (classify, parse, confirm, normalize, build, export, research)}
+STAGES = {f.__name__.rstrip("_"): f for f in (companies_, add, scrape, classify, parse, confirm, normalize, build, export, research, market_)}
 
 
-def main() -> None:
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     p = argparse.ArgumentParser(prog="ledgerloom")
     p.add_argument("stage", choices=STAGES)
-    p.add_argument("--in", dest="input", required=True)
-    p.add_argument("--out", dest="output", required=True)
-    p.add_argument("--items", help="line items (export)")
-    p.add_argument("--companies", help="company configuration in YAML (export)")
+    p.add_argument("--in", dest="input")
+    p.add_argument("--out", dest="output")
+    p.add_argument("--companies", help="company configuration in YAML")
+    p.add_argument("--classified", help="output of classify (parse)")
+    p.add_argument("--slug", help="the company (add)")
+    p.add_argument("--name", help="its name, if it is new (add)")
+    p.add_argument("--url", action="append", default=[], help="an address (add)")
     p.add_argument("--year", type=int, default=datetime.date.today().year, help="the current year (research)")
-    a = p.parse_args()
-    STAGES[a.stage](session(), a)
+    a = p.parse_args(argv)
+    STAGES[a.stage](spark or session(), a)
 
 
 if __name__ == "__main__":

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Fixed values.
 PDF_MARKS = (
@@ -39,7 +38,7 @@ def path(url: Column) -> Column:
 
 
 def registrable(host_name: Column) -> Column:
-    """The registered domain: the last two labels, or three under the listed suffixes; null for one label or an address."""
+    """The registered domain: the last two labels, or three under the listed suffixes; null for one label or an address. ``crawl.registered_domains`` takes a table of suffixes."""
     two, three = F.substring_index(host_name, ".", -2), F.substring_index(host_name, ".", -3)
     labels = F.size(F.split(host_name, r"\."))
     named = F.when(two.isin(*TWO_LABEL_SUFFIXES), F.when(labels >= 3, three)).when(labels >= 2, two)
@@ -92,28 +91,52 @@ def page_title(html: Column, most: int = 160) -> Column:
     return F.coalesce(F.nullif(F.substring(collapse(F.regexp_extract(html, TITLE, 1)), 1, most), F.lit("")), F.lit("(no title)"))
 
 
-@F.udf(StringType(), useArrow=True)
-def _joined(base: str | None, url: str | None) -> str | None:
-    from urllib.parse import urljoin
+SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
+ROOT = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
+#: Path, query and fragment of what follows scheme and host.
+PARTS = r"(?s)^([^?#]*)(\?[^#]*)?(#.*)?$"
 
-    if base is None or url is None:
-        return None
-    try:
-        return urljoin(base, url)
-    except ValueError:
-        return None
+
+def merged_path(base_path: Column, url_path: Column) -> Column:
+    """``url_path`` as seen from ``base_path``: relative paths start at the base's folder, and dot segments are walked."""
+    from ledgerloom.functions.reports import let
+
+    none = F.array().cast("array<string>")
+
+    def relative(x: Column) -> Column:
+        folder = F.when(F.get(x["base"], F.size(x["base"]) - 1) == "", x["base"]).otherwise(F.slice(x["base"], 1, F.size(x["base"]) - 1))
+        return let(F.concat(folder, x["own"]), lambda joined: F.filter(joined, lambda s, k: (s != "") | (k == 0) | (k == F.size(joined) - 1)))
+
+    def walked(segments: Column) -> Column:
+        last = F.get(segments, F.size(segments) - 1)
+        kept = F.aggregate(segments, none, lambda at, s: F.when(s == "..", F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0)))).when(s == ".", at).otherwise(F.concat(at, F.array(s))))
+        return F.array_join(F.concat(kept, F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(none)), "/")
+
+    own = F.split(url_path, "/")
+    segments = F.when(url_path.startswith("/"), own).otherwise(let(F.struct(F.split(base_path, "/").alias("base"), own.alias("own")), relative))
+    return let(let(segments, walked), lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p)))
 
 
 def resolve(base: Column, url: Column) -> Column:
-    """``url`` as seen from ``base``. Absolute, scheme-relative, root-relative and fragment URLs stay in the JVM; what is left goes to Python."""
-    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    dotted = url.rlike(r"(^|/)\.{1,2}(/|$|[?#])")
-    easy = (F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & ~dotted, url)
-        .when(url.startswith("//") & ~dotted, F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), url))
-        .when(url.startswith("/") & ~dotted & (root != ""), F.concat(root, url))
-        .when(url == "", base)
-        .when(url.startswith("#"), F.concat(without_fragment(base), url)))
-    return F.coalesce(easy, _joined(F.when(easy.isNull(), base), F.when(easy.isNull(), url)))
+    """``url`` as seen from ``base`` (an absolute address with a host, else the result is null for relative ones). Built-in functions only."""
+    from ledgerloom.functions.reports import let
+
+    clean = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    scheme, root = F.lower(F.regexp_extract(base, SCHEME, 1)), F.regexp_extract(base, ROOT, 1)
+
+    def of_parts(x: Column) -> Column:
+        below = F.substring(base, F.length(x["root"]) + 1, F.lit(1 << 20))
+        path_, query, fragment = (F.regexp_extract(x["url"], PARTS, k) for k in (1, 2, 3))
+        own_query = F.when(query == "?", "").otherwise(query)
+        base_path, base_query = F.regexp_extract(below, PARTS, 1), F.regexp_extract(below, PARTS, 2)
+        tail = F.when(fragment == "#", "").otherwise(fragment)
+        same = F.when(path_ == "", F.concat(base_path, F.when(own_query == "", base_query).otherwise(own_query))).otherwise(F.concat(merged_path(base_path, path_), own_query))
+        return (F.when(x["url"] == "", base).when(base == "", x["url"])
+            .when(x["url"].rlike(SCHEME), x["url"])
+            .when(x["url"].startswith("//"), F.concat(x["scheme"], F.lit(":"), x["url"]))
+            .when(x["root"] != "", F.concat(x["scheme"], F.substring(x["root"], F.length(x["scheme"]) + 1, F.lit(1 << 20)), same, tail)))
+
+    return let(F.struct(clean.alias("url"), scheme.alias("scheme"), root.alias("root")), of_parts)
 
 
 def file_format(local_path: Column, url: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 # The first pattern that matches decides; a group is the fiscal year.
 RULES = (
@@ -72,44 +73,69 @@ def rule_kind(rule: Column) -> Column:
     return F.coalesce(F.get(F.array(*[F.lit(k) for k, _ in RULES]), rule), F.lit("other"))
 
 
-def rule_year(text: Column, rule: Column) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def matched_text(text: Column, rule: Column) -> Column:
+    """Struct of what stands before the rule's match, the match, and the match's first group; empty where there is none."""
+    pattern = F.get(F.array(*[F.lit(f"(?isU)^(.*?)({p})") for _, p in RULES]), rule)
+    year = F.get(F.array(*[F.lit(f"(?iU){p}" if r"(\d{4})" in p else "()") for _, p in RULES]), rule)
+    part = lambda p, k: F.call_function("regexp_extract", text, p, F.lit(k))
+    return F.struct(part(pattern, 1).alias("before"), part(pattern, 2).alias("match"), part(year, 1).alias("group"))
+
+
+def year_in(match: Column) -> Column:
     """The valid year in the matched rule's group."""
-    found = F.lit(None).cast("int")
-    for k, (_, pattern) in enumerate(RULES):
-        if r"(\d{4})" in pattern:
-            found = F.when(rule == k, F.nullif(F.regexp_extract(text, "(?iU)" + pattern, 1), F.lit("")).try_cast("int")).otherwise(found)
-    return F.when(found.between(1990, 2030), found)
-
-
-@F.udf(IntegerType(), useArrow=True)
-def _near_year(text: str | None, rule: int | None, nearest: bool) -> int | None:
-    import re
-
-    if text is None or rule is None or not (m := re.search(RULES[rule][1], text, re.IGNORECASE)):
-        return None
-    start, end = m.span()
-    base = max(0, start - NEAR)
-    found = []
-    for y in re.finditer(YEAR, text[base : end + NEAR]):
-        # Distances compare places in the whole text with places in the window, unless the corrected form is asked for.
-        shift = base if nearest else 0
-        first, last = y.start() + shift, y.end() + shift
-        if 1990 <= int(y[0]) <= 2030:
-            found.append((abs(start - last if last <= start else first - end), int(y[0])))
-    return min(found)[1] if found else None
+    year = F.nullif(match["group"], F.lit("")).try_cast("int")
+    return F.when(year.between(1990, 2030), year)
+
+
+def year_beside(text: Column, match: Column, nearest: bool) -> Column:
+    """See ``near_year``."""
+    start = F.length(match["before"])
+    places = F.struct(start.alias("start"), (start + F.length(match["match"])).alias("end"), F.greatest(start - NEAR, F.lit(0)).alias("base"))
+
+    def of_window(at: Column) -> Column:
+        window = F.substring(text, at["base"] + 1, at["end"] + NEAR - at["base"])
+        cut = F.struct(F.split(window, YEAR).alias("parts"), F.regexp_extract_all(window, F.lit(YEAR), F.lit(1)).alias("years"))
+
+        def candidates(w: Column) -> Column:
+            def candidate(year: Column, k: Column) -> Column:
+                first = F.aggregate(F.slice(w["parts"], 1, k + 1), F.lit(0), lambda sum_, x: sum_ + F.length(x)) + 4 * k + (at["base"] if nearest else 0)
+                return F.struct(F.abs(F.when(first + 4 <= at["start"], at["start"] - first - 4).otherwise(first - at["end"])).alias("distance"), year.cast("int").alias("year"))
+
+            return F.array_min(F.filter(F.transform(w["years"], candidate), lambda c: c["year"].between(1990, 2030)))["year"]
+
+        return let(cut, candidates)
+
+    return F.when(match["match"] != "", let(places, of_window))
 
 
 def near_year(text: Column, rule: Column, *, nearest: bool = False) -> Column:
-    """The year within 80 characters of the rule's match. In windows that don't begin at the text's start the right-most one tends to win; ``nearest`` corrects that."""
-    return _near_year(text, rule, F.lit(nearest))
+    """The valid year within 80 characters of the rule's match that is the least distance away, the smaller one on ties.
+
+    By default the distance compares a year's place in the window around the match with the match's place in the whole text, so that in
+    windows that don't begin at the text's start a year far to the right may win; ``nearest`` compares places in the whole text. The window
+    is cut at its years: the lengths of the parts between them are their places.
+    """
+    return let(matched_text(text, rule), lambda m: year_beside(text, m, nearest))
 
 
 def classify(text: Column, rule: Column, *, near: bool = True) -> Column:
-    """Struct of kind, fiscal_year, confidence. ``near`` adds the years beside the match, by Python; only rows that need them are sent."""
-    own = rule_year(text, rule)
-    year = F.coalesce(own, near_year(text, F.when(own.isNull() & text.rlike(YEAR), rule)), latest_year(text)) if near else F.coalesce(own, latest_year(text))
-    confidence = F.when(rule.isNotNull(), F.when(year.isNotNull(), WITH_YEAR).otherwise(NO_YEAR)).otherwise(F.when(year.isNotNull(), YEAR_ONLY).otherwise(NOTHING))
-    return F.struct(rule_kind(rule).alias("kind"), year.alias("fiscal_year"), confidence.alias("confidence"))
+    """Struct of kind, fiscal_year, confidence. The year is the one in the rule's match, else (``near``) one beside it, else the text's latest."""
+
+    def of_rule(known: Column) -> Column:
+        years = let(matched_text(text, known["rule"]), lambda m: F.coalesce(year_in(m), *([year_beside(text, m, False)] if near else []), latest_year(text)))
+
+        def of_year(found: Column) -> Column:
+            confidence = F.when(known["rule"].isNotNull(), F.when(found["year"].isNotNull(), WITH_YEAR).otherwise(NO_YEAR)).otherwise(F.when(found["year"].isNotNull(), YEAR_ONLY).otherwise(NOTHING))
+            return F.struct(rule_kind(known["rule"]).alias("kind"), found["year"].alias("fiscal_year"), confidence.alias("confidence"))
+
+        return let(F.struct(years.alias("year")), of_year)
+
+    return let(F.struct(rule.alias("rule")), of_rule)
 
 
 def needs_sniff(confidence: Column, fiscal_year: Column, local_path: Column) -> Column:

@@ -104,6 +104,32 @@ def archived_captures(captures: DataFrame) -> DataFrame:
     return first_of(captures.where("statuscode = '200'"), ["original"], [F.col("timestamp")])
 
 
+def closest_snapshots(answers: DataFrame) -> DataFrame:
+    """``url, snapshot_url``: the raw address of the archive's closest copy, from its availability answers (``url``, ``body``); without one no row."""
+    schema = "archived_snapshots struct<closest:struct<available:boolean,url:string,timestamp:string>>"
+    closest = F.from_json("body", schema)["archived_snapshots"]["closest"]
+    found = answers.select("url", closest.alias("c")).where("c.available")
+    return found.select("url", L.archive_raw_url(F.col("c.url"), F.col("c.timestamp")).alias("snapshot_url")).where("snapshot_url is not null")
+
+
+def registered_domains(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """``hosts`` (host) with ``domain``: the label before the longest suffix that a rule of the table ``rules`` (rule) names, and that suffix.
+
+    ``*.x`` stands for any label before x, ``!y`` for a name that such a rule does not cover; a host without a rule has its last label as
+    suffix; a host that is a suffix has none. All suffixes of each distinct host are joined to the rules by equality.
+    """
+    names = hosts.select("host").where("host is not null").distinct().withColumn("labels", F.split("host", r"\."))
+    tails = names.select("host", "labels", F.posexplode(F.transform("labels", lambda _, k: F.array_join(F.slice("labels", k + 1, F.size("labels")), "."))).alias("k", "tail"))
+    parent = F.when(F.instr("tail", ".") > 0, F.concat(F.lit("*."), F.expr("substring(tail, instr(tail, '.') + 1)")))
+    asked = tails.select("host", F.size("labels").alias("n"), "k", F.explode(F.array(F.col("tail"), parent, F.concat(F.lit("!"), F.col("tail")))).alias("rule")).where("rule is not null")
+    # Labels in the suffix: an exception's without its first; the default rule is the last label.
+    found = asked.join(rules.select("rule").distinct(), "rule").select("host", F.when(F.col("rule").startswith("!"), 1000 + F.col("n") - F.col("k") - 1).otherwise(F.col("n") - F.col("k")).alias("length"))
+    longest = found.groupBy("host").agg(F.max("length").alias("length"))
+    length = F.coalesce(F.col("length") % 1000, F.lit(1))
+    domain = F.when(F.size("labels") > length, F.array_join(F.slice("labels", F.size("labels") - length, length + 1), "."))
+    return hosts.join(names.join(longest, "host", "left").select("host", domain.alias("domain")), "host", "left")
+
+
 def filings(submissions: DataFrame, forms: tuple[str, ...] = ("20-F", "10-K", "40-F"), most: int = 20) -> DataFrame:
     """Filings of the wanted forms: parallel arrays zipped up to the shortest, with the address of the document."""
     arrays = ("form", "accessionNumber", "primaryDocument", "filingDate")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.periods import has_any_value, has_year, keeps_row, label_cell, values_by_period, year_headers
+from ledgerloom.functions.periods import has_any_value, has_year, keeps_row, label_cell, lettered_label_cell, values_by_period, year_headers
 from ledgerloom.functions.text import clean_label
 from ledgerloom.operators.hierarchy import classify_rows, infer_hierarchy
-from ledgerloom.operators.selection import best_tables
+from ledgerloom.operators.selection import best_tables, first_of, grid_score, table_gate
 
 REPORT = ["company_slug", "source_sha256", "source_fiscal_year", "statement"]
 
@@ -31,6 +31,32 @@ def statements_of(headings: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(best, ["sha256", "table_idx"])
 
 
+def grid_statements(cells: DataFrame, headings: DataFrame, least_rows: int = 5, after: int = 1) -> DataFrame:
+    """Rows of the best table near each heading's page (``headings``: sha256, kind, page_idx): on it or up to ``after`` pages further.
+
+    Tables need three rows, two columns and a period column (``table_gate``); the highest ``grid_score`` wins, the first table on ties. A
+    statement with fewer than ``least_rows`` rows is left to other extractors. ``cells``: sha256, page_idx, table_idx, row_idx, cells; row 0 is the header.
+    """
+    table = ["sha256", "page_idx", "table_idx"]
+    years = F.size(F.filter(year_headers(F.col("cells")), lambda y: y.isNotNull()))
+    digits = F.size(F.filter("cells", lambda c: c.rlike("[0-9]")))
+    dated = F.greatest(F.max(F.when(F.col("row_idx") == 0, years)), F.lit(0))
+    first = F.greatest(F.max(F.when(F.col("row_idx") == 1, years)), F.lit(0))
+    body = F.col("row_idx") > 0
+    shapes = cells.groupBy(*table).agg(F.count_if(body).alias("n"), F.max(F.size("cells")).alias("width"), F.when(dated > 0, dated).otherwise(first).alias("dated"), F.sum(F.when(body, digits).otherwise(0)).alias("digits"))
+    gated = shapes.where(table_gate(F.col("n"), F.col("width"), F.col("dated")))
+    near = gated.join(headings.select("sha256", "kind", F.col("page_idx").alias("heading")), "sha256").where(F.col("page_idx").between(F.col("heading"), F.col("heading") + after))
+    scored = near.withColumn("score", grid_score(F.col("page_idx") == F.col("heading"), F.col("dated"), F.col("width"), F.col("digits"), F.col("n")))
+    best = first_of(scored, ["sha256", "kind"], [F.col("score").desc(), F.col("page_idx"), F.col("table_idx")])
+    rows = best.select(*table, F.col("kind").alias("statement"), F.col("heading").alias("source_page")).join(cells, table)
+    header = Window.partitionBy("sha256", "statement")
+    at = F.coalesce(F.min(F.when(has_year(F.col("cells")) & (F.col("row_idx") < 2), F.col("row_idx"))).over(header), F.lit(0))
+    named = rows.withColumn("__at", at).withColumn("__years", F.max(F.when(F.col("row_idx") == F.col("__at"), year_headers(F.col("cells")))).over(header)).where("row_idx > __at")
+    label = lettered_label_cell(F.col("cells"))
+    kept = named.where(F.exists("__years", lambda y: y.isNotNull())).select("sha256", "statement", "source_page", "table_idx", "row_idx", label.alias("raw_label"), values_by_period(F.col("cells"), F.col("__years")).alias("values_by_period_end")).where("raw_label is not null")
+    return kept.withColumn("__n", F.count(F.lit(1)).over(header)).where(F.col("__n") >= least_rows).drop("__n")
+
+
 def confirm_rows(extracted: DataFrame) -> DataFrame:
     """Confirmation by rule: empty labels go, hierarchy is inferred, numbers become text."""
     kept = extracted.withColumn("label", clean_label(F.col("raw_label"))).where("label <> ''")

@@ -42,8 +42,18 @@ def consolidated(facts: DataFrame, keys: list[str] = CELL_KEYS, order: list[Colu
 
 
 def consolidated_rows(line_items: DataFrame, cells: DataFrame) -> DataFrame:
-    """Every line item with its cells (none: one row with nulls), in display order, newest period first."""
-    return line_items.join(cells.drop("period_months", "source_sha256"), LINE_KEYS, "left").orderBy(F.col("company_slug").asc_nulls_last(), F.col("statement").asc_nulls_last(), F.col("display_order").asc_nulls_last(), F.col("period_end").desc_nulls_last())
+    """Every line item with its cells (none: one row with nulls). Unordered: ``in_display_order`` sorts for a reader, sinks sort what they write."""
+    return line_items.join(cells.drop("period_months", "source_sha256"), LINE_KEYS, "left")
+
+
+def in_display_order(rows: DataFrame) -> DataFrame:
+    """By company, statement and display order, newest period first; nulls last."""
+    return rows.orderBy(F.col("company_slug").asc_nulls_last(), F.col("statement").asc_nulls_last(), F.col("display_order").asc_nulls_last(), F.col("period_end").desc_nulls_last())
+
+
+def statement_rows(rows: DataFrame, company_slug: str, statement: str) -> DataFrame:
+    """The rows of one statement: on a table partitioned by company only that partition is read."""
+    return rows.where((F.col("company_slug") == company_slug) & (F.col("statement") == statement))
 
 
 def statement_summary(facts: DataFrame) -> DataFrame:

@@ -55,6 +55,30 @@ def directory(companies: DataFrame, coverage: DataFrame, market: DataFrame, curr
     return joined.select("*", sort("price"), sort("market_cap"))
 
 
+#: What the directory can be sorted by; money is compared in one currency.
+SORTABLE = {"name": "name", "ticker": "ticker", "price": "price_in_eur", "market_cap": "market_cap_in_eur", "change": "change_pct", "statements": "n_statements"}
+
+
+def grid_order(by: str, *, descending: bool = False) -> list[Column]:
+    """The order of the directory's rows; missing values last either way, ties by slug."""
+    key = F.col(SORTABLE[by])
+    return [key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col("slug")]
+
+
+def cell_tooltip(value: Column, source_fiscal_year: Column, is_restated: Column) -> Column:
+    """What a cell says about its origin."""
+    from_ = F.concat(F.lit("From the "), source_fiscal_year.cast("string"), F.lit(" report"))
+    return F.when(value.isNotNull(), F.when(is_restated, F.concat(from_, F.lit(", restated"))).otherwise(from_))
+
+
+def company_card(companies: DataFrame) -> DataFrame:
+    """Company metadata with empty texts for what is missing, and the site's host."""
+    from ledgerloom.functions.links import host
+
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return companies.select("slug", "name", *[empty(c) for c in ("ticker", "exchange", "sector", "headquarters", "description")], F.coalesce(host(F.col("website")), F.lit("")).alias("site"))
+
+
 def search_any(rows: DataFrame, query: str, columns: list[str]) -> DataFrame:
     """Rows with ``query`` in one of the columns, in any case; an empty query passes all."""
     needle = query.strip().lower()

@@ -52,8 +52,65 @@ def cached_calls(requests: DataFrame, cache: DataFrame, respond: Respond) -> tup
     return requests.join(cache.unionByName(new), "key", "left"), new
 
 
-def fetch_first(strategies: list[FetchStrategy], tries: int = 3) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """For ``mapInPandas`` over ``url``: the first strategy that answers, or the last error."""
+class UrlStrategy:
+    """Plain requests by the standard library."""
+
+    name = "urllib"
+
+    def __init__(self, timeout: float = 10.0, agent: str = "Mozilla/5.0"):
+        self.timeout, self.agent = timeout, agent
+
+    def request(self, method: str, url: str, headers: dict[str, str] | None = None) -> tuple[int, str, bytes]:
+        import urllib.error
+        import urllib.request
+
+        asked = urllib.request.Request(url, method=method, headers={"User-Agent": self.agent, **(headers or {})})
+        try:
+            with urllib.request.urlopen(asked, timeout=self.timeout) as answer:
+                return answer.status or 200, answer.headers.get("Content-Type", ""), answer.read()
+        except urllib.error.HTTPError as error:
+            return error.code, error.headers.get("Content-Type", ""), b""
+
+    def fetch(self, url: str) -> tuple[int, str, bytes]:
+        status, kind, body = self.request("GET", url)
+        if status >= 400:
+            raise OSError(f"status {status}")
+        return status, kind, body
+
+
+#: (method, url) -> status and content type; raises if the host doesn't answer.
+Probe = Callable[[str, str], tuple[int, str]]
+
+
+def is_reachable(url: str, probe: Probe, get_after: tuple[int, ...] | None = None, *, document: bool = False) -> bool:
+    """HEAD, then GET if HEAD fails (with ``get_after``: only at those statuses). A ``document`` must not be a web page."""
+    try:
+        status, kind = probe("HEAD", url)
+        if status >= 400 and (get_after is None or status in get_after):
+            status, kind = probe("GET", url)
+    except Exception:  # noqa: BLE001 - no answer is an answer
+        return False
+    return status < 400 and not (document and "html" in (kind or "").lower())
+
+
+def reachable_documents(picks: DataFrame, snapshots: DataFrame, probe: Probe) -> DataFrame:
+    """``picks`` (url) with ``reachable``, and ``snapshot_url`` where only an archived copy of ``snapshots`` (url, snapshot_url) answers. Each address is asked once."""
+    schema = "asked string, answers boolean"
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"asked": batch["asked"], "answers": [is_reachable(u, probe, document=True) for u in batch["asked"]]})
+
+    direct = picks.select(F.col("url").alias("asked")).distinct().mapInPandas(ask, schema).select(F.col("asked").alias("url"), F.col("answers").alias("reachable"))
+    archived = direct.where("not reachable").join(snapshots, "url").select(F.col("snapshot_url").alias("asked")).distinct().mapInPandas(ask, schema).where("answers").select(F.col("asked").alias("snapshot_url"))
+    copies = snapshots.join(archived, "snapshot_url", "left_semi").join(direct.where("not reachable").select("url"), "url", "left_semi")
+    return picks.join(direct, "url").join(copies.select("url", "snapshot_url"), "url", "left")
+
+
+def fetch_first(strategies: list[FetchStrategy], tries: int = 3, wait: float = 0.0) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For ``mapInPandas`` over ``url``: the first strategy that answers, or the last error. Between tries ``wait`` seconds, doubled each time and jittered."""
+    import random
+    import time
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -61,7 +118,9 @@ def fetch_first(strategies: list[FetchStrategy], tries: int = 3) -> Callable[[It
             for url in batch["url"]:
                 row = {"url": url, "strategy": None, "status": None, "content_type": None, "body": None, "error": None}
                 for strategy in strategies:
-                    for _ in range(tries):
+                    for k in range(tries):
+                        if k and wait:
+                            time.sleep(wait * 2 ** (k - 1) * (0.5 + random.random()))
                         try:
                             status, kind, body = strategy.fetch(url)
                             row |= {"strategy": strategy.name, "status": status, "content_type": kind, "body": body, "error": None}

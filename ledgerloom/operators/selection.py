@@ -23,6 +23,25 @@ def first_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return numbered(rows, keys, order, "__rank").where("__rank = 1").drop("__rank")
 
 
+#: How many go to a verifier or a model at most: lines of a statement, pages of a document, filings of a company. Fixed values.
+MOST_LINES, MOST_PAGES, MOST_FILINGS = 60, 12, 20
+
+
+def first_rows(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    """Of each key the first ``most`` rows."""
+    return numbered(rows, keys, order, "place").where(F.col("place") <= most)
+
+
+def of_company(docs: DataFrame, slug: str) -> DataFrame:
+    """``docs`` as documents of one company, whatever was written before."""
+    return docs.withColumn("company_slug", F.lit(slug))
+
+
+def newest_first(docs: DataFrame) -> DataFrame:
+    """Each company's documents with the place at which their year comes up."""
+    return docs.withColumn("turn", F.dense_rank().over(Window.partitionBy("company_slug").orderBy(F.col("fiscal_year").desc_nulls_last())))
+
+
 def annual_with_year(docs: DataFrame) -> DataFrame:
     return docs.where("kind = 'annual' and coalesce(fiscal_year, 0) <> 0")
 

@@ -63,6 +63,16 @@ def match_statistics(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy(*GROUP, "match_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def taxonomy_statistics(items: DataFrame) -> DataFrame:
+    """Lines, headers and totals of each taxonomy."""
+    return items.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("lines"), F.count_if("is_header").alias("headers"), F.count_if("is_total").alias("totals"))
+
+
+def line_items(items: DataFrame) -> DataFrame:
+    """``schemas.LINE_ITEMS`` of a taxonomy whose rows carry their hierarchy."""
+    return items.select(*GROUP, "canonical_name", "depth", F.col("parent_label").alias("parent_name"), "is_header", "is_total", "display_order")
+
+
 def to_facts(resolved: DataFrame) -> DataFrame:
     """One fact for each period of a resolved row; cells without an ISO date are skipped, later rows of one name win."""
     cells = resolved.where("canonical_name is not null").select("*", F.explode("values_by_period_end").alias("period_text", "value"))

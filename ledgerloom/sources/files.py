@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import tempfile
+import uuid
+from collections.abc import Callable, Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,9 +57,9 @@ def append_direct_urls(text: str, slug: str, urls: Iterable[str]) -> str:
     return yaml.safe_dump(config, sort_keys=False, allow_unicode=True)
 
 
-def read_stage(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """JSON stage files; a record that doesn't fit the schema fails the read."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_stage(spark: SparkSession, path: str | list[str], schema: str, *, whole_files: bool = False) -> DataFrame:
+    """JSON stage files, a record a line or (``whole_files``) one document a file; a record that doesn't fit the schema fails the read."""
+    return spark.read.schema(schema).option("multiLine", whole_files).option("mode", "FAILFAST").json(path)
 
 
 def write_stage(df: DataFrame, path: str) -> None:
@@ -73,6 +76,43 @@ def read_blobs(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).withColumn("sha256", F.sha2("content", 256))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``; in local mode, where it is unset, in a new temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-loom-", dir="/tmp")
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def read_or_none(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """The DataFrame that ``read`` gives, or None where its file is missing."""
+    try:
+        return read()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def read_statement(spark: SparkSession, path: str, company_slug: str, statement: str) -> DataFrame | None:
+    """One exported document's text; None if there is none."""
+    return read_or_none(lambda: spark.read.text(f"{path}/company_slug={company_slug}/statement={statement}"))
+
+
+def write_index(companies: DataFrame, documents: DataFrame, path: str) -> None:
+    """The index beside the documents: companies and statements, as JSON."""
+    companies.write.mode("overwrite").json(f"{path}/companies")
+    documents.write.mode("overwrite").json(f"{path}/statements")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """Companies and statements of the index; None if there is none."""
+    companies = read_or_none(lambda: spark.read.schema("slug string, name string, has_data boolean").json(f"{path}/companies"))
+    return None if companies is None else (companies, spark.read.schema("company_slug string, company_name string, ticker string, statement string, periods array<string>, rows int").json(f"{path}/statements"))
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Exported statement documents, as text partitioned by company and statement."""
     return spark.read.text(path)

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.headings import HEADING_TAGS, detect_unit, is_discussion, match_statement
 
-CELL_SCHEMA = "sha256 string, table_idx int, row_idx int, cells array<string>"
-HEADING_SCHEMA = "sha256 string, heading string, ord int, table_idx int, context string"
 LONGEST_HEADING = 150
 
 
@@ -76,25 +74,34 @@ def _scan(html: str | None) -> _Scan:
     return scan
 
 
-def table_cells(files: DataFrame) -> DataFrame:
-    """``CELL_SCHEMA`` of the tables in ``files`` (sha256, html); empty rows are left out."""
+SCAN_SCHEMA = "sha256 string, rows array<struct<table_idx:int,row_idx:int,cells:array<string>>>, headings array<struct<heading:string,ord:int,table_idx:int,context:string>>"
+
+
+def scanned(files: DataFrame, path: str | None = None) -> DataFrame:
+    """``SCAN_SCHEMA`` of ``files`` (sha256, html): each file is parsed once. With a ``path`` the result is written and read again, for several uses."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(s, t, r, cells) for s, html in zip(batch["sha256"], batch["html"], strict=True) for t, table in enumerate(_scan(html).tables) for r, cells in enumerate(x for x in table if x)]
-            yield pd.DataFrame(rows, columns=["sha256", "table_idx", "row_idx", "cells"])
+            scans = [_scan(html) for html in batch["html"]]
+            rows = [[{"table_idx": t, "row_idx": r, "cells": cells} for t, table in enumerate(s.tables) for r, cells in enumerate(x for x in table if x)] for s in scans]
+            headings = [[{"heading": text, "ord": k, "table_idx": t, "context": context} for k, (text, t, context) in enumerate(s.headings) if t is not None] for s in scans]
+            yield pd.DataFrame({"sha256": batch["sha256"], "rows": rows, "headings": headings})
 
-    return files.select("sha256", "html").mapInPandas(run, CELL_SCHEMA)
+    found = files.select("sha256", "html").mapInPandas(run, SCAN_SCHEMA)
+    if path is None:
+        return found
+    found.write.mode("overwrite").parquet(path)
+    return files.sparkSession.read.schema(SCAN_SCHEMA).parquet(path)
 
 
-def statement_headings(files: DataFrame) -> DataFrame:
-    """Headings of statements with the table that follows and the unit that heading and context tell; talk about statements is left out."""
+def table_cells(files: DataFrame) -> DataFrame:
+    """``sha256, table_idx, row_idx, cells`` of the tables in ``files`` (scanned, or sha256 and html); empty rows are left out."""
+    found = files if "rows" in files.columns else scanned(files)
+    return found.select("sha256", F.inline("rows"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(s, text, k, t, context) for s, html in zip(batch["sha256"], batch["html"], strict=True) for k, (text, t, context) in enumerate(_scan(html).headings) if t is not None]
-            yield pd.DataFrame(rows, columns=["sha256", "heading", "ord", "table_idx", "context"]).astype({"table_idx": "Int32"})
 
-    found = files.select("sha256", "html").mapInPandas(run, HEADING_SCHEMA)
+def statement_headings(files: DataFrame) -> DataFrame:
+    """Headings of statements with the table that follows and the unit that heading and context tell; talk about statements is left out. ``files`` as for ``table_cells``."""
+    found = (files if "headings" in files.columns else scanned(files)).select("sha256", F.inline("headings"))
     named = found.withColumn("kind", match_statement(F.col("heading"))).where(F.col("kind").isNotNull() & ~is_discussion(F.col("heading")))
     return named.withColumn("unit", detect_unit(F.concat_ws(" ", "heading", "context"))).drop("context")

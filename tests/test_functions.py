@@ -92,13 +92,44 @@ def test_report_classification(spark):
     assert [(g.kind, g.fiscal_year) for g in got] == [(k, y) for _, _, k, y in FILES] and got[-1].confidence == 0.3
 
 
+def plain_near_year(text, rule, nearest):
+    import re
+
+    if not (m := re.search(R.RULES[rule][1], text, re.IGNORECASE)):
+        return None
+    base = max(0, m.start() - 80)
+    shift = base if nearest else 0
+    found = [(y.start() + shift, int(y[0])) for y in re.finditer(R.YEAR, text[base : m.end() + 80]) if 1990 <= int(y[0]) <= 2030]
+    return min(((abs(m.start() - at - 4 if at + 4 <= m.start() else at - m.end()), y) for at, y in found), default=(0, None))[1]
+
+
 def test_near_year_as_is_and_corrected(spark):
-    text = "x" * 100 + " 2019 " + "y" * 50 + " annual report for it, seen in 2022 or so"
-    df = spark.createDataFrame([(text,)], "t string").withColumn("r", R.matched_rule(F.col("t")))
-    literal, nearest = df.select(R.near_year(F.col("t"), F.col("r")), R.near_year(F.col("t"), F.col("r"), nearest=True)).first()
-    assert literal in (2019, 2022) and nearest == 2022
-    short = spark.createDataFrame([("2021 annual report 2023",)], "t string").withColumn("r", F.lit(12))
-    assert short.select(R.near_year(F.col("t"), F.col("r"))).first()[0] == 2021
+    import random
+
+    r = random.Random(1)
+    bits = ["annual report", "2019", "2021", "1985", "x", "-", "report ", "half-year report", "corporate report", "esg", "q3 ", " 1999 ", "20-f", "urd", "_", "/", "lorem ipsum dolor sit amet ", "2035", " 12 ", "financial statements", "é"]
+    texts = ["x" * 150 + "2019 annual report " + "y" * 60 + " 2022 z", "2021 annual report 2023", "annual report"] + ["".join(r.choices(bits, k=r.randint(1, 30))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").withColumn("r", R.matched_rule(F.col("t"))).where("r is not null")
+    rows = df.select("k", "t", "r", R.near_year(F.col("t"), F.col("r")).alias("literal"), R.near_year(F.col("t"), F.col("r"), nearest=True).alias("nearest")).orderBy("k").collect()
+    assert all((x.literal, x.nearest) == (plain_near_year(x.t, x.r, False), plain_near_year(x.t, x.r, True)) for x in rows)
+    # The year beside the match is in a window that begins later than the text: the far one wins, as distances are taken; corrected, the near one does.
+    assert (rows[0].literal, rows[0].nearest) == (2022, 2019) and (rows[1].literal, rows[1].nearest) == (2021, 2021) and rows[2].literal is None
+    plan = df.select(R.classify(F.col("t"), F.col("r")), L.resolve(F.col("t"), F.col("t")))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_links_are_resolved_as_browsers_do(spark):
+    import random
+    from urllib.parse import urljoin
+
+    r = random.Random(2)
+    bases = ["https://a.com", "https://a.com/", "https://a.com/x/y?q=1", "https://a.com/x/y/", "https://a.com/x/../y/z#f", "HTTP://A.com//p//q"]
+    cases = [(b, u) for b in bases for u in ("", "  /x", "mailto:a@b", "ftp://z/y/../q", "//d.com/e", "https://f.com/a/../b", "?", "#", "?h", "#g", "a\n/b")]
+    for _ in range(300):
+        path = "/".join(r.choices(["a", "b", "..", ".", "", "c.d", "é", "x y", "..."], k=r.randint(0, 5))).lstrip("/")
+        cases.append((r.choice(bases), r.choice(["", "/"]) + path + r.choice(["", "?q=2", "#f", "?a=/../b#/..", "?", "#"])))
+    got = spark.createDataFrame(cases, "b string, u string").select("b", "u", L.resolve(F.col("b"), F.col("u")).alias("r")).collect()
+    assert [x.r for x in got] == [urljoin(x.b, x.u) for x in got]
 
 
 SAME = [("https://investors.acme.com", "https://brand.acme.com", True), ("https://www.bmw.com", "https://annual-report.bmw.group", False), ("https://a.com", "https://a.co.uk", False), ("https://x.a.co.uk", "https://a.co.uk", True), ("", "https://a.com", False), ("http://10.0.0.1/a", "http://10.0.0.1/b", True)]

@@ -49,7 +49,9 @@ def test_upsert_last_writer_wins(spark):
 
 def test_line_without_facts_survives_and_sorts(spark):
     items = spark.createDataFrame([("testco", "income", "Revenue", 0, None, False, False, 1), ("testco", "income", "Other", 0, None, False, False, None)], schemas.LINE_ITEMS)
-    rows = facts.consolidated_rows(items, facts.consolidated(spark.createDataFrame([fact(1, 2023), fact(2, 2024, "2024-12-31")], schemas.FACTS))).collect()
+    joined = facts.consolidated_rows(items, facts.consolidated(spark.createDataFrame([fact(1, 2023), fact(2, 2024, "2024-12-31")], schemas.FACTS)))
+    rows = facts.in_display_order(joined).collect()
+    assert facts.statement_rows(joined, "testco", "income").count() == 3 and facts.statement_rows(joined, "testco", "balance").count() == 0
     assert [(r.canonical_name, r.value) for r in rows] == [("Revenue", 2), ("Revenue", 1), ("Other", None)]
 
 

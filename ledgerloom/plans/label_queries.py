@@ -80,18 +80,41 @@ def match_statements(spark, sf_dir):
     return own.select("p_partkey", H.match_statement(t).alias("kind"), H.is_discussion(t).alias("discussion"), H.heading_line(t).alias("line_kind"), H.page_kind(t).alias("page_kind"))
 
 
-FILE = """CASE o_orderkey % 8 WHEN 0 THEN 'co-' || y || '1231x20f.htm' WHEN 1 THEN 'annual_report' || y || '_uk.pdf' WHEN 2 THEN '3DS_' || y || '_URD_31032022.pdf' WHEN 3 THEN 'corporate-report-' || y || '.pdf'
-  WHEN 4 THEN 'sustainability-report-' || y || '.pdf' WHEN 5 THEN 'press-release.pdf' WHEN 6 THEN 'h1-' || y || '.pdf' ELSE 'q3_' || y || '.pdf' END"""
-
-
-@query("""SELECT o_orderkey, CASE WHEN k <= 3 THEN 'annual' WHEN k = 4 THEN 'sustainability' WHEN k = 5 THEN 'other' WHEN k = 6 THEN 'interim' ELSE 'quarterly' END AS kind,
-   CASE WHEN k = 5 THEN NULL WHEN k IN (0, 6, 7) OR k = 2 THEN y WHEN k IN (1, 3, 4) THEN y END AS fiscal_year, CAST(CASE WHEN k = 5 THEN 0.0 ELSE 0.95 END AS DOUBLE) AS confidence
-  FROM (SELECT o_orderkey, o_orderkey % 8 AS k, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders)""")
+#: A file name for each rule, and some that none fits; the year stands in the rule's group, beside the match, or elsewhere.
+NAMES = (
+    "co-{y}1231x20f.htm", "form 20-f {y}.htm", "acme_10-k_{y}.htm", "document d'enregistrement universel {y}.pdf", "{y} document d’enregistrement universel.pdf", "3ds/{y}/urd/x.pdf", "universal-registration-document-{y}.pdf",
+    "acme-{y}x_urd_x.pdf", "the urd {y}.pdf", "registration_document {y}", "annual-report-{y}.pdf", "{y} annual report.pdf", "annual_report.pdf", "annual-financial-report_{y}", "integrated report {y}", "consolidated financial statements {y}",
+    "corporate-report-{y}.pdf", "half-year report {y}.pdf", "interim_report {y}.pdf", "h1-{y}.pdf", "q3_{y}.pdf", "{y} q2.pdf", "quarterly-statement {y}.pdf", "sustainability-report-{y}.pdf", "esg {y}.pdf", "environmental report {y}.pdf",
+    "social-report-{y}.pdf", "ethical {y}.pdf", "climate_{y}.pdf", "corporate-responsibility-{y}.pdf", "press-release-{y}.pdf", "presentation.pdf",
+)
+FILE = f"CASE o_orderkey % {len(NAMES)} " + " ".join("WHEN {} THEN {}".format(k, " || y || ".join("'" + part.replace("'", "''") + "'" for part in name.split("{y}"))) for k, name in enumerate(NAMES)) + " END"
+KIND_SQL = "CASE " + " ".join("WHEN regexp_matches(t, '{}') THEN '{}'".format(pattern.replace("'", "''"), kind) for kind, pattern in R.RULES) + " ELSE 'other' END"
+
+
+@query(f"""WITH f AS (SELECT o_orderkey, CAST(year(o_orderdate) AS VARCHAR) AS y, {FILE} AS f FROM (SELECT *, CAST(year(o_orderdate) AS VARCHAR) AS y FROM orders)),
+  h AS (SELECT o_orderkey, y, lower(regexp_extract('https://x.example/ir/' || f, '([^/]*)$', 1) || ' | ' || regexp_extract(f, '([^/]*)$', 1) || ' |  | https://x.example/ir/' || f) AS t, f FROM f), k AS (SELECT *, {KIND_SQL} AS kind FROM h)
+  SELECT o_orderkey, kind, CASE WHEN contains(f, y) THEN CAST(y AS INTEGER) END AS fiscal_year, CAST(CASE WHEN kind = 'other' THEN CASE WHEN contains(f, y) THEN 0.3 ELSE 0.0 END WHEN contains(f, y) THEN 0.95 ELSE 0.75 END AS DOUBLE) AS confidence FROM k""")
 def classify_reports(spark, sf_dir):
-    own = table(spark, sf_dir, "orders").withColumn("y", F.year("o_orderdate").cast("string")).select("o_orderkey", F.expr(FILE).alias("f"))
+    names = F.array(*[F.lit(n) for n in NAMES])
+    file = F.replace(F.get(names, (F.col("o_orderkey") % len(NAMES)).cast("int")), F.lit("{y}"), F.year("o_orderdate").cast("string"))
+    own = table(spark, sf_dir, "orders").select("o_orderkey", file.alias("f"))
     text = R.haystack(F.concat(F.lit("https://x.example/ir/"), F.col("f")), F.col("f"), F.lit(None).cast("string"))
     ruled = own.withColumn("t", text).withColumn("rule", R.matched_rule(F.col("t")))
-    return ruled.withColumn("c", R.classify(F.col("t"), F.col("rule"), near=False)).select("o_orderkey", "c.kind", "c.fiscal_year", F.col("c.confidence").cast("double").alias("confidence"))
+    return ruled.withColumn("c", R.classify(F.col("t"), F.col("rule"))).select("o_orderkey", "c.kind", "c.fiscal_year", F.col("c.confidence").cast("double").alias("confidence"))
+
+
+# Years before and after the match; further than 80 characters into the text, places in the window count as places in the text.
+@query("""WITH t AS (SELECT o_orderkey, CAST(1995 + o_orderkey % 7 AS INTEGER) AS a, CAST(2003 + o_orderkey % 9 AS INTEGER) AS b, CAST(1 + 5 * (o_orderkey % 11) AS INTEGER) AS before, CAST(1 + o_orderkey % 60 AS INTEGER) AS after, CAST(o_orderkey % 150 AS INTEGER) AS pad FROM orders),
+  p AS (SELECT *, pad + 4 + 1 + before + 1 AS start, pad + 1 AS ya FROM t), q AS (SELECT *, start + 13 AS stop, start + 13 + 1 + after + 1 AS yb, greatest(start - 80, 0) AS base FROM p),
+  c AS (SELECT *, 1 + before + 1 - 1 AS true_a, after + 2 AS true_b, ya - base AS rel_a, yb - base AS rel_b FROM q),
+  d AS (SELECT *, CASE WHEN ya < base THEN NULL WHEN rel_a + 4 <= start THEN start - rel_a - 4 ELSE abs(rel_a - stop) END AS lit_a, CASE WHEN rel_b + 4 <= start THEN start - rel_b - 4 ELSE abs(rel_b - stop) END AS lit_b FROM c)
+  SELECT o_orderkey, CASE WHEN lit_a IS NOT NULL AND lit_a <= lit_b THEN a ELSE b END AS literal, CASE WHEN lit_a IS NOT NULL AND start - ya - 4 <= yb - stop THEN a ELSE b END AS nearest FROM d""")
+def near_years(spark, sf_dir):
+    k = F.col("o_orderkey").cast("int")
+    x = lambda n: F.repeat(F.lit("x"), n)
+    text = F.concat(x(k % 150), F.lit(" "), (1995 + k % 7).cast("string"), x(1 + 5 * (k % 11)), F.lit(" "), F.lit("annual report"), F.lit(" "), x(1 + k % 60), F.lit(" "), (2003 + k % 9).cast("string"))
+    own = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t")).withColumn("r", R.matched_rule(F.col("t")))
+    return own.select("o_orderkey", R.near_year(F.col("t"), F.col("r")).alias("literal"), R.near_year(F.col("t"), F.col("r"), nearest=True).alias("nearest"))
 
 
 @query("""SELECT doc_id, CAST(ceil(length(t) / 8000.0) AS INTEGER) AS n_pages, md5(coalesce(substr(t, 8001, 8000), '')) AS second_page, md5(substr(trim(t), 1, 2000)) AS front
@@ -124,3 +147,71 @@ def format_figures(spark, sf_dir):
     size = F.get(F.array(F.lit(1e12), F.lit(1e9), F.lit(1e6), F.lit(1.0)), k % 4)
     cap, price = F.when(k % 7 != 0, (k + 1) * size), F.when(k % 7 != 0, k + 1.5)
     return table(spark, sf_dir, "nation").select(k.alias("n"), N.format_market_cap(cap, F.lit("EUR")).alias("cap"), N.format_price(price, F.lit("usd")).alias("price"), N.format_amount(F.when(k == 0, 0.0).otherwise(-k - 0.5), "$").alias("amount"), N.format_period(F.format_string("2024-12-%02d", k + 1)).alias("period"))
+
+
+PRINTED = """CASE o_orderkey % 10 WHEN 0 THEN '(' || o_orderkey || ',5)' WHEN 1 THEN o_orderkey || ' b' WHEN 2 THEN 'n/a' WHEN 3 THEN '€(' || o_orderkey || ')' WHEN 4 THEN '(€' || o_orderkey || ')' WHEN 5 THEN '1 ' || o_orderkey
+  WHEN 6 THEN 'nm' WHEN 7 THEN '£' || o_orderkey || ',000' WHEN 8 THEN ' ' || o_orderkey || '.25 ' ELSE '—' END"""
+
+
+# Text models' values lose separators and blanks; vision models' lose currency signs wherever they stand, and blanks inside make them void.
+@query(f"""WITH p AS (SELECT o_orderkey, trim({PRINTED}) AS s FROM orders), q AS (SELECT *, s LIKE '(%)' AS neg, CASE WHEN s LIKE '(%)' THEN substr(s, 2, length(s) - 2) ELSE s END AS inner_ FROM p)
+  SELECT o_orderkey, CAST(round(100 * CASE WHEN neg THEN -1 ELSE 1 END * TRY_CAST(replace(replace(inner_, ',', ''), ' ', '') AS DECIMAL(30,4))) AS BIGINT) AS plain,
+   CAST(round(100 * CASE WHEN neg THEN -1 ELSE 1 END * TRY_CAST(CASE WHEN contains(trim(translate(inner_, ',€$£¥', '')), ' ') THEN NULL ELSE translate(inner_, ',€$£¥', '') END AS DECIMAL(30,4))) AS BIGINT) AS vision FROM q""")
+def model_numbers(spark, sf_dir):
+    own = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(PRINTED).alias("s"))
+    hundredths = lambda c: F.round(c * 100).cast("long")
+    return own.select("o_orderkey", hundredths(N.parse_number_plain(F.col("s"))).alias("plain"), hundredths(N.parse_number_vision(F.col("s"))).alias("vision"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' (a)' WHEN 2 THEN p_name ELSE 'n/a' END AS label FROM part""")
+def label_cells(spark, sf_dir):
+    """The first cell with a letter that isn't a number (with its footnote)."""
+    cells = F.when(F.col("p_size") % 4 == 0, F.array(F.lit("12"), F.lit("—"), F.col("p_name"))).when(F.col("p_size") % 4 == 1, F.array(F.lit("12 b"), F.concat("p_name", F.lit(" (a)")), F.lit("x"))).when(F.col("p_size") % 4 == 2, F.array(F.col("p_name"))).otherwise(F.array(F.lit("1"), F.lit("n/a")))
+    return table(spark, sf_dir, "part").select("p_partkey", P.lettered_label_cell(cells).alias("label"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE split_part(lower(c_mktsegment), '#', 1) END AS slug FROM customer")
+def label_slugs(spark, sf_dir):
+    label = F.when(F.col("c_custkey") % 3 == 1, F.lower("c_mktsegment")).when(F.col("c_custkey") % 3 == 2, F.concat(F.lower("c_mktsegment"), F.lit(":sec:x")))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.label_slug(label).alias("slug"))
+
+
+@query("SELECT c_custkey, substr(c_name, 1, 3) || chr(CAST(192 + c_custkey % 60 AS INTEGER)) || 'x' || substr(c_name, 4) AS text FROM customer")
+def null_escapes(spark, sf_dir):
+    """NUL and two digits are a character, other NULs go."""
+    nul = F.chr(F.lit(0))
+    text = F.concat(F.substring("c_name", 1, 3), nul, F.lower(F.hex(192 + F.col("c_custkey") % 60)), nul, F.lit("x"), nul, F.expr("substring(c_name, 4)"))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.repair_null_escapes(text).alias("text"))
+
+
+PAGE = """CASE p_partkey % 6 WHEN 0 THEN '4.1 Consolidated income statement' || chr(10) || '(in thousands)' WHEN 1 THEN 'Contents' || chr(10) || 'Consolidated income statement' || chr(10) || 'Consolidated balance sheet' || chr(10) || 'as at'
+  WHEN 2 THEN 'x' || chr(10) || 'Consolidated balance sheet' || chr(10) || 'As of December' WHEN 3 THEN 'We discuss our consolidated income statement at length in what follows' || chr(10) || 'year ended' WHEN 4 THEN 'Consolidated cash flow statement' || chr(10) || p_name
+  ELSE repeat('line' || chr(10), 20) || 'Consolidated balance sheet' || chr(10) || repeat(' ', 3000) || 'as at' END"""
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {PAGE} AS t FROM part), h AS (SELECT * FROM p)
+  SELECT p_partkey, list_filter(list_transform(string_split(t, chr(10))[1:20], lambda l: CASE WHEN regexp_matches(l, '^[0-9. ]*Consolidated income statement$') THEN 'income' WHEN regexp_matches(l, '^Consolidated balance sheet$') THEN 'balance' WHEN regexp_matches(l, '^Consolidated cash flow statement$') THEN 'cashflow' END), lambda k: k IS NOT NULL)[1] AS kind,
+   (CAST(contains(list_aggregate(string_split(lower(t), chr(10))[1:20], 'string_agg', ' '), 'consolidated income statement') AS INTEGER) + CAST(contains(list_aggregate(string_split(lower(t), chr(10))[1:20], 'string_agg', ' '), 'consolidated balance sheet') AS INTEGER) + CAST(contains(list_aggregate(string_split(lower(t), chr(10))[1:20], 'string_agg', ' '), 'consolidated cash flow statement') AS INTEGER)) >= 2 AS contents,
+   regexp_matches(lower(substr(t, 1, 3000)), 'year ended|as at|as of|in thousands') AS hint FROM h""")
+def page_gates(spark, sf_dir):
+    """Titles among the first lines, tables of contents, and hints of a table."""
+    t = F.col("t")
+    own = table(spark, sf_dir, "part").select("p_partkey", F.expr(PAGE.replace("chr(10)", "char(10)")).alias("t"))
+    return own.select("p_partkey", H.first_heading_line(t).alias("kind"), H.is_contents_page(t).alias("contents"), H.has_table_hint(t).alias("hint"))
+
+
+@query(f"""WITH p AS (SELECT p_brand AS sha256, p_partkey AS page_idx, p_partkey % 6 AS k FROM part)
+  SELECT sha256, CASE k WHEN 0 THEN 'income' ELSE 'balance' END AS kind, min(page_idx) AS page_idx, CASE k WHEN 0 THEN 'thousands' ELSE 'units' END AS unit FROM p WHERE k IN (0, 2) GROUP BY sha256, k""")
+def candidate_pages(spark, sf_dir):
+    from ledgerloom.operators.extract import candidate_pages as of_pages
+
+    pages = table(spark, sf_dir, "part").select(F.col("p_brand").alias("sha256"), F.col("p_partkey").alias("page_idx"), F.expr(PAGE.replace("chr(10)", "char(10)")).alias("text"))
+    return of_pages(pages)
+
+
+@query("""SELECT n_nationkey AS k, CASE n_nationkey % 4 WHEN 0 THEN CAST(n_nationkey + 1 AS DOUBLE) WHEN 1 THEN CAST(n_nationkey + 1 AS DOUBLE) WHEN 2 THEN CAST(n_nationkey + 1 AS DOUBLE) ELSE CAST(n_nationkey + 1 AS DOUBLE) END AS number,
+  CAST(CASE n_nationkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS decimals, CASE n_nationkey % 4 WHEN 0 THEN 'T' WHEN 1 THEN 'B' WHEN 2 THEN 'M' ELSE '' END AS suffix FROM nation""")
+def split_caps(spark, sf_dir):
+    k = F.col("n_nationkey").cast("int")
+    cap = (k + 1) * F.get(F.array(F.lit(1e12), F.lit(1e9), F.lit(1e6), F.lit(1.0)), k % 4)
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), N.split_market_cap(cap).alias("c")).select("k", "c.*")

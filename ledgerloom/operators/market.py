@@ -113,8 +113,11 @@ def display_row(is_header: Column, is_total: Column, depth: Column) -> Column:
     return F.when(is_header, "header").when(is_total & (depth == 0), "grand-total").when(is_total, "total").otherwise("line")
 
 
-def stride_sample(values: Column, start: int, most: int, step: int = 2) -> Column:
-    """``most`` different elements, every ``step``-th from ``start % 7`` on, around the end if need be."""
+def stride_sample(values: Column, most: int, step: int = 2) -> Column:
+    """All of up to ``most`` values; of more the first ``most`` places met by steps of ``step`` from the length modulo 7 on, around the end, none twice.
+
+    Where the step divides the length not all places are met, and fewer may come out.
+    """
     n = F.size(values)
-    order = F.array_distinct(F.transform(F.sequence(F.lit(0), n * step), lambda i: (i * step + F.floor(i * step / n) + start % 7) % n))
-    return F.when(n > 0, F.transform(F.slice(order, 1, most), lambda i: F.get(values, i.cast("int")))).otherwise(values)
+    order = F.array_distinct(F.transform(F.sequence(F.lit(0), 2 * n - 1), lambda i: (n % 7 + i * step) % n))
+    return F.when(n > most, F.transform(F.slice(order, 1, most), lambda i: F.get(values, i))).otherwise(values)

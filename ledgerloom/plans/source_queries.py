@@ -64,8 +64,7 @@ def market_file(spark, sf_dir):
 
 
 # Two tables follow the heading of each part: the first one on ties, else the one with more of a balance sheet's labels. The empty, header-like and short rows go.
-@query(r"""WITH p AS (SELECT p_partkey AS k, p_size AS s FROM part),
-  r AS (SELECT k, s, 2 + CASE WHEN s % 3 = 0 THEN 1 ELSE 0 END AS t, * FROM p)
+@query(r"""WITH p AS (SELECT p_partkey AS k, p_size AS s FROM part)
   SELECT CAST(k AS VARCHAR) AS sha256, CASE WHEN s % 2 = 0 THEN 'millions' ELSE 'thousands' END AS unit, label, CAST(period AS VARCHAR) || '-12-31' AS period_end, CAST(v AS BIGINT) AS value FROM (
     SELECT k, s, CASE WHEN s % 3 = 0 THEN 'Total assets' ELSE 'Plain' END AS label, 2024 AS period, 1000 + s AS v FROM p
     UNION ALL SELECT k, s, CASE WHEN s % 3 = 0 THEN 'Total assets' ELSE 'Plain' END, 2023, -s FROM p

@@ -64,14 +64,19 @@ def merge_manifest(spark, sf_dir):
     return C.merge_manifest(docs.where("not incoming"), docs.where("incoming"))
 
 
-# Customers link to customers: an edge is followed if its number is even.
-@query("""WITH RECURSIVE e AS (SELECT o_custkey AS a, o_orderkey % 1500 AS b FROM orders WHERE o_orderkey % 2 = 0),
-  w AS (SELECT c_custkey AS seed, c_custkey AS url, 0 AS depth FROM customer WHERE c_custkey % 300 = 7 UNION SELECT w.seed, e.b, w.depth + 1 FROM w JOIN e ON e.a = w.url WHERE w.depth < 3)
+# Customers link to customers: an edge is followed if its number is even. Everyone is a seed, two links deep.
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_orderkey % (SELECT count(*) FROM customer) AS b FROM orders WHERE o_orderkey % 2 = 0),
+  w AS (SELECT c_custkey AS seed, c_custkey AS url, 0 AS depth FROM customer UNION SELECT w.seed, e.b, w.depth + 1 FROM w JOIN e ON e.a = w.url WHERE w.depth < 2)
   SELECT CAST(seed AS VARCHAR) AS seed, CAST(url AS VARCHAR) AS url, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1, 2""")
 def bounded_crawl(spark, sf_dir):
-    edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("page"), (F.col("o_orderkey") % 1500).cast("string").alias("url"), "o_orderkey")
-    seeds = table(spark, sf_dir, "customer").where("c_custkey % 300 = 7").select(F.col("c_custkey").cast("string").alias("seed"))
-    return C.crawl(seeds, edges, F.col("o_orderkey") % 2 == 0, 3)
+    return customer_crawl(spark, sf_dir, 2)
+
+
+def customer_crawl(spark: SparkSession, sf_dir: str, depth: int) -> DataFrame:
+    customers = table(spark, sf_dir, "customer")
+    n = F.broadcast(customers.agg(F.count(F.lit(1)).alias("n")))
+    edges = table(spark, sf_dir, "orders").crossJoin(n).select(F.col("o_custkey").cast("string").alias("page"), (F.col("o_orderkey") % F.col("n")).cast("string").alias("url"), "o_orderkey")
+    return C.crawl(customers.select(F.col("c_custkey").cast("string").alias("seed")), edges, F.col("o_orderkey") % 2 == 0, depth)
 
 
 # All customers are seeds, and any customer can be a target.
@@ -79,10 +84,7 @@ def bounded_crawl(spark, sf_dir):
   w AS (SELECT c_custkey AS seed, c_custkey AS url, 0 AS depth FROM customer UNION SELECT w.seed, e.b, w.depth + 1 FROM w JOIN e ON e.a = w.url WHERE w.depth < 3)
   SELECT CAST(seed AS VARCHAR) AS seed, CAST(url AS VARCHAR) AS url, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1, 2""")
 def full_crawl(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer")
-    n = F.broadcast(customers.agg(F.count(F.lit(1)).alias("n")))
-    edges = table(spark, sf_dir, "orders").crossJoin(n).select(F.col("o_custkey").cast("string").alias("page"), (F.col("o_orderkey") % F.col("n")).cast("string").alias("url"), "o_orderkey")
-    return C.crawl(customers.select(F.col("c_custkey").cast("string").alias("seed")), edges, F.col("o_orderkey") % 2 == 0, 3)
+    return customer_crawl(spark, sf_dir, 3)
 
 
 @query("""SELECT l_shipmode AS source_name, n AS found, d AS downloaded, f AS failed FROM (SELECT l_linestatus AS l_shipmode, count(*) n, count(*) FILTER (l_returnflag = 'A') d, count(*) FILTER (l_returnflag = 'R') f FROM lineitem GROUP BY 1)""")
@@ -154,10 +156,12 @@ def script_shells(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", H.is_script_shell(F.col("html"), F.lit(0), F.lit(0)).alias("shell"))
 
 
-@query("""SELECT u AS url, min(p) AS ord FROM (SELECT DISTINCT url AS u, page_id AS p FROM pages) GROUP BY 1""")
+# A customer's orders are addresses; those of finished orders are configured, and come before crawled ones of the same name.
+@query("""WITH c AS (SELECT o_custkey AS s, o_orderpriority AS u, o_orderkey AS ord, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS source FROM orders)
+  SELECT CAST(s AS VARCHAR) AS source_name, u AS url, ord, source FROM (SELECT *, row_number() OVER (PARTITION BY s, u ORDER BY source, ord) AS k FROM c) WHERE k = 1""")
 def url_candidates(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select(F.lit("s").alias("source_name"), "url", F.col("page_id").alias("ord"))
-    return C.url_candidates(p.where("ord % 1000000 < 50"), p.where("ord % 1000000 >= 50")).select("url", "ord")
+    p = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("source_name"), F.col("o_orderpriority").alias("url"), F.col("o_orderkey").alias("ord"), "o_orderstatus")
+    return C.url_candidates(p.where("o_orderstatus = 'F'"), p.where("o_orderstatus <> 'F'")).select("source_name", "url", "ord", "source")
 
 
 @query("""WITH q AS (SELECT unnest(['customer#000000012', ' 0001 ', 'nobody', 'MACHINERY']) AS needle),
@@ -194,3 +198,105 @@ def market_records(spark, sf_dir):
     companies = s.select(k.alias("slug"), F.when(k % 10 != 3, F.col("s_name")).alias("ticker"), F.lit(None).cast("string").alias("market_ticker"), F.when(k % 4 != 0, (k % 4).cast("double")).alias("shares_outstanding_m"))
     quotes = s.select(F.col("s_name").alias("ticker"), F.col("s_acctbal").alias("price"), F.lit("EUR").alias("currency"), F.lit(None).cast("double").alias("previous_close"), F.array(F.lit(1.0)).alias("sparkline"))
     return M.market_records(quotes, companies, F.lit(0)).select("slug", F.round("market_cap", 2).alias("market_cap"), F.col("shares_outstanding_m").alias("shares"))
+
+
+RELATIVE_SQL = "CASE s_suppkey % 7 WHEN 0 THEN '../y/./z?q=1' WHEN 1 THEN 'b' WHEN 2 THEN '/c/../d' WHEN 3 THEN '//h.example/e' WHEN 4 THEN 'mailto:x' WHEN 5 THEN '?p=2' ELSE '#f' END"
+
+
+@query(f"""SELECT s_suppkey, {RELATIVE_SQL} AS url, CASE s_suppkey % 7 WHEN 0 THEN b || '/y/z?q=1' WHEN 1 THEN b || '/x/b' WHEN 2 THEN b || '/d' WHEN 3 THEN 'https://h.example/e' WHEN 4 THEN 'mailto:x' WHEN 5 THEN b || '/x/p' || s_suppkey || '?p=2' ELSE b || '/x/p' || s_suppkey || '?q#f' END AS resolved
+  FROM (SELECT s_suppkey, 'https://s' || s_suppkey || '.example' AS b FROM supplier)""")
+def resolved_links(spark, sf_dir):
+    base = F.concat(F.lit("https://s"), F.col("s_suppkey").cast("string"), F.lit(".example/x/p"), F.col("s_suppkey").cast("string"), F.lit("?q"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.expr(RELATIVE_SQL).alias("url")).select("s_suppkey", "url", L.resolve(base, F.col("url")).alias("resolved"))
+
+
+# Pages get links of an investor site: documents, drill-downs with and without fragments, foreign ones.
+SITE_SQL = "html || '<a href=\"/reports/' || (2000 + page_id % 25) || '#t\" title=\"Report ' || page_id || '\">x</a><a href=\"/reports/' || (2000 + page_id % 25) || '\"></a><a href=\"/files/' || page_id || '.pdf\" aria-label=\" AR \">y</a><a href=\"/files/' || page_id || '.pdf\">z</a><a href=\"https://other.org/a.pdf\">w</a><a href=\"/financials/q' || page_id % 4 || '\">v</a>'"
+
+
+def site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://p"), F.col("page_id").cast("string"), F.lit(".example/ir")).alias("page_url"), F.concat(F.lit("https://p"), F.col("page_id").cast("string"), F.lit(".example")).alias("seed_url"), F.expr(SITE_SQL.replace('\\"', '"')).alias("html"))
+
+
+@query("""SELECT page_id, 'https://p' || page_id || '.example/' || p AS url, k AS nth FROM pages, (VALUES ('r', 1), ('f', 2)) v(w, k), LATERAL (SELECT CASE w WHEN 'r' THEN 'reports/' || (2000 + page_id % 25) ELSE 'financials/q' || page_id % 4 END AS p)""")
+def drilldown_links(spark, sf_dir):
+    """Drill-down pages without fragments, each once, in the order of their links."""
+    from ledgerloom.operators.selection import numbered
+
+    pages = site(spark, sf_dir)
+    found = numbered(C.drilldown_links(pages), ["page_url"], [F.col("ord")], "nth")
+    return found.join(pages.select("page_url", "page_id"), "page_url").select("page_id", "url", "nth")
+
+
+@query("""SELECT page_id, 'Title: ' || coalesce(nullif(substr(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), 1, 160), ''), '(no title)') || chr(10) || 'Documents (1):' || chr(10) || '- AR: https://p' || page_id || '.example/files/' || page_id || '.pdf' || chr(10)
+  || 'Drill-downs (2):' || chr(10) || '- https://p' || page_id || '.example/reports/' || (2000 + page_id % 25) || chr(10) || '- https://p' || page_id || '.example/financials/q' || page_id % 4 AS text FROM pages""".replace("\\\\s", "\\s"))
+def distilled_pages(spark, sf_dir):
+    """The short text of a page that a model sees."""
+    pages = site(spark, sf_dir)
+    return C.distilled(pages).join(pages.select("page_url", "page_id"), "page_url").select("page_id", "text")
+
+
+@query("SELECT page_id, k AS n, CASE k WHEN 0 THEN 'Report ' || page_id WHEN 2 THEN 'AR' ELSE '' END AS label FROM pages, range(0, 6) r(k)")
+def anchor_labels(spark, sf_dir):
+    from ledgerloom.operators.selection import numbered
+
+    pages = site(spark, sf_dir)
+    tags = pages.select("page_id", F.posexplode(F.slice(L.anchors(F.col("html")), -6, 6)).alias("n", "tag"))
+    return tags.select("page_id", F.col("n").cast("long").alias("n"), L.anchor_label(F.col("tag")).alias("label"))
+
+
+@query(r"SELECT page_id, md5(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages".replace(r"\s", r"\s"))
+def html_texts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(H.html_text(F.col("html"))).alias("text"))
+
+
+@query("""SELECT o_orderkey, o_orderkey % 5 < 3 AND o_orderkey % 3 <> 0 AS document, o_orderkey % 2 = 0 AND o_orderkey % 4 < 3 AS logo FROM orders""")
+def response_gates(spark, sf_dir):
+    """Which answers are documents, and which are logos: by status, type and size."""
+    k = F.col("o_orderkey")
+    status, kind = F.when(k % 5 < 3, 200 + k % 5).otherwise(404), F.when(k % 3 == 0, "Text/HTML; x").when(k % 3 == 1, "application/pdf")
+    image, size = F.when(k % 2 == 0, "image/png").otherwise("text/plain"), F.when(k % 4 < 3, F.lit(2 * 1024 * 1024)).otherwise(2 * 1024 * 1024 + 1)
+    return table(spark, sf_dir, "orders").select("o_orderkey", C.is_document_response(status, kind).alias("document"), C.is_logo(image, size).alias("logo"))
+
+
+# Sorted within each nation, by price in one currency; customers without a price come last.
+@query("""SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY price * CASE WHEN c_custkey % 2 = 0 THEN 0.92 ELSE 1.0 END DESC NULLS LAST, CAST(c_custkey AS VARCHAR)) AS by_price, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name NULLS LAST, CAST(c_custkey AS VARCHAR)) AS by_name
+  FROM (SELECT *, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_acctbal END AS price FROM customer)""")
+def directory_order(spark, sf_dir):
+    from ledgerloom.operators.selection import numbered
+
+    k = F.col("c_custkey")
+    companies = table(spark, sf_dir, "customer").select(k, k.cast("string").alias("slug"), F.col("c_name").alias("name"), "c_nationkey", "c_acctbal")
+    market = companies.select("slug", F.lit("T").alias("ticker"), F.when(k % 9 != 0, F.col("c_acctbal")).alias("price"), F.when(k % 2 == 0, "USD").otherwise("EUR").alias("currency"), F.lit(None).cast("double").alias("market_cap"), F.lit(0.0).alias("shares_outstanding_m"))
+    rows = M.directory(companies.drop("c_acctbal"), companies.select("slug", "name", F.lit(1).alias("n_statements")), market)
+    placed = numbered(numbered(rows, ["c_nationkey"], M.grid_order("price", descending=True), "by_price"), ["c_nationkey"], M.grid_order("name"), "by_name")
+    return placed.select("c_custkey", "by_price", "by_name")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'header' WHEN p_size % 2 = 0 AND p_size % 3 = 0 THEN 'grand-total' WHEN p_size % 2 = 0 THEN 'total' ELSE 'line' END AS kind,
+  CASE WHEN p_size % 7 = 0 THEN NULL ELSE 'From the ' || (2000 + p_size) || ' report' || CASE WHEN p_size % 4 = 0 THEN ', restated' ELSE '' END END AS tooltip, CASE WHEN p_size % 3 = 0 THEN 'USD' WHEN p_size % 3 = 1 THEN 'EUR' ELSE 'CHF' END AS currency FROM part""")
+def display_rows(spark, sf_dir):
+    from ledgerloom.functions.numbers import display_currency
+
+    s = F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", M.display_row(s % 5 == 0, s % 2 == 0, s % 3).alias("kind"), M.cell_tooltip(F.when(s % 7 != 0, s), 2000 + s, s % 4 == 0).alias("tooltip"), display_currency(F.when(s % 3 == 0, "usd").when(s % 3 == 1, "SEK").otherwise("CHF")).alias("currency"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS slug, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'T' ELSE '' END AS ticker, '' AS exchange, c_mktsegment AS sector, '' AS headquarters, '' AS description, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'c' || c_custkey || '.example' END AS site FROM customer""")
+def company_cards(spark, sf_dir):
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    companies = table(spark, sf_dir, "customer").select(k.cast("string").alias("slug"), F.col("c_name").alias("name"), F.when(k % 2 == 0, "T").alias("ticker"), none.alias("exchange"), F.col("c_mktsegment").alias("sector"), none.alias("headquarters"), none.alias("description"), F.when(k % 3 != 0, F.concat(F.lit("https://www.C"), k.cast("string"), F.lit(".example/x"))).alias("website"))
+    return M.company_card(companies)
+
+
+@query("""SELECT c_custkey FROM customer WHERE contains(lower(c_name), 'furniture') OR contains(lower(c_mktsegment), 'furniture') OR len(list_filter(string_split(lower(c_name), ' '), lambda w: levenshtein(w, 'furnitur') <= 2)) > 0 OR levenshtein(lower(c_mktsegment), 'furnitur') <= 2""")
+def palette_search(spark, sf_dir):
+    return M.fuzzy_search(table(spark, sf_dir, "customer"), " Furnitur ", ["c_name", "c_mktsegment"]).select("c_custkey")
+
+
+# As many values as the nation's number and one; every second place from the length modulo 7 on, none twice.
+@query("""WITH v AS (SELECT n_nationkey AS k, n_nationkey + 1 AS n FROM nation), o AS (SELECT *, list_transform(range(0, 2 * n), lambda i: (n % 7 + 2 * i) % n) AS l FROM v)
+  SELECT k, array_to_string(CASE WHEN n <= 5 THEN range(0, n) ELSE list_filter(l, lambda x, i: list_position(l, x) = i)[1:5] END, ',') AS picked FROM o""")
+def stride_samples(spark, sf_dir):
+    values = F.transform(F.sequence(F.lit(0), F.col("n_nationkey").cast("int")), lambda x: x.cast("string"))
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.array_join(M.stride_sample(values, 5), ",").alias("picked"))

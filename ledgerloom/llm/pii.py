@@ -6,8 +6,10 @@ entities share a surrogate, and that none is itself an entity of the corpus, is
 aggregated before they are shuffled, surrogates are grouped, and what collides is drawn again until nothing does.
 Names are compared as they are written, without the gender. A name with a title that tells no gender (Dr, Prof) is the entity of
 that name whose gender other documents tell; if they tell none or both, it is one of its own. Within a document, the first title
-that tells a gender holds for the name.
-The documents are then rewritten in place; only entities with a second draw or a gender from elsewhere are looked up.
+that tells a gender holds for the name. First and last name together are found without a title too, if any document of the corpus gives them one;
+a last name alone, in a document that has the whole name, is the last word of that name's surrogate.
+The documents are then rewritten in place; only entities with a second draw, a gender from elsewhere or mentions without a title are looked up.
+Where drawing again doesn't help, because a format has few forms, later draws are longer; after ``MOST_DRAWS`` the job fails with a message.
 
 Numbers count as card numbers or IBANs only if their check digits hold, and their surrogates' check digits hold too.
 
@@ -21,7 +23,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Collection, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,9 +33,14 @@ from ledgerloom.llm.common import map_batches, saved, table
 
 TYPES = ("email", "phone", "card", "ip", "ssn", "iban", "name")
 ENTITY_SCHEMA = "kind string, canonical string"
+#: The kind of what may be a name without a title: two capitalised words.
+MAYBE = "maybe"
 TEXT_SCHEMA = "doc_id long, text string, " + ", ".join(f"n_{t} long" for t in TYPES)
-#: Entities with a second draw or a gender from elsewhere that are sent to all tasks at once; with more, they are joined to their documents.
+#: Entities to look up that are sent to all tasks at once; with more, each text's are joined to it. Both give the same result.
 BROADCAST_REDRAWN = 100_000
+#: Draws for an entity at most, and after how many of them surrogates become longer by one.
+MOST_DRAWS, LONGER_AFTER = 64, 4
+SHORTEST_KEY = 16
 
 EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 PHONE = re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(.])(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}(?!\w)")
@@ -46,6 +53,7 @@ MALE = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "господин",
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "госпожа", "г-жа", "Κυρία")
 EITHER = ("Dr", "Prof")
 UPPER, LOWER = "A-ZÀ-ÖØ-ÞΑ-ΩА-Я", "a-zß-öø-ÿά-ώа-яё"
+TWO_WORDS = re.compile(rf"(?<!\w)(?=([{UPPER}][{LOWER}]+ [{UPPER}][{LOWER}]+)(?!\w))")
 NAME = re.compile(rf"(?<!\w)({'|'.join((*MALE, *FEMALE, *EITHER))})\.? ([{UPPER}][{LOWER}]+(?: [{UPPER}][{LOWER}]+)?)(?!\w)")
 # Syllables of invented names: script -> (openings, vowels, male ends, female ends).
 NAME_PARTS = {
@@ -65,8 +73,11 @@ def iban_holds(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
-def detect(text: str) -> list[Span]:
-    """(start, end, type, canonical form) of entities that don't overlap: by type in the order of ``TYPES``, then by place."""
+def detect(text: str, known: Collection[str] = ()) -> list[Span]:
+    """(start, end, type, canonical form) of entities that don't overlap: by type in the order of ``TYPES``, then by place.
+
+    ``known``: names of first and last name that count without a title. A last name alone has the canonical form of the whole name and a mark before it.
+    """
     found: list[Span] = []
     taken = bytearray()
 
@@ -97,17 +108,40 @@ def detect(text: str) -> list[Span]:
         for m in IBAN.finditer(text):
             if 15 <= len(iban := m[0].replace(" ", "")) <= 34 and iban_holds(iban):
                 add("iban", *m.span(), iban)
+    genders: dict[str, str] = {}
     if any(t + " " in text or t + ". " in text for t in (*MALE, *FEMALE, *EITHER)):
-        genders: dict[str, str] = {}
         for m in NAME.finditer(text):
             if genders.get(m[2], "x") == "x":
                 genders[m[2]] = "m" if m[1] in MALE else "f" if m[1] in FEMALE else "x"
-        for name, gender in sorted(genders.items(), key=lambda x: -len(x[0])):
-            for m in re.finditer(rf"(?<!\w){re.escape(name)}(?!\w)", text):
-                add("name", *m.span(), f"{gender}:{name}")
+    if known:
+        for m in TWO_WORDS.finditer(text):
+            if m[1] in known:
+                genders.setdefault(m[1], "x")
+    whole: dict[str, list[tuple[int, str]]] = {}
+    for name, gender in sorted(genders.items(), key=lambda x: (" " not in x[0], -len(x[0]))):
+        if " " not in name and name in whole:
+            continue
+        for m in re.finditer(rf"(?<!\w){re.escape(name)}(?!\w)", text):
+            add("name", *m.span(), f"{gender}:{name}")
+            if " " in name:
+                whole.setdefault(name.split()[-1], []).append((m.start(), f"{gender}:{name}"))
+    for last, mentions in whole.items():
+        mentions.sort()
+        for m in re.finditer(rf"(?<!\w){re.escape(last)}(?!\w)", text):
+            before = [x for at, x in mentions if at <= m.start()]
+            add("name", *m.span(), LAST + (before[-1] if before else mentions[0][1]))
     return sorted(found)
 
 
+def maybe_names(text: str) -> set[str]:
+    """Pairs of capitalised words."""
+    return {m[1] for m in TWO_WORDS.finditer(text)}
+
+
+#: Before the canonical form of a name of which only the last word is written.
+LAST = "~"
+
+
 class Draw:
     """Keyed numbers for one entity and attempt."""
 
@@ -139,21 +173,21 @@ class Draw:
 
 def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
     """The canonical form of the surrogate; ``written`` puts it into a mention's format."""
-    d = Draw(key, kind, canonical, attempt)
+    d, longer = Draw(key, kind, canonical, attempt), attempt // LONGER_AFTER
     if kind == "email":
         local, _, domain = canonical.partition("@")
         labels = domain.split(".")
-        return "".join(map(d.like, local)) + "@" + ".".join(["".join(map(d.like, x)) for x in labels[:-1]] + labels[-1:])
+        return "".join(map(d.like, local + "a" * longer)) + "@" + ".".join(["".join(map(d.like, x)) for x in labels[:-1]] + labels[-1:])
     if kind == "phone":
         country = len(canonical) - 10 if len(canonical) > 10 else 0
-        return canonical[:country] + d.digit(2) + "".join(d.digit() for _ in canonical[country + 1 :])
+        return canonical[:country] + d.digit(2) + "".join(d.digit() for _ in range(len(canonical) - country - 1 + longer))
     if kind == "card":
         body = canonical[0] + "".join(d.digit() for _ in canonical[2:])
         return next(body + c for c in "0123456789" if luhn(body + c))
     if kind == "ip":
         return ".".join(str(1 + d.below(254)) for _ in range(4))
     if kind == "ssn":  # areas that are never issued
-        return f"9{d.below(100):02}-{1 + d.below(99):02}-{1 + d.below(9999):04}"
+        return f"9{d.below(100):02}-{1 + d.below(99):02}-{1 + d.below(9999):04}" + "".join(d.digit() for _ in range(longer))
     if kind == "iban":
         body = "".join(map(d.like, canonical[4:]))
         return next(x for n in range(2, 99) if iban_holds(x := f"{canonical[:2]}{n:02}{body}"))
@@ -162,7 +196,7 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
     openings, vowels, male, female = NAME_PARTS.get(script, NAME_PARTS["LATIN"])
     words = []
     for k, _ in enumerate(words_in := name.split()):
-        stem = "".join(openings[d.below(len(openings))] + vowels[d.below(len(vowels))] for _ in range(2)) + openings[d.below(14)]
+        stem = "".join(openings[d.below(len(openings))] + vowels[d.below(len(vowels))] for _ in range(2 + longer)) + openings[d.below(14)]
         ends = female if gender == "f" and k == 0 else male if gender == "m" or k == len(words_in) - 1 else male + female
         end = ends[d.below(len(ends))]
         words.append((stem + (vowels[d.below(len(vowels))] if end[0] not in vowels else "") + end).capitalize())
@@ -173,7 +207,7 @@ def written(kind: str, canonical: str, mention: str) -> str:
     """``canonical`` in the format of ``mention``: its separators, its case."""
     if kind in ("phone", "card", "iban"):
         rest = iter(canonical)
-        return "".join(next(rest) if c.isalnum() else c for c in mention)
+        return "".join(next(rest) if c.isalnum() else c for c in mention) + "".join(rest)
     if kind == "email" and mention.isupper():
         return canonical.upper()
     return canonical.partition(":")[2] if kind == "name" else canonical
@@ -182,22 +216,40 @@ def written(kind: str, canonical: str, mention: str) -> str:
 def replaced(text: str, spans: list[Span], key: bytes, special: dict[tuple[str, str], tuple[str, int]]) -> str:
     """``text`` with surrogates; ``special`` has the entity and attempt of canonical forms that aren't their own entity at the first."""
     out, at = [], 0
-    for start, end, kind, canonical in spans:
+    for start, end, kind, marked in spans:
+        canonical = marked.removeprefix(LAST) if kind == "name" else marked
         entity, attempt = special.get((kind, canonical), (canonical, 0))
-        out += [text[at:start], written(kind, surrogate(key, kind, entity, attempt), text[start:end])]
+        new = written(kind, surrogate(key, kind, entity, attempt), text[start:end])
+        out += [text[at:start], new.split()[-1] if marked is not canonical else new]
         at = end
     return "".join(out) + text[at:]
 
 
+def text_key() -> Column:
+    return F.unhex(F.md5("text"))
+
+
 def entities(docs: DataFrame) -> DataFrame:
-    """``kind, canonical, doc_id`` of the mentions, each once a batch and document."""
+    """``kind, canonical, key`` of the mentions, each once a batch and text, and of pairs of words that may be names. ``key`` tells texts apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = sorted({(k, c, d) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for _, _, k, c in detect(t)}, key=str)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["kind", "canonical", "doc_id"])
+            rows: set[tuple[str, str, bytes]] = set()
+            for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if text:
+                    rows |= {(k, c.removeprefix(LAST) if k == "name" else c, own) for _, _, k, c in detect(text)} | {(MAYBE, c, own) for c in maybe_names(text)}
+            columns = list(zip(*sorted(rows), strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.binary()), strict=True)], names=["kind", "canonical", "key"])
 
-    return map_batches(docs.select("doc_id", "text"), run, ENTITY_SCHEMA + ", doc_id long")
+    return map_batches(docs.select(text_key().alias("key"), "text"), run, ENTITY_SCHEMA + ", key binary")
+
+
+def with_untitled(found: DataFrame) -> DataFrame:
+    """``found`` with the names that have a title somewhere and none here; what only may be a name goes."""
+    name = F.col("canonical")
+    titled = found.where("kind = 'name'").select(F.regexp_replace(name, "^[mfx]:", "").alias("canonical")).where("canonical like '% %'").distinct()
+    untitled = found.where(F.col("kind") == MAYBE).join(titled, "canonical", "left_semi").select(F.lit("name").alias("kind"), F.concat(F.lit("x:"), name).alias("canonical"), "key")
+    return found.where(F.col("kind") != MAYBE).unionByName(untitled).distinct()
 
 
 def drawn(found: DataFrame, key: bytes) -> DataFrame:
@@ -230,7 +282,7 @@ def assignment(found: DataFrame, key: bytes) -> DataFrame:
     """``kind, canonical, entity, attempt, surrogate`` of all distinct canonical forms; no two entities are written alike."""
     own = saved(resolved(found), "entities")
     current = saved(drawn(own.where("canonical = entity").withColumn("attempt", F.lit(0)), key), "surrogates")
-    while True:
+    for _ in range(MOST_DRAWS):
         made = current.withColumn("shown", shown("surrogate"))
         first = made.groupBy("kind", "shown").agg(F.min("canonical").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
         twice = made.join(first, ["kind", "shown"]).where("canonical <> first").select("kind", "canonical")
@@ -241,31 +293,48 @@ def assignment(found: DataFrame, key: bytes) -> DataFrame:
         moved = current.join(clash, ["kind", "canonical"], "left")
         redrawn = drawn(moved.where("again = 1").withColumn("attempt", F.col("attempt") + 1), key)
         current = saved(moved.where("again is null").select("kind", "canonical", "attempt", "surrogate").unionByName(redrawn), "surrogates")
+    raise ValueError(f"after {MOST_DRAWS} draws there are entities without a free surrogate: " + ", ".join(sorted({r.kind for r in clash.select("kind").distinct().collect()})))
 
 
 def surrogate_texts(docs: DataFrame, key: bytes) -> DataFrame:
-    """``TEXT_SCHEMA``: each row's text with surrogates, and how many mentions of each type it had."""
-    mentions = saved(entities(docs), "entity-mentions")
-    redrawn = saved(assignment(mentions, key).where("attempt > 0 or entity <> canonical").select("kind", "canonical", "entity", "attempt"), "redrawn")
-    rows, few = docs.select("doc_id", "text"), redrawn.limit(BROADCAST_REDRAWN + 1).collect()
-    attempts = {(r.kind, r.canonical): (r.entity, r.attempt) for r in few}
-    if joined := len(few) > BROADCAST_REDRAWN:
-        attempts = {}
-        own = mentions.join(redrawn, ["kind", "canonical"]).groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("kind", "canonical", "entity", "attempt")).alias("redrawn"))
-        rows = rows.join(own, F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("id")
+    """``TEXT_SCHEMA``: each row's text with surrogates, and how many mentions of each type it had. ``key``: the caller's secret, 16 bytes or more."""
+    if len(key) < SHORTEST_KEY:
+        raise ValueError(f"the key needs {SHORTEST_KEY} bytes")
+    mentions = saved(with_untitled(saved(entities(docs), "entity-mentions")), "titled-mentions")
+    untitled = (F.col("kind") == "name") & F.col("canonical").startswith("x:")
+    listed = saved(assignment(mentions, key).where((F.col("attempt") > 0) | (F.col("entity") != F.col("canonical")) | untitled).select("kind", "canonical", "entity", "attempt"), "listed-entities")
+    rows, few = docs.select("doc_id", "text"), listed.limit(BROADCAST_REDRAWN + 1).collect()
+    joined = len(few) > BROADCAST_REDRAWN
+    everywhere = Lookup([] if joined else few)
+    if joined:
+        own = mentions.join(listed, ["kind", "canonical"]).groupBy("key").agg(F.collect_list(F.struct("kind", "canonical", "entity", "attempt")).alias("listed"))  # a text's own
+        rows = rows.withColumn("key", text_key()).join(own, "key", "left").select("doc_id", "text", "listed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
-            special = batch.column(2).to_pylist() if joined else [None] * batch.num_rows
-            for text, again in zip(batch.column(1).to_pylist(), special, strict=True):
-                spans = detect(text) if text else []
-                texts.append(replaced(text, spans, key, {(x["kind"], x["canonical"]): (x["entity"], x["attempt"]) for x in again} if again else attempts) if spans else text)
+            for text, again in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist() if joined else [None] * batch.num_rows, strict=True):
+                lookup = Lookup(again or []) if joined else everywhere
+                spans = detect(text, lookup.known) if text else []
+                texts.append(replaced(text, spans, key, lookup.special) if spans else text)
                 counts.append([sum(s[2] == t for s in spans) for t in TYPES])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(len(TYPES)))], names=["doc_id", "text", *(f"n_{t}" for t in TYPES)])
 
     return map_batches(rows, run, TEXT_SCHEMA)
 
 
-def op9_pii(spark: SparkSession, sf_dir: str, key: bytes = b"change this key") -> DataFrame:
-    return surrogate_texts(table(spark, sf_dir, "documents"), key)
+class Lookup:
+    """Of listed entities: entity and attempt of canonical forms, and the names that count without a title."""
+
+    def __init__(self, listed: Iterable):
+        self.special = {(x["kind"], x["canonical"]): (x["entity"], x["attempt"]) for x in listed}
+        self.known = {c[2:] for k, c in self.special if k == "name" and c.startswith("x:") and " " in c}
+
+
+#: The session's setting with the key; the query on the synthetic tables has one of its own.
+KEY_SETTING = "spark.ledgerloom.surrogateKey"
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = spark.conf.get(KEY_SETTING, None) or "for the synthetic tables only"
+    return surrogate_texts(table(spark, sf_dir, "documents"), key.encode())

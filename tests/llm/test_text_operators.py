@@ -203,8 +203,11 @@ def test_leaks_of_odd_tables(spark, odd, nothing):
 TEXT = "Mail Ann.Lee@Mail.Example.com or ann.lee@mail.example.com, call +1 (017) 555-7713, card 4111 1111 1111 1111 and 4111111111111112, host 97.51.17.173 not 999.1.1.1, v1.2.3.4.5. SSN 123-45-6789, IBAN GB82 WEST 1234 5698 7654 32. Mrs. Ada Byron met Mr Ivan Byron; Ada Byron left. г-жа Анна Иванова."
 
 
+KEY = b"sixteen bytes or more"
+
+
 def test_surrogates(spark, odd, nothing):
-    key = b"k"
+    key = KEY
     df = spark.createDataFrame([(1, TEXT), (2, "again 97.51.17.173 and ANN.LEE@MAIL.EXAMPLE.COM"), (3, None), (4, "")], "doc_id long, text string")
     got = {r.doc_id: r for r in pii.surrogate_texts(df, key).collect()}
     one = got[1].text
@@ -242,13 +245,67 @@ def test_names_are_compared_as_they_are_written(spark, monkeypatch):
 def test_titles_of_other_documents_tell_the_gender(spark, monkeypatch):
     texts = ["Mr Smith", "Dr Smith", "Mrs Jones", "Prof Jones", "Dr Alone", "Mr Lee", "Mrs Lee", "Dr Lee", "Dr Kay and Mrs Kay", "Dr Kay"]
     df = spark.createDataFrame([(None if k == 1 else k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: re.sub(r"\b(Mrs?|Dr|Prof) ", "", r.text) for r in pii.surrogate_texts(df, b"k").collect()}
+    got = {r.doc_id: re.sub(r"\b(Mrs?|Dr|Prof) ", "", r.text) for r in pii.surrogate_texts(df, KEY).collect()}
     assert got[0] == got[None] and got[2] == got[3] and got[8] == f"{got[9]} and {got[9]}"
     assert got[2].endswith("a") and got[9].endswith("a") and len({got[k] for k in (0, 2, 4, 5, 6, 7, 9)}) == 7
     monkeypatch.setattr(pii, "BROADCAST_REDRAWN", 0)
-    assert got == {r.doc_id: re.sub(r"\b(Mrs?|Dr|Prof) ", "", r.text) for r in pii.surrogate_texts(df, b"k").collect()}
+    assert got == {r.doc_id: re.sub(r"\b(Mrs?|Dr|Prof) ", "", r.text) for r in pii.surrogate_texts(df, KEY).collect()}
 
 
 def test_surrogates_don_t_depend_on_the_document():
     assert pii.surrogate(b"k", "ip", "1.2.3.4") == pii.surrogate(b"k", "ip", "1.2.3.4") != pii.surrogate(b"j", "ip", "1.2.3.4")
     assert hashlib.sha256(pii.surrogate(b"k", "email", "a.b1@x.com").encode()).hexdigest() and re.fullmatch(r"[a-z]\.[a-z]\d@[a-z]\.com", pii.surrogate(b"k", "email", "a.b1@x.com"))
+
+
+def test_names_without_a_title_and_last_names_alone(spark, monkeypatch):
+    texts = [
+        "Mrs Ada Byron wrote. Byron then left, and Mr Ivan Lee came; Lee stayed.", "Ada Byron without a title.", "Here Ivan Lee and Ada Byron meet; nobody names Green Field.", "Lee alone in another document stays.",
+        "Mr John Smith met Mr Smith. Smith left.", "Mr Karl Ott and Mrs Ina Ott: Ott first, then Karl Ott and Ott again.", "Ada Byronic is another.", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.surrogate_texts(df, KEY).collect()}
+    ada, byron, ivan, lee = re.fullmatch(r"Mrs (\w+ (\w+)) wrote. \2 then left, and Mr (\w+ (\w+)) came; \4 stayed.", got[0]).groups()
+    assert got[1] == f"{ada} without a title." and got[2] == f"Here {ivan} and {ada} meet; nobody names Green Field."
+    assert got[3] == texts[3] and got[6] == texts[6] and got[7] is None
+    assert re.fullmatch(r"Mr \w+ (\w+) met Mr \1. \1 left.", got[4]) and "Smith" not in got[4]
+    karl, ott = re.match(r"Mr (\w+ (\w+)) and", got[5]).groups()
+    ina = re.search(r"Mrs \w+ (\w+):", got[5])[1]
+    assert got[5].endswith(f": {ina} first, then {karl} and {ott} again.") and ott != ina
+    monkeypatch.setattr(pii, "BROADCAST_REDRAWN", 0)
+    assert got == {r.doc_id: r.text for r in pii.surrogate_texts(df, KEY).collect()}
+
+
+def test_surrogates_of_a_corpus_are_distinct_and_corefer(spark, sample):
+    """All mentions of the small tables against a plain map of entities to what stands in their place."""
+    df = sample[0].unionByName(spark.createDataFrame([(10**6 + k, f"{chr(97 + k % 26)}@{chr(97 + k // 26)}.co from Dr {'AEIOU'[k % 5]}{'abc'[k % 3]}{'lmn'[k // 5 % 3]}", None, None, None) for k in range(676)], sample[0].schema))
+    texts = {(r.doc_id, r.text) for r in df.select("doc_id", "text").collect() if r.text}
+    new = {r.doc_id: r.text for r in pii.surrogate_texts(df, KEY).collect()}
+    forms, mentions = {}, 0
+    for doc_id, text in texts:
+        at, out = 0, new[doc_id]
+        for start, end, kind, canonical in pii.detect(text):
+            between = text[at:start]
+            assert out.startswith(between)
+            out = out[len(between):]
+            rest = text[end:][:1]
+            written = re.match(r"[^\s,;]+(?: [A-Z]\w+)?" if kind == "name" and " " in canonical and not canonical.startswith("~") else r"\+?[\w@.+%()-]+(?:[ .-]\(?[\dA-Z]+\)?)*" if kind in ("phone", "card", "iban") else r"[\w@.+%-]+", out)[0]
+            while rest and written.endswith(rest):
+                written = written[: -len(rest)]
+            if kind in ("email", "ip", "ssn"):
+                forms.setdefault((kind, canonical), set()).add(written.lower().rstrip("."))
+                mentions += 1
+            out, at = out[len(written):], end
+            nxt = text[end : end + 3]
+            out = out[out.index(nxt):] if nxt and not out.startswith(nxt) and nxt in out else out
+    assert mentions > 676 and all(len(x) == 1 for x in forms.values())
+    made = [(k, next(iter(x))) for (k, _), x in forms.items()]
+    assert len(set(made)) == len(made) and not set(made) & set(forms)
+
+
+def test_exhausted_formats_end(spark, monkeypatch):
+    monkeypatch.setattr(pii, "drawn", lambda found, key: found.select("kind", "canonical", "attempt").withColumn("surrogate", F.lit("the only one")))
+    monkeypatch.setattr(pii, "MOST_DRAWS", 3)
+    with pytest.raises(ValueError, match="ip"):
+        pii.assignment(spark.createDataFrame([("ip", "a"), ("ip", "b")], "kind string, canonical string"), KEY)
+    with pytest.raises(ValueError, match="key"):
+        pii.surrogate_texts(spark.createDataFrame([(1, "x")], "doc_id long, text string"), b"short")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,11 +47,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
-def map_batches(df: DataFrame, run: Callable, schema: object) -> DataFrame:
-    """``df.mapInArrow`` with small batches, by settings of the session."""
+def map_batches(df: DataFrame, run: Callable, schema: object, keeps: str | None = None) -> DataFrame:
+    """``df.mapInArrow`` with small batches, by settings of the session. ``keeps`` names the kind of ``worker_object`` that ``run`` uses: others are let go first."""
     for key, value in BATCH.items():
         df.sparkSession.conf.set(key, value)
-    return df.mapInArrow(run, schema)
+
+    def lean(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        forget(keeps)
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(lean, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,12 +81,18 @@ def tokenizer_path(name: str) -> str:
 
 
 T = TypeVar("T")
-_kept: dict[Hashable, object] = {}
+_kept: dict[tuple[str, Hashable], object] = {}
 
 
-def worker_object(key: Hashable, make: Callable[[], T]) -> T:
-    """What a Python worker keeps from task to task: only the last such object, so that stages don't pile up their caches."""
+def worker_object(key: tuple[str, Hashable], make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task, by kind and name: only the last such object, so that stages don't pile up their caches."""
     if key not in _kept:
         _kept.clear()
         _kept[key] = make()
     return _kept[key]
+
+
+def forget(but: str | None) -> None:
+    """Lets go what the worker keeps, unless it is of the kind ``but``."""
+    if any(kind != but for kind, _ in _kept):
+        _kept.clear()

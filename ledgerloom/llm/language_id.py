@@ -118,7 +118,7 @@ def identify(docs: DataFrame, model: Model, narrow: float = 0.004) -> DataFrame:
             columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True))], names=["doc_id", "lang_pred", "score", "margin", "rejected"])
 
-    return map_batches(docs.select("doc_id", "text"), run, PREDICTION_SCHEMA)
+    return map_batches(docs.select("doc_id", "text"), run, PREDICTION_SCHEMA, "classifier")
 
 
 def keep_identified(docs: DataFrame, model: Model, narrow: float = 0.004) -> DataFrame:
@@ -131,7 +131,7 @@ def keep_identified(docs: DataFrame, model: Model, narrow: float = 0.004) -> Dat
             keep = [not own.predict(t.as_py(), narrow)[3] for t in batch.column(batch.schema.get_field_index("text"))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return map_batches(docs, run, docs.schema)
+    return map_batches(docs, run, docs.schema, "classifier")
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:

@@ -169,7 +169,7 @@ def apart(offered: DataFrame) -> DataFrame:
     key = Window.partitionBy("h", "lo", "hi")
     comps = keyed.select("h", "lo", "hi", "comp").distinct().withColumn("number", F.row_number().over(key.orderBy("comp")) - 1).withColumn("last", F.max("number").over(key)).where("last > 0")
     bits = F.expr("sequence(0, cast(floor(log2(last)) as int))")
-    dealt = keyed.join(comps, ["h", "lo", "hi", "comp"]).withColumn("bit", F.explode(bits)).withColumn("there", F.expr("shiftright(number, bit) & 1"))
+    dealt = saved(keyed.join(comps, ["h", "lo", "hi", "comp"]).withColumn("bit", F.explode(bits)).withColumn("there", F.expr("shiftright(number, bit) & 1")).drop("comp", "number", "last"), "crossing-shingles")
     left, right = (dealt.where(F.col("there") == x).select("h", "lo", "hi", "bit", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "most", "own", "other")]) for x in (0, 1))
     fits = (F.col("own_0") == F.col("other_1")) & (F.col("own_1") == F.col("other_0")) & (F.col("n_1") <= F.col("most_0")) & (F.col("n_0") <= F.col("most_1"))
     return left.join(right, ["h", "lo", "hi", "bit"]).where(fits).select(F.greatest("id_0", "id_1").alias("a"), F.least("id_0", "id_1").alias("b")).distinct()

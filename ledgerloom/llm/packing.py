@@ -43,7 +43,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
-    return map_batches(docs.select("doc_id", whole_text().alias("text")), cut, PIECE_SCHEMA + ", ids binary" * with_ids)
+    return map_batches(docs.select("doc_id", whole_text().alias("text")), cut, PIECE_SCHEMA + ", ids binary" * with_ids, "encoder")
 
 
 def enumerate_patterns(present: np.ndarray, capacity: int, grid: int = 32, slack: int | None = None) -> tuple[np.ndarray, np.ndarray]:

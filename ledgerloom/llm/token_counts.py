@@ -161,7 +161,7 @@ def prefix_token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -
             deltas = [counter.deltas(t.as_py()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.as_buffer().size for t in texts], pa.int64()), pa.array([counter.total(d) for d in deltas], pa.int64()), pa.array(deltas, pa.binary())], names=["doc_id", "n_bytes", "n_tokens", "prefix_deltas"])
 
-    return map_batches(docs.select("doc_id", whole_text().alias("text")), count, PREFIX_SCHEMA)
+    return map_batches(docs.select("doc_id", whole_text().alias("text")), count, PREFIX_SCHEMA, "prefix counter")
 
 
 @F.pandas_udf(LongType())

@@ -39,7 +39,7 @@ def encode_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_
             ids = pa.array(np.frombuffer(b"".join(blobs), dtype="<i4"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), ids)], names=["doc_id", "tokens"])
 
-    return map_batches(docs.select("doc_id", whole_text().alias("text")), encode, STORE_SCHEMA)
+    return map_batches(docs.select("doc_id", whole_text().alias("text")), encode, STORE_SCHEMA, "encoder")
 
 
 #: Bytes of text for a file of the store at least and at most; between, they grow with the square root of the input, as the number of files does.

@@ -6,18 +6,22 @@ orders all suffixes; for matches of ``length`` bytes only prefixes of that lengt
 
 1. sampled suffixes are named by their first ``length - v + 1`` bytes and the names sorted, across the corpus;
    equal neighbours are repeated names;
-2. a suffix whose first ``length`` bytes recur anywhere has, by the property above, a repeated name among the sample
+2. a suffix whose first ``length`` bytes recur anywhere has, by the property above, a repeated name among the samples
    within v bytes: only those suffixes remain. They are named by their first ``length`` bytes, sorted, and equal
    neighbours are the repeated strings.
 
 With v = 133 (the Singer difference set of 12 residues) step 1 sorts 9 % of the positions instead of the two
-thirds that triples sample. Names are 64-bit fingerprints (about 46 bits in step 1, where a chance agreement only
-costs work); a whole suffix array of a corpus, with triples and full ranks, writes some twenty times the input to
-disk.
+thirds that triples sample; a whole suffix array of a corpus, with triples and full ranks, writes some twenty times the input to
+disk. Names are 64-bit fingerprints, and 52 to 64 bits of them in step 1. Their base is drawn at random for each run, so that nobody can write
+texts that collide; equality of bytes isn't verified. A string is cut only if its own name recurs *and* that of a sample in it does: with n names of each
+kind, a string that is found nowhere else is cut by chance with a probability of about 12 n / 2^(48 + range bits) times n / 2^64. By that, a
+corpus of 30 GB loses a string by chance once in a million runs; one of 100 TB some six hundred strings, about one in a billion of its bytes.
 
 Distinct texts are dealt into chunks of bounded size, in a bucketed table, and each step reads its own chunk again
-instead of shuffling text. Chunks send each name once, as packed sorted integers, to the task that sorts its range,
-and get one bit back for each: a string that a third of all documents hold is one name a chunk.
+instead of shuffling text. Texts with many copies are brought together in two steps, so that no task gets one from every task that has it.
+Chunks send each name once, as packed sorted integers, to the task that sorts its range,
+and get one bit back for each: a string that a third of all documents hold is one name a chunk. Chunks and ranges grow with the square root of
+the input: their product, the number of packets, then grows as the input does, and a packet keeps some hundred names.
 
 Edge cases: a null or empty text has no bytes and loses none; a text shorter than ``length`` loses none; a text that
 other rows repeat loses all if it is long enough; rows that repeat count as further occurrences; matches never cross documents; an
@@ -26,14 +30,17 @@ empty table gives an empty result; columns other than ``doc_id`` and ``text`` ar
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import itertools
+import math
+import secrets
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import map_batches, saved, shared_path, table, whole_text
@@ -43,14 +50,17 @@ TEXT_SCHEMA = "chunk int, key binary, text binary, copies long"
 NAME_SCHEMA = "chunk int, bucket int, names binary"
 BIT_SCHEMA = "chunk int, bucket int, bits binary"
 TEXT_RESULT = "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-#: Bytes of text in a chunk and of names in a bucket, about.
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+#: Bytes of text in a chunk and of names in a range at least, and what the product of both is of the input: a packet then has 64 names or more.
+CHUNK_BYTES, BUCKET_BYTES, PACKET = 8 << 20, 16 << 20, 320
+#: Bytes of a sample's name that are sent.
+SAMPLE_BYTES = 6
 #: Digests that a task remembers in order to send a repeated text once.
 REMEMBERED = 200_000
+#: A text whose copies have more bytes is brought together in two steps; so many texts at most, those with the most bytes.
+HEAVY_BYTES, MOST_HEAVY = 1 << 20, 1_000_000
 #: Positions that are hashed at once.
 SLICE = 1 << 18
 U64 = np.uint64
-FACTOR = 0x9E3779B97F4A7C15 | 1
 
 
 def difference_cover(q: int) -> tuple[int, ...]:
@@ -82,10 +92,10 @@ def powers(base: int, n: int) -> np.ndarray:
 class Hasher:
     """Fingerprints of all strings of one length, by a polynomial modulo 2^64 whose bits are mixed."""
 
-    def __init__(self, length: int):
+    def __init__(self, length: int, base: int):
         self.length = length
-        self.up = powers(FACTOR, SLICE + length)
-        self.down = powers(pow(FACTOR, -1, 1 << 64), SLICE)
+        self.up = powers(base, SLICE + length)
+        self.down = powers(pow(base, -1, 1 << 64), SLICE)
 
     def at(self, data: np.ndarray, positions: np.ndarray) -> np.ndarray:
         """Of the strings that begin at ``positions``, which ascend."""
@@ -106,7 +116,7 @@ class Hasher:
 class Chunk:
     """The distinct texts of one chunk and the positions that each step names."""
 
-    def __init__(self, rows: pa.Table, length: int, cover: tuple[int, ...], period: int):
+    def __init__(self, rows: pa.Table, length: int, cover: tuple[int, ...], period: int, base: int):
         texts: dict[bytes, bytes] = {}
         copies: dict[bytes, int] = {}
         for key, text, n in zip(*(rows.column(c).to_pylist() for c in ("key", "text", "copies")), strict=True):
@@ -115,7 +125,7 @@ class Chunk:
                 texts[key] = text
         self.keys = sorted(texts)
         self.texts, self.copies = [texts[k] for k in self.keys], [copies[k] for k in self.keys]
-        self.length, self.cover, self.period, self.short = length, np.array(cover), period, length - period + 1
+        self.length, self.cover, self.period, self.short, self.base = length, np.array(cover), period, length - period + 1, base
         self.starts = np.cumsum([0, *map(len, self.texts)])
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
 
@@ -127,7 +137,7 @@ class Chunk:
                 at = (np.arange(0, len(text), self.period)[:, None] + self.cover).ravel()
                 found.append(at[at <= len(text) - self.short] + begin)
         positions = np.concatenate(found) if found else np.empty(0, np.int64)
-        return positions, hasher(self.short).at(self.data, positions)
+        return positions, hasher(self.short, self.base).at(self.data, positions)
 
     def near(self, repeated: np.ndarray) -> np.ndarray:
         """Positions within a period before a repeated sample, where a string of full length fits."""
@@ -155,13 +165,15 @@ class Chunk:
         return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-_hashers: dict[int, Hasher] = {}
+_hashers: dict[tuple[int, int], Hasher] = {}
 
 
-def hasher(length: int) -> Hasher:
-    if length not in _hashers:
-        _hashers[length] = Hasher(length)
-    return _hashers[length]
+def hasher(length: int, base: int) -> Hasher:
+    if (length, base) not in _hashers:
+        if len(_hashers) >= 2:  # those of another run
+            _hashers.clear()
+        _hashers[length, base] = Hasher(length, base)
+    return _hashers[length, base]
 
 
 class Names:
@@ -171,7 +183,7 @@ class Names:
         self.distinct, self.inverse, counts = np.unique(names, return_inverse=True, return_counts=True)
         self.here = counts > 1
         self.width = width
-        self.shift = U64(64 - range_bits - 8 * width) if width < 8 else U64(0)
+        self.shift = U64(max(0, 64 - range_bits - 8 * width))  # the range tells the first bits
         tops = (self.distinct >> U64(64 - range_bits)).astype(np.int64) if range_bits else np.zeros(len(self.distinct), np.int64)
         self.cuts = np.searchsorted(tops, np.arange((1 << range_bits) + 1))
 
@@ -211,53 +223,93 @@ def shared_names(names: DataFrame, width: int) -> DataFrame:
     return names.groupBy("bucket").applyInArrow(compare, BIT_SCHEMA)
 
 
-def distinct_texts(docs: DataFrame, chunks: int) -> DataFrame:
-    """``TEXT_SCHEMA``: each task sends a text it has sent before as a count alone, so that common texts aren't heaped up."""
+def once(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, text, copies) without what the same task has sent before: a text goes once, and of a key two rows tell that it has copies."""
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[bytes, tuple[bool, int]] = {}
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            new = []
-            for key in keys:
-                new.append(key not in seen)
-                if len(seen) < REMEMBERED:
-                    seen.add(key)
-            at = np.array([int.from_bytes(k[:6], "little") % chunks for k in keys], np.int32)
-            texts = pa.array([t.as_buffer().to_pybytes() if fresh else None for t, fresh in zip(batch.column(1), new, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(0), texts, pa.array(np.ones(len(keys), np.int64))], names=["chunk", "key", "text", "copies"])
+            at, texts, copies = [], [], []
+            for k, (key, text, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True)):
+                had_text, n_rows = sent.get(key, (False, 0))
+                new = text.is_valid and not had_text
+                if new or n_rows < 2:
+                    at.append(k)
+                    texts.append(text.as_buffer().to_pybytes() if new else None)
+                    copies.append(n)
+                    if key in sent or len(sent) < REMEMBERED:
+                        sent[key] = had_text or new, n_rows + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(texts, pa.binary()), pa.array(copies, pa.int64())], names=["key", "text", "copies"])
 
-    return map_batches(docs.select(text_key().alias("key"), whole_text().alias("text")), once, TEXT_SCHEMA)
+    return map_batches(rows.select("key", "text", "copies"), run, "key binary, text binary, copies long")
+
+
+def heavy_keys(docs: DataFrame) -> DataFrame:
+    """The keys of the texts whose copies have the most bytes."""
+    sized = docs.groupBy(text_key().alias("key")).agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("bytes"))
+    weight = F.col("n") * F.col("bytes")
+    return sized.where((F.col("n") > 1) & (weight > HEAVY_BYTES)).orderBy(weight.desc()).limit(MOST_HEAVY).select("key")
+
+
+def distinct_texts(docs: DataFrame, chunks: int, total: int) -> DataFrame:
+    """``TEXT_SCHEMA``: tasks send a text once; one with many copies goes to as many tasks as the root of theirs, and from there on once more."""
+    keyed = docs.select(text_key().alias("key"), whole_text().cast("binary").alias("text"), F.lit(1).cast("long").alias("copies"))
+    heavy = F.broadcast(saved(heavy_keys(docs), "heavy-texts"))  # MOST_HEAVY keys of 16 bytes at most
+    salts = max(4, math.isqrt(total >> 27))
+    gathered = once(keyed.join(heavy, "key", "left_semi")).withColumn("salt", F.spark_partition_id() % salts).repartition("key", "salt")
+    rows = once(keyed.join(heavy, "key", "left_anti")).unionByName(once(gathered))
+    return rows.select(chunk_of(F.col("key"), chunks).alias("chunk"), "key", "text", "copies")
+
+
+def chunk_of(key: Column, chunks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int")
 
 
 def text_key():
     return F.unhex(F.md5(whole_text()))
 
 
+@contextlib.contextmanager
+def bucketed(rows: DataFrame, chunks: int) -> Iterator[DataFrame]:
+    """``rows`` in a table bucketed by ``chunk``, for as long as the context lasts; its files stay in the shared folder."""
+    spark, setting = rows.sparkSession, "spark.sql.sources.bucketing.maxBuckets"
+    name, before = f"loom_texts_{uuid.uuid4().hex}", spark.conf.get(setting)
+    spark.conf.set(setting, max(int(before), chunks))
+    try:
+        rows.repartition(chunks, "chunk").write.bucketBy(chunks, "chunk").option("path", shared_path(spark, "distinct-texts")).option("compression", "zstd").format("parquet").saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.conf.set(setting, before)
+
+
+def sizes(total: int) -> tuple[int, int]:
+    """Bytes of a chunk and of a range of names, for an input of ``total`` bytes."""
+    root = math.isqrt(PACKET * total)
+    return max(CHUNK_BYTES, root), max(BUCKET_BYTES, root)
+
+
 def repeated_strings(docs: DataFrame, length: int = 200, q: int = 11) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row of ``docs``: what stays of its bytes without repeated strings of ``length``."""
-    spark = docs.sparkSession
     cover, period = difference_cover(q), q * q + q + 1
     if period > length:
         raise ValueError("the period must not exceed the match length")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-total // CHUNK_BYTES))
-    range_bits = max(4, int(total * len(cover) // period * 8 // BUCKET_BYTES).bit_length())
-    name, path = f"loom_texts_{uuid.uuid4().hex}", shared_path(spark, "distinct-texts")
-    # Bucketed by chunk: no step below shuffles text.
-    distinct_texts(docs, chunks).repartition(chunks, "chunk").write.bucketBy(chunks, "chunk").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
-    texts = spark.table(name)
+    chunk_bytes, bucket_bytes = sizes(total)
+    chunks = max(1, -(-total // chunk_bytes))
+    range_bits = max(4, int(total * len(cover) // period * 8 // bucket_bytes).bit_length())
+    base = secrets.randbits(64) | 1
 
     def load(rows: pa.Table) -> Chunk:
-        return Chunk(rows, length, cover, period)
+        return Chunk(rows, length, cover, period, base)
 
     def sample_names(rows: pa.Table) -> pa.Table:
-        return Names(load(rows).sample()[1], range_bits, 5).rows(rows.column("chunk")[0].as_py())
+        return Names(load(rows).sample()[1], range_bits, SAMPLE_BYTES).rows(rows.column("chunk")[0].as_py())
 
     def candidates(chunk: Chunk, sample_bits: pa.Table) -> tuple[np.ndarray, Names]:
         positions, names = chunk.sample()
-        near = chunk.near(positions[Names(names, range_bits, 5).repeated(sample_bits)])
-        return near, Names(hasher(length).at(chunk.data, near), range_bits, 8)
+        near = chunk.near(positions[Names(names, range_bits, SAMPLE_BYTES).repeated(sample_bits)])
+        return near, Names(hasher(length, base).at(chunk.data, near), range_bits, 8)
 
     def full_names(rows: pa.Table, sample_bits: pa.Table) -> pa.Table:
         return candidates(load(rows), sample_bits)[1].rows(rows.column("chunk")[0].as_py())
@@ -268,11 +320,11 @@ def repeated_strings(docs: DataFrame, length: int = 200, q: int = 11) -> DataFra
         near, names = candidates(chunk, bits.filter(pa.array(step == 1)))
         return chunk.results(near[names.repeated(bits.filter(pa.array(step == 2)))])
 
-    first = saved(shared_names(texts.groupBy("chunk").applyInArrow(sample_names, NAME_SCHEMA), 5), "sample-bits")
-    second = saved(shared_names(texts.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(full_names, NAME_SCHEMA), 8), "string-bits")
-    bits = first.withColumn("step", F.lit(1)).unionByName(second.withColumn("step", F.lit(2)))
-    results = saved(texts.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(cut, TEXT_RESULT), "cut-texts")
-    spark.sql(f"DROP TABLE {name}")  # its files stay in the shared folder
+    with bucketed(distinct_texts(docs, chunks, total), chunks) as texts:  # no step below shuffles text
+        first = saved(shared_names(texts.groupBy("chunk").applyInArrow(sample_names, NAME_SCHEMA), SAMPLE_BYTES), "sample-bits")
+        second = saved(shared_names(texts.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(full_names, NAME_SCHEMA), 8), "string-bits")
+        bits = first.withColumn("step", F.lit(1)).unionByName(second.withColumn("step", F.lit(2)))
+        results = saved(texts.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(cut, TEXT_RESULT), "cut-texts")
     return docs.select("doc_id", text_key().alias("key")).join(results, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

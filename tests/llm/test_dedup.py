@@ -157,3 +157,47 @@ def test_cuts_of_odd_documents(odd, nothing):
     long = {r.doc_id: r.n_removed for r in suffix_dedup.repeated_strings(odd).collect()}
     assert long[7] >= long[6] - 200 > 0
     assert suffix_dedup.repeated_strings(nothing).count() == 0
+
+
+def test_texts_with_many_copies_are_gathered_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HEAVY_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 4000)
+    r = random.Random(3)
+    common = "".join(r.choice("abcdefgh ") for _ in range(500))
+    rows = [(k, common) for k in range(40)] + [(100 + k, common[k:] + str(k) * 30) for k in range(10)] + [(200 + k, "".join(r.choice("xyz") for _ in range(300))) for k in range(20)] + [(300, None), (301, ""), (302, "short"), (303, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    assert got_cuts(df) == expected_cuts(df.collect())
+    sent = suffix_dedup.distinct_texts(df, 3, 1 << 20).where("text is not null").groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert sent <= 4
+    assert spark.conf.get("spark.sql.sources.bucketing.maxBuckets") == "100000" and not [t for t in spark.catalog.listTables() if t.name.startswith("loom_texts")]
+
+
+def test_equal_names_of_different_strings_are_kept_apart(monkeypatch):
+    """All names of whole strings agree by force: text without a repeated sample loses nothing."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcdefghij ") for _ in range(600)) for _ in range(6)]
+    texts.append(texts[0][:300] + texts[1][100:])
+    table = pa.table({"key": [bytes([k]) for k in range(7)], "text": [t.encode() for t in texts], "copies": [1] * 7})
+    none = pa.table({"bucket": pa.array([], pa.int32()), "bits": pa.array([], pa.binary())})
+    at = suffix_dedup.Hasher.at
+
+    def removed():
+        chunk = suffix_dedup.Chunk(table, 200, suffix_dedup.difference_cover(11), 133, 12345)
+        positions, names = chunk.sample()
+        near = chunk.near(positions[suffix_dedup.Names(names, 4, 5).repeated(none)])
+        again = suffix_dedup.Names(suffix_dedup.hasher(200, 12345).at(chunk.data, near), 4, 8).repeated(none)
+        return chunk.results(near[again]).column("n_removed").to_pylist()
+
+    assert removed() == [300, 500, 0, 0, 0, 0, 800]
+    monkeypatch.setattr(suffix_dedup.Hasher, "at", lambda self, data, positions: np.full(len(positions), 7, np.uint64) if self.length == 200 else at(self, data, positions))
+    assert removed()[2:6] == [0] * 4
+
+
+def test_packets_grow_as_the_input(monkeypatch):
+    for total in (1 << 30, 30 << 30, 1 << 40, 100 << 40):
+        chunk, bucket = suffix_dedup.sizes(total)
+        packets = (total / chunk) * (total * 12 / 133 * 8 / bucket)
+        assert chunk <= 190 << 20 and packets * 64 <= 2.5 * total * 12 / 133

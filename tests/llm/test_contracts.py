@@ -168,3 +168,128 @@ def test_sql(spark, tables, name):
         assert sorted(df.columns) == sorted(expected.columns)
         key = lambda r: tuple(map(str, r))
         assert sorted(map(tuple, df.select(*expected.columns).collect()), key=key) == sorted(expected.fetchall(), key=key)
+
+
+def plain_cuts(texts, length=200):
+    texts = [(t or "").encode() for t in texts]
+    counts = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        cover = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if counts[t[i : i + length]] > 1:
+                cover[i : i + length] = b"\1" * length
+        spans = sum(1 for i, v in enumerate(cover) if v and (i == 0 or not cover[i - 1]))
+        out.append((len(t), sum(cover), spans, hashlib.sha256(bytes(b for b, v in zip(t, cover, strict=True) if not v)).hexdigest()))
+    return out
+
+
+def test_op3(spark, tables, rows):
+    got = result(spark, tables, "op3_suffix_dedup", {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"})
+    assert collections.Counter(got) == collections.Counter((d, *cut) for (d, *_), cut in zip(rows, plain_cuts([t for _, t, *_ in rows]), strict=True))
+
+
+@pytest.fixture(scope="module")
+def library():
+    from ledgerloom.llm.bpe_units import load_tokenizer
+
+    known = {name: load_tokenizer(name) for name in ("byte_bpe_50k.json", "word_bpe_49k.json")}
+    return lambda name, text: known[name].encode(text or "", add_special_tokens=False).ids
+
+
+def packed(ids):
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_op4(spark, tables, rows, library):
+    got = sorted(result(spark, tables, "op4_token_store", {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"}), key=lambda r: r[1])
+    at = 0
+    for doc_id, start, n, _ in got:
+        assert start == at
+        at += n
+    assert [d for d, *_ in got] == sorted((d for d, *_ in got), key=lambda d: (d is not None, d))
+    ids = [(d, [*library("byte_bpe_50k.json", t), 0]) for d, t, *_ in rows]
+    assert collections.Counter((d, n, c) for d, _, n, c in got) == collections.Counter((d, len(x), zlib.crc32(packed(x))) for d, x in ids)
+
+
+def test_op5(spark, tables, rows):
+    got = result(spark, tables, "op5_minhash", {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"})
+    sets = []
+    for _, t, *_ in rows:
+        w = [x.encode().lower() for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        sets.append({tuple(w[i : i + 2]) for i in range(max(1, len(w) - 1))} if w else set())
+    ids = [d for d, *_ in rows]
+    comp = {d: d for d in ids}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and None not in (ids[i], ids[j]) and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = find(ids[i]), find(ids[j])
+                comp[max(x, y)] = min(x, y)
+    assert sorted(g for g in got if g[0] is not None) == sorted((d, len(s), find(d), find(d) == d) for d, s in zip(ids, sets, strict=True) if d is not None)
+    assert len(got) == len(rows)
+
+
+def test_op7(spark, tables, rows, library):
+    got = result(spark, tables, "op7_packing", {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"})
+    expected = collections.Counter()
+    for d, t, *_ in rows:
+        ids = [*library("word_bpe_49k.json", t), 1]
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            piece = ids[at : at + 4096]
+            expected[d, k, at, len(piece), zlib.crc32(packed(piece))] += 1
+    assert collections.Counter(g[:5] for g in got) == expected
+    by = collections.defaultdict(list)
+    for *_, length, _, sequence, offset in got:
+        by[sequence].append((offset, length))
+    for places in by.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= 4096
+    total = sum(g[3] for g in got)
+    assert len(by) <= -(-total // 4096) + 1
+
+
+def test_op8(spark, tables, rows, library):
+    got = result(spark, tables, "op8_token_counts", {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"})
+    counts = [(d, len((t or "").encode()), len(library("byte_bpe_50k.json", t))) for d, t, *_ in rows]
+    assert collections.Counter(got) == collections.Counter((d, b, n, n > 1024) for d, b, n in counts)
+    assert any(g[3] for g in got)
+
+
+def test_op9(spark, tables, rows):
+    types = {"doc_id": "bigint", "text": "string", **{f"n_{t}": "bigint" for t in ("email", "phone", "card", "ip", "ssn", "iban", "name")}}
+    got = result(spark, tables, "op9_pii", types)
+    assert collections.Counter(g[:2] for g in got) == collections.Counter((d, t) for d, t, *_ in rows)  # nothing personal in this table
+    spark.conf.set("spark.ledgerloom.surrogateKey", "too short")
+    try:
+        with pytest.raises(ValueError, match="key"):
+            queries.QUERIES["op9_pii"](spark, tables)
+    finally:
+        spark.conf.unset("spark.ledgerloom.surrogateKey")
+
+
+def test_op10(spark, tables, rows):
+    got = result(spark, tables, "op10_decontaminate", {"doc_id": "bigint", "item_id": "bigint", "bm25": "double", "question_overlap": "double", "answer_overlap": "double"})
+    items = [(1, "green cloud. people walk the river a stone"), (None, "x")]
+    least, most = collections.Counter(), collections.Counter()
+    for item, text in items:
+        w = re.findall(r"\w+", text.lower())
+        own = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+        size = len(next(iter(own)))
+        for d, t, *_ in rows:
+            v = re.findall(r"\w+", (t or "").lower())
+            held = lambda words: len(own & {tuple(words[k : k + size]) for k in range(len(words) - size + 1)}) >= 0.8 * len(own)
+            most[d, item] += held(v)
+            # Any sixteen words (an item's, at least) are in one passage.
+            least[d, item] += any(held(v[k : k + 16]) for k in range(max(1, len(v) - 15)))
+    found = collections.Counter(g[:2] for g in got)
+    assert all(least[k] <= found[k] <= most[k] for k in {*found, *most}) and sum(least.values()) > 3

@@ -23,9 +23,13 @@ def reset_company(existing: DataFrame, reloaded: DataFrame, slug: str | None = N
     return old.unionByName(reloaded, allowMissingColumns=True)
 
 
-def write_facts(facts: DataFrame, path: str) -> None:
-    """Replace the partitions of the companies in ``facts``; a crash leaves either the old or the new rows of a company."""
-    facts.repartition("company_slug").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("company_slug").parquet(path)
+def write_facts(facts: DataFrame, path: str, parts: int = 16) -> None:
+    """Replace the partitions of the companies in ``facts``; a crash leaves either the old or the new rows of a company.
+
+    A company's lines are dealt to up to ``parts`` tasks, which small ones share: one company may hold a third of all rows.
+    """
+    part = F.pmod(F.xxhash64("statement", "canonical_name"), F.lit(parts))
+    facts.repartition("company_slug", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("company_slug").parquet(path)
 
 
 def consolidated(facts: DataFrame, keys: list[str] = CELL_KEYS, order: list[Column] | None = None, tolerance: str = "0.01", unit_aware: bool = False) -> DataFrame:

@@ -179,3 +179,17 @@ class Rounds:
                     result = {"error": str(error)}
                 messages = [*messages, {"role": "tool", "tool": call["tool"], "content": json.dumps(result, default=str)}]
         return None
+
+
+ROUNDS_SCHEMA = "key string, submission string"
+
+
+def run_rounds(loop: Rounds) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For ``mapInPandas`` over (key, request): each row's own loop, and what it submits as JSON; null where it never does."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            submitted = [loop.run([{"role": "user", "content": x}]) for x in batch["request"]]
+            yield pd.DataFrame({"key": batch["key"], "submission": [None if x is None else json.dumps(x) for x in submitted]}, columns=["key", "submission"]).astype({"submission": object})
+
+    return run

@@ -267,3 +267,28 @@ def registered_domains(spark, sf_dir):
 @query("SELECT o_orderkey, year(o_orderdate) + o_orderkey % 60 BETWEEN 1990 AND 2030 AS valid FROM orders")
 def valid_years(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", P.is_valid_year(F.year("o_orderdate") + F.col("o_orderkey") % 60).alias("valid"))
+
+
+# A model that looks for each customer's documents: it searches once, then submits what it found; some never submit before they must, for some the search fails.
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS company_slug, c_custkey % 3 > 0 AND c_custkey % 4 <> 0 AS found, CAST(CASE WHEN c_custkey % 5 = 0 THEN 4 WHEN c_custkey % 7 = 0 THEN 1 ELSE 2 END AS INTEGER) AS rounds,
+  CASE WHEN c_custkey % 7 <> 0 OR c_custkey % 5 = 0 THEN 'https://c' || c_custkey || '.example/2024.pdf' END AS url FROM customer""")
+def discovery_rounds(spark, sf_dir):
+    """Bounded rounds of tool calls in tasks, a company a row; a claim that its page refutes doesn't count."""
+
+    def step(messages: list[dict], last: bool) -> dict:
+        k, tools = int(messages[0]["content"]), [m for m in messages if m["role"] == "tool"]
+        picks = [json.loads(m["content"]).get("url") for m in tools]
+        if last or (tools and k % 5) or k % 7 == 0 and k % 5:
+            return {"submit": {"found": k % 3 > 0, "rounds": len(tools) + 1, "url": next((p for p in picks if p), None)}}
+        return {"calls": [{"tool": "search", "arguments": {"company": k}}]}
+
+    def search(company: int) -> dict:
+        if company % 7 == 0 and company % 5:
+            raise OSError("quota")
+        return {"url": f"https://c{company}.example/2024.pdf"}
+
+    loop = V.Rounds(step, {"search": search}, most=4)
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_custkey").cast("string").alias("request"))
+    got = asked.mapInPandas(V.run_rounds(loop), V.ROUNDS_SCHEMA).select("key", V.parsed(F.col("submission"), "found boolean, rounds int, url string").alias("s"))
+    found = S.found_gate(F.col("s.found"), F.lit(True), F.lit(0), F.col("key").cast("long") % 4 != 0)
+    return got.select(F.col("key").alias("company_slug"), found.alias("found"), "s.rounds", "s.url")

@@ -113,11 +113,6 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] |
     return None if companies is None else (companies, spark.read.schema("company_slug string, company_name string, ticker string, statement string, periods array<string>, rows int").json(f"{path}/statements"))
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Exported statement documents, as text partitioned by company and statement."""
-    return spark.read.text(path)
-
-
 def read_market(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.MARKET).json(path)
 

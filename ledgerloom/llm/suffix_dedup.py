@@ -51,13 +51,13 @@ NAME_SCHEMA = "chunk int, bucket int, names binary"
 BIT_SCHEMA = "chunk int, bucket int, bits binary"
 TEXT_RESULT = "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 #: Bytes of text in a chunk and of names in a range at least, and what the product of both is of the input: a packet then has 64 names or more.
-CHUNK_BYTES, BUCKET_BYTES, PACKET = 8 << 20, 16 << 20, 320
+CHUNK_BYTES, BUCKET_BYTES, PACKET = 8 << 20, 8 << 20, 320
 #: Bytes of a sample's name that are sent.
 SAMPLE_BYTES = 6
 #: Digests that a task remembers in order to send a repeated text once.
 REMEMBERED = 200_000
-#: A text whose copies have more bytes is brought together in two steps; so many texts at most, those with the most bytes.
-HEAVY_BYTES, MOST_HEAVY = 1 << 20, 1_000_000
+#: A text whose copies have more bytes (at least; and more than a quarter chunk) is brought together in two steps; so many texts at most, those with the most bytes.
+HEAVY_BYTES, MOST_HEAVY = 1 << 20, 250_000
 #: Positions that are hashed at once.
 SLICE = 1 << 18
 U64 = np.uint64
@@ -244,17 +244,17 @@ def once(rows: DataFrame) -> DataFrame:
     return map_batches(rows.select("key", "text", "copies"), run, "key binary, text binary, copies long")
 
 
-def heavy_keys(docs: DataFrame) -> DataFrame:
-    """The keys of the texts whose copies have the most bytes."""
+def heavy_keys(docs: DataFrame, least: int) -> DataFrame:
+    """The keys of the texts whose copies have the most bytes, and more than ``least``."""
     sized = docs.groupBy(text_key().alias("key")).agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("bytes"))
     weight = F.col("n") * F.col("bytes")
-    return sized.where((F.col("n") > 1) & (weight > HEAVY_BYTES)).orderBy(weight.desc()).limit(MOST_HEAVY).select("key")
+    return sized.where((F.col("n") > 1) & (weight > least)).orderBy(weight.desc()).limit(MOST_HEAVY).select("key")
 
 
 def distinct_texts(docs: DataFrame, chunks: int, total: int) -> DataFrame:
     """``TEXT_SCHEMA``: tasks send a text once; one with many copies goes to as many tasks as the root of theirs, and from there on once more."""
     keyed = docs.select(text_key().alias("key"), whole_text().cast("binary").alias("text"), F.lit(1).cast("long").alias("copies"))
-    heavy = F.broadcast(saved(heavy_keys(docs), "heavy-texts"))  # MOST_HEAVY keys of 16 bytes at most
+    heavy = F.broadcast(saved(heavy_keys(docs, max(HEAVY_BYTES, sizes(total)[0] // 4)), "heavy-texts"))  # MOST_HEAVY keys of 16 bytes at most
     salts = max(4, math.isqrt(total >> 27))
     gathered = once(keyed.join(heavy, "key", "left_semi")).withColumn("salt", F.spark_partition_id() % salts).repartition("key", "salt")
     rows = once(keyed.join(heavy, "key", "left_anti")).unionByName(once(gathered))

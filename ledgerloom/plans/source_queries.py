@@ -63,12 +63,12 @@ def market_file(spark, sf_dir):
     return files.read_market(spark, path).select(F.col("slug").cast("long").alias("slug"), "price", F.col("shares_outstanding_m").alias("shares"), F.array_join(F.transform("sparkline", lambda x: x.cast("long").cast("string")), ",").alias("sparkline"), F.lit(int(missing is not None)).alias("missing"))
 
 
-# Two tables follow the heading of each part: the first one on ties, else the one with more of a balance sheet's labels. The empty, header-like and short rows go.
+# Two tables follow the heading of each part: the first one on ties, else the one with more of a balance sheet's labels. The empty, header-like (a cell with a year, which some numbers look like) and short rows go.
 @query(r"""WITH p AS (SELECT p_partkey AS k, p_size AS s FROM part)
   SELECT CAST(k AS VARCHAR) AS sha256, CASE WHEN s % 2 = 0 THEN 'millions' ELSE 'thousands' END AS unit, label, CAST(period AS VARCHAR) || '-12-31' AS period_end, CAST(v AS BIGINT) AS value FROM (
     SELECT k, s, CASE WHEN s % 3 = 0 THEN 'Total assets' ELSE 'Plain' END AS label, 2024 AS period, 1000 + s AS v FROM p
     UNION ALL SELECT k, s, CASE WHEN s % 3 = 0 THEN 'Total assets' ELSE 'Plain' END, 2023, -s FROM p
-    UNION ALL SELECT k, s, 'Goodwill', 2024, NULL FROM p UNION ALL SELECT k, s, 'Goodwill', 2023, k FROM p)""")
+    UNION ALL SELECT k, s, 'Goodwill', 2024, NULL FROM p WHERE k NOT BETWEEN 1900 AND 2099 UNION ALL SELECT k, s, 'Goodwill', 2023, k FROM p WHERE k NOT BETWEEN 1900 AND 2099)""")
 def html_statements(spark, sf_dir):
     """Statements from HTML: headings, the next tables, unit from the texts before, rows through their gates."""
     k, s = F.col("p_partkey").cast("string"), F.col("p_size")

@@ -296,7 +296,7 @@ def repeated_strings(docs: DataFrame, length: int = 200, q: int = 11) -> DataFra
         raise ValueError("the period must not exceed the match length")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunk_bytes, bucket_bytes = sizes(total)
-    chunks = max(1, -(-total // chunk_bytes))
+    chunks = max(1, -(-total // chunk_bytes), min(docs.sparkSession.sparkContext.defaultParallelism, total >> 20))  # small inputs keep all cores busy
     range_bits = max(4, int(total * len(cover) // period * 8 // bucket_bytes).bit_length())
     base = secrets.randbits(64) | 1
 

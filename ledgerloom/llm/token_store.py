@@ -62,7 +62,8 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
     The texts are dealt out before they are encoded: Spark samples what it deals out by range, and the sample
     then reads texts instead of encoding them a second time.
     """
-    files = file_count(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(file_count(total), min(docs.sparkSession.sparkContext.defaultParallelism, total >> 20))  # small inputs keep all cores busy
     dealt = docs.select("doc_id", "text").repartitionByRange(files, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     (encode_documents(dealt, tokenizer, end_id).sortWithinPartitions(*in_file()).write
         .option("orc.compress", "ZSTD").option("orc.stripe.size", stripe_mb << 20)

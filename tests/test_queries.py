@@ -40,13 +40,12 @@ def test_entry_returns_rows(spark):
 
 
 def test_documents_hold_all_lines_in_order(spark):
-    import json
+    from ledgerloom.plans.facts_queries import documents
 
-    for row in QUERIES["statement_documents"](spark, DATA).limit(5).collect():
-        lines = json.loads(row.rows)
-        assert [x["display_order"] for x in lines] == list(range(len(lines)))
-        names = [x["canonical_name"] for x in lines]
-        assert names.index("Signup") == 0 and lines[0]["is_header"] and {"Total signup", "Total traffic", "error"} <= set(names)
+    for row in documents(spark, DATA).limit(5).collect():
+        assert [x.display_order for x in row.rows] == list(range(len(row.rows)))
+        names = [x.canonical_name for x in row.rows]
+        assert names.index("Signup") == 0 and row.rows[0].is_header and {"Total signup", "Total traffic", "error"} <= set(names)
 
 
 def test_store_queries_see_every_event(spark, monkeypatch):

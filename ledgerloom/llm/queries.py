@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.decontaminate import op10_decontaminate
+from ledgerloom.llm.hamerly import op12_centroid_clustering
+from ledgerloom.llm.hard_negatives import op13_hard_negatives
 from ledgerloom.llm.language_id import op2_language_id
 from ledgerloom.llm.minhash import op5_minhash
 from ledgerloom.llm.packing import op7_packing
@@ -14,7 +16,7 @@ from ledgerloom.llm.secret_scan import op1_secret_scan
 from ledgerloom.llm.suffix_dedup import op3_suffix_dedup
 from ledgerloom.llm.token_counts import op8_token_counts
 from ledgerloom.llm.token_store import op4_token_store
-
+from ledgerloom.llm.vector_sql import NEGATIVES_SQL, clustering_sql
 
 
 def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +42,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_decontaminate": op10_decontaminate,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: In either case, letter by letter: DuckDB's flag would fold letters beyond ASCII too.
@@ -69,4 +73,6 @@ WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(
   r AS (SELECT DISTINCT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.reached),
   m AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)""",
+    "op12_centroid_clustering": clustering_sql(),
+    "op13_hard_negatives": NEGATIVES_SQL,
 }

@@ -8,6 +8,7 @@ from ledgerloom.llm.decontaminate import op10_decontaminate
 from ledgerloom.llm.hamerly import op12_centroid_clustering
 from ledgerloom.llm.hard_negatives import op13_hard_negatives
 from ledgerloom.llm.language_id import op2_language_id
+from ledgerloom.llm.license_scan import op11_license_scan
 from ledgerloom.llm.minhash import op5_minhash
 from ledgerloom.llm.packing import op7_packing
 from ledgerloom.llm.pii import op9_pii
@@ -42,6 +43,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_decontaminate": op10_decontaminate,
+    "op11_license_scan": op11_license_scan,
     "op12_centroid_clustering": op12_centroid_clustering,
     "op13_hard_negatives": op13_hard_negatives,
 }

@@ -1,6 +1,6 @@
 """Stages from the command line: ``python -m ledgerloom.cli STAGE --in ... --out ...``. Each reads what the one before wrote:
 
-scrape (addresses of the configuration) -> classify -> parse -> confirm -> normalize -> build -> export; ``companies``, ``add``, ``research`` and
+scrape (entry pages and addresses of the configuration) -> classify -> parse -> confirm -> normalize -> build -> export; ``companies``, ``add``, ``research`` and
 ``market`` stand beside the chain. Search, models and other fetchers are the caller's (``operators.providers``, ``operators.models``).
 """
 
@@ -10,6 +10,7 @@ import argparse
 import datetime
 import os
 import pathlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from ledgerloom.functions import headings as H
 from ledgerloom.functions import links as L
 from ledgerloom.functions import reports as R
 from ledgerloom.functions.text import label_slug
-from ledgerloom.operators import crawl, extract, facts, market, providers, selection, taxonomy
+from ledgerloom.operators import extract, facts, frontier, ingest, market, providers, selection, taxonomy
 from ledgerloom.session import session
 from ledgerloom.sources import files, html_tables
 
@@ -46,22 +47,29 @@ def add(spark, a):
     os.replace(staged, path)
 
 
+def fetched(urls: DataFrame) -> DataFrame:
+    """What the addresses of ``urls`` answer."""
+    return urls.repartition("url").mapInPandas(providers.fetch_first([providers.UrlStrategy()], wait=0.5), providers.FETCH_SCHEMA)
+
+
+def fetched_pages(urls: DataFrame) -> DataFrame:
+    got = fetched(urls)
+    bad = F.col("status") >= 400
+    return got.select("url", F.when(F.col("error").isNull() & ~F.coalesce(bad, F.lit(True)), F.decode("body", "utf-8")).alias("html"), F.coalesce("error", F.when(F.coalesce(bad, F.lit(True)), F.concat_ws(" ", F.lit("status"), F.col("status").cast("string")))).alias("error"))
+
+
 def scrape(spark, a):
-    """Fetches the configured direct addresses; writes the manifest and the contents, each content once."""
-    sources = configured(spark, a.companies).select("slug", F.posexplode("sources").alias("n", "s"))
-    urls = sources.select("slug", "n", F.col("s.name").alias("source_name"), F.posexplode(F.coalesce("s.direct_urls", F.array().cast("array<string>"))).alias("k", "url"))
-    got = urls.repartition("url").select("url").distinct().mapInPandas(providers.fetch_first([providers.UrlStrategy()], wait=0.5), providers.FETCH_SCHEMA)
-    got.write.mode("overwrite").parquet(f"{a.output}/fetched")
-    fetched = spark.read.parquet(f"{a.output}/fetched").where("status < 400")
-    found = urls.join(fetched, "url").withColumn("ord", (F.col("n") * 10_000 + F.col("k")).cast("int"))
-    stored = selection.first_of(found.withColumn("sha256", F.sha2("body", 256)), ["slug", "sha256"], [F.col("ord")])
-    name = F.concat("sha256", L.file_suffix(F.col("url"), F.col("content_type")))
-    manifest = stored.select(
-        "sha256", F.col("url").alias("source_url"), F.col("url").alias("page_url"), F.lit(None).cast("string").alias("link_text"), name.alias("local_path"), F.octet_length("body").cast("long").alias("size_bytes"), "content_type",
-        F.current_timestamp().cast("string").alias("discovered_at"), "source_name", F.concat_ws(":", "slug", "source_name").alias("label"), "ord",
-    )
-    files.write_stage(manifest, f"{a.output}/manifest")
-    crawl.content_store(stored.select(F.col("body").alias("content"), "ord")).select("sha256", "content").write.mode("overwrite").parquet(f"{a.output}/contents")
+    """Crawls each source from its entry pages by its own patterns, gets the documents, and adds them to what earlier runs have in ``--out``."""
+    sources = frontier.sources_of(configured(spark, a.companies))
+    run = uuid.uuid4().hex
+    candidates, pages = frontier.crawl_sources(sources, frontier.PageStore(spark, f"{a.output}/pages/run={run}", fetched_pages))
+    candidates.write.parquet(f"{a.output}/candidates/run={run}")
+    candidates = spark.read.schema(candidates.schema).parquet(f"{a.output}/candidates/run={run}")
+    wanted = ingest.with_limit(candidates, 0 if a.discover_only else a.limit)
+    fetched(wanted.select("url").distinct()).write.parquet(f"{a.output}/fetched/run={run}")
+    got = spark.read.schema(providers.FETCH_SCHEMA).parquet(f"{a.output}/fetched/run={run}")
+    found = candidates.groupBy(*frontier.SOURCE).agg(F.count(F.lit(1)).alias("found"))
+    ingest.scrape_run(sources, wanted, found, pages, got, a.output, discover_only=a.discover_only)
 
 
 def html_of(spark: SparkSession, path: str) -> DataFrame:
@@ -151,6 +159,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     p.add_argument("--slug", help="the company (add)")
     p.add_argument("--name", help="its name, if it is new (add)")
     p.add_argument("--url", action="append", default=[], help="an address (add)")
+    p.add_argument("--limit", type=int, help="documents of a source to get at most (scrape)")
+    p.add_argument("--discover-only", action="store_true", help="find documents, get none (scrape)")
     p.add_argument("--year", type=int, default=datetime.date.today().year, help="the current year (research)")
     a = p.parse_args(argv)
     STAGES[a.stage](spark or session(), a)

@@ -81,6 +81,30 @@ def anchor_label(tag: Column, most: int = 160) -> Column:
     return F.substring(F.trim(F.regexp_extract(tag, LABEL, 1)), 1, most)
 
 
+#: A link with all up to its closing tag, the next link or the end.
+LINKED = r"""(?is)(<a\b[^>]*?\bhref\s*=\s*['"][^'"]+['"][^>]*>.*?)(?=</a\b|<a\b|\z)"""
+#: What makes an address a document's where a source doesn't say.
+DOCUMENT_LINK = r"\.pdf($|\?)"
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def linked_elements(html: Column) -> Column:
+    return F.regexp_extract_all(html, F.lit(LINKED), F.lit(1))
+
+
+def unescaped(text: Column) -> Column:
+    """The few named characters that addresses and link texts hold."""
+    for name, character in ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(character))
+    return text
+
+
+def element_text(element: Column) -> Column:
+    """The text of a link without tags and outer space; null if there is none."""
+    inner = F.regexp_replace(F.regexp_replace(element, r"(?is)^<a\b[^>]*>", ""), r"<[^>]*>", "")
+    return F.nullif(F.regexp_replace(unescaped(inner), r"(?U)^\s+|\s+$", ""), F.lit(""))
+
+
 def embedded_pdfs(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(EMBEDDED_PDF), F.lit(1))
 

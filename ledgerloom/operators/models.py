@@ -1,6 +1,7 @@
 """Stages that ask a model: requests are rows, answers are JSON that is parsed and validated by columns; what fails falls back to rules.
 
-``respond`` (see ``operators.providers``) is the caller's; each function returns its result and the cache's new rows.
+``respond`` (see ``operators.calls``) is the caller's; ``cache`` is a table of answers that grows, or the answers known so far. Each function asks, writes the
+answers and returns its result, which reads them, and the answers it added.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from ledgerloom import schemas
 from ledgerloom.functions.text import clean_label
 from ledgerloom.operators.extract import REPORT, confirm_rows
-from ledgerloom.operators.providers import Respond, cached_calls, parsed, request_key
+from ledgerloom.operators.calls import CallTable, Respond
+from ledgerloom.operators.providers import cached_calls, parsed, request_key
 from ledgerloom.operators.taxonomy import GROUP, drift_candidates, validated_drift
 
 CLASSIFIED = "kind string, fiscal_year int, confidence double"
@@ -22,14 +24,14 @@ EXTRACTED = f"found boolean, unit string, rows array<struct<label:string,cells:a
 DRIFT = "mappings array<struct<old_label:string,canonical_label:string>>"
 
 
-def asked(requests: DataFrame, body: Column, schema_name: str, cache: DataFrame, respond: Respond, model: str) -> tuple[DataFrame, DataFrame]:
+def asked(requests: DataFrame, body: Column, schema_name: str, cache: DataFrame | CallTable, respond: Respond, model: str) -> tuple[DataFrame, DataFrame]:
     """``requests`` with the model's ``response`` to ``body``: from the cache, else asked once for equal requests."""
     keyed = requests.withColumn("request", F.to_json(body)).withColumn("key", request_key(F.lit(model), F.col("request"), F.lit(schema_name)))
     answers, new = cached_calls(keyed.select("key", "request"), cache, respond)
     return keyed.join(answers.select("key", "response").dropDuplicates(["key"]), "key", "left").drop("key", "request"), new
 
 
-def classify_by_model(docs: DataFrame, front: DataFrame, cache: DataFrame, respond: Respond, model: str = "default") -> tuple[DataFrame, DataFrame]:
+def classify_by_model(docs: DataFrame, front: DataFrame, cache: DataFrame | CallTable, respond: Respond, model: str = "default") -> tuple[DataFrame, DataFrame]:
     """``sha256, kind, fiscal_year, confidence`` for ``docs`` (sha256, link_text), shown ``front`` (sha256, text); kinds that don't exist and failed calls have no row."""
     shown = docs.join(front.select("sha256", "text"), "sha256", "left")
     answers, new = asked(shown, F.struct("link_text", "text"), "classification", cache, respond, model)
@@ -43,7 +45,7 @@ def cells_to_map(cells: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda c: F.struct(c["period_end"].alias("key"), c["value"].alias("value"))))
 
 
-def confirm_by_model(extracted: DataFrame, cache: DataFrame, respond: Respond, model: str = "default") -> tuple[DataFrame, DataFrame]:
+def confirm_by_model(extracted: DataFrame, cache: DataFrame | CallTable, respond: Respond, model: str = "default") -> tuple[DataFrame, DataFrame]:
     """Confirmed rows: a report's as the model gives them, or by rule where it doesn't answer. ``extracted``: one row for each line, as ``confirm_rows`` takes them."""
     header = [*REPORT, "currency", "unit", "period_months"]
     line = F.struct("row_idx", "raw_label", F.transform_values("values_by_period_end", lambda _, v: v.cast("string")).alias("values"))
@@ -59,7 +61,7 @@ def confirm_by_model(extracted: DataFrame, cache: DataFrame, respond: Respond, m
     return confirmed.unionByName(confirm_rows(left).withColumn("notes", F.lit(None).cast("string")).select(*confirmed.columns)), new
 
 
-def extract_by_model(pages: DataFrame, cache: DataFrame, respond: Respond, model: str = "default") -> tuple[DataFrame, DataFrame]:
+def extract_by_model(pages: DataFrame, cache: DataFrame | CallTable, respond: Respond, model: str = "default") -> tuple[DataFrame, DataFrame]:
     """``source_sha256, statement, unit, row_idx, raw_label, values_by_period_end`` of candidate ``pages`` (sha256, kind, text): statements that the model finds."""
     from ledgerloom.functions.headings import detect_unit
     from ledgerloom.functions.numbers import parse_number_plain
@@ -72,7 +74,7 @@ def extract_by_model(pages: DataFrame, cache: DataFrame, respond: Respond, model
     return rows.select("source_sha256", "statement", "unit", "row_idx", F.col("r.label").alias("raw_label"), values.alias("values_by_period_end")), new
 
 
-def drift_by_model(labels: DataFrame, items: DataFrame, cache: DataFrame, respond: Respond, model: str = "default") -> tuple[DataFrame, DataFrame]:
+def drift_by_model(labels: DataFrame, items: DataFrame, cache: DataFrame | CallTable, respond: Respond, model: str = "default") -> tuple[DataFrame, DataFrame]:
     """The validated mapping (group, old, canonical) of the labels that neither match a name nor a key: one request for each company and statement."""
     names = items.groupBy(*GROUP).agg(F.transform(F.array_sort(F.collect_list(F.struct("display_order", "canonical_name"))), lambda x: x["canonical_name"]).alias("names"))
     old = drift_candidates(labels, items).groupBy(*GROUP).agg(F.array_sort(F.collect_list("label")).alias("old"))

@@ -10,9 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A provider turns request texts into response texts (JSON), or None where it fails.
-Respond = Callable[[list[str]], list[str | None]]
-
+from ledgerloom.operators.calls import CallTable, Respond
+from ledgerloom.sources import files
 
 class FetchStrategy(Protocol):
     """Fetches one address; raises if it can't."""
@@ -39,17 +38,19 @@ def request_key(model: Column, messages: Column, schema_name: Column) -> Column:
     return F.sha2(F.to_json(F.struct(messages.alias("messages"), model.alias("model"), schema_name.alias("schema"))), 256)
 
 
-def cached_calls(requests: DataFrame, cache: DataFrame, respond: Respond) -> tuple[DataFrame, DataFrame]:
-    """Answers to ``requests`` (key, request) and the cache's new rows. Equal keys are asked once; failures aren't cached."""
-    distinct = requests.dropDuplicates(["key"])
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                yield pd.DataFrame({"key": batch["key"], "response": respond(batch["request"].tolist())})
+def cached_calls(requests: DataFrame, cache: DataFrame | CallTable, respond: Respond) -> tuple[DataFrame, DataFrame]:
+    """Answers to ``requests`` (key, request) and the rows that this call added to the table of answers.
 
-    new = distinct.join(cache.select("key"), "key", "left_anti").select("key", "request").mapInPandas(ask, "key string, response string").where("response is not null")
-    return requests.join(cache.unionByName(new), "key", "left"), new
+    Equal keys are asked once, failures aren't cached, and nothing is asked again when a result is read: both results read written answers.
+    ``cache``: a ``CallTable``, which keeps them, or known answers (key, response) for this call only.
+    """
+    if isinstance(cache, CallTable):
+        calls = cache
+    else:
+        calls = CallTable(requests.sparkSession, files.scratch(requests.sparkSession, "calls"))
+        calls.add(cache.join(requests.select("key").distinct(), "key", "left_semi"), "")
+    run = calls.ask(requests, respond)
+    return requests.join(calls.answers(requests), "key", "left"), calls.read().where(F.col("run") == run).select("key", "response")
 
 
 class UrlStrategy:

@@ -8,14 +8,16 @@ orders all suffixes; for matches of ``length`` bytes only prefixes of that lengt
    equal neighbours are repeated names;
 2. a suffix whose first ``length`` bytes recur anywhere has, by the property above, a repeated name among the samples
    within v bytes: only those suffixes remain. They are named by their first ``length`` bytes, sorted, and equal
-   neighbours are the repeated strings.
+   neighbours are the repeated strings;
+3. the strings found so are named once more, by other numbers, and compared again: only what recurs both times is cut.
 
 With v = 133 (the Singer difference set of 12 residues) step 1 sorts 9 % of the positions instead of the two
 thirds that triples sample; a whole suffix array of a corpus, with triples and full ranks, writes some twenty times the input to
-disk. Names are 64-bit fingerprints, and 52 to 64 bits of them in step 1. Their base is drawn at random for each run, so that nobody can write
-texts that collide; equality of bytes isn't verified. A string is cut only if its own name recurs *and* that of a sample in it does: with n names of each
-kind, a string that is found nowhere else is cut by chance with a probability of about 12 n / 2^(48 + range bits) times n / 2^64. By that, a
-corpus of 30 GB loses a string by chance once in a million runs; one of 100 TB some six hundred strings, about one in a billion of its bytes.
+disk. Names are polynomials of the bytes modulo two primes of 31 bits (of the samples' names the upper 52 bits or more are compared). Each run draws its bases
+at random, after the texts are given, and step 3 draws its own. Two different strings of 200 bytes are mistaken for each other in one step
+for at most 199 of the 2^31 bases of each prime, whatever their bytes are: with a probability below 1e-14, and about 2^-62 for texts that nobody has
+made up for that; powers of two as a modulus would know texts that agree for all bases. A string that is found nowhere else is cut only if steps 2 and 3 both
+mistake it: among n strings with a probability below (n 1e-14)^2, and of about (n / 2^62)^2 for usual texts: 4e-17 at 30 GB. Bytes themselves are not sent.
 
 Distinct texts are dealt into chunks of bounded size, in a bucketed table, and each step reads its own chunk again
 instead of shuffling text. Texts with many copies are brought together in two steps, so that no task gets one from every task that has it.
@@ -61,6 +63,9 @@ HEAVY_BYTES, MOST_HEAVY = 1 << 20, 250_000
 #: Positions that are hashed at once.
 SLICE = 1 << 18
 U64 = np.uint64
+#: The two largest primes of 31 bits, and a base for each.
+PRIMES = (2147483647, 2147483629)
+Bases = tuple[int, int]
 
 
 def difference_cover(q: int) -> tuple[int, ...]:
@@ -83,19 +88,24 @@ def difference_cover(q: int) -> tuple[int, ...]:
     raise ValueError("q must be a prime")
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def powers(base: int, n: int, prime: int) -> np.ndarray:
+    """1, base, base^2, ... modulo ``prime``."""
+    out = np.ones(n, U64)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * U64(pow(base, done, prime)) % U64(prime)
+        done += more
+    return out
 
 
 class Hasher:
-    """Fingerprints of all strings of one length, by a polynomial modulo 2^64 whose bits are mixed."""
+    """Fingerprints of all strings of one length: polynomials modulo two primes, side by side, with their bits mixed."""
 
-    def __init__(self, length: int, base: int):
+    def __init__(self, length: int, bases: Bases):
         self.length = length
-        self.up = powers(base, SLICE + length)
-        self.down = powers(pow(base, -1, 1 << 64), SLICE)
+        self.up = [powers(b, SLICE + length, p) for b, p in zip(bases, PRIMES, strict=True)]
+        self.down = [powers(pow(b, -1, p), SLICE, p) for b, p in zip(bases, PRIMES, strict=True)]
 
     def at(self, data: np.ndarray, positions: np.ndarray) -> np.ndarray:
         """Of the strings that begin at ``positions``, which ascend."""
@@ -104,11 +114,14 @@ class Hasher:
         while k < len(positions):
             begin = int(positions[k])
             end = int(np.searchsorted(positions, begin + SLICE))
-            part = data[begin : int(positions[end - 1]) + self.length]
-            sums = np.zeros(len(part) + 1, U64)
-            np.cumsum((part.astype(U64) + U64(1)) * self.up[: len(part)], out=sums[1:])
+            part = data[begin : int(positions[end - 1]) + self.length].astype(U64) + U64(1)
             own = positions[k:end] - begin
-            out[k:end] = mixed((sums[own + self.length] - sums[own]) * self.down[own])
+            both = []
+            for up, down, prime in zip(self.up, self.down, PRIMES, strict=True):
+                sums = np.zeros(len(part) + 1, U64)
+                np.cumsum(part * up[: len(part)], out=sums[1:])  # below 2^58: nothing overflows
+                both.append((sums[own + self.length] - sums[own]) % U64(prime) * down[own] % U64(prime))
+            out[k:end] = mixed(both[0] << U64(31) | both[1])
             k = end
         return out
 
@@ -116,7 +129,7 @@ class Hasher:
 class Chunk:
     """The distinct texts of one chunk and the positions that each step names."""
 
-    def __init__(self, rows: pa.Table, length: int, cover: tuple[int, ...], period: int, base: int):
+    def __init__(self, rows: pa.Table, length: int, cover: tuple[int, ...], period: int, bases: Bases):
         texts: dict[bytes, bytes] = {}
         copies: dict[bytes, int] = {}
         for key, text, n in zip(*(rows.column(c).to_pylist() for c in ("key", "text", "copies")), strict=True):
@@ -125,7 +138,7 @@ class Chunk:
                 texts[key] = text
         self.keys = sorted(texts)
         self.texts, self.copies = [texts[k] for k in self.keys], [copies[k] for k in self.keys]
-        self.length, self.cover, self.period, self.short, self.base = length, np.array(cover), period, length - period + 1, base
+        self.length, self.cover, self.period, self.short, self.bases = length, np.array(cover), period, length - period + 1, bases
         self.starts = np.cumsum([0, *map(len, self.texts)])
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
 
@@ -137,7 +150,7 @@ class Chunk:
                 at = (np.arange(0, len(text), self.period)[:, None] + self.cover).ravel()
                 found.append(at[at <= len(text) - self.short] + begin)
         positions = np.concatenate(found) if found else np.empty(0, np.int64)
-        return positions, hasher(self.short, self.base).at(self.data, positions)
+        return positions, hasher(self.short, self.bases).at(self.data, positions)
 
     def near(self, repeated: np.ndarray) -> np.ndarray:
         """Positions within a period before a repeated sample, where a string of full length fits."""
@@ -165,15 +178,19 @@ class Chunk:
         return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-_hashers: dict[tuple[int, int], Hasher] = {}
+_hashers: dict[tuple[int, Bases], Hasher] = {}
 
 
-def hasher(length: int, base: int) -> Hasher:
-    if (length, base) not in _hashers:
-        if len(_hashers) >= 2:  # those of another run
+def hasher(length: int, bases: Bases) -> Hasher:
+    if (length, bases) not in _hashers:
+        if len(_hashers) >= 3:  # those of another run
             _hashers.clear()
-        _hashers[length, base] = Hasher(length, base)
-    return _hashers[length, base]
+        _hashers[length, bases] = Hasher(length, bases)
+    return _hashers[length, bases]
+
+
+def drawn() -> Bases:
+    return tuple(2 + secrets.randbelow(p - 3) for p in PRIMES)
 
 
 class Names:
@@ -298,33 +315,47 @@ def repeated_strings(docs: DataFrame, length: int = 200, q: int = 11) -> DataFra
     chunk_bytes, bucket_bytes = sizes(total)
     chunks = max(1, -(-total // chunk_bytes), min(docs.sparkSession.sparkContext.defaultParallelism, total >> 20))  # small inputs keep all cores busy
     range_bits = max(4, int(total * len(cover) // period * 8 // bucket_bytes).bit_length())
-    base = secrets.randbits(64) | 1
+    bases, others = drawn(), drawn()
 
     def load(rows: pa.Table) -> Chunk:
-        return Chunk(rows, length, cover, period, base)
+        return Chunk(rows, length, cover, period, bases)
+
+    def number(rows: pa.Table) -> int:
+        return rows.column("chunk")[0].as_py()
+
+    def of_step(bits: pa.Table, step: int) -> pa.Table:
+        return bits.filter(pa.array(bits.column("step").to_numpy() == step))
 
     def sample_names(rows: pa.Table) -> pa.Table:
-        return Names(load(rows).sample()[1], range_bits, SAMPLE_BYTES).rows(rows.column("chunk")[0].as_py())
+        return Names(load(rows).sample()[1], range_bits, SAMPLE_BYTES).rows(number(rows))
 
-    def candidates(chunk: Chunk, sample_bits: pa.Table) -> tuple[np.ndarray, Names]:
+    def candidates(chunk: Chunk, bits: pa.Table) -> tuple[np.ndarray, Names]:
         positions, names = chunk.sample()
-        near = chunk.near(positions[Names(names, range_bits, SAMPLE_BYTES).repeated(sample_bits)])
-        return near, Names(hasher(length, base).at(chunk.data, near), range_bits, 8)
+        near = chunk.near(positions[Names(names, range_bits, SAMPLE_BYTES).repeated(of_step(bits, 1))])
+        return near, Names(hasher(length, bases).at(chunk.data, near), range_bits, 8)
+
+    def found_twice(chunk: Chunk, bits: pa.Table) -> tuple[np.ndarray, Names]:
+        near, names = candidates(chunk, bits)
+        again = near[names.repeated(of_step(bits, 2))]
+        return again, Names(hasher(length, others).at(chunk.data, again), range_bits, 8)
+
+    def full_names(rows: pa.Table, bits: pa.Table) -> pa.Table:
+        return candidates(load(rows), bits)[1].rows(number(rows))
 
-    def full_names(rows: pa.Table, sample_bits: pa.Table) -> pa.Table:
-        return candidates(load(rows), sample_bits)[1].rows(rows.column("chunk")[0].as_py())
+    def check_names(rows: pa.Table, bits: pa.Table) -> pa.Table:
+        return found_twice(load(rows), bits)[1].rows(number(rows))
 
     def cut(rows: pa.Table, bits: pa.Table) -> pa.Table:
         chunk = load(rows)
-        step = bits.column("step").to_numpy()
-        near, names = candidates(chunk, bits.filter(pa.array(step == 1)))
-        return chunk.results(near[names.repeated(bits.filter(pa.array(step == 2)))])
+        again, names = found_twice(chunk, bits)
+        return chunk.results(again[names.repeated(of_step(bits, 3))])
 
     with bucketed(distinct_texts(docs, chunks, total), chunks) as texts:  # no step below shuffles text
-        first = saved(shared_names(texts.groupBy("chunk").applyInArrow(sample_names, NAME_SCHEMA), SAMPLE_BYTES), "sample-bits")
-        second = saved(shared_names(texts.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(full_names, NAME_SCHEMA), 8), "string-bits")
-        bits = first.withColumn("step", F.lit(1)).unionByName(second.withColumn("step", F.lit(2)))
-        results = saved(texts.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(cut, TEXT_RESULT), "cut-texts")
+        first = saved(shared_names(texts.groupBy("chunk").applyInArrow(sample_names, NAME_SCHEMA), SAMPLE_BYTES), "sample-bits").withColumn("step", F.lit(1))
+        with_bits = lambda bits, step, schema: texts.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(step, schema)
+        second = first.unionByName(saved(shared_names(with_bits(first, full_names, NAME_SCHEMA), 8), "string-bits").withColumn("step", F.lit(2)))
+        third = second.unionByName(saved(shared_names(with_bits(second, check_names, NAME_SCHEMA), 8), "check-bits").withColumn("step", F.lit(3)))
+        results = saved(with_bits(third, cut, TEXT_RESULT), "cut-texts")
     return docs.select("doc_id", text_key().alias("key")).join(results, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

@@ -185,10 +185,10 @@ def test_equal_names_of_different_strings_are_kept_apart(monkeypatch):
     at = suffix_dedup.Hasher.at
 
     def removed():
-        chunk = suffix_dedup.Chunk(table, 200, suffix_dedup.difference_cover(11), 133, 12345)
+        chunk = suffix_dedup.Chunk(table, 200, suffix_dedup.difference_cover(11), 133, (12345, 678))
         positions, names = chunk.sample()
         near = chunk.near(positions[suffix_dedup.Names(names, 4, 5).repeated(none)])
-        again = suffix_dedup.Names(suffix_dedup.hasher(200, 12345).at(chunk.data, near), 4, 8).repeated(none)
+        again = suffix_dedup.Names(suffix_dedup.hasher(200, (12345, 678)).at(chunk.data, near), 4, 8).repeated(none)
         return chunk.results(near[again]).column("n_removed").to_pylist()
 
     assert removed() == [300, 500, 0, 0, 0, 0, 800]
@@ -201,3 +201,43 @@ def test_packets_grow_as_the_input(monkeypatch):
         chunk, bucket = suffix_dedup.sizes(total)
         packets = (total / chunk) * (total * 12 / 133 * 8 / bucket)
         assert chunk <= 190 << 20 and packets * 64 <= 2.5 * total * 12 / 133
+
+
+def test_texts_made_to_collide_lose_nothing(spark):
+    """Heads whose difference is a polynomial that powers of two divide at every odd base."""
+    factors = [(1, 1), (2, 1), (4, 5), (8, 3), (16, 3), (32, 1)]
+    difference = [1]
+    for k, times in factors:
+        for _ in range(times):
+            longer = [0] * (len(difference) + k)
+            for i, c in enumerate(difference):
+                longer[i + k] += c
+                longer[i] -= c
+            difference = longer
+    assert len(difference) == 128 and all(sum(c * pow(b, i, 1 << 64) for i, c in enumerate(difference)) % (1 << 64) == 0 for b in (3, 12345, (1 << 64) - 1))
+    heads = ["".join(chr(33 + max(0, sign * c)) for c in difference) for sign in (1, -1)]
+    tail = "".join(chr(97 + k * k % 23) for k in range(151))
+    texts = [h + tail for h in heads] + [x + h + tail[:80] for h in heads for x in ("q", "zz")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.repeated_strings(df).collect()}
+    places = {}
+    for k, t in enumerate(texts):
+        for i in range(len(t) - 199):
+            places.setdefault(t[i : i + 200], []).append((k, i))
+    covered = {k: {j for x in places.values() if len(x) > 1 for d, i in x if d == k for j in range(i, i + 200)} for k in range(len(texts))}
+    assert {k: n for k, (n, _) in got.items()} == {k: len(v) for k, v in covered.items()}
+    two = suffix_dedup.repeated_strings(df.where("doc_id < 2")).collect()
+    assert [(r.n_removed, r.n_spans) for r in two] == [(0, 0), (0, 0)]
+
+
+def test_fingerprints_are_the_polynomials_they_claim_to_be():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    data = r.integers(0, 256, 3000).astype(np.uint8)
+    monkey = suffix_dedup.Hasher(200, (1234567, 7654321))
+    positions = np.unique(r.integers(0, 2800, 50))
+    expected = [[sum((int(data[p + k]) + 1) * pow(b, k, q) for k in range(200)) % q for b, q in zip((1234567, 7654321), suffix_dedup.PRIMES, strict=True)] for p in positions.tolist()]
+    want = minhash.mixed(np.array([a << 31 | b for a, b in expected], np.uint64))
+    assert (monkey.at(data, positions) == want).all()
+    assert (suffix_dedup.powers(5, 1000, suffix_dedup.PRIMES[0]) == np.array([pow(5, k, suffix_dedup.PRIMES[0]) for k in range(1000)], np.uint64)).all()

@@ -2,11 +2,14 @@
 
 Long tokens outside the patterns' spans are candidates. For each, an encoding (alphabet) is inferred, and two
 questions are asked. Is it consistent with uniform draws from the alphabet? A chi-squared test of the symbol
-counts, a runs test about the median symbol and a lag-1 serial correlation answer that. And how probable would it
+counts, a runs test about the median symbol and a lag-1 serial correlation answer that, combined by Fisher's method. And how probable would it
 be as written words, identifiers or numbers? There symbols repeat more, letters that are rare in writing are rare, and character classes
-change less; the tails are combined by Fisher's method. The second p-values are counted over the whole corpus by length class and
-size, and Benjamini-Hochberg runs within each length class: short tokens, of which most are words, don't lend
-their false discoveries to long ones. Only that histogram, of bounded size, comes to the driver.
+change less; the tails are combined by Fisher's method, too.
+
+Both p-values are under false-discovery control, by length class: short tokens, of which most are words, don't lend their false discoveries
+to long ones. Benjamini-Hochberg over the first p-values of all candidates of a class decides which aren't random (at ``DRAWN_RATE``, so that few random ones are
+lost). In the second family all candidates count again, those that aren't random with a p-value of 1; what is rejected there, at ``rate``,
+is neither written nor other than random: a secret. Candidates without an alphabet aren't tested. Only the two histograms of p-values, of bounded size, come to the driver.
 
 Edge cases: a null or empty text has no spans; a text of any length is scanned whole; rows that repeat are scanned
 each; an empty table gives an empty result; other columns are ignored by ``scan`` and kept by ``redact``.
@@ -58,10 +61,12 @@ OVERDISPERSED = 2
 BITS_VARIANCE = OVERDISPERSED * sum(n * (BITS[c] - MEAN_BITS) ** 2 for c, n in WRITTEN.items()) / sum(WRITTEN.values())
 #: Bins of -log10 p, and their width.
 BINS, BIN = 400, 0.05
+#: Share of random tokens among those that are taken to be not random.
+DRAWN_RATE = 0.01
 
-SCAN_SCHEMA = "doc_id long, base array<struct<start:int,kind:int,end:int>>, candidates array<struct<start:int,end:int,length_class:int,bin:int>>"
+SCAN_SCHEMA = "doc_id long, base array<struct<start:int,kind:int,end:int>>, candidates array<struct<start:int,end:int,length_class:int,bin:int,drawn:int>>"
 Base = list[tuple[int, int, int]]
-Candidates = list[tuple[int, int, int, int]]
+Candidates = list[tuple[int, int, int, int, int]]
 
 
 def above(z: float) -> float:
@@ -138,17 +143,20 @@ def rare_letters_p(token: str) -> float:
     return above((sum(bits) - len(bits) * MEAN_BITS) / math.sqrt(len(bits) * BITS_VARIANCE)) if len(bits) >= SHORTEST // 2 else 1.0
 
 
-def battery(token: str, alpha: float = 0.001) -> float | None:
-    """The p-value of ``token`` as writing, or None if it has no encoding or isn't consistent with random symbols."""
+def battery(token: str) -> tuple[float, float] | None:
+    """The p-values of ``token`` as writing and as random symbols, or None if it has no encoding."""
     token = token.rstrip("=")
     encoding = infer_encoding(token)
     if not encoding:
         return None
     name, size, letters = encoding
+    values = [letters.index(c) for c in (token.lower() if name in FOLDED else token)]
+    return as_writing(token, name), fisher([chi_squared_p(values, size), runs_p(values), serial_p(values)])
+
+
+def as_writing(token: str, name: str) -> float:
+    """How probable a token of this encoding is as words, identifiers or numbers."""
     folded = token.lower()
-    values = [letters.index(c) for c in (folded if name in FOLDED else token)]
-    if fisher([chi_squared_p(values, size), runs_p(values), serial_p(values)]) < alpha:
-        return None
     if name == "digits":
         return few_repeats_p(token, NUMBERS_AGREE_2, NUMBERS_AGREE_3)
     # Both look at how often which symbol occurs: they count as one test.
@@ -161,8 +169,12 @@ def battery(token: str, alpha: float = 0.001) -> float | None:
     return fisher([symbols, binomial_at_least(changes, max(1, len(classes) - 1), CLASS_CHANGE)])
 
 
+def binned(p: float) -> int:
+    return min(BINS - 1, int(-math.log10(max(p, 1e-300)) / BIN))
+
+
 def find(text: str) -> tuple[Base, Candidates]:
-    """Base spans by start and kind, and candidates outside them with their length class and p-value bin."""
+    """Base spans by start and kind, and candidates outside them with their length class and the bins of both p-values."""
     base: Base = []
     lower = text.lower()
     if any(h in lower for h in ASSIGN_HINTS):
@@ -176,8 +188,8 @@ def find(text: str) -> tuple[Base, Candidates]:
         for s, _, e in base:
             taken[s:e] = b"\1" * (e - s)
         for m in CANDIDATE.finditer(text):
-            if taken.find(1, *m.span()) < 0 and (p := battery(m[0])) is not None:
-                candidates.append((m.start(), m.end(), min(12, int(2 * math.log2(len(m[0]) / SHORTEST))), min(BINS - 1, int(-math.log10(max(p, 1e-300)) / BIN))))
+            if taken.find(1, *m.span()) < 0 and (ps := battery(m[0])) is not None:
+                candidates.append((m.start(), m.end(), min(12, int(2 * math.log2(len(m[0]) / SHORTEST))), *map(binned, ps)))
     return sorted(base), candidates
 
 
@@ -187,7 +199,7 @@ def scan(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i32 = pa.int32()
         base_type = pa.list_(pa.struct([("start", i32), ("kind", i32), ("end", i32)]))
-        candidate_type = pa.list_(pa.struct([("start", i32), ("end", i32), ("length_class", i32), ("bin", i32)]))
+        candidate_type = pa.list_(pa.struct([("start", i32), ("end", i32), ("length_class", i32), ("bin", i32), ("drawn", i32)]))
         for batch in batches:
             found = [find(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b for b, _ in found], base_type), pa.array([c for _, c in found], candidate_type)], names=["doc_id", "base", "candidates"])
@@ -195,23 +207,47 @@ def scan(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", whole_text().alias("text")), run, SCAN_SCHEMA)
 
 
-def discoveries(scanned: DataFrame, rate: float = 0.01) -> dict[int, int]:
-    """For each length class the smallest bin that Benjamini-Hochberg accepts at ``rate``; classes without any are absent."""
-    counts = scanned.select(F.explode("candidates").alias("c")).groupBy("c.length_class", "c.bin").count().collect()  # at most 13 x BINS rows
-    cuts = {}
-    for k in {r.length_class for r in counts}:
-        own = sorted(((r.bin, r["count"]) for r in counts if r.length_class == k), reverse=True)
-        total, so_far = sum(n for _, n in own), 0
-        for b, n in own:
-            so_far += n
-            if 10 ** (-b * BIN) <= rate * so_far / total:  # the bin's largest p-value
-                cuts[k] = b
-    return cuts
+Cuts = dict[int, int]
+
+
+def rejected(counts: dict[int, int], rate: float) -> int:
+    """The smallest bin that Benjamini-Hochberg rejects at ``rate``, each p-value taken as the largest of its bin; ``BINS`` if none is."""
+    total, so_far, cut = sum(counts.values()), 0, BINS
+    for b in sorted(counts, reverse=True):
+        so_far += counts[b]
+        if 10 ** (-b * BIN) <= rate * so_far / total:
+            cut = b
+    return cut
+
+
+def cuts_of(binned_: DataFrame, rate: float) -> Cuts:
+    """For each length class the smallest bin that is rejected. ``binned_``: length_class, bin; at most 13 x BINS counts come to the driver."""
+    counts: dict[int, dict[int, int]] = {}
+    for r in binned_.groupBy("length_class", "bin").count().collect():
+        counts.setdefault(r.length_class, {})[r.bin] = r["count"]
+    return {k: rejected(own, rate) for k, own in counts.items()}
+
+
+def at_least(bin_: Column, length_class: Column, cuts: Cuts) -> Column:
+    """Whether a bin is rejected in its length class."""
+    cut = F.element_at(F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv]), length_class) if cuts else F.lit(None).cast("int")
+    return bin_ >= F.coalesce(cut, F.lit(BINS))
+
+
+def discoveries(scanned: DataFrame, rate: float = 0.01) -> tuple[Cuts, Cuts]:
+    """For each length class the smallest bins that count: of p-values as random symbols (not random), and as writing (not written)."""
+    tested = scanned.select(F.explode("candidates").alias("c")).select("c.length_class", "c.bin", "c.drawn")
+    drawn = cuts_of(tested.select("length_class", F.col("drawn").alias("bin")), DRAWN_RATE)
+    return drawn, cuts_of(tested.select("length_class", F.when(at_least(F.col("drawn"), F.col("length_class"), drawn), 0).otherwise(F.col("bin")).alias("bin")), rate)
+
+
+def is_secret(cuts: tuple[Cuts, Cuts], length_class: int, bin_: int, drawn: int) -> bool:
+    return drawn < cuts[0].get(length_class, BINS) and bin_ >= cuts[1].get(length_class, BINS)
 
 
-def chosen(cuts: dict[int, int]) -> Column:
+def chosen(cuts: tuple[Cuts, Cuts]) -> Column:
     """The candidates that ``cuts`` accept."""
-    return F.filter("candidates", lambda c: F.lit(False) if not cuts else c["bin"] >= F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv]), c["length_class"]), F.lit(BINS)))
+    return F.filter("candidates", lambda c: ~at_least(c["drawn"], c["length_class"], cuts[0]) & at_least(c["bin"], c["length_class"], cuts[1]))
 
 
 def written(spans: Column) -> Column:
@@ -241,7 +277,7 @@ def redact(docs: DataFrame, rate: float = 0.01, mark: str = "[SECRET]") -> DataF
             for text in (t.as_py() for t in batch.column(column)):
                 if text:
                     base, candidates = find(text)
-                    spans = sorted([(s, e) for s, _, e in base] + [(s, e) for s, e, k, b in candidates if b >= cuts.get(k, BINS)])
+                    spans = sorted([(s, e) for s, _, e in base] + [(s, e) for s, e, *tested in candidates if is_secret(cuts, *tested)])
                     merged: list[list[int]] = []
                     for s, e in spans:
                         if merged and s < merged[-1][1]:

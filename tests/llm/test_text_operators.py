@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -60,6 +61,38 @@ def test_keys_of_one_case_and_of_digits_are_found(spark, name):
     assert len(hit & set(range(60))) >= 54 and len(hit - set(range(60))) <= 1
 
 
+def plain_benjamini_hochberg(ps, rate):
+    """The indexes that are rejected."""
+    order = sorted(range(len(ps)), key=lambda k: ps[k])
+    last = max((i for i, k in enumerate(order, 1) if ps[k] <= rate * i / len(ps)), default=0)
+    return {k for k in range(len(ps)) if last and ps[k] <= ps[order[last - 1]]}
+
+
+def test_random_spans_are_what_the_control_rejects(spark):
+    """Every tested token counts in its family, also those that aren't random."""
+    r = random.Random(11)
+    words = ["river", "stone", "Green", "cloud", "people", "Walk", "engine", "Result", "value", "Index", "buffer", "Node"]
+    written = lambda: r.choice(["", "_", "-", "/"]).join(r.choices(words, k=r.randint(4, 12)))
+    drawn = lambda: "".join(r.choices(r.choice(["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]), k=r.choice([20, 24, 30, 31])))
+    tokens = [written() for _ in range(600)] + [drawn() for _ in range(60)] + ["a" * 25, "abcabcabcabcabcabcabcabc", "x+y_" * 8]
+    df = spark.createDataFrame([(k, f"so {t} it is") for k, t in enumerate(tokens)], "doc_id long, text string").repartition(3)
+    tested = {}
+    for k, t in enumerate(tokens):
+        if len(t) >= 20 and not secret_scan.HEX.search(t) and (ps := secret_scan.battery(t)):
+            tested.setdefault(min(12, int(2 * math.log2(len(t) / 20))), {})[k] = [10 ** (-secret_scan.BIN * secret_scan.binned(p)) for p in ps]
+    want, left_out = set(), 0
+    for own in tested.values():
+        keys = list(own)
+        not_random = plain_benjamini_hochberg([own[k][1] for k in keys], secret_scan.DRAWN_RATE)
+        found = plain_benjamini_hochberg([1.0 if i in not_random else own[k][0] for i, k in enumerate(keys)], 0.01)
+        want |= {keys[i] for i in found - not_random}
+        left_out += len(not_random)
+    hit = {x.doc_id for x in secret_scan.find_secrets(df).where("size(spans) > size(base)").collect()}
+    assert hit == want and len(want) > 40 and left_out > 100
+    assert len([k for k in hit if k < 600]) <= 0.01 * len(hit) + 1
+    assert {x.doc_id for x in secret_scan.redact(df).where("text like '%[SECRET]%'").collect()} == want | {k for k, t in enumerate(tokens) if secret_scan.HEX.search(t)}
+
+
 def test_battery_accepts_uniform_strings():
     r = random.Random(1)
     ps = [secret_scan.fisher([secret_scan.chi_squared_p(v, 16), secret_scan.runs_p(v), secret_scan.serial_p(v)]) for v in ([r.randrange(16) for _ in range(40)] for _ in range(400))]

@@ -112,7 +112,11 @@ def heading_line(line: Column) -> Column:
     return F.when((F.length(low) > 0) & (F.length(low) <= 120) & fits, kind)
 
 
-def first_heading_line(text: Column, lines: int = 20) -> Column:
+#: Lines of a page among which its title is, and those that tell a table of contents. Fixed values.
+TITLE_LINES, CONTENTS_LINES = 12, 20
+
+
+def first_heading_line(text: Column, lines: int = TITLE_LINES) -> Column:
     """The first such line's statement among the first ``lines``."""
     kinds = F.transform(F.slice(F.split(text, r"\r\n|\r|\n"), 1, lines), heading_line)
     return F.get(F.filter(kinds, lambda k: k.isNotNull()), F.lit(0))
@@ -123,7 +127,7 @@ def has_table_hint(text: Column) -> Column:
 
 
 def is_contents_page(text: Column) -> Column:
-    return statement_kinds(F.array_join(F.slice(F.split(text, r"\r\n|\r|\n"), 1, 20), "\n")) >= 2
+    return statement_kinds(F.array_join(F.slice(F.split(text, r"\r\n|\r|\n"), 1, CONTENTS_LINES), "\n")) >= 2
 
 
 def page_kind(text: Column) -> Column:

@@ -79,11 +79,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def matched_text(text: Column, rule: Column) -> Column:
-    """Struct of what stands before the rule's match, the match, and the match's first group; empty where there is none."""
-    pattern = F.get(F.array(*[F.lit(f"(?isU)^(.*?)({p})") for _, p in RULES]), rule)
-    year = F.get(F.array(*[F.lit(f"(?iU){p}" if r"(\d{4})" in p else "()") for _, p in RULES]), rule)
-    part = lambda p, k: F.call_function("regexp_extract", text, p, F.lit(k))
-    return F.struct(part(pattern, 1).alias("before"), part(pattern, 2).alias("match"), part(year, 1).alias("group"))
+    """Struct of where the rule's match starts (from 0), its length, and its first group; null where no rule matches. Each rule's pattern is a constant, compiled once."""
+    found = F.lit(None)
+    for k, (_, rule_pattern) in reversed(list(enumerate(RULES))):
+        pattern = F.lit(f"(?iU){rule_pattern}")
+        group = F.regexp_extract(text, f"(?iU){rule_pattern}", 1) if r"(\d{4})" in rule_pattern else F.lit("")
+        place = F.struct((F.regexp_instr(text, pattern) - 1).alias("start"), F.length(F.regexp_substr(text, pattern)).alias("length"), group.alias("group"))
+        found = F.when(rule == k, place).otherwise(found)
+    return found
 
 
 def year_in(match: Column) -> Column:
@@ -94,8 +97,8 @@ def year_in(match: Column) -> Column:
 
 def year_beside(text: Column, match: Column, nearest: bool) -> Column:
     """See ``near_year``."""
-    start = F.length(match["before"])
-    places = F.struct(start.alias("start"), (start + F.length(match["match"])).alias("end"), F.greatest(start - NEAR, F.lit(0)).alias("base"))
+    start = match["start"]
+    places = F.struct(start.alias("start"), (start + match["length"]).alias("end"), F.greatest(start - NEAR, F.lit(0)).alias("base"))
 
     def of_window(at: Column) -> Column:
         window = F.substring(text, at["base"] + 1, at["end"] + NEAR - at["base"])
@@ -110,7 +113,7 @@ def year_beside(text: Column, match: Column, nearest: bool) -> Column:
 
         return let(cut, candidates)
 
-    return F.when(match["match"] != "", let(places, of_window))
+    return F.when(match["length"] > 0, let(places, of_window))
 
 
 def near_year(text: Column, rule: Column, *, nearest: bool = False) -> Column:

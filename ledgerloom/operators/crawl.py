@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import links as L
+from ledgerloom.operators.search import first_containing
 from ledgerloom.operators.selection import first_of
 
 
@@ -15,28 +16,41 @@ def page_links(pages: DataFrame) -> DataFrame:
     return tags.select("page_url", "seed_url", "ord", L.anchor_label(F.col("tag")).alias("label"), L.resolve(F.col("page_url"), L.anchor_href(F.col("tag"))).alias("url"))
 
 
-def pdf_links(pages: DataFrame) -> DataFrame:
-    """Document links to the seed's organisation: anchors first, then addresses in other attributes; of equal ones the first."""
-    own = L.same_org(F.col("url"), F.col("seed_url"))
+def of_same_org(links: DataFrame, rules: DataFrame | None) -> DataFrame:
+    """The rows of ``links`` (url, seed_url) whose address belongs to the seed's organisation: with a table of public suffixes ``rules`` by the registered domains that it tells.
+
+    Each distinct host is resolved once and joined back. Hosts without a registered domain, such as suffixes themselves, belong only to themselves.
+    """
+    if rules is None:
+        return links.where(L.same_org(F.col("url"), F.col("seed_url")))
+    hosted = links.withColumn("__a", L.host(F.col("url"))).withColumn("__b", L.host(F.col("seed_url")))
+    hosts = hosted.select(F.explode(F.array("__a", "__b")).alias("host")).where("host is not null").distinct()
+    domains = registered_domains(hosts, rules).select("host", F.coalesce("domain", F.concat(F.lit("="), "host")).alias("domain"))
+    side = lambda c: domains.select(F.col("host").alias(c), F.col("domain").alias(f"{c}_domain"))
+    return hosted.join(side("__a"), "__a").join(side("__b"), "__b").where("__a_domain = __b_domain").select(*links.columns)
+
+
+def pdf_links(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Document links to the seed's organisation (see ``of_same_org``): anchors first, then addresses in other attributes; of equal ones the first."""
     title = F.coalesce(F.nullif(F.col("label"), F.lit("")), F.lit("(IR page anchor)"))
-    anchors = page_links(pages).where(L.looks_like_pdf(F.col("url")) & own).select("page_url", "url", title.alias("title"), F.lit(0).alias("source"), "ord")
-    other = pages.select("page_url", "seed_url", F.posexplode(L.embedded_pdfs(F.col("html"))).alias("ord", "raw")).withColumn("url", L.resolve(F.col("page_url"), F.col("raw"))).where(own)
-    found = anchors.unionByName(other.select("page_url", "url", F.lit("(IR form/embed)").alias("title"), F.lit(1).alias("source"), "ord"))
-    first = first_of(found, ["page_url", "url"], [F.col("source"), F.col("ord")])
+    anchors = page_links(pages).where(L.looks_like_pdf(F.col("url"))).select("page_url", "seed_url", "url", title.alias("title"), F.lit(0).alias("source"), "ord")
+    other = pages.select("page_url", "seed_url", F.posexplode(L.embedded_pdfs(F.col("html"))).alias("ord", "raw")).withColumn("url", L.resolve(F.col("page_url"), F.col("raw")))
+    found = anchors.unionByName(other.select("page_url", "seed_url", "url", F.lit("(IR form/embed)").alias("title"), F.lit(1).alias("source"), "ord"))
+    first = first_of(of_same_org(found, rules).drop("seed_url"), ["page_url", "url"], [F.col("source"), F.col("ord")])
     return first.withColumn("snippet", F.concat(F.lit("(crawled from "), L.path(F.col("page_url")), F.lit(")")))
 
 
-def drilldown_links(pages: DataFrame) -> DataFrame:
-    """Links of the organisation to pages of a year or period, without fragments, each once."""
-    found = page_links(pages).where(L.same_org(F.col("url"), F.col("seed_url")) & L.is_drilldown(F.col("url"))).withColumn("url", L.without_fragment(F.col("url")))
+def drilldown_links(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Links of the organisation (see ``of_same_org``) to pages of a year or period, without fragments, each once."""
+    found = of_same_org(page_links(pages).where(L.is_drilldown(F.col("url"))), rules).withColumn("url", L.without_fragment(F.col("url")))
     return found.groupBy("page_url", "url").agg(F.min("ord").alias("ord"))
 
 
-def distilled(pages: DataFrame, most_pdfs: int = 60, most_drilldowns: int = 40) -> DataFrame:
-    """A short text for each page: its title, its documents and the pages to look into next."""
+def distilled(pages: DataFrame, most_pdfs: int = 60, most_drilldowns: int = 40, rules: DataFrame | None = None) -> DataFrame:
+    """A short text for each page: its title, its documents and the pages to look into next; ``rules`` as in ``of_same_org``."""
     top = lambda rows, n: rows.groupBy("page_url").agg(F.slice(F.array_sort(F.collect_list(F.struct("source", "ord", "url", "title"))), 1, n).alias("x"))
-    pdfs = top(pdf_links(pages), most_pdfs).select("page_url", F.transform("x", lambda p: F.concat(F.lit("- "), p["title"], F.lit(": "), p["url"])).alias("pdfs"))
-    deeper = top(drilldown_links(pages).withColumn("source", F.lit(0)).withColumn("title", F.lit("")), most_drilldowns).select("page_url", F.transform("x", lambda p: F.concat(F.lit("- "), p["url"])).alias("deeper"))
+    pdfs = top(pdf_links(pages, rules), most_pdfs).select("page_url", F.transform("x", lambda p: F.concat(F.lit("- "), p["title"], F.lit(": "), p["url"])).alias("pdfs"))
+    deeper = top(drilldown_links(pages, rules).withColumn("source", F.lit(0)).withColumn("title", F.lit("")), most_drilldowns).select("page_url", F.transform("x", lambda p: F.concat(F.lit("- "), p["url"])).alias("deeper"))
     empty = F.array().cast("array<string>")
     titled = pages.select("page_url", L.page_title(F.col("html")).alias("title")).join(pdfs, "page_url", "left").join(deeper, "page_url", "left")
     part = lambda name, c: F.concat(F.lit(f"{name} ("), F.size(F.coalesce(c, empty)).cast("string"), F.lit("):\n"), F.array_join(F.coalesce(c, empty), "\n"))
@@ -143,14 +157,12 @@ def filings(submissions: DataFrame, forms: tuple[str, ...] = ("20-F", "10-K", "4
 def cik_lookup(needles: DataFrame, tickers: DataFrame) -> DataFrame:
     """The first company whose ticker is the needle or whose title contains it; the number padded to ten digits.
 
-    All needles are answered: the register is indexed by its tickers and by the parts of its titles that are as long as some needle,
-    of each the first company, and needles are joined to it by equality.
+    All needles are answered: tickers by equality, titles by an inverted index (``search.first_containing``). ``ord`` must be distinct.
     """
     asked = needles.withColumn("__asked", F.lower(F.trim("needle")))
-    lengths = asked.agg(F.collect_set(F.length("__asked")).alias("__lengths"))
-    title = F.coalesce(F.lower("title"), F.lit(""))
-    fitting = F.filter("__lengths", lambda n: F.col("title").isNotNull() & (n <= F.length(title)))
-    parts = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length(title) - n + 1), lambda i: F.substring(title, i, n))))
-    keyed = tickers.crossJoin(F.broadcast(lengths)).withColumn("__asked", F.explode(F.array_union(parts, F.array(F.lower("ticker"))))).drop("__lengths")
-    found = first_of(keyed.where("__asked is not null"), ["__asked"], [F.col("ord")]).join(asked, "__asked").drop("__asked")
+    distinct = asked.select(F.col("__asked").alias("asked")).distinct()
+    by_ticker = tickers.where("ticker is not null").groupBy(F.lower("ticker").alias("asked")).agg(F.min("ord").alias("ord")).join(distinct, "asked", "left_semi")
+    by_title = first_containing(distinct, tickers.select("ord", F.lower("title").alias("title")))
+    first = by_ticker.unionByName(by_title.select("asked", F.col("ord").cast(by_ticker.schema["ord"].dataType).alias("ord"))).groupBy("asked").agg(F.min("ord").alias("ord"))
+    found = first.join(tickers, "ord").withColumnRenamed("asked", "__asked").join(asked, "__asked").drop("__asked")
     return first_of(found, ["needle"], [F.col("ord")]).withColumn("cik", F.lpad(F.col("cik").cast("string"), 10, "0"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.headings import detect_unit, first_heading_line, has_table_hint, is_contents_page
+from ledgerloom.functions.headings import TITLE_LINES, detect_unit, first_heading_line, has_table_hint, is_contents_page
 from ledgerloom.functions.periods import has_any_value, has_year, keeps_row, label_cell, lettered_label_cell, values_by_period, year_headers
 from ledgerloom.functions.text import clean_label
 from ledgerloom.operators.hierarchy import classify_rows, infer_hierarchy
@@ -32,7 +32,7 @@ def statements_of(headings: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(best, ["sha256", "table_idx"])
 
 
-def candidate_pages(pages: DataFrame, lines: int = 20) -> DataFrame:
+def candidate_pages(pages: DataFrame, lines: int = TITLE_LINES) -> DataFrame:
     """The first page of each kind in a document that begins with the statement's title, is no table of contents and speaks of a table. ``pages``: sha256, page_idx, text."""
     told = pages.select("sha256", "page_idx", first_heading_line(F.col("text"), lines).alias("kind"), is_contents_page(F.col("text")).alias("contents"), has_table_hint(F.col("text")).alias("hint"), detect_unit(F.substring("text", 1, 2000)).alias("unit"))
     return first_of(told.where("kind is not null and not contents and hint"), ["sha256", "kind"], [F.col("page_idx")]).select("sha256", "kind", "page_idx", "unit")

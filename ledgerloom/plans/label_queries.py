@@ -184,13 +184,14 @@ def null_escapes(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", T.repair_null_escapes(text).alias("text"))
 
 
-PAGE = """CASE p_partkey % 6 WHEN 0 THEN '4.1 Consolidated income statement' || chr(10) || '(in thousands)' WHEN 1 THEN 'Contents' || chr(10) || 'Consolidated income statement' || chr(10) || 'Consolidated balance sheet' || chr(10) || 'as at'
+PAGE = """CASE p_partkey % 7 WHEN 0 THEN '4.1 Consolidated income statement' || chr(10) || '(in thousands)' WHEN 1 THEN 'Contents' || chr(10) || 'Consolidated income statement' || chr(10) || 'Consolidated balance sheet' || chr(10) || 'as at'
   WHEN 2 THEN 'x' || chr(10) || 'Consolidated balance sheet' || chr(10) || 'As of December' WHEN 3 THEN 'We discuss our consolidated income statement at length in what follows' || chr(10) || 'year ended' WHEN 4 THEN 'Consolidated cash flow statement' || chr(10) || p_name
+  WHEN 6 THEN repeat('line' || chr(10), CAST(p_partkey % 20 AS INTEGER)) || 'Consolidated balance sheet' || chr(10) || 'as at'
   ELSE repeat('line' || chr(10), 20) || 'Consolidated balance sheet' || chr(10) || repeat(' ', 3000) || 'as at' END"""
 
 
 @query(f"""WITH p AS (SELECT p_partkey, {PAGE} AS t FROM part), h AS (SELECT * FROM p)
-  SELECT p_partkey, list_filter(list_transform(string_split(t, chr(10))[1:20], lambda l: CASE WHEN regexp_matches(l, '^[0-9. ]*Consolidated income statement$') THEN 'income' WHEN regexp_matches(l, '^Consolidated balance sheet$') THEN 'balance' WHEN regexp_matches(l, '^Consolidated cash flow statement$') THEN 'cashflow' END), lambda k: k IS NOT NULL)[1] AS kind,
+  SELECT p_partkey, list_filter(list_transform(string_split(t, chr(10))[1:12], lambda l: CASE WHEN regexp_matches(l, '^[0-9. ]*Consolidated income statement$') THEN 'income' WHEN regexp_matches(l, '^Consolidated balance sheet$') THEN 'balance' WHEN regexp_matches(l, '^Consolidated cash flow statement$') THEN 'cashflow' END), lambda k: k IS NOT NULL)[1] AS kind,
    (CAST(contains(list_aggregate(string_split(lower(t), chr(10))[1:20], 'string_agg', ' '), 'consolidated income statement') AS INTEGER) + CAST(contains(list_aggregate(string_split(lower(t), chr(10))[1:20], 'string_agg', ' '), 'consolidated balance sheet') AS INTEGER) + CAST(contains(list_aggregate(string_split(lower(t), chr(10))[1:20], 'string_agg', ' '), 'consolidated cash flow statement') AS INTEGER)) >= 2 AS contents,
    regexp_matches(lower(substr(t, 1, 3000)), 'year ended|as at|as of|in thousands') AS hint FROM h""")
 def page_gates(spark, sf_dir):
@@ -200,7 +201,7 @@ def page_gates(spark, sf_dir):
     return own.select("p_partkey", H.first_heading_line(t).alias("kind"), H.is_contents_page(t).alias("contents"), H.has_table_hint(t).alias("hint"))
 
 
-@query(f"""WITH p AS (SELECT p_brand AS sha256, p_partkey AS page_idx, p_partkey % 6 AS k FROM part)
+@query(f"""WITH p AS (SELECT p_brand AS sha256, p_partkey AS page_idx, CASE WHEN p_partkey % 7 <> 6 THEN p_partkey % 7 WHEN p_partkey % 20 < 12 THEN 2 END AS k FROM part)
   SELECT sha256, CASE k WHEN 0 THEN 'income' ELSE 'balance' END AS kind, min(page_idx) AS page_idx, CASE k WHEN 0 THEN 'thousands' ELSE 'units' END AS unit FROM p WHERE k IN (0, 2) GROUP BY sha256, k""")
 def candidate_pages(spark, sf_dir):
     from ledgerloom.operators.extract import candidate_pages as of_pages

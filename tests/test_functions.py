@@ -150,3 +150,12 @@ def test_links(spark):
     assert one(spark, L.anchors, html)[0].startswith("<a class") and len(one(spark, L.anchors, html)) == 2
     assert one(spark, lambda h: L.anchor_label(F.get(L.anchors(h), F.lit(0))), html) == "Report"
     assert one(spark, L.archive_raw_url, "http://w.example/web/2020/http://x/2020/", "2020") == "http://w.example/web/2020id_/http://x/2020/"
+
+
+@pytest.mark.parametrize("line,kind", [(1, "balance"), (12, "balance"), (13, None), (15, None), (20, None)])
+def test_titles_are_looked_for_in_twelve_lines(spark, line, kind):
+    from ledgerloom.operators.extract import candidate_pages
+
+    text = "\n".join(["words"] * (line - 1) + ["Consolidated balance sheet", "as at 31 December"])
+    pages = spark.createDataFrame([("d", 3, text)], "sha256 string, page_idx int, text string")
+    assert [r.kind for r in candidate_pages(pages).collect()] == ([kind] if kind else [])

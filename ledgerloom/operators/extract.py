@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.headings import TITLE_LINES, detect_unit, first_heading_line, has_table_hint, is_contents_page
+from ledgerloom.functions.headings import TITLE_LINES, detect_unit, first_heading_line, has_table_hint, is_contents_page, match_statement
 from ledgerloom.functions.periods import has_any_value, has_year, keeps_row, label_cell, lettered_label_cell, values_by_period, year_headers
 from ledgerloom.functions.text import clean_label
 from ledgerloom.operators.hierarchy import classify_rows, infer_hierarchy
@@ -64,6 +64,35 @@ def grid_statements(cells: DataFrame, headings: DataFrame, least_rows: int = 5,
     return kept.withColumn("__n", F.count(F.lit(1)).over(header)).where(F.col("__n") >= least_rows).drop("__n")
 
 
+#: Lines of a page that hold its title, rows of a table that hold its header, and rows of a table at least. Fixed values.
+PAGE_TITLE_LINES, HEADER_ROWS, TABLE_ROWS = 6, 6, 3
+
+
+def pdf_statements(pages: DataFrame, cells: DataFrame, after: int = 1) -> DataFrame:
+    """Rows of the statements of page-oriented documents: ``sha256, statement, unit, source_page, table_idx, row_idx, raw_label, values_by_period_end``.
+
+    A page whose first lines name a statement, and that is no table of contents, takes the best table of its own and the next ``after`` pages: the
+    one with the most rows and cells with digits among those with a period header in their first rows, the first one on ties. Rows behind the header count if they have a label in their
+    first cell and reach a period column. Of each kind the first page that gives rows counts. ``pages``: sha256, page_idx, text; ``cells`` (``schemas.TABLE_CELLS``) have all rows, the header's too.
+    """
+    table = ["sha256", "page_idx", "table_idx"]
+    top = F.array_join(F.slice(F.split("text", r"\r\n|\r|\n"), 1, PAGE_TITLE_LINES), "\n")
+    told = pages.select("sha256", "page_idx", match_statement(top).alias("statement"), is_contents_page(F.col("text")).alias("contents"), detect_unit(F.substring("text", 1, 2000)).alias("unit"))
+    titled = told.where("statement is not null and not contents").select("sha256", "statement", "unit", F.col("page_idx").alias("source_page"))
+    clean = cells.withColumn("cells", F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("")))))
+    digits = F.size(F.filter("cells", lambda c: c.rlike(r"\p{Nd}")))
+    shapes = clean.groupBy(*table).agg(F.count(F.lit(1)).alias("n"), F.sum(digits).alias("digits"), F.min(F.when(has_year(F.col("cells")) & (F.col("row_idx") < HEADER_ROWS), F.col("row_idx"))).alias("header"))
+    gated = shapes.where((F.col("n") >= TABLE_ROWS) & F.col("header").isNotNull())
+    near = titled.withColumn("page_idx", F.explode(F.sequence("source_page", F.col("source_page") + after))).join(gated, ["sha256", "page_idx"])
+    best = first_of(near, ["sha256", "statement", "source_page"], [(F.col("n") + F.col("digits")).desc(), F.col("page_idx"), F.col("table_idx")])
+    rows = best.select(*table, "statement", "unit", "source_page", "header").join(clean, table)
+    own = Window.partitionBy("sha256", "statement", "source_page")
+    dated = rows.withColumn("__years", F.max(F.when(F.col("row_idx") == F.col("header"), year_headers(F.col("cells")))).over(own)).where("row_idx > header")
+    kept = dated.select("sha256", "statement", "unit", "source_page", "table_idx", "row_idx", label_cell(F.col("cells")).alias("raw_label"), values_by_period(F.col("cells"), F.slice("__years", 1, F.size("cells"))).alias("values_by_period_end"))
+    kept = kept.where((F.col("raw_label") != "") & (F.size("values_by_period_end") > 0))
+    return kept.withColumn("__first", F.min("source_page").over(Window.partitionBy("sha256", "statement"))).where("source_page = __first").drop("__first")
+
+
 def confirm_rows(extracted: DataFrame) -> DataFrame:
     """Confirmation by rule: empty labels go, hierarchy is inferred, numbers become text."""
     kept = extracted.withColumn("label", clean_label(F.col("raw_label"))).where("label <> ''")

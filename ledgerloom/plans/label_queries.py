@@ -117,12 +117,12 @@ def near_years(spark, sf_dir):
     return own.select("o_orderkey", R.near_year(F.col("t"), F.col("r")).alias("literal"), R.near_year(F.col("t"), F.col("r"), nearest=True).alias("nearest"))
 
 
-@query("""SELECT doc_id, CAST(ceil(length(t) / 8000.0) AS INTEGER) AS n_pages, md5(coalesce(substr(t, 8001, 8000), '')) AS second_page, md5(substr(trim(t), 1, 2000)) AS front
+@query("""SELECT doc_id, CAST(ceil(length(t) / 8000.0) AS INTEGER) AS n_pages, md5(array_to_string(list_transform(range(0, CAST(ceil(length(t) / 8000.0) AS BIGINT)), lambda i: md5(substr(t, CAST(8000 * i + 1 AS INTEGER), 8000))), ',')) AS pages, md5(substr(trim(t), 1, 2000)) AS front
   FROM (SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS t FROM documents)""")
 def text_pages(spark, sf_dir):
     own = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("t"))
     pages = own.withColumn("pages", H.text_pages(F.col("t")))
-    return pages.select("doc_id", F.size("pages").alias("n_pages"), F.md5(F.coalesce(F.get("pages", F.lit(1)), F.lit(""))).alias("second_page"), F.md5(H.front_matter(F.col("t"))).alias("front"))
+    return pages.select("doc_id", F.size("pages").alias("n_pages"), F.md5(F.array_join(F.transform("pages", F.md5), ",")).alias("pages"), F.md5(H.front_matter(F.col("t"))).alias("front"))
 
 
 @query("""SELECT n_nationkey, round(amount * CASE n_nationkey % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.92 WHEN 2 THEN 1.17 WHEN 3 THEN 1.04 ELSE 1.0 END / 0.92, 4) AS usd FROM

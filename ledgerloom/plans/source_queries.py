@@ -98,6 +98,29 @@ def grid_statements(spark, sf_dir):
     return rows.groupBy("sha256", "table_idx").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.element_at("values_by_period_end", "2024-12-31").cast("long")).alias("total"))
 
 
+# Each order has three pages: the first has its title on one of its first eight lines, the second has it on top or is a table of contents. Tables have their header on one of the first eight rows.
+@query(r"""WITH o AS (SELECT o_orderkey AS k FROM orders), p AS (SELECT k, 0 AS page FROM o WHERE k % 8 < 6 UNION ALL SELECT k, 1 FROM o WHERE k % 5 <> 0),
+  t AS (SELECT k, x AS page, 2 + (k + 3 * x) % 9 AS n, (k + x) % 8 AS h FROM o, range(0, 3) r(x)), g AS (SELECT k, page, n, h, n + 1 + 3 * greatest(0, n - h - 1) - CAST(h < 5 AND n > 5 AS INTEGER) AS score FROM t WHERE n >= 3 AND h < 6 AND h < n),
+  b AS (SELECT p.k, p.page AS source, arg_min(g.page, (-score, g.page)) AS page, arg_min(n, (-score, g.page)) AS n, arg_min(h, (-score, g.page)) AS h FROM p JOIN g ON g.k = p.k AND g.page BETWEEN p.page AND p.page + 1 GROUP BY ALL),
+  r AS (SELECT k, source, page, unnest(range(h + 1, n)) AS r FROM b), w AS (SELECT * FROM r WHERE r % 6 <> 5), f AS (SELECT k, min(source) AS source FROM w GROUP BY k)
+  SELECT CAST(k AS VARCHAR) AS sha256, CAST(source AS INTEGER) AS source_page, CAST(page AS INTEGER) AS table_idx, count(*) AS n_rows, CAST(sum(r * 10 + 1) AS BIGINT) AS total, CASE WHEN source = 0 THEN 'thousands' ELSE 'units' END AS unit FROM w JOIN f USING (k, source) GROUP BY ALL""")
+def pdf_statements(spark, sf_dir):
+    """Statements of page-oriented documents: titles on the first lines, the best table of this page and the next."""
+    k, x, r = F.col("o_orderkey"), F.col("x"), F.col("r")
+    orders = table(spark, sf_dir, "orders").select(k)
+    lines = lambda n: F.repeat(F.lit("words of the report\n"), n.cast("int"))
+    title = F.lit("Consolidated income statement\n")
+    texts = F.array(F.concat(lines(k % 8), title, F.lit("(in thousands)")), F.concat(title, F.when(k % 5 == 0, "Consolidated balance sheet\n").otherwise("")), F.lit("notes"))
+    pages = orders.select(k.cast("string").alias("sha256"), F.posexplode(texts).alias("page_idx", "text"))
+    tables = orders.select(k, F.explode(F.sequence(F.lit(0), F.lit(2))).alias("x")).select(k, x, F.explode(F.sequence(F.lit(0), (1 + (k + 3 * x) % 9).cast("int"))).alias("r"))
+    at = (k + x) % 8
+    number = lambda c: (r * 10 + c).cast("string")
+    row = F.when(r < at, F.array(F.lit("Group"), F.lit(None), F.lit(" "))).when(r == at, F.array(F.lit("Note"), F.lit(" 2024 "), F.lit("change"))).otherwise(F.array(F.when(r % 6 == 5, " ").otherwise(F.concat(F.lit("line "), r.cast("string"))), number(1), number(2)))
+    cells = tables.select(k.cast("string").alias("sha256"), x.alias("page_idx"), x.alias("table_idx"), r.alias("row_idx"), row.alias("cells"))
+    rows = E.pdf_statements(pages, cells)
+    return rows.groupBy("sha256", "source_page", "table_idx", "unit").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.element_at("values_by_period_end", "2024-12-31").cast("long")).alias("total"))
+
+
 @query("""SELECT o_custkey AS source_sha256, o_orderpriority AS statement, max(o_orderkey) AS row_idx, 1 AS first FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2
   UNION ALL SELECT o_custkey, o_orderpriority, max(o_orderkey), 0 FROM orders WHERE o_orderstatus = 'O' AND (o_custkey, o_orderpriority) NOT IN (SELECT (o_custkey, o_orderpriority) FROM orders WHERE o_orderstatus = 'F') GROUP BY 1, 2""")
 def merged_extractors(spark, sf_dir):

@@ -94,14 +94,14 @@ def manifest_counters(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS ord, CASE o_orderkey % 3 WHEN 0 THEN '20-F' WHEN 1 THEN '6-K' ELSE '10-K' END AS form FROM orders)
-  SELECT CAST(o_custkey AS VARCHAR) AS cik, CAST(ord AS INTEGER) AS ord, form, 'https://www.sec.gov/Archives/edgar/data/' || o_custkey || '/' || o_orderkey || '/d.htm' AS url FROM f WHERE form <> '6-K' AND o_custkey > 0""")
+  SELECT CAST(o_custkey AS VARCHAR) AS cik, CAST(ord AS INTEGER) AS ord, form, 'https://www.sec.gov/Archives/edgar/data/' || o_custkey || '/' || o_orderkey || '/d.htm' AS url FROM f WHERE form <> '6-K' AND o_custkey > 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY ord) <= 20""")
 def filings(spark, sf_dir):
     o = F.col("o_orderkey")
     form = F.when(o % 3 == 0, "20-F").when(o % 3 == 1, "6-K").otherwise("10-K")
     number = F.concat(F.substring(o.cast("string"), 1, 1), F.lit("-"), F.substring(o.cast("string"), 2, 20))
     subs = table(spark, sf_dir, "orders").where("o_custkey > 0").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(o.alias("k"), form.alias("form"), number.alias("n")))).alias("x"))
     arrays = subs.select(F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("cik"), F.transform("x", lambda e: e["form"]).alias("form"), F.transform("x", lambda e: e["n"]).alias("accessionNumber"), F.transform("x", lambda e: F.lit("d.htm")).alias("primaryDocument"), F.transform("x", lambda e: F.lit("2024-01-01")).alias("filingDate"))
-    return C.filings(arrays, most=10_000).select(F.regexp_replace("cik", "^0+", "").alias("cik"), "ord", "form", "url")
+    return C.filings(arrays).select(F.regexp_replace("cik", "^0+", "").alias("cik"), "ord", "form", "url")
 
 
 SERIES_SQL = "s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE event_id % 13 <> 0)"
@@ -188,7 +188,7 @@ def fetch_cascade(spark, sf_dir):
 @query("SELECT conv_id, string_agg(role, ',' ORDER BY first) AS urls FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY 1, 2) GROUP BY 1")
 def appended_urls(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("r"))
-    return turns.select("conv_id", F.array_join(C.appended_urls(F.slice("r", 1, 1), F.slice("r", 1, 1000)), ",").alias("urls"))
+    return turns.select("conv_id", F.array_join(C.appended_urls(F.slice("r", 1, 1), F.col("r")), ",").alias("urls"))
 
 
 @query("""WITH c AS (SELECT s_suppkey, s_name, s_acctbal FROM supplier) SELECT s_suppkey AS slug, round(s_acctbal * CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_suppkey % 4 END * 1e6, 2) AS market_cap, CAST(s_suppkey % 4 AS DOUBLE) AS shares FROM c WHERE s_suppkey % 10 <> 3""")
@@ -228,20 +228,30 @@ def drilldown_links(spark, sf_dir):
     return found.join(pages.select("page_url", "page_id"), "page_url").select("page_id", "url", "nth")
 
 
-@query("""SELECT page_id, 'Title: ' || coalesce(nullif(substr(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), 1, 160), ''), '(no title)') || chr(10) || 'Documents (1):' || chr(10) || '- AR: https://p' || page_id || '.example/files/' || page_id || '.pdf' || chr(10)
-  || 'Drill-downs (2):' || chr(10) || '- https://p' || page_id || '.example/reports/' || (2000 + page_id % 25) || chr(10) || '- https://p' || page_id || '.example/financials/q' || page_id % 4 AS text FROM pages""".replace("\\\\s", "\\s"))
+# Pages have up to 90 documents, with and without titles, and up to 60 pages to look into: more than are shown.
+@query(r"""WITH p AS (SELECT page_id, 'https://p' || page_id || '.example' AS h, coalesce(nullif(substr(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), 1, 160), ''), '(no title)') AS title, least(60, page_id * 7 % 91) AS docs, least(40, page_id * 3 % 61) AS deeper FROM pages)
+  SELECT page_id, 'Title: ' || title || chr(10) || 'Documents (' || docs || '):' || chr(10) || array_to_string(list_transform(range(0, docs), lambda j: '- ' || CASE WHEN j % 3 = 0 THEN '(IR page anchor)' ELSE 'Report ' || j END || ': ' || h || '/files/' || j || '.pdf'), chr(10)) || chr(10)
+    || 'Drill-downs (' || deeper || '):' || chr(10) || array_to_string(list_transform(range(0, deeper), lambda j: '- ' || h || '/reports/y' || j), chr(10)) AS text FROM p""")
 def distilled_pages(spark, sf_dir):
-    """The short text of a page that a model sees."""
-    pages = site(spark, sf_dir)
+    """The short text of a page that a model sees: its title, documents and pages to look into, each up to a cap in the order of the links."""
+    i = F.col("page_id")
+    many = lambda n, link: F.array_join(F.transform(F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>")), link), "")
+    documents = many(i * 7 % 91, lambda j: F.concat(F.lit('<a href="/files/'), j.cast("string"), F.lit('.pdf"'), F.when(j % 3 == 0, "").otherwise(F.concat(F.lit(' title="Report '), j.cast("string"), F.lit('"'))), F.lit(">x</a>")))
+    deeper = many(i * 3 % 61, lambda j: F.concat(F.lit('<a href="/reports/y'), j.cast("string"), F.lit('#t"></a><a href="/reports/y'), j.cast("string"), F.lit('"></a>')))
+    host = F.concat(F.lit("https://p"), i.cast("string"), F.lit(".example"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(host, F.lit("/ir")).alias("page_url"), host.alias("seed_url"), F.concat("html", documents, deeper).alias("html"))
     return C.distilled(pages).join(pages.select("page_url", "page_id"), "page_url").select("page_id", "text")
 
 
-@query("SELECT page_id, k AS n, CASE k WHEN 0 THEN 'Report ' || page_id WHEN 2 THEN 'AR' ELSE '' END AS label FROM pages, range(0, 6) r(k)")
-def anchor_labels(spark, sf_dir):
-    from ledgerloom.operators.selection import numbered
+TAG_SQL = r"""(?i)<a\b[^>]*?\bhref\s*=\s*[''"][^''"]+[''"][^>]*>"""
+LABEL_SQL = r"""(?i)\b(?:aria-label|title|download)\s*=\s*[''"]([^''"]+)[''"]"""
 
-    pages = site(spark, sf_dir)
-    tags = pages.select("page_id", F.posexplode(F.slice(L.anchors(F.col("html")), -6, 6)).alias("n", "tag"))
+
+@query(f"""WITH t AS (SELECT page_id, regexp_extract_all({SITE_SQL}, '{TAG_SQL}') AS tags FROM pages)
+  SELECT page_id, n, substr(trim(regexp_extract(tag, '{LABEL_SQL}', 1)), 1, 160) AS label FROM (SELECT page_id, unnest(range(0, len(tags))) AS n, unnest(tags) AS tag FROM t)""")
+def anchor_labels(spark, sf_dir):
+    """The labels of all links of each page."""
+    tags = site(spark, sf_dir).select("page_id", F.posexplode(L.anchors(F.col("html"))).alias("n", "tag"))
     return tags.select("page_id", F.col("n").cast("long").alias("n"), L.anchor_label(F.col("tag")).alias("label"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import crawl, frontier, ingest, rounds
 from ledgerloom.operators.calls import CallTable
 from ledgerloom.plans.registry import query, table
-from ledgerloom.sources import files
+from ledgerloom.sources import files, incremental
 
 KINDS = ("income", "balance", "cashflow")
 
@@ -133,3 +133,23 @@ def growing_store(spark, sf_dir):
     stored = spark.read.parquet(root).groupBy("sha256").agg(F.count(F.lit(1)).alias("stored"))
     copies = docs.groupBy(F.md5("text").alias("name")).agg(F.count_distinct("doc_id").alias("copies"))
     return manifest.join(stored, "sha256", "left").join(copies, "name").select("name", "copies", "last_run", "stored")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'first' ELSE 'later' END AS folder, CAST(o_totalprice AS DOUBLE) AS price FROM orders""")
+def changed_files(spark, sf_dir):
+    """Files of records in a folder that grows: the second run opens what came after the first."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"), "o_orderstatus")
+    root = files.scratch(spark, "incoming")
+    folder = incremental.IncrementalFolder(spark, f"{root}/in", f"{root}/state", records, "*.json")
+    for name, part in (("first", F.col("o_orderstatus") == "F"), ("later", F.col("o_orderstatus") != "F")):
+        orders.where(part).drop("o_orderstatus").write.json(f"{root}/in/{name}")
+        folder.refresh()
+    if folder.refresh():
+        raise ValueError("files that haven't changed were opened again")
+    return folder.rows().select("o_orderkey", F.regexp_extract("path", "/in/([a-z]+)/", 1).alias("folder"), "price")
+
+
+def records(opened: DataFrame) -> DataFrame:
+    """JSON lines of opened files."""
+    lines = opened.select("path", F.explode(F.split(F.decode("content", "utf-8"), "\n")).alias("line")).where("line <> ''")
+    return lines.select("path", F.from_json("line", "o_orderkey long, price double").alias("r")).select("path", "r.*")

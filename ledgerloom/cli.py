@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 import datetime
+import importlib
 import os
 import pathlib
 import uuid
@@ -20,7 +21,8 @@ from ledgerloom.functions import headings as H
 from ledgerloom.functions import links as L
 from ledgerloom.functions import reports as R
 from ledgerloom.functions.text import label_slug
-from ledgerloom.operators import extract, facts, frontier, ingest, market, providers, selection, taxonomy
+from ledgerloom.operators import extract, facts, frontier, ingest, market, models, providers, selection, taxonomy
+from ledgerloom.operators.calls import CallTable, Respond
 from ledgerloom.session import session
 from ledgerloom.sources import files, html_tables
 
@@ -77,14 +79,29 @@ def html_of(spark: SparkSession, path: str) -> DataFrame:
     return contents.select("sha256", F.decode("content", "utf-8").alias("html")).where(F.lower(F.substring("html", 1, 2000)).contains("<html") | F.lower("html").contains("<table"))
 
 
+def responder(name: str) -> Respond:
+    """The caller's function ``module:function``, which turns request texts into response texts; executors must be able to import it."""
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
+def calls_of(spark: SparkSession, a) -> CallTable:
+    return CallTable(spark, a.calls or f"{a.output}/calls")
+
+
 def classify(spark, a):
-    """By names, and by the front matter where names leave a doubt. ``--in``: the folder that scrape wrote."""
+    """By names, by the front matter where names leave a doubt, and by a model (``--model``) where that does. ``--in``: the folder that scrape wrote."""
     docs = files.read_stage(spark, f"{a.input}/manifest", schemas.SCRAPED).withColumn("company_slug", label_slug(F.col("label")))
     ruled = docs.withColumn("__text", R.haystack(F.col("source_url"), F.col("local_path"), F.col("link_text"))).withColumn("__c", R.classify(F.col("__text"), R.matched_rule(F.col("__text"))))
     named = ruled.select("sha256", "source_url", "local_path", "company_slug", "link_text", "size_bytes", "ord", "__c.*")
     front = html_of(spark, a.input).select("sha256", F.lower(H.front_matter(H.html_text(F.col("html")))).alias("front"))
     sniffed = front.withColumn("c", R.classify(F.col("front"), R.matched_rule(F.col("front")))).select("sha256", "c.*")
-    files.write_stage(selection.classify_cascade(named, sniffed), a.output)
+    if a.model:
+        unsure = selection.classify_cascade(named, sniffed).where(R.needs_model(F.col("confidence")))
+        answers, _ = models.classify_by_model(unsure.select("sha256", "link_text").dropDuplicates(["sha256"]), front.select("sha256", F.col("front").alias("text")), calls_of(spark, a), responder(a.model), a.model)
+        files.write_stage(selection.classify_cascade(named, sniffed, answers), a.output)
+    else:
+        files.write_stage(selection.classify_cascade(named, sniffed), a.output)
 
 
 def parse(spark, a):
@@ -104,17 +121,21 @@ def parse(spark, a):
 
 
 def confirm(spark, a):
-    extract.confirm_rows(spark.read.parquet(f"{a.input}/rows")).write.mode("overwrite").parquet(f"{a.output}/rows")
+    """By rule, or by a model (``--model``), and by rule where it fails."""
+    rows = spark.read.parquet(f"{a.input}/rows")
+    confirmed = models.confirm_by_model(rows, calls_of(spark, a), responder(a.model), a.model)[0] if a.model else extract.confirm_rows(rows)
+    confirmed.write.mode("overwrite").parquet(f"{a.output}/rows")
 
 
 def normalize(spark, a):
-    """Facts, and the line items of each taxonomy."""
+    """Facts, and the line items of each taxonomy. Labels that fit no name are mapped by a model (``--model``), if to a name that exists."""
     rows = spark.read.parquet(f"{a.input}/rows")
     reports = rows.groupBy(*taxonomy.GROUP, "source_sha256", "source_fiscal_year").agg(F.count(F.lit(1)).alias("n_rows"), F.min("source_sha256").alias("ord"))
     chosen = taxonomy.taxonomy_source(reports).select(*taxonomy.GROUP, "source_sha256")
     items = taxonomy.taxonomy(rows.join(chosen, [*taxonomy.GROUP, "source_sha256"], "left_semi"))
     taxonomy.line_items(items).write.mode("overwrite").parquet(f"{a.output}/items")
-    taxonomy.to_facts(taxonomy.resolve_labels(rows, items)).write.mode("overwrite").parquet(f"{a.output}/facts")
+    drift = models.drift_by_model(rows, items, calls_of(spark, a), responder(a.model), a.model)[0] if a.model else None
+    taxonomy.to_facts(taxonomy.resolve_labels(rows, items, drift)).write.mode("overwrite").parquet(f"{a.output}/facts")
 
 
 def build(spark, a):
@@ -159,6 +180,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     p.add_argument("--slug", help="the company (add)")
     p.add_argument("--name", help="its name, if it is new (add)")
     p.add_argument("--url", action="append", default=[], help="an address (add)")
+    p.add_argument("--model", help="a function module:function that answers requests (classify, confirm, normalize)")
+    p.add_argument("--calls", help="folder of answers that all stages share; else one in --out")
     p.add_argument("--limit", type=int, help="documents of a source to get at most (scrape)")
     p.add_argument("--discover-only", action="store_true", help="find documents, get none (scrape)")
     p.add_argument("--year", type=int, default=datetime.date.today().year, help="the current year (research)")

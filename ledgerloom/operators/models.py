@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas
+from ledgerloom.functions.headings import detect_unit
 from ledgerloom.functions.text import clean_label
-from ledgerloom.operators.extract import REPORT, confirm_rows
 from ledgerloom.operators.calls import CallTable, Respond
+from ledgerloom.operators.extract import REPORT, confirm_rows
 from ledgerloom.operators.providers import cached_calls, parsed, request_key
+from ledgerloom.operators.rounds import KEYS, MOST_IMAGES, Tier, Verify, page_tier
+from ledgerloom.operators.selection import MOST_LINES, first_rows
 from ledgerloom.operators.taxonomy import GROUP, drift_candidates, validated_drift
 
 CLASSIFIED = "kind string, fiscal_year int, confidence double"
@@ -61,17 +64,59 @@ def confirm_by_model(extracted: DataFrame, cache: DataFrame | CallTable, respond
     return confirmed.unionByName(confirm_rows(left).withColumn("notes", F.lit(None).cast("string")).select(*confirmed.columns)), new
 
 
-def extract_by_model(pages: DataFrame, cache: DataFrame | CallTable, respond: Respond, model: str = "default") -> tuple[DataFrame, DataFrame]:
-    """``source_sha256, statement, unit, row_idx, raw_label, values_by_period_end`` of candidate ``pages`` (sha256, kind, text): statements that the model finds."""
-    from ledgerloom.functions.headings import detect_unit
+def has_statement() -> Column:
+    """Whether a ``response`` has a statement's rows."""
+    told = parsed(F.col("response"), EXTRACTED)
+    return F.coalesce(told["found"] & (F.size(told["rows"]) > 0), F.lit(False))
+
+
+def statement_rows(answers: DataFrame) -> DataFrame:
+    """``source_sha256, statement, unit, row_idx, raw_label, values_by_period_end`` of ``answers`` (sha256, kind, unit, response): the model's unit counts unless it says none."""
     from ledgerloom.functions.numbers import parse_number_plain
 
-    answers, new = asked(pages, F.struct("kind", "text"), "extraction", cache, respond, model)
-    got = answers.select("sha256", "kind", "text", parsed(F.col("response"), EXTRACTED).alias("e")).where("e.found and size(e.rows) > 0")
-    unit = F.coalesce(F.nullif("e.unit", F.lit("units")), detect_unit(F.col("text")))
+    got = answers.where(has_statement()).select("sha256", "kind", "unit", parsed(F.col("response"), EXTRACTED).alias("e"))
+    unit = F.coalesce(F.nullif("e.unit", F.lit("units")), F.col("unit"))
     rows = got.select(F.col("sha256").alias("source_sha256"), F.col("kind").alias("statement"), unit.alias("unit"), F.posexplode("e.rows").alias("row_idx", "r"))
     values = F.transform_values(cells_to_map(F.col("r.cells")), lambda _, v: parse_number_plain(v))
-    return rows.select("source_sha256", "statement", "unit", "row_idx", F.col("r.label").alias("raw_label"), values.alias("values_by_period_end")), new
+    return rows.select("source_sha256", "statement", "unit", "row_idx", F.col("r.label").alias("raw_label"), values.alias("values_by_period_end"))
+
+
+def extract_by_model(pages: DataFrame, cache: DataFrame | CallTable, respond: Respond, model: str = "default") -> tuple[DataFrame, DataFrame]:
+    """``statement_rows`` of candidate ``pages`` (sha256, kind, text): all of them are asked. ``text_tier`` asks within a budget."""
+    answers, new = asked(pages, F.struct("kind", "text"), "extraction", cache, respond, model)
+    return statement_rows(answers.withColumn("unit", detect_unit(F.col("text")))), new
+
+
+#: Characters of a page that a text model sees, and those that its unit is looked for in. Fixed values.
+SHOWN, UNIT_SHOWN = 12_000, 2_000
+
+
+def text_tier(pages: DataFrame, calls: CallTable, respond: Respond, model: str = "default") -> Tier:
+    """Statements that a model reads from page texts, unverified: six calls a document and twelve pages a kind at most. ``pages``: sha256, kind, place, text."""
+    shown = pages.select("sha256", "kind", "place", F.substring("text", 1, SHOWN).alias("text"), detect_unit(F.substring("text", 1, UNIT_SHOWN)).alias("unit"))
+    return page_tier("text", shown, F.struct("kind", "text"), has_statement(), calls, respond, statement_rows, verified=False, model=model, carry=("unit",))
+
+
+def vision_tier(pages: DataFrame, calls: CallTable, respond: Respond, model: str = "default") -> Tier:
+    """Statements that a model sees on page images: three pages a kind at most. ``pages``: sha256, kind, place, image, text; equal images are one call."""
+    shown = pages.select("sha256", "kind", "place", F.base64("image").alias("image"), F.substring(F.sha2("image", 256), 1, 24).alias("name"), detect_unit(F.substring("text", 1, UNIT_SHOWN)).alias("unit"))
+    return page_tier("vision", shown, F.struct("kind", "image"), has_statement(), calls, respond, statement_rows, most_calls=None, most_pages=MOST_IMAGES, model=model, schema_name="vision", identity=F.struct("kind", "name"), carry=("unit",))
+
+
+VERDICT = "is_correct_kind boolean, is_complete boolean, confidence double, issues array<struct<severity:string,field:string,detail:string>>, summary string"
+
+
+def verifier(calls: CallTable, respond: Respond, model: str = "default") -> Verify:
+    """Verdicts of a model on a tier's statements, of which it sees the first 60 lines; a failed call gives none."""
+    line = F.struct("row_idx", "raw_label", F.to_json("values_by_period_end").alias("values"))
+
+    def verify(rows: DataFrame) -> DataFrame:
+        lines = first_rows(rows, KEYS, [F.col("row_idx")], MOST_LINES).groupBy(*KEYS).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+        answers, _ = asked(lines, F.struct("statement", "lines"), "verdict", calls, respond, model)
+        told = answers.select(*KEYS, parsed(F.col("response"), VERDICT).alias("v")).where("v is not null")
+        return told.select(*KEYS, "v.is_correct_kind", F.coalesce("v.issues", F.array()).alias("issues"), "v.confidence")
+
+    return verify
 
 
 def drift_by_model(labels: DataFrame, items: DataFrame, cache: DataFrame | CallTable, respond: Respond, model: str = "default") -> tuple[DataFrame, DataFrame]:

@@ -28,39 +28,43 @@ def written(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
 
 def ask_pages(
     candidates: DataFrame, request: Column, is_found: Column, calls: CallTable, respond: Respond, kinds: tuple[str, ...] = schemas.STATEMENT_KINDS,
-    most_calls: int | None = MOST_CALLS, most_pages: int = MOST_PAGES, model: str = "default", schema_name: str = "extraction",
+    most_calls: int | None = MOST_CALLS, most_pages: int = MOST_PAGES, model: str = "default", schema_name: str = "extraction", identity: Column | None = None, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``ASKED``: each call of a document's search for its kinds, in order.
+    """``ASKED``, and the columns ``carry`` of ``candidates``: each call of a document's search for its kinds, in order.
 
-    ``candidates``: sha256, kind, place (the best page of a kind first, from 1) and what ``request`` is made of. A document goes through
+    ``candidates``: sha256, kind, place (the best page of a kind first) and what ``request`` is made of. A document goes through
     its kinds in the order of ``kinds``, and through at most ``most_pages`` pages of each until ``is_found`` holds for the ``response``; after
     ``most_calls`` calls (None: no bound) it stops. A call that fails counts, and the next page is asked. Round k asks for the k-th call of all
-    documents that still have one. Rows with a null document, kind or place are left out; of equal ones one counts.
+    documents that still have one. ``place`` in the result counts a kind's pages from 1. Rows with a null document, kind or place are left out; of equal ones one counts.
+    Calls are told apart by their request, or by ``identity`` where the request holds an image.
     """
     from ledgerloom.operators.providers import cached_calls, request_key
 
     spark = candidates.sparkSession
     kind_ord = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind"))
-    known = candidates.where(F.col("sha256").isNotNull() & (kind_ord > 0) & F.col("place").isNotNull()).select("sha256", "kind", F.col("place").cast("int").alias("place"), F.to_json(request).alias("request"))
-    usable = first_rows(first_of(known, ["sha256", "kind", "place"], [F.col("request")]).withColumnRenamed("place", "given"), ["sha256", "kind"], [F.col("given")], most_pages)
-    pages = written(usable.select("sha256", "kind", "place", kind_ord.alias("kind_ord"), "request"), files.scratch(spark, "candidate-pages"))
+    known = candidates.where(F.col("sha256").isNotNull() & (kind_ord > 0) & F.col("place").isNotNull())
+    text = F.to_json(request)
+    known = known.select("sha256", "kind", F.col("place").alias("given"), text.alias("request"), (text if identity is None else F.to_json(identity)).alias("identity"), *carry)
+    usable = first_rows(first_of(known, ["sha256", "kind", "given"], [F.col("identity"), F.col("request")]), ["sha256", "kind"], [F.col("given")], most_pages)
+    key = request_key(F.lit(model), F.col("identity"), F.lit(schema_name))
+    pages = written(usable.select("sha256", "kind", "place", kind_ord.alias("kind_ord"), key.alias("key"), "request", *carry), files.scratch(spark, "candidate-pages"))
     log, n = files.scratch(spark, "asked-pages"), 0
-    spark.createDataFrame([], ASKED).write.parquet(log)
+    empty = pages.limit(0).select("sha256", "kind", "place", F.lit(0).alias("round"), F.lit(False).alias("found"), F.lit("").alias("response"), *carry)
+    empty.write.parquet(log)
     while most_calls is None or n < most_calls:
         n += 1
-        asked = spark.read.schema(ASKED).parquet(log)
+        asked = spark.read.schema(empty.schema).parquet(log)
         # What comes up next is known from keys; texts are read for the pages that are asked.
         left = pages.select("sha256", "kind", "place", "kind_ord").join(asked.select("sha256", "kind", "place"), ["sha256", "kind", "place"], "left_anti")
         left = left.join(asked.where("found").select("sha256", "kind").distinct(), ["sha256", "kind"], "left_anti")
         turn = left.groupBy("sha256").agg(F.min(F.struct("kind_ord", "place", "kind")).alias("t")).select("sha256", "t.kind", "t.place")
-        work = pages.join(turn, ["sha256", "kind", "place"]).withColumn("key", request_key(F.lit(model), F.col("request"), F.lit(schema_name)))
-        work = written(work.select("sha256", "kind", "place", "key", "request"), files.scratch(spark, "asking"))
+        work = written(pages.join(turn, ["sha256", "kind", "place"]).drop("kind_ord"), files.scratch(spark, "asking"))
         if work.isEmpty():
             break
-        answers, _ = cached_calls(work.select("key", "request").distinct(), calls, respond)
-        told = work.select("sha256", "kind", "place", "key").join(answers.select("key", "response"), "key", "left")
-        told.select("sha256", "kind", "place", F.lit(n).alias("round"), F.coalesce(is_found, F.lit(False)).alias("found"), "response").write.mode("append").parquet(log)
-    return spark.read.schema(ASKED).parquet(log)
+        answers, _ = cached_calls(work.select("key", "request"), calls, respond)
+        told = work.join(answers.select("key", "response").distinct(), "key", "left")
+        told.select("sha256", "kind", "place", F.lit(n).alias("round"), F.coalesce(is_found, F.lit(False)).alias("found"), "response", *carry).write.mode("append").parquet(log)
+    return spark.read.schema(empty.schema).parquet(log)
 
 
 @dataclasses.dataclass
@@ -72,7 +76,7 @@ class Tier:
     verified: bool = True
 
 
-#: Takes (source_sha256, statement) of extracted statements; returns those for which there is a verdict, with is_correct_kind, issues and confidence.
+#: Takes the rows of extracted statements; returns (source_sha256, statement) of those for which there is a verdict, with is_correct_kind, issues and confidence.
 Verify = Callable[[DataFrame], DataFrame]
 KEYS = ["source_sha256", "statement"]
 
@@ -94,10 +98,10 @@ def escalate(documents: DataFrame, tiers: list[Tier], verify: Verify | None, kin
         if accepted is not None and work.isEmpty():
             break
         rows = written(tier.extract(work).join(work, KEYS, "left_semi"), files.scratch(spark, f"extracted-{tier.name}"))  # what wasn't asked for isn't taken
-        good = found = rows.select(*KEYS).distinct()
+        good = rows.select(*KEYS).distinct()
         if verify and tier.verified:
-            verdicts = written(verify(found).select(*KEYS, publishable(F.col("confidence").isNull()).alias("good")), files.scratch(spark, f"verdicts-{tier.name}"))
-            good = found.join(verdicts.where("not coalesce(good, false)").select(*KEYS), KEYS, "left_anti")
+            verdicts = written(verify(rows).select(*KEYS, publishable(F.col("confidence").isNull()).alias("good")), files.scratch(spark, f"verdicts-{tier.name}"))
+            good = good.join(verdicts.where("not coalesce(good, false)").select(*KEYS), KEYS, "left_anti")
         taken = written(rows.join(good, KEYS, "left_semi").withColumn("tier", F.lit(tier.name)), files.scratch(spark, f"accepted-{tier.name}"))
         list_ = work.withColumn("tier", F.lit(tier.name))
         accepted, asked = (taken, list_) if accepted is None else (accepted.unionByName(taken, allowMissingColumns=True), asked.unionByName(list_))

@@ -77,3 +77,51 @@ def test_from_pages_to_documents(spark, run, tmp_path):
     assert [(r.slug, r.price, r.change_pct) for r in files.read_market(spark, str(out / "market")).collect()] == [("acme", 2.0, 100.0)]
     run("companies", companies=config, out=out / "companies")
     assert spark.read.json(str(out / "companies")).count() == 2
+
+
+ANSWERS = """
+import json
+
+
+def respond(batch):
+    out = []
+    for asked in map(json.loads, batch):
+        if "old" in asked:
+            out.append(json.dumps({"mappings": [{"old_label": o, "canonical_label": "sales and marketing" if o == "Marketing" else "no such name"} for o in asked["old"]]}))
+        elif "lines" in asked:
+            rows = [{"label": x["raw_label"] + " (confirmed)" if x["raw_label"] == "Research" else x["raw_label"], "cells": [{"period_end": k, "value": v} for k, v in x["values"].items()]} for x in map(json.loads, asked["lines"])]
+            out.append(None if asked["statement"] == "balance" else json.dumps({"correct_kind": True, "rows": rows}))
+        else:
+            out.append(json.dumps({"kind": "interim", "fiscal_year": 2022, "confidence": 0.9}))
+    return out
+"""
+
+
+def test_a_model_in_the_chain(spark, run, tmp_path, monkeypatch):
+    """Classification, confirmation and drift by a model; what it doesn't answer goes by rule, and a second run asks nothing."""
+    (tmp_path / "chain_model.py").write_text(ANSWERS)
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "chain_model.py"))
+    web, out, config, calls = tmp_path / "web", tmp_path / "out", tmp_path / "companies.yaml", tmp_path / "calls"
+    web.mkdir()
+    (web / "annual-report-2023.htm").write_text(page(2023, 0))
+    (web / "annual-report-2024.htm").write_text(page(2024, 50, Marketing="Sales and marketing"))
+    (web / "paper.htm").write_text("<html><body>Nothing here</body></html>")
+    config.write_text(json.dumps({"companies": {"acme": {"name": "Acme", "reporting_currency": "EUR", "sources": [{"name": "s", "direct_urls": [f"file://{web}/{n}" for n in ("annual-report-2023.htm", "annual-report-2024.htm", "paper.htm")]}]}}}))
+    model = {"model": "chain_model:respond", "calls": calls}
+    run("scrape", companies=config, out=out / "scraped")
+    run("classify", in_=out / "scraped", out=out / "classified", **model)
+    kinds = {r.source_url.split("/")[-1]: (r.kind, r.fiscal_year, r.classified_by) for r in spark.read.json(str(out / "classified")).collect()}
+    assert kinds["paper.htm"] == ("interim", 2022, "model") and kinds["annual-report-2024.htm"][:2] == ("annual", 2024)
+    run("parse", in_=out / "scraped", classified=out / "classified", companies=config, out=out / "parsed")
+    run("confirm", in_=out / "parsed", out=out / "confirmed", **model)
+    rows = spark.read.parquet(str(out / "confirmed/rows")).collect()
+    assert {(r.statement, r.confirmed_by) for r in rows} == {("income", "model"), ("balance", "rules")} and sum(r.label == "Research (confirmed)" for r in rows) == 2
+    run("normalize", in_=out / "confirmed", out=out / "normalized", **model)
+    facts = spark.read.parquet(str(out / "normalized/facts")).where("statement = 'income'").collect()
+    # The report of 2023 calls it otherwise: the mapping joins its years.
+    assert {(r.period_end.year, r.source_fiscal_year) for r in facts if r.canonical_name == "Sales and marketing"} == {(2024, 2024), (2023, 2024), (2023, 2023), (2022, 2023)}
+    before = spark.read.parquet(str(calls)).count()
+    run("classify", in_=out / "scraped", out=out / "classified", **model)
+    run("normalize", in_=out / "confirmed", out=out / "normalized", **model)
+    assert spark.read.parquet(str(calls)).count() == before == 1 + 2 + 1

@@ -1,5 +1,6 @@
 """Calls that are asked once, budgets, staged tiers, crawls by levels and stores that grow."""
 
+import base64
 import json
 import os
 import random
@@ -159,6 +160,28 @@ def test_a_tier_of_pages_asks_for_wanted_kinds_only(spark, tmp_path):
     assert len(model.asked()) == 4 and not any("balance" in x for x in model.asked())
 
 
+def test_three_tiers_with_models(spark, tmp_path):
+    """Rows by rule, a verdict on them, images for what is missing, texts for the rest; each call once."""
+    docs = [f"d{k}" for k in range(4)]
+    statement = lambda label: json.dumps({"found": True, "unit": "units", "rows": [{"label": label, "cells": [{"period_end": "2024-12-31", "value": "1"}]}]})
+    heuristic = spark.createDataFrame([(d, "income", "millions", n, f"{d} line {n}", None) for d in docs for n in range(70)], "source_sha256 string, statement string, unit string, row_idx int, raw_label string, values_by_period_end map<string,decimal(30,4)>")
+    pages = spark.createDataFrame([(d, k, p, f"{d} {k} {p}".encode() if p > 1 else b"the same cover", f"in thousands of euros {d} {k} {p} " + "x" * 13_000) for d in docs for k in schemas.STATEMENT_KINDS for p in range(1, 8)], "sha256 string, kind string, place int, image binary, text string")
+    calls = CallTable(spark, str(tmp_path / "calls"))
+    verdict = noting(tmp_path / "verdicts", lambda x: None if "d3" in x else json.dumps({"is_correct_kind": "d0" not in x, "confidence": 0.8}))
+    sees = noting(tmp_path / "images", lambda x: statement("seen") if json.loads(x)["kind"] == "balance" and base64.b64decode(json.loads(x)["image"]).endswith(b"3") else json.dumps({"found": False}))
+    reads = noting(tmp_path / "texts", lambda x: statement("read") if " 5 " in json.loads(x)["text"] else None if " 4 " in json.loads(x)["text"] else json.dumps({"found": False, "rows": []}))
+    tiers = [rounds.Tier("heuristic", lambda work: heuristic), models.vision_tier(pages, calls, sees), models.text_tier(pages, calls, reads)]
+    taken, _ = rounds.escalate(spark.createDataFrame([(d,) for d in docs], "source_sha256 string"), tiers, models.verifier(calls, verdict))
+    got = {(r.source_sha256, r.statement): (r.tier, r.n, r.unit) for r in taken.groupBy("source_sha256", "statement", "tier", "unit").agg(F.count(F.lit(1)).alias("n")).collect()}
+    want = {(d, "income"): ("heuristic", 70, "millions") for d in docs[1:]} | {(d, "balance"): ("vision", 1, "thousands") for d in docs} | {(d, "cashflow"): ("text", 1, "thousands") for d in docs[1:]} | {("d0", "income"): ("text", 1, "thousands")}
+    assert got == want  # d0 has no call left for its cash flows: five went to its income
+    assert len(verdict.asked()) == len(set(verdict.asked())) == 4 + 1 and all(len(json.loads(x)["lines"]) in (1, 60) for x in verdict.asked())
+    seen = [(json.loads(x)["kind"], base64.b64decode(json.loads(x)["image"])) for x in sees.asked()]
+    # Three images a kind: the cover is one call a kind, for all documents.
+    assert len(seen) == len(set(seen)) and sorted(seen) == sorted({(k, i) for k, ds in (("income", docs[:1]), ("balance", docs), ("cashflow", docs)) for d in ds for i in (b"the same cover", f"{d} {k} 2".encode(), f"{d} {k} 3".encode())})
+    assert len(reads.asked()) == 6 + 3 * 5 and all(len(json.loads(x)["text"]) == 12_000 for x in reads.asked())
+
+
 def plain_crawl(source, web):
     """A queue, as a person would write it."""
     slug, name, entries, direct, link, follow, most = source

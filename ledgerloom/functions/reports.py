@@ -40,6 +40,11 @@ RULES = (
     ("sustainability", r"climate"),
     ("sustainability", r"corporate[-_\s]+responsib(?:le|ility)"),
 )
+#: What a text must hold, one of them, for the rule of the same place to match: looked for before its pattern is tried.
+NEEDS = (
+    ("20f", "20-f"), ("form",), ("20f", "20-f", "10k", "10-k"), ("enregistrement",), ("enregistrement",), ("urd",), ("universal",), ("urd",), ("urd",), ("registration",), ("annual",), ("annual",), ("annual",), ("annual",), ("integrated",),
+    ("statements",), ("corporate",), ("half",), ("interim",), ("h1", "h2"), ("q1", "q2", "q3", "q4"), ("q1", "q2", "q3", "q4"), ("quarterly",), ("sustainab",), ("esg",), ("environment",), ("social",), ("ethical",), ("climate",), ("corporate",),
+)
 YEAR = r"(?<!\d)(199\d|20[0-3]\d)(?!\d)"
 WITH_YEAR, NO_YEAR, YEAR_ONLY, NOTHING = 0.95, 0.75, 0.3, 0.0
 ESCALATE_BELOW = 0.5
@@ -63,10 +68,18 @@ def latest_year(text: Column) -> Column:
 
 def matched_rule(text: Column) -> Column:
     """The number of the first rule that matches, from 0."""
-    found = F.lit(None).cast("int")
-    for k in reversed(range(len(RULES))):
-        found = F.when(text.rlike("(?iU)" + RULES[k][1]), k).otherwise(found)
-    return found
+
+    def first(x: Column) -> Column:
+        found = F.lit(None).cast("int")
+        for k in reversed(range(len(RULES))):
+            holds = F.lit(False)
+            for need in NEEDS[k]:
+                holds = holds | x["plain"].contains(need)
+            found = F.when(holds & x["text"].rlike("(?iU)" + RULES[k][1]), k).otherwise(found)
+        return found
+
+    # The letters besides a-z and A-Z that patterns take for one of a-z in any case.
+    return let(F.struct(text.alias("text"), F.lower(F.translate(text, "\u017f\u212a\u0131\u0130", "skii")).alias("plain")), first)
 
 
 def rule_kind(rule: Column) -> Column:

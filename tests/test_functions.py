@@ -159,3 +159,19 @@ def test_titles_are_looked_for_in_twelve_lines(spark, line, kind):
     text = "\n".join(["words"] * (line - 1) + ["Consolidated balance sheet", "as at 31 December"])
     pages = spark.createDataFrame([("d", 3, text)], "sha256 string, page_idx int, text string")
     assert [r.kind for r in candidate_pages(pages).collect()] == ([kind] if kind else [])
+
+
+def test_what_rules_need_is_in_all_their_matches(spark):
+    """Texts made of the rules' words, in any case and with letters that fold to them: the first pattern that matches decides, as without a look beforehand."""
+    import random
+
+    r = random.Random(6)
+    words = ["annual", "report", "2023", "20231231", "x20f", "20-F", "10k", "form", "urd", "universal", "registration", "document", "d’enregistrement", "universel", "financial", "consolidated", "statements", "integrated", "corporate", "half", "year", "interim", "h1", "Q3", "quarterly", "sustainability", "esg", "environmental", "social", "ethical", "climate", "responsible", "\u017focial", "cl\u0131mate", "10\u212a", "clİmate"]
+    texts = ["".join(r.choice([w, w.upper()]) + r.choice(["-", "_", " ", "/", "", "."]) for w in r.choices(words, k=r.randint(1, 5))) for _ in range(1500)]
+    plain = F.lit(None).cast("int")
+    for k in reversed(range(len(R.RULES))):
+        plain = F.when(F.col("t").rlike("(?iU)" + R.RULES[k][1]), k).otherwise(plain)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", R.matched_rule(F.col("t")).alias("got"), plain.alias("want"))
+    wrong = rows.where("not got <=> want").collect()
+    assert not wrong, wrong[:5]
+    assert rows.select("want").distinct().count() > 25

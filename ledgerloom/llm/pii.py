@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Collection, Iterable, Iterator
@@ -42,19 +43,32 @@ BROADCAST_REDRAWN = 100_000
 MOST_DRAWS, LONGER_AFTER = 64, 4
 SHORTEST_KEY = 16
 
-EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
-PHONE = re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(.])(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}(?!\w)")
+EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]+@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}")
+# With a country's code, as in North America, and national ones: pairs of digits, or an area code and a number, behind a zero.
+PHONE = re.compile(
+    r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(.])(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}(?!\w)"
+    r"|(?<![\w+.,/-])0[1-9](?:([ .-])\d{2})(?:\1\d{2}){3}(?![\w.-]?\d|\w)|(?<![\w+.,/-])0[1-9]\d{1,3}[ /-]\d{3,4}[ -]?\d{3,4}(?![\w.-]?\d|\w)"
+)
+NATIONAL = re.compile(r"(?<!\w)0[1-9]")
 CARD = re.compile(r"(?<![\w-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|3\d{3}([ -])\d{6}\2\d{5})(?!\w)")
 IP = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)")
+IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:[0-9A-Fa-f]{1,4})?(?![\w:]|\.\d)")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
-IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+IBAN = re.compile(r"(?<!\w)(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?)(?!\w)")
 # Forms of address, by the gender they tell.
 MALE = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "господин", "г-н", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "госпожа", "г-жа", "Κυρία")
 EITHER = ("Dr", "Prof")
 UPPER, LOWER = "A-ZÀ-ÖØ-ÞΑ-ΩА-Я", "a-zß-öø-ÿά-ώа-яё"
-TWO_WORDS = re.compile(rf"(?<!\w)(?=([{UPPER}][{LOWER}]+ [{UPPER}][{LOWER}]+)(?!\w))")
-NAME = re.compile(rf"(?<!\w)({'|'.join((*MALE, *FEMALE, *EITHER))})\.? ([{UPPER}][{LOWER}]+(?: [{UPPER}][{LOWER}]+)?)(?!\w)")
+PARTICLES = ("van", "von", "der", "den", "de", "la", "le", "du", "del", "della", "di", "da", "dos", "ten", "ter", "zu", "zum", "al", "el", "bin", "ben")
+TITLES = "|".join(sorted((*MALE, *FEMALE, *EITHER), key=len, reverse=True))
+#: A word of a name: O'Brien, McDonald, Jean-Luc; in capitals only where a title stands before it. A title is none.
+PART = rf"(?:[{UPPER}]['’])?[{UPPER}][{LOWER}]+(?:[{UPPER}][{LOWER}]+)?"
+NAME_WORD = rf"(?!(?:{TITLES})(?!\w)){PART}(?:-{PART})*"
+CAPITALS = rf"(?:[{UPPER}]['’])?[{UPPER}]{{2,}}(?:-[{UPPER}]{{2,}})*"
+SMALL = rf"(?:(?:{'|'.join(PARTICLES)}) )*"
+TWO_WORDS = re.compile(rf"(?<!\w)(?=({NAME_WORD} {SMALL}{NAME_WORD})(?![\w'’]))")
+NAME = re.compile(rf"(?<!\w)((?:(?:{TITLES})\.? )+)({SMALL}(?:{NAME_WORD}(?: {SMALL}{NAME_WORD})?|{CAPITALS}(?: {SMALL}{CAPITALS})?))(?![\w])")
 # Syllables of invented names: script -> (openings, vowels, male ends, female ends).
 NAME_PARTS = {
     "LATIN": ("b d f g k l m n p r s t v z br dr gr kl st tr".split(), "a e i o u".split(), "n r s t k m l x".split(), "a ia ela ina".split()),
@@ -74,7 +88,7 @@ def iban_holds(iban: str) -> bool:
 
 
 def detect(text: str, known: Collection[str] = ()) -> list[Span]:
-    """(start, end, type, canonical form) of entities that don't overlap: by type in the order of ``TYPES``, then by place.
+    """(start, end, type, canonical form) of entities that don't overlap: by type (e-mail addresses, IBANs, which may hold a card number's digits, and then as in ``TYPES``), then by place.
 
     ``known``: names of first and last name that count without a title. A last name alone has the canonical form of the whole name and a mark before it.
     """
@@ -92,36 +106,44 @@ def detect(text: str, known: Collection[str] = ()) -> list[Span]:
         for m in EMAIL.finditer(text):
             add("email", *m.span(), m[0].lower())
     if re.search(r"\d{2}|\d\.\d", text):
-        if "+" in text or "-" in text or "(" in text:
+        for m in IBAN.finditer(text):
+            if 15 <= len(iban := m[0].replace(" ", "").upper()) <= 34 and iban_holds(iban):
+                add("iban", *m.span(), iban)
+        if "+" in text or "-" in text or "(" in text or NATIONAL.search(text):
             for m in PHONE.finditer(text):
                 if len(digits := re.sub(r"\D", "", m[0])) >= 8:
                     add("phone", *m.span(), digits)
         for m in CARD.finditer(text):
             if luhn(digits := re.sub(r"\D", "", m[0])) and len(set(digits)) > 1:
                 add("card", *m.span(), digits)
+        if ":" in text:
+            for m in IPV6.finditer(text):
+                if (address := ipv6(m[0])) is not None:
+                    add("ip", *m.span(), address)
         for m in IP.finditer(text):
             if all(int(x) < 256 for x in m[0].split(".")):
                 add("ip", *m.span(), ".".join(str(int(x)) for x in m[0].split(".")))
         if "-" in text:
             for m in SSN.finditer(text):
                 add("ssn", *m.span(), m[0])
-        for m in IBAN.finditer(text):
-            if 15 <= len(iban := m[0].replace(" ", "")) <= 34 and iban_holds(iban):
-                add("iban", *m.span(), iban)
     genders: dict[str, str] = {}
+    forms: dict[str, set[str]] = {}  # how each name is written
     if any(t + " " in text or t + ". " in text for t in (*MALE, *FEMALE, *EITHER)):
         for m in NAME.finditer(text):
-            if genders.get(m[2], "x") == "x":
-                genders[m[2]] = "m" if m[1] in MALE else "f" if m[1] in FEMALE else "x"
+            name = in_mixed_case(m[2])
+            forms.setdefault(name, set()).update((m[2], name))
+            if genders.get(name, "x") == "x":
+                genders[name] = gender_of(m[1])
     if known:
         for m in TWO_WORDS.finditer(text):
             if m[1] in known:
                 genders.setdefault(m[1], "x")
+                forms.setdefault(m[1], set()).add(m[1])
     whole: dict[str, list[tuple[int, str]]] = {}
     for name, gender in sorted(genders.items(), key=lambda x: (" " not in x[0], -len(x[0]))):
         if " " not in name and name in whole:
             continue
-        for m in re.finditer(rf"(?<!\w){re.escape(name)}(?!\w)", text):
+        for m in re.finditer(rf"(?<!\w)(?:{'|'.join(re.escape(f) for f in sorted(forms[name]))})(?!\w)", text):
             add("name", *m.span(), f"{gender}:{name}")
             if " " in name:
                 whole.setdefault(name.split()[-1], []).append((m.start(), f"{gender}:{name}"))
@@ -133,6 +155,24 @@ def detect(text: str, known: Collection[str] = ()) -> list[Span]:
     return sorted(found)
 
 
+def ipv6(text: str) -> str | None:
+    """An IPv6 address in its short form; None for what is none, such as a time of day, and for addresses of fewer than three digits."""
+    try:
+        return ipaddress.IPv6Address(text).compressed if sum(c != ":" for c in text) >= 3 else None
+    except ValueError:
+        return None
+
+
+def in_mixed_case(name: str) -> str:
+    """A name in capitals as it is written otherwise."""
+    return re.sub(rf"[{UPPER}]{{2,}}", lambda m: m[0].capitalize(), name) if name.isupper() else name
+
+
+def gender_of(titles: str) -> str:
+    """What the first title that tells a gender tells; x if none does."""
+    return next((g for t in re.findall(r"[^\s.]+", titles) for g, known in (("m", MALE), ("f", FEMALE)) if t in known), "x")
+
+
 def maybe_names(text: str) -> set[str]:
     """Pairs of capitalised words."""
     return {m[1] for m in TWO_WORDS.finditer(text)}
@@ -179,11 +219,13 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
         labels = domain.split(".")
         return "".join(map(d.like, local + "a" * longer)) + "@" + ".".join(["".join(map(d.like, x)) for x in labels[:-1]] + labels[-1:])
     if kind == "phone":
-        country = len(canonical) - 10 if len(canonical) > 10 else 0
+        country = 1 if canonical[0] == "0" else len(canonical) - 10 if len(canonical) > 10 else 0
         return canonical[:country] + d.digit(2) + "".join(d.digit() for _ in range(len(canonical) - country - 1 + longer))
     if kind == "card":
         body = canonical[0] + "".join(d.digit() for _ in canonical[2:])
         return next(body + c for c in "0123456789" if luhn(body + c))
+    if kind == "ip" and ":" in canonical:
+        return ipaddress.IPv6Address(bytes([0xFD, *(d.below(256) for _ in range(15))])).compressed
     if kind == "ip":
         return ".".join(str(1 + d.below(254)) for _ in range(4))
     if kind == "ssn":  # areas that are never issued
@@ -194,23 +236,32 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
     gender, _, name = canonical.partition(":")
     script = unicodedata.name(name[0]).split()[0]
     openings, vowels, male, female = NAME_PARTS.get(script, NAME_PARTS["LATIN"])
-    words = []
-    for k, _ in enumerate(words_in := name.split()):
-        stem = "".join(openings[d.below(len(openings))] + vowels[d.below(len(vowels))] for _ in range(2 + longer)) + openings[d.below(14)]
-        ends = female if gender == "f" and k == 0 else male if gender == "m" or k == len(words_in) - 1 else male + female
-        end = ends[d.below(len(ends))]
-        words.append((stem + (vowels[d.below(len(vowels))] if end[0] not in vowels else "") + end).capitalize())
+    words_in = name.split()
+    longs = [k for k, w in enumerate(words_in) if w not in PARTICLES]
+    words = list(words_in)
+    for k in longs:
+        parts = []
+        for part in words_in[k].split("-"):
+            stem = "".join(openings[d.below(len(openings))] + vowels[d.below(len(vowels))] for _ in range(2 + longer)) + openings[d.below(14)]
+            first, last = k == longs[0], k == longs[-1]
+            ends = female if gender == "f" and first else male if gender == "m" or last else male + female
+            end = ends[d.below(len(ends))]
+            parts.append((part[:2] if part[1:2] in ("'", "’") else "") + (stem + (vowels[d.below(len(vowels))] if end[0] not in vowels else "") + end).capitalize())
+        words[k] = "-".join(parts)
     return f"{gender}:{' '.join(words)}"
 
 
 def written(kind: str, canonical: str, mention: str) -> str:
     """``canonical`` in the format of ``mention``: its separators, its case."""
     if kind in ("phone", "card", "iban"):
-        rest = iter(canonical)
+        rest = iter(canonical.lower() if mention.islower() else canonical)
         return "".join(next(rest) if c.isalnum() else c for c in mention) + "".join(rest)
     if kind == "email" and mention.isupper():
         return canonical.upper()
-    return canonical.partition(":")[2] if kind == "name" else canonical
+    if kind == "name":
+        name = canonical.partition(":")[2]
+        return name.upper() if mention.isupper() else name
+    return canonical
 
 
 def replaced(text: str, spans: list[Span], key: bytes, special: dict[tuple[str, str], tuple[str, int]]) -> str:

@@ -343,3 +343,45 @@ def test_exhausted_formats_end(spark, monkeypatch):
         pii.assignment(spark.createDataFrame([("ip", "a"), ("ip", "b")], "kind string, canonical string"), KEY)
     with pytest.raises(ValueError, match="key"):
         pii.surrogate_texts(spark.createDataFrame([(1, "x")], "doc_id long, text string"), b"short")
+
+
+def test_titles_are_no_names_and_names_have_many_forms():
+    new = lambda text: pii.replaced(text, pii.detect(text), KEY, {})
+    spans = lambda text: [text[a:b] for a, b, *_ in pii.detect(text)]
+    assert spans("Herr Müller und Frau Dr. Schmidt. Dr Wong and Dr Lee.") == ["Müller", "Schmidt", "Wong", "Lee"]
+    assert re.fullmatch(r"Herr \w+ und Frau Dr\. \w+\. Dr \w+ and Dr \w+\.", new("Herr Müller und Frau Dr. Schmidt. Dr Wong and Dr Lee."))
+    assert spans("Mr. O'Brien met Mr JOHN SMITH and Mrs. Jean-Luc McDonald; John Smith left.") == ["O'Brien", "JOHN SMITH", "Jean-Luc McDonald", "John Smith"]
+    one = new("Mr JOHN SMITH. John Smith.")
+    assert one[3 : one.index(".")].isupper() and one[3 : one.index(".")].title() == one.split(". ")[1].rstrip(".")
+    assert spans("Herr Prof. Dr. von der Leyen; Mr Jan van der Berg. Berg said") == ["von der Leyen", "Jan van der Berg", "Berg"]
+    assert re.fullmatch(r"Mr (\w+) van der (\w+)\. \2 said", new("Mr Jan van der Berg. Berg said"))
+    assert spans("Dr. Prof. is here. Frau Doktor. At 12:30:45 it was ::1 or 01.02.2024, 0:1 and 3:2") == ["Doktor"]
+
+
+def test_every_form_of_each_type_is_found():
+    """Generated mentions between words: what is found is what was put there."""
+    r = random.Random(21)
+    digits = lambda n: "".join(r.choice("123456789") for _ in range(n))
+    iban = lambda: next(x for n in range(2, 99) if pii.iban_holds(x := f"DE{n:02}{digits_of}")) if (digits_of := digits(18)) else ""
+    card = lambda: next(x + c for c in "0123456789" if pii.luhn(x + c)) if (x := "4" + digits(14)) else ""
+    first, last = ["Anna", "Jean-Luc", "José", "Иван", "Γιώργος"], ["Smith", "O'Brien", "McDonald", "Müller-Lüdenscheidt", "Петров", "Παπάς", "D’Angelo"]
+    make = {
+        "email": lambda: r.choice(["a.b", "x_1", "info+y"]) + "@" + r.choice(["exämple.com", "x-y.co.uk", "mail.example.org"]),
+        "phone": lambda: r.choice(["+49 30 " + digits(3) + " " + digits(4), "0" + " ".join([digits(1), digits(2), digits(2), digits(2), digits(2)]), "030 " + digits(7), "0171/" + digits(7), "(212) 555-" + digits(4), "0" + digits(1) + "." + ".".join(digits(2) for _ in range(4))]),
+        "card": lambda: (lambda c: r.choice([c, " ".join(c[k : k + 4] for k in range(0, 16, 4))]))(card()),
+        "ip": lambda: r.choice([".".join(str(r.randint(1, 255)) for _ in range(4)), "2001:db8::" + digits(4), ":".join(digits(4) for _ in range(8)), "FE80::" + digits(2) + ":A"]),
+        "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        "iban": lambda: (lambda i: r.choice([i, i.lower(), " ".join(i[k : k + 4] for k in range(0, 22, 4))]))(iban()),
+        "name": lambda: r.choice([r.choice(first) + " ", ""]) + r.choice(["", "van der ", "de "]) + r.choice(last),
+    }
+    titles = ["Mr ", "Mrs. ", "Herr ", "Frau Dr. ", "Herr Prof. Dr. ", "Monsieur ", "Dr "]
+    seen = set()
+    for _ in range(400):
+        kind = r.choice(list(make))
+        text, mention = "on 12.05.2024 at 10:15 they wrote 1,234.56 of ", make[kind]()
+        before = text + (r.choice(titles) if kind == "name" else "")
+        whole = before + mention + r.choice([".", ", and so on", " is it", "\n"])
+        found = [(a, b, k) for a, b, k, _ in pii.detect(whole)]
+        seen.add(kind)
+        assert found == [(len(before), len(before) + len(mention), kind)], (whole, found)
+    assert seen == set(make)

@@ -1,6 +1,6 @@
 """Benchmark decontamination: every training passage queries an index of the test items; what scores high is verified.
 
-The test items (few; their size is checked, and larger sets are taken in blocks) are put into a BM25 inverted index
+Spark counts in how many test items each term occurs, and their lengths; the items (few; larger sets are taken in blocks of bounded size, all with the same statistics) are put into a BM25 inverted index
 whose items are grouped into blocks; a term knows its greatest impact in each block. An item's threshold is the
 smallest score that a passage can have which verification would accept. Every passage of every document is a query.
 As in block-max WAND, a block is opened only if the greatest impacts of the passage's terms in it could reach a
@@ -18,6 +18,7 @@ matches; other columns are ignored by ``leaks`` and kept by ``remove_leaks``.
 
 from __future__ import annotations
 
+import dataclasses
 import math
 import re
 from collections import Counter
@@ -28,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_batches, table, whole_text
+from ledgerloom.llm.common import map_batches, saved, table, whole_text
 
 K1, B = 1.2, 0.75
 MATCH_SCHEMA = "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double"
-#: Characters of test items that one index holds; more items make more indexes, each queried by every passage.
+#: Characters of test items that one index holds; more items make more indexes, each queried by every passage. It decides about memory and passes, not about results.
 INDEX_CHARS = 32 << 20
 WORDS = re.compile(r"\w+")
 #: Where an item's text has no column of its own for the answer: what follows the last question mark, if that is something.
@@ -47,16 +48,34 @@ def shingles(words: list[str], size: int) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
+Item = tuple[int | None, str, str | None]
+
+
+def parts_of(text: str, answer: str | None) -> tuple[list[str], list[str]]:
+    """The words of an item's question and of its answer."""
+    if answer is None and (m := ANSWER.match(text)):
+        text, answer = m[1], m[2]
+    return words_of(text), words_of(answer or "")
+
+
+@dataclasses.dataclass
+class Corpus:
+    """What the scores need to know of all test items: how many have words, their mean and greatest length, and in how many items each term occurs (of the terms at hand)."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[str, int]
+
+
 class Index:
-    """BM25 postings of test items, in blocks of items that are neighbours by id."""
+    """BM25 postings of test items, in blocks of items that are neighbours by id. ``corpus``: the statistics of all items, if these are some of them."""
 
-    def __init__(self, items: list[tuple[int | None, str, str | None]], overlap: float, shingle: int, block: int = 2):
+    def __init__(self, items: list[Item], overlap: float, shingle: int, block: int = 2, corpus: Corpus | None = None):
         self.size, self.block = shingle, block
         kept = []
         for item_id, text, answer in items:
-            if answer is None and (m := ANSWER.match(text)):
-                text, answer = m[1], m[2]
-            question, answered = words_of(text), words_of(answer or "")
+            question, answered = parts_of(text, answer)
             if question or answered:
                 kept.append((item_id, question, answered))
         kept.sort(key=lambda x: (x[0] is not None, x[0] or 0))
@@ -64,12 +83,13 @@ class Index:
         self.parts = [(shingles(q, shingle), shingles(a, shingle)) for _, q, a in kept]
         counts = [Counter(q + a) for _, q, a in kept]
         lengths = np.array([sum(c.values()) for c in counts], float)
-        self.longest = max(16, int(lengths.max(initial=0)))
-        df = Counter(t for c in counts for t in c)
-        self.term = {t: k for k, t in enumerate(sorted(df))}
-        n, mean = len(kept), lengths.mean() if len(kept) else 1.0
+        if corpus is None:
+            corpus = Corpus(len(kept), lengths.mean() if len(kept) else 1.0, int(lengths.max(initial=0)), Counter(t for c in counts for t in c))
+        n, mean, df = corpus.n, corpus.mean, corpus.df
+        self.longest = max(16, corpus.longest)
+        self.term = {t: k for k, t in enumerate(sorted({t for c in counts for t in c}))}
         self.own: list[dict[int, float]] = []
-        self.threshold = np.zeros(n)
+        self.threshold = np.zeros(len(kept))
         best: list[dict[int, float]] = [{} for _ in self.term]
         for i, c in enumerate(counts):
             own = {self.term[t]: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * lengths[i] / mean)) for t, f in c.items()}
@@ -121,19 +141,39 @@ class Index:
         return len(part & (passage if size == self.size else shingles(words, size))) / len(part)
 
 
-def item_blocks(items: DataFrame) -> Iterator[list[tuple[int | None, str, str | None]]]:
-    """The test items in blocks of about ``INDEX_CHARS`` characters, one (maybe empty) at least. ``answer`` is used if the table has it."""
+def item_terms(items: DataFrame) -> DataFrame:
+    """``row, length, terms`` of the items that have words: how many, and which."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [[w for part in parts_of(t, a) for w in part] for t, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int32()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))], names=["row", "length", "terms"])
+
+    return map_batches(items.select("row", "text", "answer"), run, "row long, length int, terms array<string>").where("length > 0")
+
+
+def item_blocks(items: DataFrame) -> Iterator[tuple[list[Item], Corpus]]:
+    """The test items in blocks of about ``INDEX_CHARS`` characters, one (maybe empty) at least, with the statistics of all items. ``answer`` is used if the table has it.
+
+    Spark counts in how many items each term occurs and gives each item the counts of its own terms: a block, and its scores, do not depend on how items are dealt into blocks.
+    """
     answer = F.col("answer") if "answer" in items.columns else F.lit(None).cast("string")
-    own = items.select("item_id", whole_text().alias("text"), answer.alias("answer"))
-    block: list[tuple[int | None, str, str | None]] = []
-    chars = 0
-    for row in own.toLocalIterator():
+    own = saved(items.select("item_id", whole_text().alias("text"), answer.alias("answer")).withColumn("row", F.monotonically_increasing_id()), "test-items")
+    terms = saved(item_terms(own), "item-terms")
+    each = terms.select("row", F.explode("terms").alias("term"))
+    frequency = each.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counted = each.join(frequency, "term").groupBy("row").agg(F.collect_list(F.struct("term", "n")).alias("df"))
+    n, mean, longest = terms.agg(F.count(F.lit(1)), F.avg("length"), F.max("length")).first()
+    block: list[Item] = []
+    corpus, chars = Corpus(n, mean or 1.0, longest or 0, {}), 0
+    for row in own.join(counted, "row", "left").toLocalIterator():
         if chars > INDEX_CHARS:
-            yield block
-            block, chars = [], 0
+            yield block, corpus
+            block, corpus, chars = [], dataclasses.replace(corpus, df={}), 0
         block.append((row.item_id, row.text, row.answer))
+        corpus.df.update((x.term, x.n) for x in row.df or ())
         chars += len(row.text) + len(row.answer or "")
-    yield block
+    yield block, corpus
 
 
 def matches(words: list[str], index: Index, overlap: float) -> dict[int, tuple[float, float, float]]:
@@ -148,8 +188,8 @@ def matches(words: list[str], index: Index, overlap: float) -> dict[int, tuple[f
 def leaks(docs: DataFrame, items: DataFrame, *, overlap: float = 0.8, shingle: int = 5) -> DataFrame:
     """``MATCH_SCHEMA``: one row for each document and test item that it holds."""
     found = None
-    for block in item_blocks(items):
-        index = docs.sparkSession.sparkContext.broadcast(Index(block, overlap, shingle))  # at most INDEX_CHARS of text
+    for block, corpus in item_blocks(items):
+        index = docs.sparkSession.sparkContext.broadcast(Index(block, overlap, shingle, corpus=corpus))  # at most INDEX_CHARS of text
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = index.value
@@ -165,8 +205,8 @@ def leaks(docs: DataFrame, items: DataFrame, *, overlap: float = 0.8, shingle: i
 
 def remove_leaks(docs: DataFrame, items: DataFrame, *, overlap: float = 0.8, shingle: int = 5) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no test item."""
-    for block in item_blocks(items):
-        index = docs.sparkSession.sparkContext.broadcast(Index(block, overlap, shingle))
+    for block, corpus in item_blocks(items):
+        index = docs.sparkSession.sparkContext.broadcast(Index(block, overlap, shingle, corpus=corpus))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

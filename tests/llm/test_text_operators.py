@@ -385,3 +385,20 @@ def test_every_form_of_each_type_is_found():
         seen.add(kind)
         assert found == [(len(before), len(before) + len(mention), kind)], (whole, found)
     assert seen == set(make)
+
+
+def test_scores_do_not_depend_on_how_items_are_dealt_into_indexes(spark, monkeypatch):
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(r.choices(words, k=r.randint(6, 40))) + ("? " + " ".join(r.choices(words, k=3)) if k % 3 == 0 else "")) for k in range(40)] + [(None, "null id item with some words"), (99, None), (98, "...")]
+    docs = [(k, " ".join(r.choices(words, k=r.randint(0, 300))) + " " + (items[k % 40][1] if k % 2 else "") + " " + " ".join(r.choices(words, k=30))) for k in range(80)]
+    run = lambda: sorted(tuple(x) for x in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string").repartition(3)).collect())
+    one = run()
+    kept = set(x[0] for x in one)
+    assert kept >= {k for k, _ in docs if k % 2}
+    for chars in (0, 300):
+        monkeypatch.setattr(decontaminate, "INDEX_CHARS", chars)
+        assert run() == one
+        left = decontaminate.remove_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+        if chars:
+            assert {x.doc_id for x in left.collect()} == {k for k, _ in docs} - kept

@@ -84,7 +84,7 @@ def html_statements(spark, sf_dir):
 
 # Each order has grids on its heading's page, the next one and a far one, of 2 to 8 rows; one wide as a statement of changes.
 @query(r"""WITH t AS (SELECT o_orderkey AS k, x AS page, 2 + (o_orderkey + 3 * x) % 7 AS n, CASE WHEN (o_orderkey + x) % 4 = 0 THEN 6 ELSE 3 END AS w FROM orders, range(0, 3) r(x)),
-  g AS (SELECT *, 1000 * CAST(page = 0 AS INTEGER) + floor(500 * 2 / w) + 20 + n * (w - 1) + n AS score FROM t WHERE n >= 3 AND page <= 1),
+  g AS (SELECT *, 1000 * CAST(page = 0 AS INTEGER) + 500 * (2 / w) + 20 + n * (w - 1) + n AS score FROM t WHERE n >= 3 AND page <= 1),
   b AS (SELECT k, arg_min(page, (-score, page)) AS page, arg_min(n, (-score, page)) AS n FROM g GROUP BY k)
   SELECT CAST(k AS VARCHAR) AS sha256, CAST(page AS INTEGER) AS table_idx, CAST(n AS BIGINT) AS n_rows, CAST(sum(v) AS BIGINT) AS total FROM (SELECT k, page, n, unnest(range(1, n + 1)) * 10 + 1 AS v FROM b WHERE n >= 5) GROUP BY ALL""")
 def grid_statements(spark, sf_dir):

@@ -268,10 +268,10 @@ def first_pages_of_documents(spark, sf_dir):
     return S.first_rows(table(spark, sf_dir, "orders"), ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey")], S.MOST_PAGES).select("o_custkey", "o_orderkey", F.col("place").cast("long").alias("place"))
 
 
-@query("""SELECT s_suppkey AS k, s_suppkey % 5 >= 3 AND s_suppkey % 3 >= 2 AND s_suppkey % 2 >= 1 AS gate, 1000 * (s_suppkey % 2) + floor(500 * (s_suppkey % 4) / (s_suppkey % 4 + 2)) + 10 * (s_suppkey % 4) + s_suppkey % 7 + s_suppkey % 5 AS score FROM supplier""")
+@query("""SELECT s_suppkey AS k, s_suppkey % 5 >= 3 AND s_suppkey % 3 >= 2 AND s_suppkey % 2 >= 1 AS gate, round(1000 * (s_suppkey % 2) + 500 * ((s_suppkey % 4) / (s_suppkey % 4 + 2)) + 10 * (s_suppkey % 4) + s_suppkey % 7 + s_suppkey % 5, 6) AS score FROM supplier""")
 def grid_scores(spark, sf_dir):
     k = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(k.alias("k"), S.table_gate(k % 5, k % 3, k % 2).alias("gate"), S.grid_score(k % 2 == 1, k % 4, k % 4 + 2, k % 7, k % 5).cast("double").alias("score"))
+    return table(spark, sf_dir, "supplier").select(k.alias("k"), S.table_gate(k % 5, k % 3, k % 2).alias("gate"), F.round(S.grid_score(k % 2 == 1, k % 4, k % 4 + 2, k % 7, k % 5), 6).alias("score"))
 
 
 # Lines of a brand with their values: a stack walked row by row decides depth and parent; labels lose their footnotes.

@@ -125,12 +125,12 @@ def text_pages(spark, sf_dir):
     return pages.select("doc_id", F.size("pages").alias("n_pages"), F.md5(F.array_join(F.transform("pages", F.md5), ",")).alias("pages"), F.md5(H.front_matter(F.col("t"))).alias("front"))
 
 
-@query("""SELECT n_nationkey, round(amount * CASE n_nationkey % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.92 WHEN 2 THEN 1.17 WHEN 3 THEN 1.04 ELSE 1.0 END / 0.92, 4) AS usd FROM
-  (SELECT n_nationkey, (n_nationkey + 1) * 10.0 AS amount FROM nation) WHERE n_nationkey % 5 <> 1
-  UNION ALL SELECT n_nationkey, round((n_nationkey + 1) * 10.0, 4) FROM nation WHERE n_nationkey % 5 = 1""")
+@query("""SELECT c_custkey, round(amount * CASE c_custkey % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.92 WHEN 2 THEN 1.17 WHEN 3 THEN 1.04 ELSE 1.0 END / 0.92, 4) AS usd FROM
+  (SELECT c_custkey, (c_custkey + 1) * 10.0 AS amount FROM customer) WHERE c_custkey % 5 <> 1
+  UNION ALL SELECT c_custkey, round((c_custkey + 1) * 10.0, 4) FROM customer WHERE c_custkey % 5 = 1""")
 def fx_convert(spark, sf_dir):
-    code = F.get(F.array(*[F.lit(c) for c in ("EUR", "usd", "GBP", "CHF", "XXX")]), F.col("n_nationkey") % 5)
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.round(N.convert((F.col("n_nationkey") + 1) * F.lit(10.0), code, "USD"), 4).alias("usd"))
+    code = F.get(F.array(*[F.lit(c) for c in ("EUR", "usd", "GBP", "CHF", "XXX")]), F.col("c_custkey") % 5)
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(N.convert((F.col("c_custkey") + 1) * F.lit(10.0), code, "USD"), 4).alias("usd"))
 
 
 @query("""SELECT s_suppkey, round(s_acctbal * nullif(CAST(s_suppkey % 4 AS DOUBLE), 0) * 1e6, 2) AS cap, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE round((s_acctbal - s_suppkey) / nullif(s_suppkey, 0) * 100, 6) END AS change FROM supplier""")
@@ -141,12 +141,12 @@ def market_figures(spark, sf_dir):
 
 @query("""SELECT k AS n, CASE WHEN k % 7 = 0 THEN '—' WHEN k % 4 = 0 THEN '€' || CAST(k + 1 AS VARCHAR) || '.00T' WHEN k % 4 = 1 THEN '€' || CAST(k + 1 AS VARCHAR) || '.0B' WHEN k % 4 = 2 THEN '€' || CAST(k + 1 AS VARCHAR) || 'M' ELSE '€' || CAST(k + 1 AS VARCHAR) END AS cap,
    CASE WHEN k % 7 = 0 THEN '—' ELSE '$' || CAST(k + 1 AS VARCHAR) || '.50' END AS price, CASE WHEN k = 0 THEN '$0' ELSE '-$' || CAST(k AS VARCHAR) || '.5' END AS amount, 'Dec ' || CAST(1 + k AS VARCHAR) || ', 2024' AS period
-  FROM (SELECT CAST(n_nationkey AS INTEGER) AS k FROM nation)""")
+  FROM (SELECT CAST(s_suppkey % 25 AS INTEGER) AS k FROM supplier)""")
 def format_figures(spark, sf_dir):
-    k = F.col("n_nationkey").cast("int")
+    k = (F.col("s_suppkey") % 25).cast("int")
     size = F.get(F.array(F.lit(1e12), F.lit(1e9), F.lit(1e6), F.lit(1.0)), k % 4)
     cap, price = F.when(k % 7 != 0, (k + 1) * size), F.when(k % 7 != 0, k + 1.5)
-    return table(spark, sf_dir, "nation").select(k.alias("n"), N.format_market_cap(cap, F.lit("EUR")).alias("cap"), N.format_price(price, F.lit("usd")).alias("price"), N.format_amount(F.when(k == 0, 0.0).otherwise(-k - 0.5), "$").alias("amount"), N.format_period(F.format_string("2024-12-%02d", k + 1)).alias("period"))
+    return table(spark, sf_dir, "supplier").select(k.alias("n"), N.format_market_cap(cap, F.lit("EUR")).alias("cap"), N.format_price(price, F.lit("usd")).alias("price"), N.format_amount(F.when(k == 0, 0.0).otherwise(-k - 0.5), "$").alias("amount"), N.format_period(F.format_string("2024-12-%02d", k + 1)).alias("period"))
 
 
 PRINTED = """CASE o_orderkey % 10 WHEN 0 THEN '(' || o_orderkey || ',5)' WHEN 1 THEN o_orderkey || ' b' WHEN 2 THEN 'n/a' WHEN 3 THEN '€(' || o_orderkey || ')' WHEN 4 THEN '(€' || o_orderkey || ')' WHEN 5 THEN '1 ' || o_orderkey
@@ -210,9 +210,9 @@ def candidate_pages(spark, sf_dir):
     return of_pages(pages)
 
 
-@query("""SELECT n_nationkey AS k, CASE n_nationkey % 4 WHEN 0 THEN CAST(n_nationkey + 1 AS DOUBLE) WHEN 1 THEN CAST(n_nationkey + 1 AS DOUBLE) WHEN 2 THEN CAST(n_nationkey + 1 AS DOUBLE) ELSE CAST(n_nationkey + 1 AS DOUBLE) END AS number,
-  CAST(CASE n_nationkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS decimals, CASE n_nationkey % 4 WHEN 0 THEN 'T' WHEN 1 THEN 'B' WHEN 2 THEN 'M' ELSE '' END AS suffix FROM nation""")
+@query("""SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 0 THEN CAST(s_suppkey % 900 + 1 AS DOUBLE) WHEN 1 THEN CAST(s_suppkey % 900 + 1 AS DOUBLE) WHEN 2 THEN CAST(s_suppkey % 900 + 1 AS DOUBLE) ELSE CAST(s_suppkey % 900 + 1 AS DOUBLE) END AS number,
+  CAST(CASE s_suppkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS decimals, CASE s_suppkey % 4 WHEN 0 THEN 'T' WHEN 1 THEN 'B' WHEN 2 THEN 'M' ELSE '' END AS suffix FROM supplier""")
 def split_caps(spark, sf_dir):
-    k = F.col("n_nationkey").cast("int")
-    cap = (k + 1) * F.get(F.array(F.lit(1e12), F.lit(1e9), F.lit(1e6), F.lit(1.0)), k % 4)
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), N.split_market_cap(cap).alias("c")).select("k", "c.*")
+    k = F.col("s_suppkey").cast("int")
+    cap = (k % 900 + 1) * F.get(F.array(F.lit(1e12), F.lit(1e9), F.lit(1e6), F.lit(1.0)), k % 4)
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), N.split_market_cap(cap).alias("c")).select("k", "c.*")

@@ -278,13 +278,13 @@ def model_extracted(spark, sf_dir):
     return got.select("source_sha256", "unit", "raw_label", F.element_at("values_by_period_end", "2024-12-31").cast("long").alias("value"))
 
 
-@query("""SELECT n_nationkey AS k, CASE n_nationkey % 5 WHEN 0 THEN 'c' || n_nationkey || '.co.uk' WHEN 1 THEN 'c.org' WHEN 2 THEN 'www.ck' WHEN 3 THEN 'a.x.ck' ELSE NULL END AS domain FROM nation""")
+@query("""SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN 'c' || c_custkey || '.co.uk' WHEN 1 THEN 'c.org' WHEN 2 THEN 'www.ck' WHEN 3 THEN 'a.x.ck' ELSE NULL END AS domain FROM customer""")
 def registered_domains(spark, sf_dir):
     """Registered domains by a table of public suffixes with a wildcard and an exception."""
-    k = F.col("n_nationkey")
+    k = F.col("c_custkey")
     rules = spark.createDataFrame([("com",), ("org",), ("uk",), ("co.uk",), ("*.ck",), ("!www.ck",)], "rule string")
     host = F.when(k % 5 == 0, F.concat(F.lit("ir.c"), k.cast("string"), F.lit(".co.uk"))).when(k % 5 == 1, "a.b.c.org").when(k % 5 == 2, "x.www.ck").when(k % 5 == 3, "b.a.x.ck").otherwise("co.uk")
-    return C.registered_domains(table(spark, sf_dir, "nation").select(k.alias("k"), host.alias("host")), rules).select("k", "domain")
+    return C.registered_domains(table(spark, sf_dir, "customer").select(k.alias("k"), host.alias("host")), rules).select("k", "domain")
 
 
 @query("SELECT o_orderkey, year(o_orderdate) + o_orderkey % 60 BETWEEN 1990 AND 2030 AS valid FROM orders")

@@ -207,10 +207,10 @@ def classify_cascade(spark, sf_dir):
 
 
 @query("""SELECT k, claimed, search, pdfs, reachable, CASE WHEN NOT claimed AND NOT search THEN false WHEN pdfs > 0 THEN true WHEN NOT reachable THEN false ELSE claimed END AS found
-  FROM (SELECT n_nationkey AS k, n_nationkey % 2 = 0 AS claimed, n_nationkey % 3 = 0 AS search, n_nationkey % 4 AS pdfs, n_nationkey % 5 < 3 AS reachable FROM nation)""")
+  FROM (SELECT c_custkey AS k, c_custkey % 2 = 0 AS claimed, c_custkey % 3 = 0 AS search, c_custkey % 4 AS pdfs, c_custkey % 5 < 3 AS reachable FROM customer)""")
 def found_gate(spark, sf_dir):
-    k = F.col("n_nationkey")
-    rows = table(spark, sf_dir, "nation").select(k.alias("k"), (k % 2 == 0).alias("claimed"), (k % 3 == 0).alias("search"), (k % 4).alias("pdfs"), (k % 5 < 3).alias("reachable"))
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k.alias("k"), (k % 2 == 0).alias("claimed"), (k % 3 == 0).alias("search"), (k % 4).alias("pdfs"), (k % 5 < 3).alias("reachable"))
     return rows.withColumn("found", S.found_gate(F.col("claimed"), F.col("search"), F.col("pdfs"), F.col("reachable")))
 
 

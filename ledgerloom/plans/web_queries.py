@@ -304,9 +304,9 @@ def palette_search(spark, sf_dir):
     return M.fuzzy_search(table(spark, sf_dir, "customer"), " Furnitur ", ["c_name", "c_mktsegment"]).select("c_custkey")
 
 
-# As many values as the nation's number and one; every second place from the length modulo 7 on, none twice.
-@query("""WITH v AS (SELECT n_nationkey AS k, n_nationkey + 1 AS n FROM nation), o AS (SELECT *, list_transform(range(0, 2 * n), lambda i: (n % 7 + 2 * i) % n) AS l FROM v)
+# As many values as the supplier's number modulo 60 and one; every second place from the length modulo 7 on, none twice.
+@query("""WITH v AS (SELECT s_suppkey AS k, s_suppkey % 60 + 1 AS n FROM supplier), o AS (SELECT *, list_transform(range(0, 2 * n), lambda i: (n % 7 + 2 * i) % n) AS l FROM v)
   SELECT k, array_to_string(CASE WHEN n <= 5 THEN range(0, n) ELSE list_filter(l, lambda x, i: list_position(l, x) = i)[1:5] END, ',') AS picked FROM o""")
 def stride_samples(spark, sf_dir):
-    values = F.transform(F.sequence(F.lit(0), F.col("n_nationkey").cast("int")), lambda x: x.cast("string"))
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.array_join(M.stride_sample(values, 5), ",").alias("picked"))
+    values = F.transform(F.sequence(F.lit(0), (F.col("s_suppkey") % 60).cast("int")), lambda x: x.cast("string"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.array_join(M.stride_sample(values, 5), ",").alias("picked"))

@@ -1,6 +1,6 @@
 """Calls to models and other paid services, asked once: answers are a table that is written before anything reads it.
 
-The table only grows. It is partitioned by the first two digits of the key, so that a few requests read a few folders; what is asked is
+The table only grows. It is partitioned by the first digits of the key, so that a few requests read a few folders; what is asked is
 the anti join of the requests' keys with the table's. Answers are written in rounds of at most about ``each`` calls, and a call
 that fails has no answer and leaves the others alone: a run that is broken off, or whose service fails in between, repeats only what has no answer yet.
 """
@@ -26,8 +26,9 @@ EACH, AT_ONCE = 10_000, 16
 class CallTable:
     """Answers by key in a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, path: str, each: int = EACH, at_once: int = AT_ONCE):
-        self.spark, self.path, self.each, self.at_once = spark, path, each, at_once
+    def __init__(self, spark: SparkSession, path: str, each: int = EACH, at_once: int = AT_ONCE, digits: int = 1):
+        """``digits`` of the key name a folder: the same number for all runs on a folder; two are for tables of many millions."""
+        self.spark, self.path, self.each, self.at_once, self.digits = spark, path, each, at_once, digits
 
     def read(self) -> DataFrame:
         found = files.read_or_none(lambda: self.spark.read.schema(CALLS).parquet(self.path))
@@ -35,12 +36,12 @@ class CallTable:
 
     def answers(self, keys: DataFrame) -> DataFrame:
         """``key, response`` of those ``keys`` that have an answer; if two runs asked at the same time, the same one of both for every reader."""
-        wanted = keys.select("key").where("key is not null").distinct().withColumn("prefix", F.substring("key", 1, 2))
+        wanted = keys.select("key").where("key is not null").distinct().withColumn("prefix", F.substring("key", 1, self.digits))
         return self.read().join(wanted, ["prefix", "key"], "left_semi").groupBy("key").agg(F.min_by("response", "run").alias("response"))
 
     def add(self, rows: DataFrame, run: str) -> None:
         """Appends answers (key, response)."""
-        rows.select(F.substring("key", 1, 2).alias("prefix"), "key", "response", F.lit(run).alias("run")).write.mode("append").partitionBy("prefix").parquet(self.path)
+        rows.select(F.substring("key", 1, self.digits).alias("prefix"), "key", "response", F.lit(run).alias("run")).write.mode("append").partitionBy("prefix").parquet(self.path)
 
     def ask(self, requests: DataFrame, respond: Respond) -> str:
         """Asks once for each key of ``requests`` (key, request) that has no answer, and writes the answers; the name of this run.
@@ -54,7 +55,7 @@ class CallTable:
         missing.write.parquet(path)  # the table grows below: what is missing is decided before
         missing = self.spark.read.schema("key string, request string").parquet(path)
         rounds = -(-missing.count() // self.each)
-        tasks = min(256, self.spark.sparkContext.defaultParallelism)
+        tasks = min(16**self.digits, self.spark.sparkContext.defaultParallelism)
 
         def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -67,6 +68,6 @@ class CallTable:
                     yield pd.DataFrame({"key": part["key"].to_numpy(), "response": pd.Series(answers, dtype=object).to_numpy()})
 
         for n in range(rounds):
-            part = missing.where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == n).repartition(tasks, F.substring("key", 1, 2))  # a file a prefix; nothing is shuffled behind the calls
+            part = missing.where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == n).repartition(tasks, F.substring("key", 1, self.digits))  # a file a prefix; nothing is shuffled behind the calls
             self.add(part.mapInPandas(call, "key string, response string").where("response is not null"), run)
         return run

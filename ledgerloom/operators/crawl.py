@@ -144,14 +144,13 @@ def registered_domains(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return hosts.join(names.join(longest, "host", "left").select("host", domain.alias("domain")), "host", "left")
 
 
-def filings(submissions: DataFrame, forms: tuple[str, ...] = ("20-F", "10-K", "40-F"), most: int = 20) -> DataFrame:
-    """Filings of the wanted forms: parallel arrays zipped up to the shortest, with the address of the document."""
+def filings(submissions: DataFrame, forms: tuple[str, ...] = ("20-F", "10-K", "40-F")) -> DataFrame:
+    """All filings of the wanted forms: parallel arrays zipped up to the shortest, with the address of the document. What a model is shown of them is its caller's choice (``selection.MOST_FILINGS``)."""
     arrays = ("form", "accessionNumber", "primaryDocument", "filingDate")
     n = F.least(*[F.size(a) for a in arrays])
     zipped = submissions.select("cik", F.posexplode(F.slice(F.arrays_zip(*arrays), F.lit(1), n)).alias("ord", "f")).select("cik", "ord", "f.*").where(F.col("form").isin(*forms))
     url = F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), F.regexp_replace("cik", "^0+", ""), F.lit("/"), F.regexp_replace("accessionNumber", "-", ""), F.lit("/"), F.col("primaryDocument"))
-    limited = zipped.withColumn("__n", F.row_number().over(Window.partitionBy("cik").orderBy("ord"))).where(F.col("__n") <= most)
-    return limited.drop("__n").withColumn("url", url)
+    return zipped.withColumn("url", url)
 
 
 def cik_lookup(needles: DataFrame, tickers: DataFrame) -> DataFrame:

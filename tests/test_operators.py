@@ -211,3 +211,11 @@ def test_crawl_equals_brute_force(spark):
             plain |= {(str(seed), str(x), depth) for x in level}
     got = [tuple(r) for r in crawl.crawl(spark.createDataFrame([(str(k),) for k in range(65)], "seed string"), edges, F.lit(True), 3).collect()]
     assert len(got) == len(plain) and set(got) == plain
+
+
+def test_all_filings_of_a_company_come_out(spark):
+    n = 75
+    arrays = (["10-K", "6-K", "20-F"] * 25, [f"1-{k}" for k in range(n)], ["d.htm"] * n, ["2024-01-01"] * n)
+    rows = spark.createDataFrame([("0000000007", *arrays)], "cik string, form array<string>, accessionNumber array<string>, primaryDocument array<string>, filingDate array<string>")
+    found = sorted((r.ord, r.form, r.url) for r in crawl.filings(rows).collect())
+    assert found == [(k, arrays[0][k], f"https://www.sec.gov/Archives/edgar/data/7/1{k}/d.htm") for k in range(n) if k % 3 != 1]

@@ -29,15 +29,11 @@ STORE_SCHEMA = "doc_id long, tokens array<int>"
 
 def encode_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0) -> DataFrame:
     """``doc_id, tokens``: each whole text's ids followed by ``end_id``."""
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            blobs = [enc.encode(t.as_py()) + end for t in batch.column(1)]
-            offsets = np.concatenate(([0], np.cumsum([len(b) // 4 for b in blobs]))).astype(np.int32)
-            ids = pa.array(np.frombuffer(b"".join(blobs), dtype="<i4"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), ids)], names=["doc_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), enc.encode_all(batch.column(1), end_id)], names=["doc_id", "tokens"])
 
     return map_batches(docs.select("doc_id", whole_text().alias("text")), encode, STORE_SCHEMA, "encoder")
 

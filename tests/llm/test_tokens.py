@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +31,41 @@ def test_pieces_give_the_librarys_ids(sample, name):
         assert e.encode(text) == np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_batches_give_the_librarys_ids(sample, name):
+    e, r = Encoder(name), random.Random(8)
+    few = [a for a in ALPHABET if not a.startswith("<|endof")] + ["\x01", "\n\n", "\r\n", " \n", "\u3000", "я"] + [" "] * 20
+    texts = fuzz(3000) + ["".join(r.choice(few) for _ in range(r.randint(0, 16))) for _ in range(6000)] + [t.text for t in sample[1]][:60]
+    got = e.encode_all(pa.array(["before", *texts]).slice(1), 7)
+    for text, ids in zip(texts, got.to_pylist(), strict=True):
+        assert ids == [*e.tokenizer.encode(text, add_special_tokens=False).ids, 7], text
+    assert len(e.encode_all(pa.array([], pa.string()), 7)) == 0
+
+
+def test_words_of_a_batch_are_looked_up_once(spark, monkeypatch):
+    from ledgerloom.llm import bpe_units
+
+    asked = []
+
+    class Counting(bpe_units.PieceCache):
+        def __getitem__(self, piece):
+            asked.append(piece)
+            return super().__getitem__(piece)
+
+        def get(self, piece, *default):
+            asked.append(piece)
+            return super().get(piece, *default)
+
+    monkeypatch.setattr(bpe_units, "PieceCache", Counting)
+    monkeypatch.setattr(token_store, "encoder", Encoder)
+    monkeypatch.setattr(token_store, "map_batches", lambda df, run, *_: run)
+    texts = [f"Nine words, all of them alike,\nbut number {k}." for k in range(400)]
+    run = token_store.encode_documents(spark.createDataFrame([(1, "")], "doc_id long, text string"))
+    (out,) = run([pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts)], names=["doc_id", "text"])])
+    assert out.column(1).to_pylist() == [[*library("byte_bpe_50k.json", t), 0] for t in texts]
+    assert len(asked) < 8 * len(texts)  # 13 pieces a text
+
+
 def test_cache_stays_bounded():
     from ledgerloom.llm.bpe_units import PieceCache
 

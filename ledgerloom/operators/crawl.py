@@ -10,10 +10,11 @@ from ledgerloom.operators.search import first_containing
 from ledgerloom.operators.selection import first_of
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """``page_url, seed_url, ord, label, url`` of each page's hyperlinks, resolved."""
-    tags = pages.select("page_url", "seed_url", F.posexplode(L.anchors(F.col("html"))).alias("ord", "tag"))
-    return tags.select("page_url", "seed_url", "ord", L.anchor_label(F.col("tag")).alias("label"), L.resolve(F.col("page_url"), L.anchor_href(F.col("tag"))).alias("url"))
+def page_links(pages: DataFrame, *kept: str) -> DataFrame:
+    """``page_url, seed_url, ord, label, url`` of each page's hyperlinks, resolved, and the columns ``kept`` of the page: an address may have several pages."""
+    own = ["page_url", "seed_url", *kept]
+    tags = pages.select(*own, F.posexplode(L.anchors(F.col("html"))).alias("ord", "tag"))
+    return tags.select(*own, "ord", L.anchor_label(F.col("tag")).alias("label"), L.resolve(F.col("page_url"), L.anchor_href(F.col("tag"))).alias("url"))
 
 
 def of_same_org(links: DataFrame, rules: DataFrame | None) -> DataFrame:

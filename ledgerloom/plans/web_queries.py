@@ -28,9 +28,7 @@ def page_summary(spark, sf_dir):
 @query(f"""WITH h AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{HREF_SQL}', 1)) AS href FROM pages)
   SELECT page_id, CASE WHEN href LIKE 'http%' THEN href WHEN href LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || href ELSE '?' END AS link, count(*) AS n FROM h GROUP BY 1, 2""")
 def page_links(spark, sf_dir):
-    pages = crawled(spark, sf_dir)
-    found = C.page_links(pages).join(pages.select("page_url", "page_id"), "page_url")
-    return found.groupBy("page_id", F.col("url").alias("link")).agg(F.count(F.lit(1)).alias("n"))
+    return C.page_links(crawled(spark, sf_dir), "page_id").groupBy("page_id", F.col("url").alias("link")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"""WITH l AS (SELECT page_id, k, CASE k WHEN 0 THEN '/financials/' || (2000 + page_id % 20) WHEN 1 THEN '/reports/q1-2024#tab' WHEN 2 THEN '/financials' WHEN 3 THEN 'https://other.example.org/reports/2020' WHEN 4 THEN '/dam/jcr:9' ELSE '/x/annual.pdf?v=2' END AS href FROM pages, range(0, 6) r(k))

@@ -100,7 +100,9 @@ def site_crawl(spark, sf_dir):
     to = pages.crossJoin(n).select("i", F.explode(F.array((2 * F.col("i") + 1) % F.col("n"), (3 * F.col("i") + 2) % F.col("n"))).alias("j"))
     added = to.join(pages.select(F.col("i").alias("j"), F.col("url").alias("target")), "j").groupBy("i").agg(F.array_sort(F.collect_set("target")).alias("targets"))
     links = F.concat(F.array_join(F.transform(F.coalesce("targets", F.array()), lambda t: F.concat(F.lit('<a href="'), F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit('">page</a>'))), ""), F.lit("<a href='/files/"), F.col("i").cast("string"), F.lit(".pdf'>a <b>report</b></a>"))
-    web = pages.join(added, "i", "left").select("url", F.concat("html", links).alias("html"))
+    # An address may have several pages, and a fetch answers once: with all of them, one after the other.
+    rendered = pages.join(added, "i", "left").select("url", "i", F.concat(F.coalesce("html", F.lit("")), links).alias("html"))
+    web = rendered.groupBy("url").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "html"))), lambda p: p["html"]), "").alias("html"))
     path = files.scratch(spark, "web")
     web.write.parquet(path)
     web = spark.read.parquet(path)

@@ -29,3 +29,7 @@ def equals_sql(spark, folder, name):
 
 def test_links_belong_to_their_page_not_to_its_address(spark, folder):
     equals_sql(spark, folder, "page_links")
+
+
+def test_an_address_answers_with_all_its_pages(spark, folder):
+    equals_sql(spark, folder, "site_crawl")

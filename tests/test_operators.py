@@ -1,6 +1,7 @@
 """The store, hierarchies, choices and providers on small cases."""
 
 import random
+import re
 from datetime import date
 from decimal import Decimal
 
@@ -219,3 +220,18 @@ def test_all_filings_of_a_company_come_out(spark):
     rows = spark.createDataFrame([("0000000007", *arrays)], "cik string, form array<string>, accessionNumber array<string>, primaryDocument array<string>, filingDate array<string>")
     found = sorted((r.ord, r.form, r.url) for r in crawl.filings(rows).collect())
     assert found == [(k, arrays[0][k], f"https://www.sec.gov/Archives/edgar/data/7/1{k}/d.htm") for k in range(n) if k % 3 != 1]
+
+
+def test_cells_are_dealt_once_for_grids(spark):
+    cells = spark.createDataFrame([("d", p, t, r, ["Note" if r == 0 else f"line {'abcdefg'[r]}", "2024" if r == 0 else f"{p}{t}{r}"]) for p, t in ((0, 0), (0, 1), (1, 2), (3, 3)) for r in range(7 - t % 2)], "sha256 string, page_idx int, table_idx int, row_idx int, cells array<string>")
+    rows = extract.grid_statements(cells, spark.createDataFrame([("d", "income", 0), ("d", "balance", 1)], "sha256 string, kind string, page_idx int"))
+    assert {(x.statement, x.table_idx, x.source_page): int(sum(v["2024-12-31"] for v in x.v)) for x in rows.groupBy("statement", "table_idx", "source_page").agg(F.collect_list("values_by_period_end").alias("v")).collect()} == {("income", 0, 0): 21, ("balance", 2, 1): 741}
+    plan = rows._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert not re.search(r"Exchange hashpartitioning\(sha256#\d+, page_idx", plan)
+
+
+def test_steps_of_a_number_are_computed_once(spark):
+    from ledgerloom.functions.numbers import parse_number
+
+    text = str(spark.range(1).select(parse_number(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed())
+    assert text.lower().count("regexp_replace") <= 8

@@ -235,3 +235,19 @@ def test_steps_of_a_number_are_computed_once(spark):
 
     text = str(spark.range(1).select(parse_number(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed())
     assert text.lower().count("regexp_replace") <= 8
+
+
+def test_cells_are_dealt_once_for_pages(spark):
+    title = "Consolidated income statement\n(in thousands)"
+    pages = spark.createDataFrame([("d", 0, "words"), ("d", 1, title), ("d", 2, title), ("d", 3, None)], "sha256 string, page_idx int, text string")
+    cells = spark.createDataFrame([("d", p, t, r, ["Note" if r == 0 else f"line {r}", "2024" if r == 0 else f"{p}{t}{r}"]) for p, t, n in ((0, 0, 9), (1, 1, 4), (2, 2, 6), (3, 3, 8)) for r in range(n)], schemas.TABLE_CELLS)
+    rows = extract.pdf_statements(pages, cells)
+    assert {(x.statement, x.unit, x.source_page, x.table_idx): x["count"] for x in rows.groupBy("statement", "unit", "source_page", "table_idx").count().collect()} == {("income", "thousands", 1, 2): 5}
+    assert not re.search(r"Exchange hashpartitioning\(sha256#\d+, page_idx", rows._jdf.queryExecution().toString())
+
+
+def test_a_heading_is_collapsed_once(spark):
+    from ledgerloom.functions.headings import match_statement, statement_kinds
+
+    text = str(spark.range(1).select(match_statement(F.col("id").cast("string")), statement_kinds(F.col("id").cast("string")))._jdf.queryExecution().analyzed())
+    assert text.lower().count("regexp_replace") <= 8

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.reports import let
 from ledgerloom.operators.selection import first_rows
 from ledgerloom.sources import files
 
@@ -81,21 +82,33 @@ def deletions(word: Column) -> Column:
 
 def word_score(asked: Column, word: Column) -> Column:
     """How well a word answers an asked one; null if not at all. Edits count for words of four characters or more."""
-    edits = F.levenshtein(asked, word)
-    near = F.when(F.least(F.length(asked), F.length(word)) >= 4, F.when(edits == 1, EDITED[0]).when(edits == 2, EDITED[1]))
+    near = F.when(F.least(F.length(asked), F.length(word)) >= 4, let(F.levenshtein(asked, word, EDITS), lambda edits: F.when(edits == 1, EDITED[0]).when(edits == 2, EDITED[1])))
     return F.when(asked == word, EQUAL).when(word.startswith(asked), BEGINS).when(word.contains(asked), WITHIN).otherwise(near)
 
 
+def sets_of_words(rows: DataFrame, key: str, columns: list[str], most: int) -> DataFrame:
+    """``number, words, first, keys``: the distinct sets of words of the rows, with the first ``most`` keys of each, written once. Rows with one key are one row."""
+    spark = rows.sparkSession
+    own = rows.select(F.struct(F.col(key).alias("key")).alias("key"), words_of(F.concat_ws(" ", *columns)).alias("words")).groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"))
+    sets = first_rows(own.where("size(words) > 0"), ["words"], [F.col("key")], most).groupBy("words").agg(F.min("key").alias("first"), F.collect_list("key").alias("keys"))
+    path = files.scratch(spark, "words")
+    numbered = sets.select(F.monotonically_increasing_id().alias("number"), "words", "first", "keys")
+    numbered.write.parquet(path)
+    return spark.read.schema(numbered.schema).parquet(path)
+
+
 def ranked_search(queries: DataFrame, rows: DataFrame, key: str, columns: list[str], most: int = 10) -> DataFrame:
     """``query, key, score, place``: the best ``most`` rows for each distinct query, ties by ``key``. A row must answer every word of the query.
 
-    The vocabulary of the rows is what is searched: words that contain a query's word are found by its rarest trigram (short ones by their own run), words
-    within two edits by deletions that both have. Only words that answer one are joined to the rows that have them.
+    Rows with the same words have the same score: sets of words are what is searched, and of each the first ``most`` keys are enough. The vocabulary of the
+    sets tells which words answer a query's word: words that contain it are found by its rarest trigram (short ones by their own run), words
+    within two edits by deletions that both have. A query looks at the sets that answer its rarest word only, and scores its other words in them.
     """
     asked = queries.select("query").where("query is not null").distinct().withColumn("words", words_of(F.col("query"))).where("size(words) > 0")
-    wanted = asked.select("query", F.size("words").alias("n_words"), F.explode("words").alias("asked"))
-    postings = rows.select(F.col(key).alias("key"), F.explode(words_of(F.concat_ws(" ", *columns))).alias("word"))
-    vocabulary = postings.select("word").distinct()
+    wanted = asked.select("query", F.explode("words").alias("asked"))
+    sets = sets_of_words(rows, key, columns, most)
+    postings = sets.select("number", F.explode("words").alias("word"))
+    vocabulary = postings.groupBy("word").agg(F.count(F.lit(1)).alias("sets"))
     parts = wanted.select("asked").distinct()
 
     runs = vocabulary.select("word", F.explode(F.flatten(F.array(*[grams(F.col("word"), n) for n in range(1, GRAM + 1)]))).alias("run"))
@@ -105,8 +118,16 @@ def ranked_search(queries: DataFrame, rows: DataFrame, key: str, columns: list[s
     containing = rarest.join(runs, "run").where(F.contains("word", "asked")).select("asked", "word")
     spelled = lambda df, name: df.where(F.length(name) >= 4).select(name, F.explode(deletions(F.col(name))).alias("deleted"))
     similar = spelled(parts, "asked").join(spelled(vocabulary, "word"), "deleted").select("asked", "word").distinct()
-
-    scored = containing.union(similar).distinct().withColumn("s", word_score(F.col("asked"), F.col("word"))).where("s is not null")
-    hits = wanted.join(scored, "asked").join(postings, "word").groupBy("query", "n_words", "key", "asked").agg(F.max("s").alias("s"))
-    whole = hits.groupBy("query", "n_words", "key").agg(F.sum("s").alias("total"), F.count(F.lit(1)).alias("n")).where("n = n_words")
-    return first_rows(whole.select("query", "key", F.round(F.col("total") / F.col("n_words"), 6).alias("score")), ["query"], [F.col("score").desc(), F.col("key")], most)
+    answers = containing.union(similar).distinct().where(word_score(F.col("asked"), F.col("word")).isNotNull())
+
+    sizes = answers.join(vocabulary, "word").groupBy("asked").agg(F.sum("sets").alias("sets"))
+    # A query with a word that nothing answers has no hits.
+    through = wanted.join(sizes, "asked", "left").groupBy("query").agg(F.min(F.struct("sets", "asked")).alias("r"), F.every(F.col("sets").isNotNull()).alias("all")).where("all").select("query", "r.asked")
+    reached = answers.join(through.select("asked").distinct(), "asked", "left_semi").join(postings, "word").select("asked", "number").distinct().join(sets.select("number", "words", "first"), "number")
+    best = lambda a: F.array_max(F.transform("words", lambda w: word_score(a, w)))
+    total = F.aggregate(F.transform("asked_words", best), F.lit(0.0), lambda sum_, s: sum_ + s)  # null if a word has no answer
+    hits = through.join(asked.withColumnRenamed("words", "asked_words"), "query").join(reached, "asked").select("query", "number", "first", F.round(total / F.size("asked_words"), 6).alias("score"))
+    # As many sets as rows are wanted, those with the smallest keys on ties, hold them all.
+    top = first_rows(hits, ["query"], [F.col("score").desc_nulls_last(), F.col("first")], most).where("score is not null").select("query", "number", "score")
+    found = top.join(sets.select("number", F.explode("keys").alias("k")), "number").select("query", F.col("k.key").alias("key"), "score")
+    return first_rows(found, ["query"], [F.col("score").desc(), F.col("key")], most)

@@ -84,3 +84,13 @@ def test_suffix_table_decides_what_belongs_together(spark):
     assert len(by_page(crawl.pdf_links(pages))["https://a.github.io/ir"]) == 3  # without a table all of github.io is one
     assert by_page(crawl.drilldown_links(pages, rules)) == {"https://a.github.io/ir": ["https://a.github.io/reports/2024"], "https://github.io/x": ["https://github.io/reports/2024"]}
     assert "Documents (1)" in crawl.distilled(pages, rules=rules).where("page_url like '%a.github%'").first().text
+
+
+def test_rows_with_the_same_words_are_searched_once(spark):
+    rows = spark.range(3000).select("id", F.concat(F.lit("Fund "), (F.col("id") % 4).cast("string"), F.when(F.col("id") % 2 == 0, " fund").otherwise("")).alias("name"), F.when(F.col("id") == 7, "Odd").alias("other"))
+    twice = rows.unionByName(rows.where("id = 9").withColumn("name", F.lit("Other words")))
+    sets = {tuple(x.words): ([k.key for k in x["keys"]], x.first.key) for x in search.sets_of_words(twice, "id", ["name", "other"], 3).collect()}
+    assert {w: sorted(k) for w, (k, _) in sets.items()} == {("0", "fund"): [0, 4, 8], ("1", "fund"): [1, 5, 13], ("2", "fund"): [2, 6, 10], ("3", "fund"): [3, 11, 15], ("3", "fund", "odd"): [7], ("1", "fund", "other", "words"): [9]}
+    assert all(first == min(keys) for keys, first in sets.values())
+    found = search.ranked_search(spark.createDataFrame([("fund",), ("fnud 1",), ("odd fund",), ("fund nowhere",)], "query string"), twice, "id", ["name", "other"], most=4)
+    assert sorted((x.query, x.place, x.key) for x in found.collect()) == [("fnud 1", p, k) for p, k in enumerate((1, 5, 9, 13), 1)] + [("fund", p, k) for p, k in enumerate(range(4), 1)] + [("odd fund", 1, 7)]

@@ -251,3 +251,31 @@ def test_a_heading_is_collapsed_once(spark):
 
     text = str(spark.range(1).select(match_statement(F.col("id").cast("string")), statement_kinds(F.col("id").cast("string")))._jdf.queryExecution().analyzed())
     assert text.lower().count("regexp_replace") <= 8
+
+
+def test_plain_tags_are_read_as_the_parser_reads_them(monkeypatch):
+    r = random.Random(4)
+    plain = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", '<th class="a b">', "</th>", "<p>", "</p>", '<div style="x: y" id="q">', "</div>", "<H3>", "</H3>", "<b>", "</b>", "<br>", "a &amp; b", "x &lt y", "&#39;&nb", "&nbsp;text ", " \n", "> ", "&", "</td >"]
+    odd = [*plain, "<!-- c -->", "<td", "<td/>", "<script>var a = '<b>';</script>", "<title>a</title>", "<title>", "<style>p{}</style>", "< b", "<p x='1'>", "</ p>", "<!DOCTYPE html>", '<p x="a>b">', "<td>\x00", "<?x?>", '<tr x="1"y="2">']
+
+    def parsed(html):
+        scan = html_tables._Scan()
+        scan.feed(html)
+        scan.close()
+        return scan.tables, scan.headings
+
+    texts = ["".join(r.choice(plain if k % 2 else odd) for _ in range(r.randint(0, 40))) for k in range(3000)]
+    want = [parsed(x) for x in texts]
+    assert [(s.tables, s.headings) for s in map(html_tables._scan, texts)] == want
+    monkeypatch.setattr(html_tables._Scan, "feed", None)  # plain ones don't need it
+    for x in ["", None, *texts[1::2]]:
+        html_tables._scan(x)
+
+
+def test_files_made_of_a_small_table_are_scanned_by_many_tasks(spark, monkeypatch):
+    from ledgerloom.plans.source_queries import html_statements
+
+    seen = []
+    monkeypatch.setattr(html_tables, "scanned", lambda files, *a, f=html_tables.scanned: seen.append(files.rdd.getNumPartitions()) or f(files, *a))
+    html_statements(spark, "/root/testdata/sf0.001")
+    assert seen[0] >= spark.sparkContext.defaultParallelism

@@ -103,7 +103,8 @@ def search_keep_headers(lines: DataFrame, query: str, keys: list[str], name: str
     if not needle:
         return lines
     hit = F.coalesce(F.lower(name).contains(needle), F.lit(False))
-    later = Window.partitionBy(*keys).orderBy(pos).rowsBetween(1, Window.unboundedFollowing)
+    # From the last line back: a frame up to the end would be gone through again for each line.
+    later = Window.partitionBy(*keys).orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, -1)
     deepest = F.max(F.when(hit, F.col("depth"))).over(later)
     return lines.withColumn("__keep", hit | (F.col("is_header") & F.coalesce(deepest > F.col("depth"), F.lit(False)))).where("__keep").drop("__keep")
 

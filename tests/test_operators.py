@@ -279,3 +279,10 @@ def test_files_made_of_a_small_table_are_scanned_by_many_tasks(spark, monkeypatc
     monkeypatch.setattr(html_tables, "scanned", lambda files, *a, f=html_tables.scanned: seen.append(files.rdd.getNumPartitions()) or f(files, *a))
     html_statements(spark, "/root/testdata/sf0.001")
     assert seen[0] >= spark.sparkContext.defaultParallelism
+
+
+def test_headers_are_kept_in_one_pass_over_long_lists(spark):
+    lines = spark.range(150_000, numPartitions=1).select(F.lit("b").alias("b"), F.col("id").alias("pos"), F.when(F.col("id").isin(5, 149_000), "A Red line").otherwise("other").alias("canonical_name"), (F.col("id") % 5).alias("depth"), (F.col("id") % 1000 < 2).alias("is_header"))
+    found = market.search_keep_headers(lines.withColumn("depth", F.when(F.col("pos") == 149_000, 1).otherwise(F.col("depth"))), "red", ["b"])
+    assert "UnboundedFollowing" not in found._jdf.queryExecution().toString() and "unboundedfollowing" not in found._jdf.queryExecution().toString()
+    assert sorted(x.pos for x in found.collect()) == sorted({5, 149_000} | set(range(0, 149_000, 1000)))
